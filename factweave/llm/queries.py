@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .mixing import op5_mix
+from .quality_rules import op2_rules
 
 QUERIES = {
+    "op2_rules": op2_rules,
     "op5_mix": op5_mix,
 }
 
