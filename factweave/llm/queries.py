@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+import functools
+
+from .bpe_codec import op1_bpe
+from .bpe_counts import op7_tokens
 from .mixing import op5_mix
 from .quality_rules import op2_rules
+from .store import ship_package
+
+
+
+def _with_package(query):
+    """The query, with this package sent to the executors first."""
 
-QUERIES = {
+    @functools.wraps(query)
+    def run(spark, sf_dir: str):
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_ALL = {
+    "op1_bpe": op1_bpe,
     "op2_rules": op2_rules,
     "op5_mix": op5_mix,
+    "op7_tokens": op7_tokens,
 }
 
+QUERIES = {name: _with_package(query) for name, query in _ALL.items()}
+
 ORACLES: dict[str, str] = {}

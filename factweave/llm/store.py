@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,3 +46,20 @@ def release(spark: SparkSession) -> None:
     """Delete every table that this application has written with ``materialize``."""
     top = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/factweave-{spark.sparkContext.applicationId}")
     top.getFileSystem(spark._jsc.hadoopConfiguration()).delete(top, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for an application.
+
+    Clusters where it is installed don't need this; it does no harm there.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = Path(__file__).resolve().parents[2]
+    target = Path(tempfile.mkdtemp(prefix="factweave-zip-")) / "factweave.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted((top / "factweave").rglob("*.py")):
+            z.write(p, p.relative_to(top))
+    spark.sparkContext.addPyFile(str(target))  # goes out through the driver's file server
+    _shipped.add(app)
