@@ -6,6 +6,7 @@ import functools
 
 from .bpe_codec import op1_bpe
 from .bpe_counts import op7_tokens
+from .language_id import op9_language
 from .mixing import op5_mix
 from .quality_rules import op2_rules
 from .store import ship_package
@@ -28,6 +29,7 @@ _ALL = {
     "op2_rules": op2_rules,
     "op5_mix": op5_mix,
     "op7_tokens": op7_tokens,
+    "op9_language": op9_language,
 }
 
 QUERIES = {name: _with_package(query) for name, query in _ALL.items()}
