@@ -9,6 +9,7 @@ from .bpe_counts import op7_tokens
 from .language_id import op9_language
 from .mixing import op5_mix
 from .quality_rules import op2_rules
+from .range_join import op8_vectors
 from .store import ship_package
 
 
@@ -29,6 +30,7 @@ _ALL = {
     "op2_rules": op2_rules,
     "op5_mix": op5_mix,
     "op7_tokens": op7_tokens,
+    "op8_vectors": op8_vectors,
     "op9_language": op9_language,
 }
 
