@@ -6,6 +6,7 @@ import functools
 
 from .bpe_codec import op1_bpe
 from .bpe_counts import op7_tokens
+from .kneser_ney import op4_quality
 from .language_id import op9_language
 from .mixing import op5_mix
 from .quality_rules import op2_rules
@@ -28,6 +29,7 @@ def _with_package(query):
 _ALL = {
     "op1_bpe": op1_bpe,
     "op2_rules": op2_rules,
+    "op4_quality": op4_quality,
     "op5_mix": op5_mix,
     "op7_tokens": op7_tokens,
     "op8_vectors": op8_vectors,
