@@ -9,6 +9,7 @@ from .bpe_counts import op7_tokens
 from .kneser_ney import op4_quality
 from .language_id import op9_language
 from .mixing import op5_mix
+from .personal_data import op3_personal_data
 from .quality_rules import op2_rules
 from .range_join import op8_vectors
 from .store import ship_package
@@ -29,6 +30,7 @@ def _with_package(query):
 _ALL = {
     "op1_bpe": op1_bpe,
     "op2_rules": op2_rules,
+    "op3_personal_data": op3_personal_data,
     "op4_quality": op4_quality,
     "op5_mix": op5_mix,
     "op7_tokens": op7_tokens,
