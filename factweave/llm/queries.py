@@ -6,6 +6,7 @@ import functools
 
 from .bpe_codec import op1_bpe
 from .bpe_counts import op7_tokens
+from .jaccard_join import op10_jaccard
 from .kneser_ney import op4_quality
 from .language_id import op9_language
 from .mixing import op5_mix
@@ -36,6 +37,7 @@ _ALL = {
     "op7_tokens": op7_tokens,
     "op8_vectors": op8_vectors,
     "op9_language": op9_language,
+    "op10_jaccard": op10_jaccard,
 }
 
 QUERIES = {name: _with_package(query) for name, query in _ALL.items()}
