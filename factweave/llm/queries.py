@@ -15,6 +15,7 @@ from .quality_rules import op2_rules
 from .range_join import op8_vectors
 from .store import ship_package
 
+from .substring_dedup import op6_repeats
 
 
 def _with_package(query):
@@ -34,6 +35,7 @@ _ALL = {
     "op3_personal_data": op3_personal_data,
     "op4_quality": op4_quality,
     "op5_mix": op5_mix,
+    "op6_repeats": op6_repeats,
     "op7_tokens": op7_tokens,
     "op8_vectors": op8_vectors,
     "op9_language": op9_language,
