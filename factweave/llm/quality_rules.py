@@ -37,32 +37,42 @@ FEATURES = {
 }
 
 
+def let(value: Column, body) -> Column:
+    """``body`` over a value that is computed once: a lambda's variable is never expanded into its uses."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds one struct column ``__stats`` with the fields of BASE and EXTRA, all long.
 
     Null texts count as empty: every statistic is 0.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("__t", trimmed(F.col(text)))
-    out = out.withColumn("__h", F.transform(words_of(F.col("__t")), lambda w: F.xxhash64(w)))
-    n = F.size("__h")
-    window = lambda i: F.xxhash64(*[F.col("__h")[i + k] for k in range(WINDOW)])
-    out = out.withColumn("__w", F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), window)).otherwise(F.array().cast("array<bigint>")))
+    hashes = F.transform(words_of(trimmed(F.col(text))), lambda w: F.xxhash64(w))
+    starts = lambda h: F.when(F.size(h) >= WINDOW, F.sequence(F.lit(1), F.size(h) - WINDOW + 1)).otherwise(F.array().cast("array<int>"))
+    windows = lambda h: F.transform(starts(h), lambda i: F.xxhash64(F.slice(h, i, WINDOW)))
+    by_word = let(
+        hashes,
+        lambda h: F.struct(
+            F.size(h).alias("n_words"),
+            let(windows(h), lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), _repeated(w)).otherwise(F.lit(0))).alias("n_repeat_words"),
+        ),
+    )
     lines = F.filter(F.split(raw, "\n"), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
-    out = out.withColumn("__l", lines)
-    no_space = F.length(F.translate(raw, SPACE_CHARS, ""))
+    by_line = let(lines, lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
+    out = docs.withColumn("__w", by_word).withColumn("__l", by_line)
     stats = {
-        "n_words": n,
-        "word_chars": no_space,
+        "n_words": F.col("__w.n_words"),
+        "word_chars": F.length(F.translate(raw, SPACE_CHARS, "")),
         "n_symbols": F.length(F.regexp_replace(raw, f"[^{SYMBOLS}]+", "")),
-        "n_dup_lines": F.size("__l") - F.size(F.array_distinct("__l")),
-        "n_repeat_words": F.when(F.size(F.array_distinct("__w")) < F.size("__w"), _repeated(F.col("__w"))).otherwise(F.lit(0)),
+        "n_dup_lines": F.col("__l.n_dup_lines"),
+        "n_repeat_words": F.col("__w.n_repeat_words"),
         "n_chars_all": F.length(raw),
-        "n_lines": F.size("__l"),
+        "n_lines": F.col("__l.n_lines"),
         "n_upper": F.length(F.regexp_replace(raw, "[^A-Z]+", "")),
         "n_marks": F.length(F.regexp_replace(raw, "[^!?]+", "")),
     }
-    return out.withColumn("__stats", F.struct(*[c.cast("long").alias(k) for k, c in stats.items()])).drop("__t", "__h", "__w", "__l")
+    return out.withColumn("__stats", F.struct(*[c.cast("long").alias(k) for k, c in stats.items()])).drop("__w", "__l")
 
 
 def _repeated(windows: Column) -> Column:
@@ -71,15 +81,14 @@ def _repeated(windows: Column) -> Column:
     Sorting (hash, start) puts equal windows side by side; the starts of those are
     sorted again, and each covers the words up to the next start, at most WINDOW.
     """
-    pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    twice = F.filter(
-        F.transform(
-            pairs,
-            lambda p, k: F.when(
-                ((k > 0) & (F.get(pairs, k - 1)["h"] == p["h"])) | (F.get(pairs, k + 1)["h"] == p["h"]), p["i"]
-            ),
+    sorted_pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    same = lambda pairs, k, p: F.coalesce(F.get(pairs, k)["h"] == p["h"], F.lit(False))
+    twice = let(
+        sorted_pairs,
+        lambda pairs: F.filter(
+            F.transform(pairs, lambda p, k: F.when(same(pairs, k - 1, p) | same(pairs, k + 1, p), p["i"])),
+            lambda i: i.isNotNull(),
         ),
-        lambda i: i.isNotNull(),
     )
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     return F.aggregate(
