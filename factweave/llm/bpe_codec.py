@@ -35,7 +35,7 @@ LEAF = 1 << 15
 #: Characters on either side of a join in the first window; it grows four times each time.
 WINDOW = 64
 #: Entries of the cache of one worker, and characters of the longest one.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 150_000, 32
 #: The tokenizer's own pre-token pattern and, for texts of these characters only, no
 #: normalisation but lower case (no character composes with another): fixed values.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -214,18 +214,24 @@ def _long(rows: DataFrame, path: str, leaf: int, contents: bool) -> DataFrame:
         .dropDuplicates(["__key", "no"])
     )
 
+    small = leaf < 1 << 16 and codec_of(path).tokenizer.get_vocab_size() <= 1 << 16
+    kind = np.uint16 if small else np.int64  # ids and positions in a leaf
+
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path)
-        for b in batches:
-            spans = [codec.spans(x, at).tobytes() for x, at in zip(b.column("part").to_pylist(), b.column("at").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("__key", "no", "at", "part")), pa.array(spans, pa.binary())], ["__key", "no", "at", "part", "spans"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, 8):  # spans take more room than text: few leaves at once
+                b = whole.slice(i, 8)
+                spans = [codec.spans(x).astype(kind).tobytes() for x in b.column("part").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("__key", "no", "at", "part")), pa.array(spans, pa.binary())], ["__key", "no", "at", "part", "spans"])
 
     def joined(pdf):
         codec = codec_of(path)
         pdf = pdf.sort_values("no")
         text = "".join(pdf["part"])
         cuts = [*map(int, pdf["at"]), len(text)]
-        spans = join_tree(codec, text, cuts, [np.frombuffer(x, dtype=np.int64).reshape(-1, 3) for x in pdf["spans"]])
+        leaves = [np.frombuffer(x, dtype=kind).reshape(-1, 3).astype(np.int64) + (0, at, at) for x, at in zip(pdf["spans"], cuts)]
+        spans = join_tree(codec, text, cuts, leaves)
         ids = spans[:, 0].tolist()
         found = len(ids), " ".join(map(str, ids)).encode(), codec.decode(ids).encode()
         names = ["n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"]
