@@ -33,7 +33,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Characters of a piece, and of the longest text that is counted in one go.
 PIECE = 1 << 15
 #: A worker's transducer starts anew when it has this many states.
-MAX_STATES = 400_000
+MAX_STATES = 300_000
 #: The pattern's contractions; fixed values of this kind of tokenizer.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
