@@ -27,15 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_counts import tokenizer_path
-from .pieces import keyed
+from .pieces import keyed, sliced
 
 TOKENIZER = "word_bpe_49k.json"
 #: Characters of the longest leaf.
-LEAF = 1 << 15
+LEAF = 65_000
 #: Characters on either side of a join in the first window; it grows four times each time.
 WINDOW = 64
 #: Entries of the cache of one worker, and characters of the longest one.
-CACHE_ENTRIES, CACHE_CHARS = 150_000, 32
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 32
 #: The tokenizer's own pre-token pattern and, for texts of these characters only, no
 #: normalisation but lower case (no character composes with another): fixed values.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -84,16 +84,18 @@ class Codec:
         self.cache.update((u, f) for u, f in found.items() if len(u) <= CACHE_CHARS)
         return found
 
-    def encode_text(self, text: str) -> tuple[int, bytes, bytes]:
-        """(number of tokens, decimal ids, decoded text) of a whole text."""
-        units, get = self.units(text), self.cache.get
-        found = list(map(get, units))
-        if None in found:
-            learnt = self.learn({u for u, f in zip(units, found) if f is None})
-            found = [learnt[u] if f is None else f for u, f in zip(units, found)]
-        if not units:
-            return 0, b"", b""
-        sizes, ids, tokens = zip(*found)
+    def encode_texts(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
+        """(number of tokens, decimal ids, decoded text) of each whole text."""
+        units = [self.units(t) for t in texts]
+        cache = self.cache
+        learnt = self.learn({u for u in set().union(*units) if u not in cache})
+        return [self._joined(u, learnt) for u in units]
+
+    def _joined(self, units: list[str], learnt: dict[str, tuple[int, str, str]]) -> tuple[int, bytes, bytes]:
+        found = list(map(self.cache.get, units))
+        if None in found:  # too long for the cache, or dropped when it was full
+            found = [learnt.get(u) or self.learn({u})[u] if f is None else f for u, f in zip(units, found)]
+        sizes, ids, tokens = zip(*found) if found else ((), (), ())
         if 0 in sizes:
             sizes, ids, tokens = zip(*[f for f in found if f[0]]) if any(sizes) else ((), (), ())
         ids = " ".join(ids)
@@ -174,16 +176,16 @@ def codec_of(path: str) -> Codec:
 _OUT = "n_tokens long, ids string, decoded string, ids_sha256 string, decoded_sha256 string"
 
 
-def _columns(found: list[tuple[int, bytes, bytes]], contents: bool) -> list[pa.Array]:
+def _columns(found: list[tuple[int, bytes, bytes]], contents: tuple[str, ...]) -> list[pa.Array]:
     digest = lambda k: pa.array([hashlib.sha256(f[k]).hexdigest() for f in found], pa.string())
-    text = lambda k: pa.array([f[k].decode() for f in found] if contents else [None] * len(found), pa.string())
+    text = lambda k: pa.array([f[k].decode() for f in found] if ("", "ids", "decoded")[k] in contents else [None] * len(found), pa.string())
     return [pa.array([f[0] for f in found], pa.int64()), text(1), text(2), digest(1), digest(2)]
 
 
-def encode_decode(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", leaf: int = LEAF, contents: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", leaf: int = LEAF, contents: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """doc_id, n_tokens, ids (decimal, joined by spaces), decoded, and both digests for each input row.
 
-    ids and decoded are null if ``contents`` is false. A null text counts as empty: no
+    ids and decoded are null if ``contents`` leaves them out. A null text counts as empty: no
     tokens, empty strings. Repeated rows give a row each; an empty table gives no
     rows; other columns are ignored.
     """
@@ -192,8 +194,8 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path)
-        for b in batches:
-            found = [codec.encode_text(x) for x in b.column("text").to_pylist()]
+        for b in sliced(batches):
+            found = codec.encode_texts(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_columns(found, contents)], ["doc_id", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
@@ -202,7 +204,7 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "
     return few.unionByName(many.drop("__key"))
 
 
-def _long(rows: DataFrame, path: str, leaf: int, contents: bool) -> DataFrame:
+def _long(rows: DataFrame, path: str, leaf: int, contents: tuple[str, ...]) -> DataFrame:
     """__key and the results of each distinct long text: leaves in parallel, then one join of leaves for each text."""
     n = F.pow(F.lit(2), F.ceil(F.log2(F.ceil(F.length("text") / F.lit(leaf)))))
     cut = lambda k: F.floor(F.length("text").cast("double") * k / F.col("n")).cast("int")
@@ -242,5 +244,5 @@ def _long(rows: DataFrame, path: str, leaf: int, contents: bool) -> DataFrame:
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:
     """Query: digests of the encoding and of the decoded text of every document."""
-    out = encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"), contents=False)
+    out = encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"), contents=())
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import keyed, pieces_of
+from .pieces import keyed, pieces_of, sliced
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Characters of a piece, and of the longest text that is counted in one go.
@@ -277,7 +277,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "d
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
-        for b in batches:
+        for b in sliced(batches):
             n = pa.array([t.count(x) for x in b.column("text").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), n], ["doc_id", "n_bytes", "n_tokens"])
 

@@ -317,6 +317,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return joined.mapInArrow(similar, "a long, b long")
 
 
+def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the one with the smallest id.
+
+    Rows with a null id stay. Rows that share an id: of equal ones one stays.
+    """
+    linked = materialize(link_documents(docs, k, percent, doc_id, text), "jaccard-kept")
+    heads = linked.where("doc_id is not null and doc_id = component_id").groupBy(F.col("doc_id").alias("__head")).agg(F.count(F.lit(1)).alias("__n"))
+    heads = materialize(heads, "jaccard-heads")
+    kept = docs.join(heads.select("__head"), F.col(doc_id) == F.col("__head"), "left_semi")
+    shared = heads.where("__n > 1").select("__head")
+    if not shared.isEmpty():
+        same = F.col(doc_id) == F.col("__head")
+        kept = kept.join(shared, same, "left_anti").unionByName(docs.join(shared, same, "left_semi").dropDuplicates([doc_id, text]))
+    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+
+
 def op10_jaccard(spark, sf_dir: str) -> DataFrame:
     """Query: shingles and component of every document, four words, similarity 0.85."""
     return link_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=85)

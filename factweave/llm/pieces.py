@@ -9,6 +9,9 @@ text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +28,10 @@ def pieces_of(rows: DataFrame, piece: int) -> DataFrame:
     last = F.ceil(F.length("text") / F.lit(piece)).cast("int") - 1
     texts = rows.where("__key is not null").select("__key", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("text", i * piece + 1, F.lit(piece)))).alias("no", "part"))
     return texts.dropDuplicates(["__key", "no"])
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, which bound what a task holds as Python objects."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
