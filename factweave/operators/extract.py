@@ -173,7 +173,7 @@ def entry_hints(files: DataFrame) -> DataFrame:
 
 def resource_hints(files: DataFrame) -> DataFrame:
     """Hints of Rails ``resources :name``: seven rows, six for ``resource``."""
-    pattern = r"(?:^|[\s;])(resources?)\s+:(\w+)"
+    pattern = r"(?m)(?:^|[ \t;])(resources?)\s+:(\w+)"
     actions = F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in zip(("action", "verb", "tail"), a)]) for a in R.RESOURCE_ACTIONS])
     make = lambda text, line: F.struct(F.regexp_extract(text, pattern, 1).alias("word"), F.regexp_extract(text, pattern, 2).alias("name"), line.alias("line"))
     rows = middleware(files).select("file", "middleware", F.explode(_guarded(("ruby",), matches(F.col("src"), pattern, make))).alias("r"))

@@ -2,5 +2,633 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from factweave import rules as R
+from factweave import views as V
+from factweave.functions import scalars as S
+from factweave.operators import attribute, entrypoints, extract, graph, report, topology
+from factweave.plans.index import Config, index
+from factweave.sources.files import snapshot_status
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a query, with the SQL for the same rows where there is one."""
+
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def words(values) -> str:
+    return "(" + ", ".join(text(v) for v in values) + ")"
+
+
+# --- files -------------------------------------------------------------------------------
+
+
+@query(f"with {V.SRC_SQL} select file, language from src_files")
+def ext_language_lookup(spark, sf_dir):
+    return V.src_files(spark, sf_dir).select("file", S.language_of(F.col("file")).alias("language"))
+
+
+@query("select distinct lang as language from documents where lang <> ''")
+def distinct_languages(spark, sf_dir):
+    return V.table(spark, sf_dir, "documents").where("lang <> ''").select(F.col("lang").alias("language")).distinct()
+
+
+@query("select doc_id, sha256(text) as sha256 from documents")
+def content_sha256(spark, sf_dir):
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query("""with old as (select doc_id, case when source = 'src3' then sha256(text || 'x') else sha256(text) end as sha256 from documents where lang <> 'es')
+select d.doc_id as file, sha256(d.text) as sha256, case when old.sha256 is null then 'New' when old.sha256 <> sha256(d.text) then 'Changed' else 'Unchanged' end as status
+from documents d left join old using (doc_id)""")
+def snapshot_diff_status(spark, sf_dir):
+    docs = V.table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "file")
+    old = docs.where("lang <> 'es'").select("file", F.sha2(F.when(F.col("source") == "src3", F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("sha256"))
+    return snapshot_status(docs.select("file", F.sha2("text", 256).alias("sha256")), old)
+
+
+@query(f"with {V.SRC_SQL} select count(*) as files, count(distinct language) as languages, cast(sum(length(src) - length(replace(src, chr(10), '')) + 1) as bigint) as lines from src_files")
+def run_summary(spark, sf_dir):
+    files = V.src_files(spark, sf_dir)
+    return files.agg(F.count(F.lit(1)).alias("files"), F.countDistinct("language").alias("languages"), F.sum(extract.newlines(F.col("src")) + 1).cast("long").alias("lines"))
+
+
+@query(f"with {V.SRC_SQL} select bool_or({' or '.join(f'contains(src, {text(m)})' for m in R.TRANSPORT_MARKS)}) as has_transport from src_files where language = 'rust'")
+def transport_detect(spark, sf_dir):
+    return extract.transport(V.src_files(spark, sf_dir))
+
+
+def _count(w: str) -> str:
+    w = " || ".join(["chr(10)" if p == "\n" else text(p) for p in ([w] if "\n" not in w else ["\n", w.replace("\n", "")])])
+    return f"(length(src) - length(replace(src, {w}, ''))) // length({w})"
+
+
+def _meta(side: int) -> str:
+    return "case language " + " ".join(f"when '{lang}' then {' + '.join(_count(w) for w in v[side])}" for lang, v in R.META_COUNTS.items()) + " else 0 end"
+
+
+@query(f"with {V.SRC_SQL} select file, cast(length(src) - length(replace(src, chr(10), '')) + 1 as bigint) as lines, cast({_meta(0)} as bigint) as exports, cast({_meta(1)} as bigint) as imports from src_files")
+def file_meta_counts(spark, sf_dir):
+    return extract.file_meta_counts(V.src_files(spark, sf_dir))
+
+
+# --- extraction --------------------------------------------------------------------------
+
+
+def _symbol_sql() -> str:
+    """First rule of a line that matches; RE2 has no look-around, and these patterns need none."""
+    name = "coalesce(" + ", ".join(f"case when language = '{lang}' then nullif(regexp_extract(text, {text(p)}, 1), '') end" for lang, _, p, _ in R.SYMBOL_RULES) + ")"
+    kind = "case " + " ".join(f"when language = '{lang}' and regexp_extract(text, {text(p)}, 1) <> '' then '{k}'" for lang, k, p, _ in R.SYMBOL_RULES) + " end"
+    return f"""with {V.SRC_SQL}, s as (select {name} as name, {kind} as kind, file, cast(line as bigint) as line, language, text from lines)
+select name, kind, file, line, case language when 'javascript' then regexp_matches(text, '^\\s*export\\b') when 'typescript' then regexp_matches(text, '^\\s*export\\b')
+  when 'python' then not starts_with(name, '_') when 'ruby' then not starts_with(name, '_') when 'rust' then regexp_matches(text, '^\\s*pub\\b') when 'go' then regexp_matches(name, '^[A-Z]') else true end as is_exported
+from s where name is not null"""
+
+
+@query(_symbol_sql())
+def extract_symbols(spark, sf_dir):
+    return extract.symbols(V.src_files(spark, sf_dir)).drop("prov_source", "prov_confidence")
+
+
+@query(f"""with {V.SRC_SQL}, c as (select distinct file as src_file, cast(line as bigint) as line, unnest(regexp_extract_all(text, {text(R.CALL_PATTERN)}, 1)) as dst_symbol from lines where not regexp_matches(text, {text(R.DEFINES)}))
+select src_file, line, dst_symbol from c where dst_symbol not in {words(R.NOT_CALLED)}""")
+def extract_call_edges(spark, sf_dir):
+    return extract.edges(V.src_files(spark, sf_dir)).where("rel = 'calls'").select("src_file", "line", "dst_symbol")
+
+
+@query(f"with {V.SRC_SQL} " + " union all ".join(f"select file as src_file, cast(line as bigint) as line, unnest(regexp_extract_all(text, {text(p)}, 1)) as dst_file from lines where language in {words(langs)}" for langs, p in R.IMPORT_RULES))
+def extract_import_edges(spark, sf_dir):
+    return extract.edges(V.src_files(spark, sf_dir)).where("rel = 'imports'").select("src_file", "line", "dst_file")
+
+
+@query(f"with {V.SRC_SQL} " + " union all ".join(f"select file as src_file, cast(line as bigint) as line, regexp_extract(text, {text(p)}, 1) as src_symbol, regexp_extract(text, {text(p)}, 2) as dst_symbol from lines where language in {words(langs)} and regexp_matches(text, {text(p)})" for langs, p in R.EXTENDS_RULES))
+def extract_extends_edges(spark, sf_dir):
+    return extract.edges(V.src_files(spark, sf_dir)).where("rel = 'extends'").select("src_file", "line", "src_symbol", "dst_symbol")
+
+
+def _norm(e: str) -> str:
+    for p in (r"\$\{[^}]*\}", r"\{[^}]+\}", r"%[dsfv]|%\([^)]+\)[dsfv]", r"\s*\+\s*\w+\s*$"):
+        e = f"regexp_replace({e}, {text(p)}, '{{}}', 'g')"
+    return f"trim({e})"
+
+
+def _verb(e: str) -> str:
+    first = f"upper(regexp_extract({e}, '^\\s*(\\w+)', 1))"
+    return f"case when {first} in ('SELECT', 'WITH') then 'read' when {first} in ('INSERT', 'UPDATE', 'DELETE', 'MERGE', 'UPSERT') then 'write' else 'read' end"
+
+
+def _base(e: str) -> str:
+    rest = f"regexp_replace({e}, '^https?://', '')"
+    return f"case when starts_with({e}, '/') then {e} when instr({rest}, '/') > 0 then substr({rest}, instr({rest}, '/')) else '' end"
+
+
+def _outgoing(e: str) -> str:
+    path = f"rtrim({_base(f'regexp_replace({e}, {text(chr(92) + "$" + chr(92) + "{[^}]*" + chr(92) + "}")}, {text(":param")}, {text("g")})')}, '/')"
+    return f"case when length({path}) > 1 then {path} end"
+
+
+def _tables(e: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all({e}, {text(R.TABLE_PATTERN)}, 1), lambda x: lower(x)), lambda x: x not in {words(R.RESERVED)})"
+
+
+def _header(e: str) -> str:
+    return f"case when lower({e}) in {words(R.HEADER_NAMES)} or starts_with(lower({e}), 'x-') then 'http_header' else 'redis' end"
+
+
+def _rule_sql(r: R.Rule) -> str:
+    p = text(r.pattern)
+    key = "coalesce(" + ", ".join(f"nullif(regexp_extract(text, {p}, {g}), '')" for g in r.key) + ")"
+    group = lambda g: f"regexp_extract(text, {p}, {g})"
+    direction = {
+        "read": "'read'", "write": "'write'", "header": "'read'", "verb": _verb(key),
+        "select": f"case when contains(upper({key}), 'SELECT') then 'read' else 'write' end",
+        "find": f"case when regexp_matches({group(2)}, '^(find|count)') then 'read' else 'write' end",
+        "manager": f"case when {group(2)} in ('filter', 'get', 'all', 'first', 'last') then 'read' else 'write' end",
+        "session": f"case when {group(1)} = 'query' then 'read' else 'write' end",
+        "file": f"case when contains({group(1)}, 'read') then 'read' else 'write' end",
+    }[r.direction]
+    medium = _header(key) if r.direction == "header" else f"'{r.medium}'"
+    out = _outgoing(key) if r.medium == "http_out" else key
+    keys = _tables(key) if r.medium == "sql" and r.direction in ("select", "verb") else f"[{out}]"
+    return f"select file, cast(line as bigint) as line, {direction} as direction, {medium} as medium, {out} as key_raw, unnest({keys}) as k, '{r.name}' as rule from lines where language in {words(r.languages)} and regexp_matches(text, {p})"
+
+
+def _events_sql(medium: str) -> str:
+    rules = [r for r in (*R.CALL_RULES, *R.EVENT_RULES) if r.enabled and (r.medium == medium or r.direction == "header")]
+    return f"with {V.SRC_SQL}, e as ({' union all '.join(map(_rule_sql, rules))}) select file, line, direction, {_norm('k')} as key_norm, rule from e where medium = '{medium}' and key_raw is not null"
+
+
+def _boundary(medium: str):
+    def run(spark, sf_dir):
+        rules = [r for r in (*R.CALL_RULES, *R.EVENT_RULES) if r.medium == medium or r.direction == "header"]
+        return extract.boundary_events(V.src_files(spark, sf_dir), rules).where(F.col("medium") == medium).select("file", "line", "direction", "key_norm", "rule")
+
+    return run
+
+
+for _medium in ("env", "redis", "kafka", "sql", "http_header", "http_out", "rabbitmq", "sqs", "filesystem", "grpc", "queue", "websocket"):
+    query(_events_sql(_medium), f"boundary_{_medium}")(_boundary(_medium))
+
+# --- scalars -----------------------------------------------------------------------------
+
+#: Statements and keys with an order's number in them.
+STATEMENTS = ("SELECT a FROM t@ WHERE x", "insert into T@ values (1)", "UPDATE u@ SET a", "WITH q AS (SELECT 1 FROM w@) SELECT * FROM a JOIN b@", "DELETE FROM d@", "MERGE INTO m@ USING s", "EXPLAIN x@")
+KEYS = ("session:${id@}", "user:{u@}", "a%d:@", "k@ + suffix", "%(name)s:@", "Authorization", "x-zone-@", "plain@")
+
+
+def _templates(spark, sf_dir, templates) -> DataFrame:
+    return V.table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(*[F.replace(F.lit(t), F.lit("@"), F.col("o_orderkey").cast("string")) for t in templates])).alias("t"))
+
+
+def _templates_sql(templates) -> str:
+    return f"t as (select o_orderkey, unnest([{', '.join(f'replace({text(t)}, {text("@")}, cast(o_orderkey as varchar))' for t in templates)}]) as t from orders)"
+
+
+def _after(w: str) -> str:
+    return f"nullif(regexp_extract(regexp_replace(t, '\\s+', ' ', 'g'), '(?i){w} (\\S+)', 1), '')"
+
+
+SCALARS = {
+    "sql_verb_direction": (STATEMENTS, S.sql_verb, _verb("t")),
+    "sql_primary_table": (STATEMENTS, S.sql_primary_table, f"lower(regexp_replace(coalesce({', '.join(map(_after, ('FROM', 'INTO', 'UPDATE', 'JOIN')))}), '^\\W+|\\W+$', '', 'g'))"),
+    "header_reclassify": (KEYS, S.header_medium, _header("t")),
+    "normalise_key": (KEYS, S.normalise_key, _norm("t")),
+    "strip_literal": (('&"lit@"', 'r#"raw@"#', '"plain@"', "bare@"), S.strip_literal, "regexp_replace(regexp_replace(regexp_replace(trim(t), '^&', ''), '^r#*\"', ''), '^\"|\"#*$', '', 'g')"),
+    "strip_base_url": (("https://api.example.com/foo/@", "https://api.example.com", "/x/@", "rel@/path"), S.strip_base_url, _base("t")),
+    "template_interp": (("/users/${id}/comments/${c@}", "/plain/@"), S.template_path, "regexp_replace(t, '\\$\\{[^}]*\\}', ':param', 'g')"),
+    "camel_to_snake": (("UserProfilesController", "Api@Controller", "plain"), S.camel_to_snake, "lower(regexp_replace(regexp_replace(t, 'Controller$', ''), '([a-z0-9])([A-Z])', '\\1_\\2', 'g'))"),
+}
+
+
+def _scalar(templates, f):
+    return lambda spark, sf_dir: _templates(spark, sf_dir, templates).select("o_orderkey", F.col("t").alias("input"), f(F.col("t")).alias("output"))
+
+
+for _name, (_t, _f, _sql) in SCALARS.items():
+    query(f"with {_templates_sql(_t)} select o_orderkey, t as input, {_sql} as output from t", _name)(_scalar(_t, _f))
+
+
+@query(f"with {_templates_sql(STATEMENTS)} select o_orderkey, t as input, unnest({_tables('t')}) as name from t")
+def sql_tables_explode(spark, sf_dir):
+    return _templates(spark, sf_dir, STATEMENTS).select("o_orderkey", F.col("t").alias("input"), F.explode(S.sql_tables(F.col("t"))).alias("name"))
+
+
+def _service_sql(file: str) -> str:
+    parts = f"list_filter(string_split({file}, '/')[1:-2], lambda p: p not in ('', '.', '..'))"
+    return f"case when len({parts}) = 0 then 'root' when len({parts}) <= 2 then {parts}[1] else coalesce(list_filter({parts}, lambda p: p not in {words(R.LAYOUT_DIRS)})[-1], {parts}[-1]) end"
+
+
+PATHS = ("/home/user/project/svc@/src/main.rs", "./core-@/src/lib.rs", "main@.rs", "p/svc@/static/app.js", "a/src/services/billing/x@.py", "billing/app/y@.py", "src/lib/test/z@.go")
+
+
+@query(f"with {_templates_sql(PATHS)} select o_orderkey, t as file, {_service_sql('t')} as service from t")
+def service_from_path(spark, sf_dir):
+    return _templates(spark, sf_dir, PATHS).select("o_orderkey", F.col("t").alias("file"), S.service_from_path(F.col("t")).alias("service"))
+
+
+_inside = "regexp_matches(array_to_string(list_filter(string_split(t, '/'), lambda p: p not in ('', '.')), '/'), '(^|/)src/services/[^/]+/[^/]+') and len(list_filter(string_split(t, '/'), lambda p: p not in ('', '.'))) >= 4"
+
+
+@query(f"with {_templates_sql(PATHS)} select {_service_sql('t')} as service from t where {_inside} intersect select {_service_sql('t')} from t where not ({_inside})")
+def colliding_services_intersect(spark, sf_dir):
+    return topology.colliding(_templates(spark, sf_dir, PATHS).withColumnRenamed("t", "file"))
+
+
+HOVERS = ("const c: Redis", "```typescript\nMap<a@>```", "KafkaProducer", "db.Pool", "IncomingMessage", "plain text @", "```rust fn x```", "tonic stub")
+
+
+def _hover_sql() -> str:
+    has = lambda ws: "(" + (" or ".join(f"contains(lower(t), {text(w)})" for w in ws) or "false") + ")"
+    return "case m " + " ".join(f"when '{m}' then case when {has(y)} then 'Confirmed' when {has(n)} or {has(R.TYPED_HOVER)} then 'Rejected' else 'Unknown' end" for m, (y, n) in R.HOVER.items()) + " else 'Unknown' end"
+
+
+_MEDIA = (*R.HOVER, "env")
+
+
+@query(f"with {_templates_sql(HOVERS)}, u as (select o_orderkey, t, unnest([{', '.join(map(text, _MEDIA))}]) as m from t) select o_orderkey, t as input, m as medium, {_hover_sql()} as verdict from u")
+def classify_hover(spark, sf_dir):
+    rows = _templates(spark, sf_dir, HOVERS).withColumn("medium", F.explode(F.array(*[F.lit(m) for m in _MEDIA])))
+    return rows.select("o_orderkey", F.col("t").alias("input"), "medium", S.classify_hover(F.col("t"), F.col("medium")).alias("verdict"))
+
+
+# --- attribution -------------------------------------------------------------------------
+
+
+@query("""with s as (select user_id, event_id, event_id as f from events where event_type = 'signup'), e as (select user_id, event_id from events where event_type <> 'signup')
+select e.user_id as file, e.event_id as line, coalesce('f' || s.f, '<module>') as fn_name from e asof left join s on e.user_id = s.user_id and e.event_id >= s.event_id""")
+def asof_attribute_events(spark, sf_dir):
+    rows = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.col("event_id").alias("line"), "event_type")
+    marks = rows.where("event_type = 'signup'").select("file", "line", F.concat(F.lit("f"), "line").alias("name"), F.lit("function").alias("kind"))
+    return attribute.attribute_events(rows.where("event_type <> 'signup'").drop("event_type").withColumn("fn_name", F.lit("<module>")), marks)
+
+
+@query("""with s as (select user_id, event_id, event_type from events where event_type in ('signup', 'purchase')), e as (select user_id, event_id from events where event_type not in ('signup', 'purchase'))
+select e.user_id as src_file, e.event_id as line, s.event_type || s.event_id as src_symbol from e asof left join s on e.user_id = s.user_id and e.event_id >= s.event_id""")
+def asof_attribute_edges(spark, sf_dir):
+    rows = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("src_file"), F.col("event_id").alias("line"), "event_type")
+    kind = F.when(F.col("event_type") == "signup", F.lit("function")).otherwise(F.lit("class"))
+    marks = rows.where("event_type in ('signup', 'purchase')").select(F.col("src_file").alias("file"), "line", F.concat("event_type", "line").alias("name"), kind.alias("kind"))
+    return attribute.attribute_edges(rows.where("event_type not in ('signup', 'purchase')").drop("event_type").withColumn("src_symbol", F.lit(None).cast("string")), marks)
+
+
+@query(f"""with {V.FACTS_SQL}, g as (select *, row_number() over (partition by file, fn_name, medium order by ord, key_norm) as n from facts)
+select fn_name, medium, line, prov_source from g where n = 1 or prov_source <> 'regex'""")
+def merge_dedup_first_wins(spark, sf_dir):
+    # a user counts as one line of its file
+    rows = V.facts(spark, sf_dir).withColumn("event", F.col("line")).withColumn("line", F.substring("fn_name", 2, 20).cast("long"))
+    return attribute.merge_first_wins(rows).select("fn_name", "medium", F.col("event").alias("line"), "prov_source")
+
+
+@query(f"with {V.FACTS_SQL} select fn_name, line, prov_confidence from facts where prov_confidence >= 0.5")
+def confidence_filter(spark, sf_dir):
+    return attribute.confidence_filter(V.facts(spark, sf_dir)).select("fn_name", "line", "prov_confidence")
+
+
+@query(f"with {V.FACTS_SQL} select fn_name, line, medium from facts where prov_source <> 'regex' and line is not null and medium in {words(R.VERIFIABLE)}")
+def verifiable_events(spark, sf_dir):
+    return attribute.verifiable(V.facts(spark, sf_dir)).select("fn_name", "line", "medium")
+
+
+@query(f"with {V.FACTS_SQL}, v as (select fn_name, medium, key_norm, arg_max(case when value > 50 then 0.97 else 0.15 end, event_id) as c from facts join events on event_id = line where event_type = 'click' group by all) select f.fn_name, f.line, coalesce(v.c, f.prov_confidence)::double as prov_confidence from facts f left join v using (fn_name, medium, key_norm)")
+def confidence_overlay(spark, sf_dir):
+    facts = V.facts(spark, sf_dir)
+    clicks = V.table(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("event_id").cast("long").alias("line"), F.when(F.col("value") > 50, F.lit(0.97)).otherwise(F.lit(0.15)).alias("confidence"))
+    verdicts = facts.join(clicks, "line").select("fn_name", "file", "medium", "key_norm", "confidence", F.lit("hover").alias("note"), "ord")
+    return attribute.overlay_verdicts(facts, verdicts).select("fn_name", "line", "prov_confidence")
+
+
+# --- entry points ------------------------------------------------------------------------
+
+
+@query(f"with {V.SRC_SQL} " + " union all ".join(
+    f"select file, unnest(regexp_extract_all(src, {text(h.pattern)}, {h.fn})) as fn_name, {f'upper(unnest(regexp_extract_all(src, {text(h.pattern)}, {h.method})))' if h.method else 'null'} as method, {f'unnest(regexp_extract_all(src, {text(h.pattern)}, {h.path}))' if h.path else 'null'} as path, '{h.framework}' as framework from src_files where language in {words(h.languages)}"
+    for h in R.HINT_RULES if h.framework != "laravel"
+))
+def hints_routes(spark, sf_dir):
+    rows = extract.entry_hints(V.src_files(spark, sf_dir)).where("kind in ('route', 'cron') and heuristic <> 'resources' and framework <> 'laravel'")
+    return rows.select("file", "fn_name", "method", "path", "framework")
+
+
+@query(f"with {V.SRC_SQL}, r as (select file, regexp_extract(text, '(?:^|[ \t;])(resources?)\\s+:(\\w+)', 2) as name, cast(line as bigint) as line from lines where language = 'ruby' and regexp_matches(text, '(?:^|[ \t;])(resources?)\\s+:(\\w+)')) select file, line, name || '#' || a.action as fn_name, a.verb as method, '/' || name || a.tail as path from r cross join (values {', '.join(str(a) for a in R.RESOURCE_ACTIONS)}) as a(action, verb, tail)")
+def hints_resources_expand(spark, sf_dir):
+    return extract.resource_hints(V.src_files(spark, sf_dir)).select("file", "line", "fn_name", "method", "path")
+
+
+@query(f"with {V.SRC_SQL} " + " union all ".join(f"select file, {c}::double as confidence from src_files where language = '{lang}' and contains(src, {text(mark)})" for lang, mark, c in R.MAIN_MARKS))
+def hints_main(spark, sf_dir):
+    return extract.entry_hints(V.src_files(spark, sf_dir)).where("kind = 'main'").select("file", "confidence")
+
+
+@query(f"with {V.SRC_SQL}, m as (" + " union all ".join(f"select file, unnest(regexp_extract_all(src, {text(p)}, 1)) as name from src_files where language in {words(langs)}" for langs, p in R.MIDDLEWARE_RULES) + ") select file, string_agg(distinct name, ',' order by name) as names from m group by file")
+def hints_middleware_collect(spark, sf_dir):
+    rows = extract.middleware(V.src_files(spark, sf_dir)).where(F.size("middleware") > 0)
+    return rows.select("file", F.array_join(F.array_sort("middleware"), ",").alias("names"))
+
+
+@query("select 'c' || c_custkey as fn_name, c_mktsegment as file, min(c_nationkey)::bigint as line from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT') group by all")
+def exported_leaf_antijoin(spark, sf_dir):
+    symbols = V.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("name"), F.col("c_mktsegment").alias("file"), F.col("c_nationkey").cast("long").alias("line"), F.lit(True).alias("is_exported"))
+    edges = V.table(spark, sf_dir, "orders").select(F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("calls")).otherwise(F.lit("imports")).alias("rel"), F.concat(F.lit("c"), "o_custkey").alias("dst_symbol"))
+    return entrypoints.exported_leaves(symbols, edges)
+
+
+def _points(spark, sf_dir) -> DataFrame:
+    """Hints by order: the clerk's file is the priority, the route the customer."""
+    none = F.lit(None).cast("string")
+    o = V.table(spark, sf_dir, "orders")
+    route = F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("/c/"), "o_custkey"))
+    return o.select(
+        F.concat(F.lit("h"), "o_custkey").alias("fn_name"), F.col("o_orderpriority").alias("file"), F.col("o_orderkey").cast("long").alias("line"),
+        F.when(route.isNull(), F.lit("cron")).otherwise(F.lit("route")).alias("kind"), none.alias("framework"), route.alias("path"), F.when(route.isNotNull(), F.lit("GET")).alias("method"),
+        F.when(F.col("o_orderstatus") == "F", F.lit(0.9)).otherwise(F.lit(0.8)).alias("confidence"), F.col("o_orderstatus").alias("heuristic"), F.array().cast("array<string>").alias("middleware"), F.col("o_orderkey").cast("int").alias("ord"),
+    )
+
+
+@query("""select 'h' || o_custkey as fn_name, o_orderpriority as file, max(case when o_orderstatus = 'F' then 0.9 else 0.8 end)::double as confidence, cast(min(o_orderkey) as bigint) as line,
+  arg_max(case when o_orderstatus = 'P' then 'cron' else 'route' end, o_orderkey) as kind, case when bool_or(o_orderstatus <> 'P') then '/c/' || o_custkey end as path from orders group by o_custkey, o_orderpriority""")
+def entrypoint_merge(spark, sf_dir):
+    hints = _points(spark, sf_dir)
+    leaves = hints.select("fn_name", "file", "line").limit(0)
+    return entrypoints.merge_entry_points(leaves, hints).select("fn_name", "file", "confidence", "line", "kind", "path")
+
+
+@query()
+def route_propagation(spark, sf_dir):
+    """Entry points of the source files, routes carried to the files that define their handlers."""
+    files = V.src_files(spark, sf_dir)
+    symbols = extract.symbols(files)
+    points = entrypoints.merge_entry_points(entrypoints.exported_leaves(symbols, extract.edges(files)), extract.entry_hints(files))
+    return entrypoints.propagate_routes(points, symbols).select("fn_name", "file", "kind", "path", "method")
+
+
+@query("""with p as (select distinct 'h' || o_custkey as fn_name, o_orderpriority as file from orders), s as (select 'h' || c_custkey as name, '1-URGENT' as file from customer where c_acctbal > 0)
+select fn_name, file from p where not exists (select 1 from s where name = fn_name) or exists (select 1 from s where name = fn_name and s.file = p.file)""")
+def route_placeholder_removal(spark, sf_dir):
+    points = _points(spark, sf_dir).select("fn_name", "file").distinct()
+    symbols = V.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.concat(F.lit("h"), "c_custkey").alias("name"), F.lit("1-URGENT").alias("file"))
+    return entrypoints.remove_placeholders(points, symbols)
+
+
+# --- graph -------------------------------------------------------------------------------
+
+_EDGES_SQL = "edges as (select distinct 's' || l_suppkey as src_symbol, 'f' || (l_suppkey % 7) as src_file, 'p' || (l_partkey % 100) as dst_symbol from lineitem), syms as (select distinct 'p' || (p_partkey % 100) as name, 'f' || p_size % 5 as file from part where p_size <= 3)"
+
+
+def _edges(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Calls of suppliers to groups of parts, and the files that define a group."""
+    none = F.lit(None).cast("string")
+    edges = V.table(spark, sf_dir, "lineitem").select(
+        F.lit("calls").alias("rel"), F.concat(F.lit("s"), "l_suppkey").alias("src_symbol"), F.concat(F.lit("f"), F.col("l_suppkey") % 7).alias("src_file"),
+        F.concat(F.lit("p"), F.col("l_partkey") % 100).alias("dst_symbol"), none.alias("dst_file"),
+    ).distinct()
+    symbols = V.table(spark, sf_dir, "part").where("p_size <= 3").select(F.concat(F.lit("p"), F.col("p_partkey") % 100).alias("name"), F.concat(F.lit("f"), F.col("p_size") % 5).alias("file"), F.lit("function").alias("kind")).distinct()
+    return edges, symbols
+
+
+@query(f"with {_EDGES_SQL} select src_symbol as src_fn, src_file, dst_symbol as dst_fn, min(s.file) as dst_file from edges join syms s on s.name = dst_symbol and s.file <> src_file group by all having count(distinct s.file) = 1")
+def adjacency_unique_target(spark, sf_dir):
+    return graph.adjacency_unique_target(*_edges(spark, sf_dir))
+
+
+@query(f"with {_EDGES_SQL} select src_symbol, src_file, dst_symbol, n as definitions from edges join (select name, count(*) as n from syms group by 1 having count(*) > 1) on name = dst_symbol")
+def ambiguous_edges(spark, sf_dir):
+    return graph.ambiguous_calls(*_edges(spark, sf_dir)).select("src_symbol", "src_file", "dst_symbol", "definitions")
+
+
+@query(f"with {V.CALLS_SQL} select distinct src_fn, src_file, dst_fn, dst_file from calls")
+def adjacency_direct(spark, sf_dir):
+    rows = V.calls(spark, sf_dir).select(F.lit("calls").alias("rel"), F.col("src_fn").alias("src_symbol"), "src_file", F.col("dst_fn").alias("dst_symbol"), "dst_file")
+    return graph.adjacency_direct(rows)
+
+
+@query(f"with {V.CALLS_SQL} select dst_fn as fn, count(*) as callers from calls group by 1")
+def callers(spark, sf_dir):
+    return V.calls(spark, sf_dir).groupBy(F.col("dst_fn").alias("fn")).agg(F.count(F.lit(1)).alias("callers"))
+
+
+@query(f"with {V.CALLS_SQL} select src_fn as fn, string_agg(dst_fn, ',' order by dst_fn) as callees from calls group by 1")
+def callees(spark, sf_dir):
+    return V.calls(spark, sf_dir).groupBy(F.col("src_fn").alias("fn")).agg(F.array_join(F.array_sort(F.collect_list("dst_fn")), ",").alias("callees"))
+
+
+def _reached(spark, sf_dir, depth: int) -> DataFrame:
+    starts = V.table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("fn"), F.lit("orders").alias("file"))
+    return graph.reach(starts, V.calls(spark, sf_dir), depth)
+
+
+def _reach_sql(depth: int) -> str:
+    return f"""with recursive {V.CALLS_SQL}, w as (select 'o' || o_orderkey as start_fn, 'o' || o_orderkey as fn, 'orders' as file, 0 as depth from orders
+  union all select w.start_fn, c.dst_fn, c.dst_file, w.depth + 1 from w join calls c on c.src_fn = w.fn and c.src_file = w.file where w.depth < {depth}),
+r as (select start_fn, fn, file, min(depth) as depth from w group by all)"""
+
+
+@query(_reach_sql(2) + " select start_fn, fn, file from r")
+def bounded_reachability(spark, sf_dir):
+    return _reached(spark, sf_dir, 2).select("start_fn", "fn", "file")
+
+
+@query(_reach_sql(6) + " select start_fn, fn, file, depth from r")
+def reachability_min_depth(spark, sf_dir):
+    return _reached(spark, sf_dir, 6).select("start_fn", "fn", "file", "depth")
+
+
+@query(f"""with recursive {V.CALLS_SQL}, w as (select 'c' || c_custkey as start_fn, 'c' || c_custkey as fn, 'customers' as file, ['c' || c_custkey || '@customers'] as path from customer
+  union all select w.start_fn, c.dst_fn, c.dst_file, list_append(w.path, c.dst_fn || '@' || c.dst_file) from w join calls c on c.src_fn = w.fn and c.src_file = w.file where len(w.path) <= 3 and not list_contains(w.path, c.dst_fn || '@' || c.dst_file))
+select start_fn, array_to_string(path, ' ') as path, len(path) - 1 as depth from w""")
+def trace_paths(spark, sf_dir):
+    starts = V.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("fn"), F.lit("customers").alias("file"))
+    return graph.paths(starts, V.calls(spark, sf_dir), 3).select("start_fn", F.array_join("path", " ").alias("path"), F.col("depth").cast("long").alias("depth"))
+
+
+def _io(spark, sf_dir) -> DataFrame:
+    return graph.reached_events(_reached(spark, sf_dir, 2), V.facts(spark, sf_dir))
+
+
+_IO_SQL = _reach_sql(2) + f""", {V.FACTS_SQL}, io as (select r.start_fn, r.fn, r.file, medium, key_norm, key_raw, direction, line,
+  row_number() over (partition by start_fn, medium, key_norm, direction order by depth, r.file, line, r.fn, ord) as n from r join facts f on f.fn_name = r.fn and f.file = r.file where prov_confidence >= 0.5)"""
+
+
+@query(_IO_SQL + " select start_fn, fn, medium, key_norm, direction, line from io where n = 1")
+def io_dedup_first(spark, sf_dir):
+    return _io(spark, sf_dir).select("start_fn", "fn", "medium", "key_norm", "direction", "line")
+
+
+@query(_IO_SQL + " select start_fn, coalesce(string_agg(distinct key_norm, ', ' order by key_norm) filter (medium = 'sql' and direction = 'write'), '') as sql_write, coalesce(string_agg(distinct key_norm, ', ' order by key_norm) filter (medium = 'redis' and direction = 'read'), '') as redis_read from io where n = 1 group by 1")
+def io_by_medium_direction(spark, sf_dir):
+    return report.io_columns(_io(spark, sf_dir)).select("start_fn", "sql_write", "redis_read")
+
+
+@query(_IO_SQL + " select start_fn, string_agg(distinct file || ':' || line, ', ' order by file || ':' || line) as refs from io where n = 1 group by 1")
+def file_refs(spark, sf_dir):
+    return report.file_refs(_io(spark, sf_dir)).select("start_fn", "refs")
+
+
+# --- topology ----------------------------------------------------------------------------
+
+_ROUTES_SQL = f"urls as (select distinct {_base('url')} as path, regexp_extract(url, '://([^/]+)', 1) as host from pages), routes as (select path, min(host) as service from urls group by 1 having count(*) = 1)"
+
+
+def _urls(spark, sf_dir) -> DataFrame:
+    return V.table(spark, sf_dir, "pages").select(S.strip_base_url(F.col("url")).alias("path"), F.regexp_extract("url", "://([^/]+)", 1).alias("service")).distinct()
+
+
+@query(f"with {_ROUTES_SQL} select path, service from routes")
+def route_index_unique(spark, sf_dir):
+    return topology.route_index(_urls(spark, sf_dir))
+
+
+_SHORT = "select distinct path || x as path from urls cross join (values ('/extra'), (''), ('?q=1')) as t(x)"
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    return _urls(spark, sf_dir).select(F.explode(F.transform(F.array(F.lit("/extra"), F.lit(""), F.lit("?q=1")), lambda x: F.concat("path", x))).alias("path")).distinct()
+
+
+@query(f"with {_ROUTES_SQL}, asked as ({_SHORT}) select a.path, arg_max(r.service, length(r.path)) as service from asked a join routes r on starts_with(a.path, r.path) and length(r.path) > 1 group by 1")
+def longest_prefix_match(spark, sf_dir):
+    return topology.longest_prefix(_asked(spark, sf_dir), topology.route_index(_urls(spark, sf_dir)))
+
+
+_REAL = "real as (select distinct string_split(path, '/')[2] as service from urls where string_split(path, '/')[2] > 'm')"
+_RESOLVED = f"""{_ROUTES_SQL}, {_REAL}, asked as ({_SHORT}), p as (select a.path, arg_max(r.service, length(r.path)) as service from asked a join routes r on starts_with(a.path, r.path) and length(r.path) > 1 group by 1),
+resolved as (select a.path, coalesce(r.service, s.service, p.service) as service from asked a left join routes r using (path) left join real s on s.service = string_split(a.path, '/')[2] left join p on p.path = a.path where coalesce(r.service, s.service, p.service) is not null)"""
+
+
+def _resolved(spark, sf_dir) -> DataFrame:
+    urls = _urls(spark, sf_dir)
+    real = urls.select(F.split_part("path", F.lit("/"), F.lit(2)).alias("service")).where("service > 'm'").distinct()
+    return topology.resolve_paths(_asked(spark, sf_dir), topology.route_index(urls), real)
+
+
+@query(f"with {_RESOLVED} select path, service from resolved")
+def resolve_http_path(spark, sf_dir):
+    return _resolved(spark, sf_dir)
+
+
+@query(f"with {_RESOLVED}, pg as (select {_base('url')} as path, 'svc' || length(url) as src from pages) select distinct src, service as dst, 'http' as medium, path as key from pg join resolved using (path) where src <> service")
+def topology_http(spark, sf_dir):
+    pages = V.table(spark, sf_dir, "pages").select(F.lit("http_out").alias("medium"), F.col("url").alias("file"), S.strip_base_url(F.col("url")).alias("key_raw"), F.concat(F.lit("svc"), F.length("url")).alias("service"))
+    return topology.topology_http(pages.drop("service"), pages.select("file", "service").distinct(), _resolved(spark, sf_dir))
+
+
+_LINK_SQL = f"""{V.FACTS_SQL}, f as (select 'u' || user_id as file, 'svc' || (user_id % 20) as service, event_type || (cast(floor(value) as int) % 40) as key_raw from events where event_type in ('error', 'view')),
+firsts as (select key_raw, service as dst, min(file) as file from f group by all),
+links as (select a.service as src, arg_min(b.dst, b.file) as dst, 'kafka' as medium, a.key_raw as key from (select distinct service, key_raw from f where starts_with(key_raw, 'error')) a join firsts b on a.key_raw = b.key_raw and a.service <> b.dst group by a.service, a.key_raw)"""
+
+
+def _links(spark, sf_dir) -> DataFrame:
+    e = V.table(spark, sf_dir, "events").where("event_type in ('error', 'view')")
+    rows = e.select(F.concat(F.lit("u"), "user_id").alias("file"), F.concat(F.lit("svc"), F.col("user_id") % 20).alias("service"), F.concat("event_type", (F.floor("value").cast("int") % 40).cast("string")).alias("key_raw"), F.when(F.col("event_type") == "error", F.lit("kafka")).otherwise(F.lit("redis")).alias("medium"))
+    homes = rows.select("file", "service").distinct()
+    symbols = rows.select("file", F.lit("x").alias("name"), F.lit("function").alias("kind")).limit(0)
+    return topology.topology_keys(rows.drop("service"), symbols, homes, homes)
+
+
+@query(f"with {_LINK_SQL} select src, dst, medium, key from links")
+def topology_key_match(spark, sf_dir):
+    return _links(spark, sf_dir)
+
+
+@query(f"""with {_LINK_SQL}, k as (select src, dst, medium, string_agg(distinct key, ', ' order by key) as keys from links group by all)
+select src, dst, rpad(src, cast(greatest(20, length(src)) as int), ' ') || ' -> ' || rpad(dst, cast(greatest(20, length(dst)) as int), ' ') || ' ' || string_agg(medium || ': ' || keys, '  ' order by medium) as line from k group by src, dst""")
+def topology_report(spark, sf_dir):
+    return report.topology_lines(_links(spark, sf_dir))
+
+
+@query("select c_custkey, case when c_acctbal < 0 then 'Background' when c_mktsegment in ('AUTOMOBILE', 'BUILDING') then '[auth: Auth' || c_mktsegment || ']' else 'Public' end as bucket from customer")
+def auth_bucket(spark, sf_dir):
+    c = V.table(spark, sf_dir, "customer")
+    middleware = F.array(F.when(F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING"), F.concat(F.lit("Auth"), "c_mktsegment")).otherwise(F.lit("log")))
+    return c.select("c_custkey", S.auth_bucket(F.when(F.col("c_acctbal") >= 0, F.lit("/x")), middleware).alias("bucket"))
+
+
+@query()
+def service_entries(spark, sf_dir):
+    """Entry points of the source files, by service."""
+    return index(V.src_files(spark, sf_dir))["entries"].select("service", "file", "fn_name", "kind", "path", "method", "confidence")
+
+
+@query()
+def report_lines(spark, sf_dir):
+    """The report of the source files, a row for each line."""
+    return index(V.src_files(spark, sf_dir), Config())["report"]
+
+
+# --- more questions ----------------------------------------------------------------------
+
+
+@query(f"with {V.FACTS_SQL} select medium, direction, count(*) as events, count(distinct fn_name) as functions, cast(sum(case when prov_confidence < 0.7 then 1 else 0 end) as bigint) as unsure from facts group by all")
+def fact_stats(spark, sf_dir):
+    f = V.facts(spark, sf_dir)
+    return f.groupBy("medium", "direction").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("fn_name").alias("functions"), F.count_if(F.col("prov_confidence") < 0.7).alias("unsure"))
+
+
+@query(f"with {V.FACTS_SQL} select fn_name, line, medium from facts where prov_confidence < 0.7")
+def lowconf(spark, sf_dir):
+    return V.facts(spark, sf_dir).where("prov_confidence < 0.7").select("fn_name", "line", "medium")
+
+
+@query(f"with {V.FACTS_SQL} select key_norm, count(distinct fn_name) as functions from facts group by 1 having count(distinct fn_name) > 1")
+def cross_key(spark, sf_dir):
+    return V.facts(spark, sf_dir).groupBy("key_norm").agg(F.countDistinct("fn_name").alias("functions")).where("functions > 1")
+
+
+@query(f"""with {V.FACTS_SQL}, s as (select fn_name, medium, direction, key_norm || fn_name as k, max(prov_confidence) as c from facts where prov_confidence >= 0.5 group by all)
+select w.fn_name as writer, r.fn_name as reader, w.medium, w.k as key, least(w.c, r.c) as confidence from (select *, 'm' as m from s where direction = 'write') w join (select fn_name, 'sql' as medium, replace(k, 'click', 'purchase') as k, c from s where direction = 'read' and starts_with(k, 'click')) r on w.medium = r.medium and w.k = r.k""")
+def stitch_boundary_flows(spark, sf_dir):
+    """Writers and readers of a key: each user's purchases are read by its clicks."""
+    f = attribute.confidence_filter(V.facts(spark, sf_dir)).withColumn("k", F.concat("key_norm", "fn_name"))
+    sides = f.groupBy("fn_name", "medium", "direction", "k").agg(F.max("prov_confidence").alias("c"))
+    w = sides.where("direction = 'write'").select(F.col("fn_name").alias("writer"), "medium", F.col("k").alias("key"), F.col("c").alias("cw"))
+    r = sides.where("direction = 'read' and startswith(k, 'click')").select(F.col("fn_name").alias("reader"), F.lit("sql").alias("medium"), F.replace("k", F.lit("click"), F.lit("purchase")).alias("key"), F.col("c").alias("cr"))
+    return w.join(r, ["medium", "key"]).select("writer", "reader", "medium", "key", F.least("cw", "cr").alias("confidence"))
+
+
+@query(_reach_sql(6) + " select fn, count(*) as traces, min(depth) as nearest from r group by 1")
+def traces_touching(spark, sf_dir):
+    return _reached(spark, sf_dir, 6).groupBy("fn").agg(F.count(F.lit(1)).alias("traces"), F.min("depth").alias("nearest"))
+
+
+@query("""with f as (select user_id, event_type, min(event_id) as first from events group by all)
+select user_id, event_type, '$v' || dense_rank() over (partition by user_id order by first) as name from f""")
+def baggage_names(spark, sf_dir):
+    from pyspark.sql import Window
+
+    f = V.table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
+    rank = F.dense_rank().over(Window.partitionBy("user_id").orderBy("first"))
+    return f.select("user_id", "event_type", F.concat(F.lit("$v"), rank).alias("name"))
+
+
+@query("""with q as (select embedding::double[] as q from embeddings where vec_id = 0), s as (select vec_id, list_dot_product(embedding::double[], q) / sqrt(list_dot_product(q, q)) / sqrt(list_dot_product(embedding::double[], embedding::double[])) as score from embeddings, q)
+select vec_id, round(score, 9) as score from s order by score desc, vec_id limit 10""")
+def vector_topk(spark, sf_dir):
+    """The ten vectors nearest to vector 0 by cosine (a top-k report)."""
+    e = V.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    asked = e.where("vec_id = 0").first()["v"]
+    q = F.array(*[F.lit(float(x)) for x in asked])
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    score = dot(F.col("v"), q) / F.sqrt(dot(q, q)) / F.sqrt(dot(F.col("v"), F.col("v")))
+    return e.select("vec_id", score.alias("s")).orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", F.round("s", 9).alias("score"))
+
+
+@query("select doc_id, array_to_string(string_split(text, chr(10))[2:4], '|') as lines from documents")
+def source_window(spark, sf_dir):
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(F.split("text", "\n"), 2, 3), "|").alias("lines"))
