@@ -132,9 +132,12 @@ class Rule:
 
 def _bins(grid: dict[str, list[float]]) -> list[Column]:
     """For each feature the number of grid values below its value."""
-    return [
-        F.size(F.filter(F.array(*[F.lit(x) for x in grid[f]]).cast("array<double>"), lambda t, v=FEATURES[f](): t < v)).alias(f"b_{f}") for f in FEATURES
-    ]
+
+    def below(f: str) -> Column:
+        value = FEATURES[f]()
+        return F.size(F.filter(F.array(*[F.lit(x) for x in grid[f]]).cast("array<double>"), lambda t: t < value))
+
+    return [below(f).alias(f"b_{f}") for f in FEATURES]
 
 
 def learn(
