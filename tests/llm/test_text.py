@@ -1,0 +1,166 @@
+"""Quality rules, personal data, mixing, perplexity and language against plain code and on edge cases."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+from itertools import cycle
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from factweave.llm import kneser_ney, language_id
+from factweave.llm.mixing import expand_copies, mix_sources
+from factweave.llm.personal_data import base_spans, find_personal_data, sanitise, told
+from factweave.llm.quality_rules import judge, keep_good
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def test_statistics(spark):
+    rnd = random.Random(1)
+    texts = [None, "", " \n ", "a", "a b " * 30, "é# ü\x0b<b>\n\né# ü\x0b<b>\n x"]
+    for _ in range(150):
+        lines = [" ".join(rnd.choice(["aa", "b", "c#", "dé", "|"]) for _ in range(rnd.randint(0, 25))) for _ in range(rnd.randint(0, 5))]
+        texts.append("\n".join(rnd.choice(lines) if rnd.random() < 0.3 else x for x in lines))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_words string")
+    out, rules = judge(docs, None)
+    assert rules == []
+    for r in out.collect():
+        t = texts[r.doc_id] or ""
+        w = WORD.findall(t)
+        seen = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        repeated = {j for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(repeated))
+        assert r.base_failed == (len(w) < 20 or 100 * len(repeated) > 30 * len(w)) and r.kept == (not r.base_failed)
+    assert judge(docs.limit(0), None)[0].count() == 0
+
+
+def test_rules_are_learned_and_kept_precise(spark):
+    rnd = random.Random(2)
+    words = lambda n, junk: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) + ("!!" if junk else "") for _ in range(n))
+    rows = [(i, words(40 + i % 30, i % 4 == 0), "s") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bad string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(0, 400, 1) if i % 3] + [(1, None), (None, 0)], "doc_id long, quality int")
+    out, rules = judge(docs, labels)
+    assert rules and {r.doc_id for r in out.where("kept").collect()} == {i for i in range(400) if i % 4}
+    kept = keep_good(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in range(400) if i % 4}
+    assert keep_good(docs.limit(0), labels).count() == 0
+
+
+def luhn(digits):
+    return sum(d if i % 2 == 0 else d * 2 - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def brute_spans(t):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(d)]
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(out)
+
+
+def test_identifiers(spark):
+    rnd = random.Random(5)
+    parts = ["a@b.com", "+", "_", "x@y.org", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111-1111-1111-1111", "+1 (555) 123-4567", "9", "-", " ", ".", "🙂", "é", "@", "000.0.0.01", "\n", "%"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(1500)] + ["1" * 30000, "a." * 20000 + "@", "x@a" + ".b" * 10000, ""]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", base_spans(F.col("t")).alias("s")).collect()
+    for r in got:
+        assert [(s.start, s.kind, s.end) for s in r.s] == brute_spans(texts[r.i])
+
+
+def test_disclosing_terms_are_removed(spark):
+    rows = [(i, f"write to mister zorblax at z@mail.org about number {i} now", "x") for i in range(8)]
+    rows += [(100 + i, f"write to mister someone about number {i} now at home", "x") for i in range(200)] + [(900, None, "x"), (901, "", "x"), (0, rows[0][1], "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    found = {r.doc_id: r for r in find_personal_data(docs).withColumn("told", told(F.col("spans"))).collect()}
+    at = rows[3][1].index("zorblax")
+    assert f"term:{at}:{at + 7}" in found[3].told and "term" not in found[105].told and found[900].told == ""
+    clean = {r.doc_id: r.text for r in sanitise(docs).collect()}
+    assert clean[3] == "write to mister [TERM] at [EMAIL] about number 3 now" and clean[105] == dict((r[0], r[1]) for r in rows)[105]
+    assert clean[900] is None and sanitise(docs).count() == len(rows) and find_personal_data(docs.limit(0)).count() == 0
+
+
+def test_mix(spark):
+    rnd = random.Random(3)
+    names = ["a", "b", "c", "d", None]
+    rows = [(i, " ".join(["w"] * rnd.choice([0, 1, 5, 40, 300])), names[min(4, int(rnd.expovariate(1)))], 7) for i in range(900)] + [(5000, None, "a", 7), (3, "w w w", "b", 7), (3, "w w w", "b", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    got = mix_sources(docs, group_docs=64).collect()
+    assert len(got) == len(rows)
+    sizes = Counter()
+    for _, t, s, _ in rows:
+        sizes[s] += len((t or "").split())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = dict(zip(order, cycle((5, 2, 1))))
+    goal, left, target = 1.5 * sum(sizes.values()), set(order), {}
+    while left:
+        share = (goal - sum(target.values())) / sum(weight[s] for s in left)
+        above = {s for s in left if share * weight[s] >= 2 * sizes[s]}
+        for s in above or left:
+            target[s] = 2.0 * sizes[s] if above else share * weight[s]
+        left -= above or left
+    taken = Counter()
+    for r in got:
+        assert r.source_size == sizes[r.source] and math.isclose(r.target, target[r.source], rel_tol=1e-9) and 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+    for s in order:
+        assert abs(taken[s] - target[s]) <= max(10, 0.005 * target[s])
+    plan = mix_sources(docs, group_docs=64)
+    assert sorted(map(str, plan.collect())) == sorted(map(str, got))
+    copies = expand_copies(docs, plan)
+    assert copies.columns == docs.columns and copies.count() == sum(r.copies for r in got)
+    assert mix_sources(docs.limit(0)).count() == 0
+
+
+def test_perplexity(spark):
+    model = kneser_ney.train(spark.createDataFrame([("the cat sat on the mat. abc",), ("another cat and a dog",)], "text string"))
+    p = np.exp(kneser_ney.dense(model)).reshape(-1, 64)
+    assert np.abs(p.sum(1) - 1).max() < 1e-5
+    rnd = random.Random(4)
+    good = lambda: " ".join(rnd.choice(["the", "cat", "dog", "sat", "mat", "on"]) for _ in range(60))
+    bad = lambda: "".join(rnd.choice("XQZ#*%1") for _ in range(200))
+    rows = [(i, bad() if i % 5 == 0 else good(), "en" if i % 2 else None) for i in range(300)] + [(900, None, "en"), (901, "", "en"), (902, "the cat " * 20000, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("kept", F.lit(1))
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(0, 200)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in kneser_ney.judge(docs, labels).collect()}
+    assert not any(got[i].kept for i in range(0, 300, 5)) and np.mean([got[i].kept for i in range(300) if i % 5]) > 0.95
+    assert got[900].perplexity is None and not got[901].kept and len(got) == len(rows)
+    assert kneser_ney.judge(docs, labels.limit(0)).where("kept").count() == 301
+    assert kneser_ney.judge(docs.limit(0), labels).count() == 0
+
+
+def test_language(spark):
+    rnd = random.Random(6)
+    letters = {"aa": "abcde ", "bb": "vwxyz ", "cc": "éèçàê "}
+    rows = [(i, "".join(rnd.choice(letters[lang]) for _ in range(rnd.randint(20, 400))), lang) for i in range(300) for lang in [list(letters)[i % 3]]]
+    rows += [(900, None, "aa"), (901, "123 !", "bb"), (902, "abc de " * 9000, None), (903, "", "cc")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("x"))
+    net = language_id.learn(docs.where(~language_id.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
+    got = {r.doc_id: r for r in language_id.predict(docs, net).collect()}
+    assert np.mean([got[i].lang_pred == lang for i, _, lang in rows[:300]]) > 0.97 and got[902].lang_pred == "aa"
+    assert {got[i].lang_pred for i in (900, 901, 903)} == {"und"} and all(0 <= r.score <= 1 for r in got.values())
+    assert language_id.learn(docs.limit(0).select("doc_id", "text", "lang")) is None and {r.lang_pred for r in language_id.predict(docs, None).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001"])
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+    from factweave.llm.bpe_codec import TOKENIZER, Codec
+    from factweave.llm.bpe_counts import tokenizer_path
+    from factweave.llm.store import materialize
+
+    sf_dir = f"/root/testdata/{sf}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, ids = docs.columns, {r.doc_id for r in docs.select("doc_id").collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "test")
+        assert docs.columns == columns and {r.doc_id for r in docs.select("doc_id").collect()} <= ids, name
+    last = docs.select("doc_id", "text").collect()
+    codec = Codec(tokenizer_path(TOKENIZER))
+    want = Counter((r.doc_id, hashlib.sha256(" ".join(map(str, codec.encode(r.text).ids)).encode()).hexdigest()) for r in last)
+    assert Counter((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, sf_dir).collect()) == want
