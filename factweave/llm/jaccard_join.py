@@ -14,7 +14,8 @@ signatures leaves them out.
 Equal sets are one class from the start. Signatures are shuffled packed, as arrays for each bucket of
 their hash space. In a bucket, sets that share a signature give candidate pairs: all
 pairs of a small group, and pairs with the group's smallest member of a large one.
-Candidates are verified on whole texts. Members of large groups that are then still
+Candidates that a bound on their intersection (from counts of elements in parts of
+the hash space) doesn't rule out are verified on whole texts. Members of large groups that are then still
 in different components are paired again, first with other members, at last all of
 them with each other, so that no link between components is lost.
 """
@@ -113,9 +114,9 @@ def bands(percent: int, largest: int) -> list[Band]:
             if need <= weak:
                 break
             weak += max(1, (need - weak) // 2)
-            if weak > 2 * differ + 8:
+            if weak > differ + 4:  # small sets: more parts only make more of them weak
                 break
-        out.append(Band(low, high, parts, weak))
+        out.append(Band(low, high, parts, parts * (K2 + 1) - differ - 1))
         low = high + 1
     return out
 
@@ -139,6 +140,23 @@ def signatures(x: np.ndarray, band: Band, number: int) -> np.ndarray:
     return sig[~weak] if weak.sum() <= band.weak else sig
 
 
+def profile(x: np.ndarray) -> bytes:
+    """How many elements fall into each part of the hash space, about four on average, a byte each."""
+    bits = max(3, math.ceil(math.log2(max(1, len(x) / 4))))
+    counts = np.bincount((x >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def may_link(size_a: int, size_b: int, a: bytes, b: bytes, percent: int) -> bool:
+    """Whether the profiles leave room for enough similarity: a bound, so no similar pair fails."""
+    common = min(size_a, size_b)
+    if a and b:
+        x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
+        n = min(len(x), len(y))
+        common = int(np.minimum(x.reshape(n, -1).sum(1), y.reshape(n, -1).sum(1)).sum())
+    return 100 * common >= percent * (size_a + size_b - common)
+
+
 def set_id(x: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(x.tobytes())
 
@@ -157,17 +175,19 @@ def link_documents(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str =
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, ids = [], []
+            n, ids, profiles = [], [], []
             for t in b.column("text"):
                 x = shingle_set(t.as_py(), k)
                 n.append(len(x))
                 ids.append(set_id(x))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), signed(ids)], ["doc_id", "n_shingles", "set"])
-
-    told = materialize(rows.mapInArrow(described, f"doc_id {id_type}, n_shingles long, set long"), "jaccard-sets")
-    classes = materialize(
-        told.where("n_shingles > 0 and doc_id is not null").groupBy("set", "n_shingles").agg(F.min("doc_id").alias("first")), "jaccard-classes"
-    )
+                profiles.append(profile(x))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(n, pa.int64()), signed(ids), pa.array(profiles, pa.binary())], ["doc_id", "n_shingles", "set", "profile"]
+            )
+
+    told = materialize(rows.mapInArrow(described, f"doc_id {id_type}, n_shingles long, set long, profile binary"), "jaccard-sets")
+    classes = told.where("n_shingles > 0 and doc_id is not null").groupBy("set", "n_shingles").agg(F.min("doc_id").alias("first"), F.min("profile").alias("profile"))
+    classes = materialize(classes, "jaccard-classes")
     size = told.agg(F.max("n_shingles").alias("most")).first()["most"] or 0
     volume = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     edges = _links(rows, classes, k, percent, bands(percent, int(size)), max(16, volume // BUCKET_BYTES))
@@ -254,15 +274,10 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, percent: int, levels: li
     found = rows.select("text").where("text is not null").mapInArrow(packed, "bucket long, sigs binary, sets binary, number binary")
     found = materialize(found.groupBy("bucket").applyInPandas(shared, "sig long, a long, b long"), "jaccard-found")
     pairs = materialize(found.where("sig is null").select("a", "b").distinct(), "jaccard-pairs")
+    likely = materialize(_possible(pairs, classes, percent), "jaccard-likely")
     members = found.where("b is null").select("sig", F.col("a").alias("set"))
 
-    # whole texts of the sets that are in any candidate pair
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(classes, "set").select("set", F.col("first").alias("doc_id"))
-    texts = rows.where("text is not null").join(wanted, "doc_id").select("set", "text")
-    # an id that several rows share may bring other texts than the set's own
-    texts = materialize(_own_texts(texts, k), "jaccard-texts")
-
-    links = materialize(_verified(pairs, texts, k, percent), "jaccard-links")
+    links = materialize(_verified(likely, rows, classes, k, percent), "jaccard-links")
     if members.isEmpty():
         return links
     tried, round_ = pairs, 0
@@ -279,7 +294,9 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, percent: int, levels: li
         new = materialize(new.distinct().join(ordered, ["a", "b"], "left_anti"), "jaccard-pairs")
         if round_ >= 2 and new.isEmpty():
             return links
-        links = materialize(links.unionByName(_verified(new, texts, k, percent)), "jaccard-links")
+        likely = materialize(_possible(new, classes, percent), "jaccard-likely")
+        if not likely.isEmpty():
+            links = materialize(links.unionByName(_verified(likely, rows, classes, k, percent)), "jaccard-links")
         tried = materialize(tried.unionByName(new), "jaccard-tried")
         if round_ >= 2:
             return links
@@ -297,8 +314,25 @@ def _own_texts(texts: DataFrame, k: int) -> DataFrame:
     return texts.mapInArrow(right, "set long, text string").dropDuplicates(["set"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough: 100 * intersection >= percent * union."""
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that sizes and profiles don't rule out."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("n_a", "n_b", "p_a", "p_b")))
+            yield b.select(["a", "b"]).filter(pa.array([may_link(*r, percent) for r in rows], pa.bool_()))
+
+    side = lambda c: classes.select(F.col("set").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("profile").alias(f"p_{c}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return joined.mapInArrow(bounded, "a long, b long")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs whose sets are similar enough: 100 * intersection >= percent * union, on whole texts."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(classes, "set").select("set", F.col("first").alias("doc_id"))
+    texts = rows.where("text is not null").join(wanted, "doc_id").select("set", "text")
+    # an id that several rows share may bring other texts than the set's own
+    texts = materialize(_own_texts(texts, k), "jaccard-texts")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_id, last = None, None
