@@ -7,9 +7,9 @@ way to choose ``n2 - k2`` subparts of a part is a signature: a digest of the set
 elements there. Two sets that differ in at most H elements agree on one signature,
 by the pigeonhole principle, if ``n1 * (k2 + 1) > H``. A set also signs for the
 next band if a similar set can lie there. Signatures of one element or none say
-little and would gather unrelated sets, so a band has W parts more than needed: of any
-agreeing pair more than W signatures agree, and a set with at most W such weak
-signatures leaves them out.
+little and would gather unrelated sets, so a band has W more than needed: of any
+similar pair more than W signatures agree, and a set with at most W such weak
+signatures leaves them out. What is left of W it spends on its most common ones.
 
 Equal sets are one class from the start. Signatures are shuffled packed, as arrays for each bucket of
 their hash space. In a bucket, sets that share a signature give candidate pairs: all
@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -121,8 +121,8 @@ def bands(percent: int, largest: int) -> list[Band]:
     return out
 
 
-def signatures(x: np.ndarray, band: Band, number: int) -> np.ndarray:
-    """The set's signatures in a band, weak ones left out where that is allowed."""
+def signatures(x: np.ndarray, band: Band, number: int) -> tuple[np.ndarray, int]:
+    """The set's signatures in a band, weak ones left out where that is allowed, and how many more may be."""
     cells = band.parts * N2
     at = ((x >> np.uint64(20)) % np.uint64(cells)).astype(np.int64)  # part at // N2, subpart at % N2
     sums = np.zeros(cells, np.uint64)
@@ -137,7 +137,8 @@ def signatures(x: np.ndarray, band: Band, number: int) -> np.ndarray:
     size = np.stack([sizes[:, list(p)].sum(1) for p in picks], 1).ravel()
     weak = size <= 1
     # with (K2 + 1) guaranteed agreements less for each differing element, more than band.weak agree
-    return sig[~weak] if weak.sum() <= band.weak else sig
+    left = band.weak - int(weak.sum())
+    return (sig[~weak], min(left, 255)) if left >= 0 else (sig, 0)
 
 
 def profile(x: np.ndarray) -> bytes:
@@ -212,7 +213,7 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, percent: int, levels: li
         """For each bucket the signatures of the batch's sets: (bucket, signatures, set of each)."""
         for whole in batches:
             for start in range(0, whole.num_rows, 2500):
-                sigs, of, seen = [], [], set()
+                sigs, of, spare, seen = [], [], [], set()
                 for t in whole.column("text").slice(start, 2500):
                     x = shingle_set(t.as_py(), k)
                     if len(x) < lows[0] or (i := set_id(x)) in seen:
@@ -221,15 +222,16 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, percent: int, levels: li
                     b = int(np.searchsorted(lows, len(x), "right")) - 1
                     for number in (b, b + 1):
                         if number == b or number < len(levels) and len(x) * 100 >= percent * levels[number].low:
-                            s = signatures(x, levels[number], number)
+                            s, more = signatures(x, levels[number], number)
                             sigs.append(s)
                             of.append(np.full(len(s), i, np.uint64))
+                            spare.append(np.full(len(s), number << 8 | more, np.uint16))
                 if not sigs:
                     continue
-                sig, own = np.concatenate(sigs), np.concatenate(of)
+                sig, own, level = np.concatenate(sigs), np.concatenate(of), np.concatenate(spare)
                 bucket = (sig % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                sig, own, bucket = sig[order], own[order], bucket[order]
+                sig, own, level, bucket = sig[order], own[order], level[order], bucket[order]
                 ends = np.flatnonzero(np.diff(bucket, append=-1)) + 1
                 starts = np.concatenate([[0], ends[:-1]])
                 # a set's number in the batch, and the batch's sets of that bucket, take less room than one id each
@@ -238,21 +240,22 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, percent: int, levels: li
                     u, inverse = np.unique(own[a:e], return_inverse=True)
                     sets.append(u.tobytes())
                     number.append(inverse.astype(np.uint16).tobytes())
-                cols = [pa.array(bucket[starts]), pa.array([sig[a:e].tobytes() for a, e in zip(starts, ends)], pa.binary()), pa.array(sets, pa.binary()), pa.array(number, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["bucket", "sigs", "sets", "number"])
+                cols = [pa.array(bucket[starts]), pa.array([sig[a:e].tobytes() for a, e in zip(starts, ends)], pa.binary()), pa.array(sets, pa.binary()), pa.array(number, pa.binary()), pa.array([level[a:e].tobytes() for a, e in zip(starts, ends)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["bucket", "sigs", "sets", "number", "level"])
 
     def shared(pdf: pd.DataFrame) -> pd.DataFrame:
         """Candidate pairs of a bucket (sig null), and the members of its large groups (b null)."""
         sig = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["sigs"]])
         own = np.concatenate([np.frombuffer(s, np.uint64)[np.frombuffer(n, np.uint16)] for s, n in zip(pdf["sets"], pdf["number"])])
+        level = np.concatenate([np.frombuffer(x, np.uint16) for x in pdf["level"]])
         order = np.lexsort((own, sig))
-        sig, own = sig[order], own[order]
+        sig, own, level = sig[order], own[order], level[order]
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
-        sig, own = sig[new], own[new]
+        sig, own, level = sig[new], own[new], level[new]
         heads = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         sizes = np.diff(np.append(heads, len(sig)))
-        a, b, large = [], [], []
+        a, b, large, many = [], [], [], []
         for m in range(2, SMALL_GROUP + 1):
             h = heads[sizes == m]
             for i, j in itertools.combinations(range(m), 2):
@@ -262,20 +265,28 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, percent: int, levels: li
             a.append(np.full(m - 1, own[h]))
             b.append(own[h + 1 : h + m])
             large.append(np.arange(h, h + m))
+            many.append(np.full(m, m))
         pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.zeros((0, 2), np.uint64)
         at = np.concatenate(large) if large else np.zeros(0, np.int64)
         pairs, group, member = pairs.astype(np.uint64).view(np.int64), sig[at].view(np.int64), own[at].view(np.int64)
         none = lambda n: pd.array([pd.NA] * n, "Int64")
         column = lambda x, y: pd.concat([pd.Series(pd.array(x, "Int64")), pd.Series(y if not isinstance(y, np.ndarray) else pd.array(y, "Int64"))], ignore_index=True)
         return pd.DataFrame(
-            {"sig": column(none(len(pairs)), group), "a": column(pairs[:, 0], member), "b": column(pairs[:, 1], none(len(at)))}
+            {
+                "sig": column(none(len(pairs)), group), "a": column(pairs[:, 0], member), "b": column(pairs[:, 1], none(len(at))),
+                "size": column(none(len(pairs)), np.concatenate(many) if many else at), "level": column(none(len(pairs)), level[at].astype(np.int64)),
+            }
         )
 
-    found = rows.select("text").where("text is not null").mapInArrow(packed, "bucket long, sigs binary, sets binary, number binary")
-    found = materialize(found.groupBy("bucket").applyInPandas(shared, "sig long, a long, b long"), "jaccard-found")
+    found = rows.select("text").where("text is not null").mapInArrow(packed, "bucket long, sigs binary, sets binary, number binary, level binary")
+    found = materialize(found.groupBy("bucket").applyInPandas(shared, "sig long, a long, b long, size long, level long"), "jaccard-found")
     pairs = materialize(found.where("sig is null").select("a", "b").distinct(), "jaccard-pairs")
     likely = materialize(_possible(pairs, classes, percent), "jaccard-likely")
-    members = found.where("b is null").select("sig", F.col("a").alias("set"))
+    # Of a similar pair more than W signatures agree in a band. Both may leave out their most
+    # common ones, W less the weak ones: of the agreeing ones these are the same first few.
+    common = Window.partitionBy("a", F.col("level")).orderBy(F.desc("size"), "sig")
+    members = found.where("b is null").withColumn("nth", F.row_number().over(common)).where("nth > level % 256").select("sig", F.col("a").alias("set"))
+    members = materialize(members, "jaccard-members")
 
     links = materialize(_verified(likely, rows, classes, k, percent), "jaccard-links")
     if members.isEmpty():
