@@ -233,7 +233,7 @@ def _repeated_windows(marked: DataFrame, shards: int) -> DataFrame:
         n = get["count"][one].astype(np.int64)
         of = np.repeat(np.arange(len(one)), n)
         step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        low, _ = fm.search(text, heads[of] + step, WINDOW)
+        low = fm.lower(text, heads[of] + step, WINDOW)
         d, t, start = get["d"][one][of], get["t"][one][of], get["start"][one][of].astype(np.int64) + step
         # windows in one range are equal; all but the earliest of a range are repeats
         first = np.lexsort((start, t, d, low))
