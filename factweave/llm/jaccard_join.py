@@ -297,6 +297,8 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, percent: int, levels: li
         placed = members.join(component.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("c", F.coalesce("component", "set"))
         split = placed.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("set", "c"), F.xxhash64("set", F.lit(round_))).alias("hub")).where("low <> high")
         split = materialize(placed.select("sig", "set", "c").join(split.select("sig", "hub"), "sig"), "jaccard-split")
+        if split.isEmpty():  # every group lies in one component
+            return links
         if round_ < 2:
             new = split.where("c <> hub.c").select(F.least("set", "hub.set").alias("a"), F.greatest("set", "hub.set").alias("b"))
         else:
