@@ -9,8 +9,8 @@ disclosure threshold is treated as personal data in that identifier's contexts.
 Identifiers are replaced by their kind, terms by a placeholder.
 
 n(e,t) counts different texts with t within a few words of e, n(e) different texts
-with e, n(t) documents with t anywhere, N documents. Each identifier contributes a
-bounded number of context words, so the tables are linear in the input.
+with e, n(t) different texts with t anywhere, N different texts. Each identifier
+contributes a bounded number of context words, so the tables are linear in the input.
 """
 
 from __future__ import annotations
@@ -141,9 +141,10 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     if pairs.isEmpty():
         return found.select("doc_id", "text_hash", "base", F.col("base").alias("spans"))
 
-    words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(TERM), 0))
-    of_term = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    n = found.count()
+    words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(TERM), 0)).alias("words")
+    different = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).select(F.xxhash64("t").alias("text_hash"), words).dropDuplicates(["text_hash"])
+    of_term = different.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    n = found.select("text_hash").distinct().count()
     information = F.log2(F.lit(float(n)) / F.col("n_e"))
     mutual = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     revealing = pairs.join(of_term, "term").where((information > 0) & (mutual >= disclosure * information)).select("entity", "term")

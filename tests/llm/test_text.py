@@ -85,6 +85,15 @@ def test_disclosing_terms_are_removed(spark):
     assert clean[900] is None and sanitise(docs).count() == len(rows) and find_personal_data(docs.limit(0)).count() == 0
 
 
+def test_copies_do_not_hide_a_disclosing_term(spark):
+    texts = [f"write to mister zorblax at z@mail.org about number {i} now" for i in (1, 2, 3)]
+    rows = [(i, texts[0]) for i in range(600)] + [(1000, texts[1]), (1001, texts[2])]
+    rows += [(2000 + i, f"write to mister someone about number {i} now at home") for i in range(4000)]
+    clean = {r.doc_id: r.text for r in sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(clean[i] == t.replace("zorblax", "[TERM]").replace("z@mail.org", "[EMAIL]") for i, t in rows if i < 2000)
+    assert all(clean[i] == t for i, t in rows if i >= 2000) and len(clean) == len(rows)
+
+
 def test_mix(spark):
     rnd = random.Random(3)
     names = ["a", "b", "c", "d", None]
