@@ -5,16 +5,20 @@ keep appearing beside one of them can give it away after it is masked. How stron
 a term t reveals an identifier e is estimated from the corpus by pointwise mutual
 information, PMI(e;t) = log2(N * n(e,t) / (n(e) * n(t))), over the information of the
 identifier itself, IC(e) = log2(N / n(e)). A term whose share PMI / IC reaches the
-disclosure threshold is treated as personal data in that identifier's contexts.
-Identifiers are replaced by their kind, terms by a placeholder.
+disclosure threshold is treated as personal data wherever it stands in a text with
+that identifier. Identifiers are replaced by their kind, terms by a placeholder.
 
 n(e,t) counts different texts with t within a few words of e, n(e) different texts
 with e, n(t) different texts with t anywhere, N different texts. Each identifier
 contributes a bounded number of context words, so the tables are linear in the input.
+So is the join of texts with revealing terms by term: a term of share s is beside e in
+at least (n(e) / N)^(1 - s) of all texts that have it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +26,7 @@ from .quality_rules import let
 from .store import materialize
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Context of an identifier: so many terms on each side, within so many characters.
+#: Context from which is estimated: so many terms on each side, within so many characters.
 CONTEXT_TERMS, CONTEXT_CHARS = 6, 96
 #: Disclosure: least share of the identifier's information, and different texts that show it.
 DISCLOSURE, SUPPORT = 0.9, 3
@@ -41,13 +45,16 @@ PATTERNS = {
 _SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
-def spans_of(text: Column, pattern: str, kind: int, offset: Column | None = None) -> Column:
-    """Array of (start, kind, end, value) of all matches; code points, end exclusive.
+def spans_of(text: Column, pattern: str, kind: int, offset: Column | None = None, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """Array of (start, kind, end, value) of all (wanted) matches; code points, end exclusive.
 
     The matches and the gaps between them alternate, so their lengths add up to positions.
     """
     zero = F.lit(0) if offset is None else offset
 
+    def kept(out: Column, match: Column, more: Column) -> Column:
+        return F.concat(out, more) if wanted is None else F.when(wanted(match), F.concat(out, more)).otherwise(out)
+
     def placed(found: Column) -> Column:
         pairs = F.zip_with(found, F.split(text, pattern, -1), lambda m, g: F.struct(m.alias("match"), F.length(g).alias("gap")))
         return F.aggregate(
@@ -55,8 +62,9 @@ def spans_of(text: Column, pattern: str, kind: int, offset: Column | None = None
             F.struct(zero.cast("int").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")),
             lambda s, x: F.struct(
                 (s["at"] + x["gap"] + F.length(x["match"])).cast("int").alias("at"),
-                F.concat(
+                kept(
                     s["out"],
+                    x["match"],
                     F.array(
                         F.struct(
                             (s["at"] + x["gap"]).cast("int").alias("start"),
@@ -108,15 +116,30 @@ def entity_of(span: Column) -> Column:
     return F.concat_ws(":", span["kind"].cast("string"), value)
 
 
+def outside(terms: Column, base: Column) -> Column:
+    """The spans that overlap no identifier."""
+    return F.filter(terms, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+
+
 def context_of(text: Column, span: Column, base: Column) -> Column:
     """Term spans beside an identifier, outside of all identifiers."""
     lo = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
-    # a word that the window's edge may have cut is left out: one more character is read there
-    before = spans_of(F.substring(text, lo + 1, span["start"] - lo), rf"(?<=[^\p{{L}}]){TERM}(?=\P{{L}}|\z)", 4, lo)
-    after = spans_of(F.substring(text, span["end"] + 1, F.lit(CONTEXT_CHARS)), rf"(?<=[^\p{{L}}]){TERM}(?=\P{{L}})", 4, span["end"])
+    # Each window is read with the identifier's own first or last character, so a word needs a
+    # character that is no letter on both sides. One that the window's other edge may have cut is
+    # left out; the text's own edges cut nothing, there a space stands in.
+    whole = rf"(?<=\P{{L}}){TERM}(?=\P{{L}})"
+    edge = F.when(lo == 0, F.lit(" ")).otherwise(F.lit(""))
+    before = spans_of(F.concat(edge, F.substring(text, lo + 1, span["start"] - lo + 1)), whole, 4, lo - F.length(edge))
+    tail = F.substring(text, span["end"], F.lit(CONTEXT_CHARS + 1))
+    after = spans_of(F.concat(tail, F.when(F.length(tail) <= CONTEXT_CHARS, F.lit(" ")).otherwise(F.lit(""))), whole, 4, span["end"] - 1)
     last = let(before, lambda b: F.slice(b, F.greatest(F.size(b) - CONTEXT_TERMS + 1, F.lit(1)), CONTEXT_TERMS))
     first = F.slice(after, 1, CONTEXT_TERMS)
-    return F.filter(F.concat(last, first), lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return outside(F.concat(last, first), base)
+
+
+def terms_of(text: Column) -> Column:
+    """Array of the distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), 0)), F.lower))
 
 
 def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
@@ -130,33 +153,36 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.withColumn("base", base_spans(F.col("t")))
     near = F.transform("base", lambda s: F.struct(entity_of(s).alias("entity"), context_of(F.col("t"), s, F.col("base")).alias("terms")))
-    found = materialize(rows.select("doc_id", F.xxhash64("t").alias("text_hash"), "base", F.when(F.size("base") > 0, near).alias("near")), "pii-base")
+    has = F.size("base") > 0
+    found = rows.select("doc_id", F.xxhash64("t").alias("text_hash"), "base", F.when(has, near).alias("near"), F.when(has, terms_of(F.col("t"))).alias("terms"))
+    found = materialize(found, "pii-base")
 
-    seen = found.where("near is not null").select("doc_id", "text_hash", F.explode("near").alias("x")).select("doc_id", "text_hash", "x.entity", "x.terms")
-    beside = seen.select("doc_id", "text_hash", "entity", F.explode("terms").alias("span")).withColumn("term", F.lower("span.value"))
-    beside = materialize(beside, "pii-beside")
+    seen = found.where("near is not null").select("text_hash", F.explode("near").alias("x")).select("text_hash", "x.entity", "x.terms")
+    beside = seen.select("text_hash", "entity", F.explode("terms").alias("span")).select("text_hash", "entity", F.lower("span.value").alias("term"))
     of_entity = seen.groupBy("entity").agg(F.countDistinct("text_hash").alias("n_e")).where(F.col("n_e") >= support)
-    pairs = beside.select("entity", "term", "text_hash").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
+    pairs = beside.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
     pairs = materialize(pairs.join(of_entity, "entity"), "pii-pairs")
     if pairs.isEmpty():
         return found.select("doc_id", "text_hash", "base", F.col("base").alias("spans"))
 
-    words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(TERM), 0)).alias("words")
-    different = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).select(F.xxhash64("t").alias("text_hash"), words).dropDuplicates(["text_hash"])
-    of_term = different.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("text_hash", F.xxhash64("t"))
+    different = texts.select("text_hash", terms_of(F.col("t")).alias("terms")).dropDuplicates(["text_hash"])
+    of_term = different.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     n = found.select("text_hash").distinct().count()
     information = F.log2(F.lit(float(n)) / F.col("n_e"))
     mutual = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     revealing = pairs.join(of_term, "term").where((information > 0) & (mutual >= disclosure * information)).select("entity", "term")
-    added = (
-        beside.join(materialize(revealing, "pii-revealing"), ["entity", "term"])
-        .groupBy("doc_id", "text_hash")
-        .agg(F.array_distinct(F.collect_list("span")).alias("added"))  # of one document
-    )
-    told = found.alias("f").join(added.alias("a"), F.col("f.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("f.text_hash") == F.col("a.text_hash")), "left")
+    revealing = materialize(revealing, "pii-revealing")
+    # Every term of the texts with an identifier, held against the terms that reveal one of its own.
+    held = found.where("near is not null").select("text_hash", F.explode("terms").alias("term")).distinct()
+    held = held.join(revealing, "term").join(seen.select("text_hash", "entity").distinct(), ["text_hash", "entity"], "left_semi")
+    held = materialize(held.groupBy("text_hash").agg(F.collect_set("term").alias("wanted")), "pii-held")  # of one text
+    places = spans_of(F.col("t"), TERM, 4, wanted=lambda m: F.array_contains("wanted", F.lower(m))).alias("added")
+    added = texts.join(held, "text_hash").select("text_hash", places).dropDuplicates(["text_hash"])
+    marked = found.alias("f").join(added.alias("a"), "text_hash", "left")
     none = F.array().cast(f"array<{_SPAN}>")
-    spans = F.array_sort(F.concat("f.base", F.coalesce("a.added", none)))
-    return told.select("f.doc_id", "f.text_hash", "f.base", spans.alias("spans"))
+    spans = F.array_sort(F.concat("f.base", outside(F.coalesce("a.added", none), F.col("f.base"))))
+    return marked.select("f.doc_id", "text_hash", "f.base", spans.alias("spans"))
 
 
 def told(spans: Column) -> Column:

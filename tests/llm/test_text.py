@@ -94,6 +94,19 @@ def test_copies_do_not_hide_a_disclosing_term(spark):
     assert all(clean[i] == t for i, t in rows if i >= 2000) and len(clean) == len(rows)
 
 
+def test_disclosing_terms_are_removed_everywhere(spark):
+    far = "one two three four five six seven eight nine ten eleven twelve " * 20
+    rows = [(i, f"Zorblax: z@mail.org {i}") for i in range(4)] + [(10 + i, f"{i} q@mail.org Quxfold") for i in range(4)]
+    rows += [(20, f"Zorblax wrote. {far}\n\nz@mail.org\n\n{far} ZORBLAX and Quxfold, not xzorblax"), (21, "zorblax alone")]
+    rows += [(22, f"for z@mail.org and q@mail.org {far} zorblax,quxfold zorblax@home.org")]
+    rows += [(100 + i, f"some other text of number {i} {far}") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in sanitise(docs).collect()}
+    assert all(clean[i] == f"[TERM]: [EMAIL] {i}" and clean[10 + i] == f"{i} [EMAIL] [TERM]" for i in range(4))
+    assert clean[20] == f"[TERM] wrote. {far}\n\n[EMAIL]\n\n{far} [TERM] and Quxfold, not xzorblax" and clean[21] == "zorblax alone"
+    assert clean[22] == f"for [EMAIL] and [EMAIL] {far} [TERM],[TERM] [EMAIL]" and all(clean[i] == t for i, t in rows if i >= 100)
+
+
 def test_mix(spark):
     rnd = random.Random(3)
     names = ["a", "b", "c", "d", None]
