@@ -99,7 +99,8 @@ class Band:
 def bands(percent: int, largest: int) -> list[Band]:
     """The bands of all sizes whose sets can link to a different set."""
     out = []
-    low = next(s for s in itertools.count(1) if (100 - percent) * 2 * s // (100 + percent) >= 1 or s > 1 << 30)
+    # the smallest size a with 100 * a >= percent * (a + 1): a set of one more element can hold it
+    low = max(1, -(-percent // (100 - percent))) if percent < 100 else largest + 1
     while low <= largest:
         high = max(low, int(low * BAND))
         differ = (100 - percent) * 2 * high // (100 + percent)

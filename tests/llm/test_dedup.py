@@ -99,6 +99,40 @@ def test_signatures_of_similar_sets_meet():
                 assert (x == y).all() if len(x) == len(y) and common == len(x) else both[0] & both[1]
 
 
+def test_signatures_of_a_set_and_its_extension_meet():
+    rng = np.random.default_rng(7)
+    for percent in (80, 85, 95):
+        levels = bands(percent, 3000)
+        lows = [b.low for b in levels]
+        assert lows[0] == min(a for a in range(1, 100) if 100 * a >= percent * (a + 1))
+        for size in range(1, 60):
+            for more in range(1, 9):
+                if 100 * size < percent * (size + more):
+                    break
+                y = np.unique(rng.integers(0, 1 << 63, size + more, dtype=np.uint64))
+                both = []
+                for z in (np.delete(y, rng.choice(size + more, more, replace=False)), y):
+                    b = int(np.searchsorted(lows, len(z), "right")) - 1
+                    assert b >= 0
+                    both.append({int(s) for n in (b, b + 1) if n < len(levels) for s in signatures(z, levels[n], n)[0]})
+                assert both[0] & both[1]
+
+
+def test_short_texts_link_with_one_word_appended(spark):
+    rnd = random.Random(8)
+    docs = {}
+    for i in range(60):
+        w = [f"v{rnd.randrange(10_000)}" for _ in range(8 + i % 3)]
+        docs |= {3 * i: " ".join(w), 3 * i + 1: " ".join([*w, "more"]), 3 * i + 2: " ".join([*w, "more", "still"])}
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    for k, percent in ((4, 85), (5, 80)):
+        sets = {i: {tuple(t.split()[s : s + k]) for s in range(len(t.split()) - k + 1)} for i, t in docs.items()}
+        links = [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+        assert any(min(len(sets[a]), len(sets[b])) == {4: 6, 5: 4}[k] for a, b in links)
+        got = {r.doc_id: r.component_id for r in link_documents(table, k, percent).collect()}
+        assert got == smallest_reachable(docs, links)
+
+
 @pytest.mark.parametrize("group", [2, 6])
 def test_link_documents(spark, monkeypatch, group):
     monkeypatch.setattr(jaccard, "SMALL_GROUP", group)
