@@ -2,26 +2,33 @@
 
 A document is the set of its distinct word shingles. Sets of similar size form bands;
 within a band, sets with enough similarity differ in at most H elements. The domain
-of shingles is partitioned by hash into ``n1`` parts of ``n2`` subparts each; each
-way to choose ``n2 - k2`` subparts of a part is a signature: a digest of the set's
-elements there. Two sets that differ in at most H elements agree on one signature,
-by the pigeonhole principle, if ``n1 * (k2 + 1) > H``. A set also signs for the
-next band if a similar set can lie there. Signatures of one element or none say
-little and would gather unrelated sets, so a band has W more than needed: of any
-similar pair more than W signatures agree, and a set with at most W such weak
-signatures leaves them out. What is left of W it spends on its most common ones.
-
-Equal sets are one class from the start. Signatures are shuffled packed, as arrays for each bucket of
-their hash space. In a bucket, sets that share a signature give candidate pairs: all
-pairs of a small group, and pairs with the group's smallest member of a large one.
-Candidates that a bound on their intersection (from counts of elements in parts of
-the hash space) doesn't rule out are verified on whole texts. Members of large groups that are then still
-in different components are paired again, first with other members, at last all of
-them with each other, so that no link between components is lost.
+of shingles is partitioned by hash into ``n1`` parts of ``n2`` = 2 subparts each; each
+way to choose ``n2 - k2`` = 1 subpart of a part is a signature: a digest of the set's
+elements there. Two sets that differ in at most H elements agree on at least
+``2 * n1 - H`` signatures. A set also signs for every larger band in which a similar set
+can lie. ``n1`` is half again as large as needed, so of a similar pair more than W
+signatures agree; a set may leave out its first W in one order for all: those of one
+element or none, which say little, then the most common ones.
+
+Equal sets are one class from the start. Signatures are shuffled packed, as arrays for
+each bucket of their hash space. In a bucket, sets that share a signature give candidate
+pairs: all pairs of a small group. Candidates whose parity sketches (a lower bound on how
+many elements differ) leave room are verified on their sets.
+
+A large group is split instead, and never paired with itself. One member, the set that
+lies in most groups, is its hub, and each member is compared with it. Members close to the
+hub are then described by their differences D from it: what two similar sets differ in is
+what their D differ in, so D of a pair that isn't linked through the hub must overlap, and
+shares one of its rarest elements (prefixes in one order, lengths from the overlap needed).
+Members far from the hub share one of the rarest elements of the sets themselves. Both
+zones overlap by the Jaccard distance that a link may span, so by the triangle inequality
+each link lies whole in one. Groups that share such an element are paired if small and
+split anew, with a hub of their own, if large. Groups within one component are done.
 """
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import math
 from collections.abc import Iterator
@@ -39,10 +46,16 @@ from .store import materialize
 
 #: Sizes of a band: the largest is so many times the smallest.
 BAND = 1.3
-#: Subparts of a part, and how many of them may differ.
+#: Subparts of a part, and how many of them may differ (the bound on agreements is that of 2 and 1).
 N2, K2 = 2, 1
+#: How many times the parts that are needed, for signatures to leave out.
+SPARE_PARTS = 1.5
 #: A group of sets that share a signature gives all its pairs up to this size.
 SMALL_GROUP = 6
+#: Large groups are split so often; what is then still large and in several components is paired.
+MAX_SPLITS = 6
+#: Similarity in percent from which a member counts as close to its hub.
+CLOSE = 50
 #: Text bytes for each bucket of signatures, and words of the cache of one worker.
 BUCKET_BYTES, CACHE_WORDS = 4 << 20, 300_000
 
@@ -88,7 +101,7 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Band:
-    """Sizes low..high; ``parts`` first-level parts; a set may leave out ``weak`` weak signatures."""
+    """Sizes low..high; ``parts`` first-level parts; more than ``weak`` signatures of a similar pair agree."""
 
     low: int
     high: int
@@ -104,59 +117,46 @@ def bands(percent: int, largest: int) -> list[Band]:
     while low <= largest:
         high = max(low, int(low * BAND))
         differ = (100 - percent) * 2 * high // (100 + percent)
-        choices = math.comb(N2, N2 - K2)
-        weak = 0
-        while True:
-            parts = -(-(differ + 1 + weak) // (K2 + 1))
-            mean = low / (parts * N2) * (N2 - K2)
-            n = parts * choices
-            expected = n * math.exp(-mean) * (1 + mean)
-            need = min(n, math.ceil(expected + 3 * math.sqrt(expected)))
-            if need <= weak:
-                break
-            weak += max(1, (need - weak) // 2)
-            if weak > differ + 4:  # small sets: more parts only make more of them weak
-                break
+        parts = math.ceil((differ + 1) * SPARE_PARTS / (K2 + 1))
         out.append(Band(low, high, parts, parts * (K2 + 1) - differ - 1))
         low = high + 1
     return out
 
 
+def signing(size: int, lows: list[int], percent: int) -> range:
+    """Numbers of the bands that a set of this size signs for: its own, and larger ones that a similar set may lie in."""
+    return range(bisect.bisect_right(lows, size) - 1, bisect.bisect_right(lows, size * 100 // percent)) if lows and size >= lows[0] else range(0)
+
+
 def signatures(x: np.ndarray, band: Band, number: int) -> tuple[np.ndarray, int]:
-    """The set's signatures in a band, weak ones left out where that is allowed, and how many more may be."""
+    """The set's signatures in a band without weak ones (one element or none), and how many more may be left out."""
     cells = band.parts * N2
     at = ((x >> np.uint64(20)) % np.uint64(cells)).astype(np.int64)  # part at // N2, subpart at % N2
     sums = np.zeros(cells, np.uint64)
     np.add.at(sums, at, mix(x ^ _M1))
     sizes = np.bincount(at, minlength=cells)
-    sums, sizes = sums.reshape(-1, N2), sizes.reshape(-1, N2)
-    picks = list(itertools.combinations(range(N2), N2 - K2))
     with np.errstate(over="ignore"):
-        place = np.arange(band.parts * len(picks), dtype=np.uint64).reshape(-1, len(picks)) + np.uint64(number << 32)
-        digest = np.stack([sum(mix(sums[:, j] + np.uint64(j)) for j in p) for p in picks], 1)
-        sig = mix(digest ^ mix(place)).ravel()
-    size = np.stack([sizes[:, list(p)].sum(1) for p in picks], 1).ravel()
-    weak = size <= 1
-    # with (K2 + 1) guaranteed agreements less for each differing element, more than band.weak agree
-    left = band.weak - int(weak.sum())
-    return (sig[~weak], min(left, 255)) if left >= 0 else (sig, 0)
+        place = np.arange(cells, dtype=np.uint64) + np.uint64(number << 32)
+        sig = mix(mix(sums) ^ mix(place))
+    # at most band.weak go, first those of no element, then of one: the same order for every set
+    order = np.argsort(sizes, kind="stable")
+    gone = min(band.weak, int((sizes <= 1).sum()))
+    return sig[np.sort(order[gone:])], band.weak - gone
 
 
-def profile(x: np.ndarray) -> bytes:
-    """How many elements fall into each part of the hash space, about four on average, a byte each."""
-    bits = max(3, math.ceil(math.log2(max(1, len(x) / 4))))
-    counts = np.bincount((x >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+def sketch(x: np.ndarray) -> bytes:
+    """Parities of the numbers of elements in parts of the hash space, between two and four parts for each element."""
+    bits = 1 << max(3, math.ceil(math.log2(max(1, 2 * len(x)))))
+    odd = np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def may_link(size_a: int, size_b: int, a: bytes, b: bytes, percent: int) -> bool:
-    """Whether the profiles leave room for enough similarity: a bound, so no similar pair fails."""
-    common = min(size_a, size_b)
-    if a and b:
-        x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
-        n = min(len(x), len(y))
-        common = int(np.minimum(x.reshape(n, -1).sum(1), y.reshape(n, -1).sum(1)).sum())
-    return 100 * common >= percent * (size_a + size_b - common)
+    """Whether the sketches leave room for enough similarity: a bound, so no similar pair fails."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    n = min(len(x), len(y))  # the larger one folds: its parts of equal lower bits belong together
+    differ = int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, n)) ^ np.bitwise_xor.reduce(y.reshape(-1, n))).sum())
+    return (100 + percent) * max(differ, abs(size_a - size_b)) <= (100 - percent) * (size_a + size_b)
 
 
 def set_id(x: np.ndarray) -> int:
@@ -177,18 +177,18 @@ def link_documents(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str =
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, ids, profiles = [], [], []
+            n, ids, sketches = [], [], []
             for t in b.column("text"):
                 x = shingle_set(t.as_py(), k)
                 n.append(len(x))
                 ids.append(set_id(x))
-                profiles.append(profile(x))
+                sketches.append(sketch(x))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), signed(ids), pa.array(profiles, pa.binary())], ["doc_id", "n_shingles", "set", "profile"]
+                [b.column("doc_id"), pa.array(n, pa.int64()), signed(ids), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "set", "sketch"]
             )
 
-    told = materialize(rows.mapInArrow(described, f"doc_id {id_type}, n_shingles long, set long, profile binary"), "jaccard-sets")
-    classes = told.where("n_shingles > 0 and doc_id is not null").groupBy("set", "n_shingles").agg(F.min("doc_id").alias("first"), F.min("profile").alias("profile"))
+    told = materialize(rows.mapInArrow(described, f"doc_id {id_type}, n_shingles long, set long, sketch binary"), "jaccard-sets")
+    classes = told.where("n_shingles > 0 and doc_id is not null").groupBy("set", "n_shingles").agg(F.min("doc_id").alias("first"), F.min("sketch").alias("sketch"))
     classes = materialize(classes, "jaccard-classes")
     size = told.agg(F.max("n_shingles").alias("most")).first()["most"] or 0
     volume = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -208,47 +208,48 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, percent: int, levels: li
     """Edges (a, b) between set ids: enough of the similar pairs for the right components."""
     if not levels:
         return classes.select(F.col("set").alias("a"), F.col("set").alias("b")).limit(0)
-    lows = np.array([b.low for b in levels])
+    lows = [b.low for b in levels]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each bucket the signatures of the batch's sets: (bucket, signatures, set of each)."""
+        """For each bucket the signatures of the batch's sets: an index each into the sets and levels that follow."""
         for whole in batches:
             for start in range(0, whole.num_rows, 2500):
-                sigs, of, spare, seen = [], [], [], set()
+                sigs, of, ids, marks, seen = [], [], [], [], set()
                 for t in whole.column("text").slice(start, 2500):
                     x = shingle_set(t.as_py(), k)
-                    if len(x) < lows[0] or (i := set_id(x)) in seen:
+                    if not (numbers := signing(len(x), lows, percent)) or (i := set_id(x)) in seen:
                         continue
                     seen.add(i)
-                    b = int(np.searchsorted(lows, len(x), "right")) - 1
-                    for number in (b, b + 1):
-                        if number == b or number < len(levels) and len(x) * 100 >= percent * levels[number].low:
-                            s, more = signatures(x, levels[number], number)
-                            sigs.append(s)
-                            of.append(np.full(len(s), i, np.uint64))
-                            spare.append(np.full(len(s), number << 8 | more, np.uint16))
+                    for number in numbers:
+                        s, more = signatures(x, levels[number], number)
+                        sigs.append(s)
+                        of.append(np.full(len(s), len(ids), np.int64))
+                        ids.append(i)
+                        marks.append(number << 40 | more)
                 if not sigs:
                     continue
-                sig, own, level = np.concatenate(sigs), np.concatenate(of), np.concatenate(spare)
+                sig, own, ids, marks = np.concatenate(sigs), np.concatenate(of), np.array(ids, np.uint64), np.array(marks, np.int64)
                 bucket = (sig % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                sig, own, level, bucket = sig[order], own[order], level[order], bucket[order]
+                sig, own, bucket = sig[order], own[order], bucket[order]
                 ends = np.flatnonzero(np.diff(bucket, append=-1)) + 1
                 starts = np.concatenate([[0], ends[:-1]])
-                # a set's number in the batch, and the batch's sets of that bucket, take less room than one id each
-                sets, number = [], []
+                columns = [[], [], [], []]
                 for a, e in zip(starts, ends):
                     u, inverse = np.unique(own[a:e], return_inverse=True)
-                    sets.append(u.tobytes())
-                    number.append(inverse.astype(np.uint16).tobytes())
-                cols = [pa.array(bucket[starts]), pa.array([sig[a:e].tobytes() for a, e in zip(starts, ends)], pa.binary()), pa.array(sets, pa.binary()), pa.array(number, pa.binary()), pa.array([level[a:e].tobytes() for a, e in zip(starts, ends)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["bucket", "sigs", "sets", "number", "level"])
+                    for column, values in zip(columns, (sig[a:e], ids[u], marks[u], inverse.astype(np.uint16 if len(u) <= 65536 else np.uint32))):
+                        column.append(values.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "sigs", "sets", "levels", "number"])
 
     def shared(pdf: pd.DataFrame) -> pd.DataFrame:
         """Candidate pairs of a bucket (sig null), and the members of its large groups (b null)."""
-        sig = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["sigs"]])
-        own = np.concatenate([np.frombuffer(s, np.uint64)[np.frombuffer(n, np.uint16)] for s, n in zip(pdf["sets"], pdf["number"])])
-        level = np.concatenate([np.frombuffer(x, np.uint16) for x in pdf["level"]])
+        sig, own, level = [], [], []
+        for g, s, lv, n in zip(pdf["sigs"], pdf["sets"], pdf["levels"], pdf["number"]):
+            at = np.frombuffer(n, np.uint16 if len(n) * 4 == len(g) else np.uint32)
+            sig.append(np.frombuffer(g, np.uint64))
+            own.append(np.frombuffer(s, np.uint64)[at])
+            level.append(np.frombuffer(lv, np.int64)[at])
+        sig, own, level = np.concatenate(sig), np.concatenate(own), np.concatenate(level)
         order = np.lexsort((own, sig))
         sig, own, level = sig[order], own[order], level[order]
         new = np.ones(len(sig), bool)
@@ -256,113 +257,211 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, percent: int, levels: li
         sig, own, level = sig[new], own[new], level[new]
         heads = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         sizes = np.diff(np.append(heads, len(sig)))
-        a, b, large, many = [], [], [], []
+        a, b = [], []
         for m in range(2, SMALL_GROUP + 1):
             h = heads[sizes == m]
             for i, j in itertools.combinations(range(m), 2):
                 a.append(own[h + i])
                 b.append(own[h + j])
-        for h, m in zip(heads[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP]):
-            a.append(np.full(m - 1, own[h]))
-            b.append(own[h + 1 : h + m])
-            large.append(np.arange(h, h + m))
-            many.append(np.full(m, m))
         pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0) if a else np.zeros((0, 2), np.uint64)
-        at = np.concatenate(large) if large else np.zeros(0, np.int64)
+        many = np.repeat(sizes, sizes)
+        at = np.flatnonzero(many > SMALL_GROUP)
         pairs, group, member = pairs.astype(np.uint64).view(np.int64), sig[at].view(np.int64), own[at].view(np.int64)
-        none = lambda n: pd.array([pd.NA] * n, "Int64")
-        column = lambda x, y: pd.concat([pd.Series(pd.array(x, "Int64")), pd.Series(y if not isinstance(y, np.ndarray) else pd.array(y, "Int64"))], ignore_index=True)
-        return pd.DataFrame(
-            {
-                "sig": column(none(len(pairs)), group), "a": column(pairs[:, 0], member), "b": column(pairs[:, 1], none(len(at))),
-                "size": column(none(len(pairs)), np.concatenate(many) if many else at), "level": column(none(len(pairs)), level[at].astype(np.int64)),
-            }
-        )
-
-    found = rows.select("text").where("text is not null").mapInArrow(packed, "bucket long, sigs binary, sets binary, number binary, level binary")
+        none = lambda n: pd.Series(pd.array([pd.NA] * n, "Int64"))
+        column = lambda x: pd.Series(pd.array(x, "Int64"))
+        both = lambda x, y: pd.concat([x, y], ignore_index=True)
+        p, m = none(len(pairs)), none(len(at))
+        return pd.DataFrame({"sig": both(p, column(group)), "a": both(column(pairs[:, 0]), column(member)), "b": both(column(pairs[:, 1]), m), "size": both(p, column(many[at])), "level": both(p, column(level[at]))})
+
+    found = rows.select("text").where("text is not null").mapInArrow(packed, "bucket long, sigs binary, sets binary, levels binary, number binary")
     found = materialize(found.groupBy("bucket").applyInPandas(shared, "sig long, a long, b long, size long, level long"), "jaccard-found")
-    pairs = materialize(found.where("sig is null").select("a", "b").distinct(), "jaccard-pairs")
-    likely = materialize(_possible(pairs, classes, percent), "jaccard-likely")
+    likely = materialize(_possible(found.where("sig is null").select("a", "b").distinct(), classes, percent), "jaccard-likely")
     # Of a similar pair more than W signatures agree in a band. Both may leave out their most
     # common ones, W less the weak ones: of the agreeing ones these are the same first few.
-    common = Window.partitionBy("a", F.col("level")).orderBy(F.desc("size"), "sig")
-    members = found.where("b is null").withColumn("nth", F.row_number().over(common)).where("nth > level % 256").select("sig", F.col("a").alias("set"))
-    members = materialize(members, "jaccard-members")
-
-    links = materialize(_verified(likely, rows, classes, k, percent), "jaccard-links")
-    if members.isEmpty():
+    common = Window.partitionBy("a", "level").orderBy(F.desc("size"), "sig")
+    groups = found.where("b is null").withColumn("nth", F.row_number().over(common)).where(F.col("nth") > F.col("level") % (1 << 40)).select(F.col("sig").alias("g"), F.col("a").alias("set"))
+    groups = materialize(groups, "jaccard-groups")
+
+    wanted = likely.select(F.explode(F.array("a", "b")).alias("set")).unionByName(groups.select("set")).distinct()
+    elements = materialize(_elements(wanted, rows, classes, k), "jaccard-elements")
+    links = materialize(_verified(likely, elements, percent), "jaccard-links")
+    if groups.isEmpty():
         return links
-    tried, round_ = pairs, 0
-    while True:
-        component = connected_components(links)
-        placed = members.join(component.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("c", F.coalesce("component", "set"))
-        split = placed.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("set", "c"), F.xxhash64("set", F.lit(round_))).alias("hub")).where("low <> high")
-        split = materialize(placed.select("sig", "set", "c").join(split.select("sig", "hub"), "sig"), "jaccard-split")
-        if split.isEmpty():  # every group lies in one component
-            return links
-        if round_ < 2:
-            new = split.where("c <> hub.c").select(F.least("set", "hub.set").alias("a"), F.greatest("set", "hub.set").alias("b"))
-        else:
-            new = split.alias("x").join(split.alias("y"), "sig").where("x.set < y.set and x.c <> y.c").select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
-        ordered = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = materialize(new.distinct().join(ordered, ["a", "b"], "left_anti"), "jaccard-pairs")
-        if round_ >= 2 and new.isEmpty():
+    ranked = materialize(_ranked(groups.select("set").distinct().join(elements, "set")), "jaccard-ranked")
+    placed = lambda df: df.join(component, "set", "left").withColumn("c", F.coalesce("c", "set"))
+    component = _components(links)
+    for _ in range(MAX_SPLITS):
+        # groups of several components, and their hubs: the member of most groups
+        weighed = placed(groups).withColumn("w", F.count(F.lit(1)).over(Window.partitionBy("set")))
+        hubs = weighed.groupBy("g").agg(F.max_by("set", F.struct("w", "set")).alias("hub"), F.min("c").alias("low"), F.max("c").alias("high"))
+        hubs = materialize(hubs.where("low <> high").select("g", "hub"), "jaccard-hubs")
+        if hubs.isEmpty():
             return links
-        likely = materialize(_possible(new, classes, percent), "jaccard-likely")
-        if not likely.isEmpty():
-            links = materialize(links.unionByName(_verified(likely, rows, classes, k, percent)), "jaccard-links")
-        tried = materialize(tried.unionByName(new), "jaccard-tried")
-        if round_ >= 2:
-            return links
-        round_ += 1
+        compared = materialize(_compared(groups.join(hubs, "g").where("set <> hub").select("hub", "set").distinct(), ranked, percent), "jaccard-compared")
+        near = compared.where("role = 0").select(F.col("set").alias("a"), F.col("g").alias("b"))
+        links = materialize(links.unionByName(near), "jaccard-links")
+        component = _components(links)
+        rest = materialize(placed(compared.where("role > 0")), "jaccard-rest")
+        sizes = rest.groupBy("g").agg(F.count(F.lit(1)).alias("many"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("g", "many")
+        rest = materialize(rest.join(sizes, "g"), "jaccard-rest")
+        likely = materialize(_possible(_small_pairs(rest.where(F.col("many") <= SMALL_GROUP), percent), classes, percent), "jaccard-likely")
+        links = materialize(links.unionByName(_verified(likely, elements, percent)), "jaccard-links")
+        groups = rest.where(F.col("many") > SMALL_GROUP).select("g", "set")
+    component = _components(links)
+    left = materialize(placed(groups).distinct(), "jaccard-left")
+    pairs = left.alias("x").join(left.alias("y"), "g").where("x.set < y.set and x.c <> y.c").select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
+    return links.unionByName(_verified(_possible(pairs.distinct(), classes, percent), elements, percent))
+
+
+def _components(links: DataFrame) -> DataFrame:
+    return connected_components(links).select(F.col("node").alias("set"), F.col("component").alias("c"))
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The arrays of a list column, unsigned."""
+    values, ends = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
-def _own_texts(texts: DataFrame, k: int) -> DataFrame:
-    """One text for each set id: rows whose text gives another set are dropped."""
+def _elements(wanted: DataFrame, rows: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """set, e: the elements of each wanted set, once, from a text that has them."""
 
-    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = np.array([set_id(shingle_set(t.as_py(), k)) for t in b.column("text")], np.uint64).view(np.int64)
-            yield b.filter(pa.array(ids == b.column("set").to_numpy()))
+            sets = [shingle_set(t.as_py(), k) for t in b.column("text")]
+            # an id that several rows share may bring other texts than the set's own
+            right = np.array([set_id(x) for x in sets], np.uint64).view(np.int64) == b.column("set").to_numpy()
+            own = [x.view(np.int64) for x, r in zip(sets, right) if r]
+            yield pa.RecordBatch.from_arrays([b.column("set").filter(pa.array(right)), pa.array(own, pa.list_(pa.int64()))], ["set", "e"])
 
-    return texts.mapInArrow(right, "set long, text string").dropDuplicates(["set"])
+    ids = wanted.join(classes, "set").select("set", F.col("first").alias("doc_id"))
+    texts = rows.where("text is not null").join(ids, "doc_id").select("set", "text")
+    return texts.mapInArrow(told, "set long, e array<long>").groupBy("set").agg(F.first("e").alias("e"))
+
+
+def _ranked(elements: DataFrame) -> DataFrame:
+    """set, e, n: elements by how many of the sets hold them (n), then by value."""
+    each = elements.select("set", F.explode("e").alias("x"))
+    often = each.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    known = each.join(often, "x").groupBy("set").agg(F.collect_list("x").alias("x"), F.collect_list("n").alias("n"))
+
+    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            e, n = [], []
+            for x, shared, count in zip(*(_lists(b.column(c)) for c in ("e", "x", "n"))):
+                times = np.ones(len(x), np.int64)
+                times[np.searchsorted(x, shared)] = count.view(np.int64)
+                order = np.lexsort((x, times))
+                e.append(x[order].view(np.int64))
+                n.append(times[order])
+            lists = [pa.array(v, pa.list_(pa.int64())) for v in (e, n)]
+            yield pa.RecordBatch.from_arrays([b.column("set"), *lists], ["set", "e", "n"])
+
+    empty = F.array().cast("array<long>")
+    joined = elements.join(known, "set", "left").select("set", "e", F.coalesce("x", empty).alias("x"), F.coalesce("n", empty).alias("n"))
+    return joined.mapInArrow(ordered, "set long, e array<long>, n array<long>")
+
+
+def prefixes(x: np.ndarray, n_x: np.ndarray, h: np.ndarray, n_h: np.ndarray, percent: int) -> tuple[bool, list[tuple]]:
+    """Whether x links with its hub h, and by which elements it may meet other members.
+
+    Those are arrays (element, zone, role, need, rest): in zone 0 (differences from a close
+    hub) roles 1 and 2 are those of a set not linked with the hub, towards others of that
+    kind and towards linked ones; 4 is a linked set's; in zone 1 all have role 8. Two members can be similar
+    only if need + need <= 2 * (100 + percent) * min(rest, rest) at their first common element.
+    """
+    q, r = 100 + percent, 100 - percent
+    in_h, in_x = np.isin(x, h, assume_unique=True), np.isin(h, x, assume_unique=True)
+    common = int(in_h.sum())
+    union = len(x) + len(h) - common
+    linked = 100 * common >= percent * union
+    out = []
+    if 100 * common >= CLOSE * union:
+        # inserted elements come first, rare ones before; then the hub's own, those that few lack before
+        d = np.concatenate([x[~in_h], h[~in_x]])
+        times = np.concatenate([n_x[~in_h], (1 << 62) - n_h[~in_x]])
+        order = np.lexsort((d, times))
+        d, useful = d[order], times[order] > 1
+        need = q * len(d) - r * len(x)
+        if need > r * len(h):
+            least = -(-(need + r * len(h) + 1) // (2 * q)), -(-(need - r * (100 * len(x) // percent)) // q)
+            lengths = [len(d) - max(1, o) + 1 for o in least]
+            roles = (np.arange(len(d)) < lengths[0]) * 1 + (np.arange(len(d)) < lengths[1]) * 2
+        else:
+            roles = (np.arange(len(d)) < len(d) - max(1, -(-(need + r * len(h) + 1) // (2 * q))) + 1) * 4
+        at = np.flatnonzero((roles > 0) & useful)
+        out.append((d[at], 0, roles[at], need, len(d) - at))
+    if 100 * common < (CLOSE + r) * union:
+        at = np.flatnonzero(n_x[: len(x) - -(-percent * len(x) // 100) + 1] > 1)
+        out.append((x[at], 1, np.full(len(at), 8), 2 * percent * len(x), len(x) - at))
+    return linked, out
+
+
+def _compared(pairs: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
+    """Members compared with their hubs: (g = hub, role 0) for links, and rows of the groups g in which they may meet others."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [[], [], [], [], [], []]
+
+            def add(g, own, role, need, rest, size):
+                for column, v in zip(found, (g, own, role, need, rest, size)):
+                    column.append(np.broadcast_to(np.asarray(v, np.int64), len(g)))
+
+            lists = [_lists(b.column(c)) for c in ("e", "n", "e_hub", "n_hub")]
+            for own, hub, x, n_x, h, n_h in zip(b.column("set").to_pylist(), b.column("hub").to_pylist(), *lists):
+                linked, meets = prefixes(x, n_x.view(np.int64), h, n_h.view(np.int64), percent)
+                if linked:
+                    add(np.array([hub]), own, 0, 0, 0, len(x))
+                for e, zone, roles, need, rest in meets:
+                    with np.errstate(over="ignore"):
+                        place = mix(np.array([hub], np.int64).view(np.uint64) * _M1 + np.uint64(zone))
+                        add(mix(e ^ place).view(np.int64), own, roles, need, rest, len(x))
+            cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in found]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["g", "set", "role", "need", "rest", "size"])
+
+    hub = ranked.select(F.col("set").alias("hub"), F.col("e").alias("e_hub"), F.col("n").alias("n_hub"))
+    joined = pairs.join(ranked, "set").join(hub, "hub")
+    return joined.mapInArrow(compared, "g long, set long, role long, need long, rest long, size long")
+
+
+def _small_pairs(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of small groups that lie in different components and may be similar."""
+    members = rest.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("set", "role", "need", "rest", "size", "c"))).alias("m"))
+    pair = members.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: (y.set > F.col("x.set")) & (y.c != F.col("x.c")))).alias("y"))
+    role = lambda i, j: (F.col("x.role").bitwiseAND(i) > 0) & (F.col("y.role").bitwiseAND(j) > 0)
+    meets = role(1, 1) | role(2, 4) | role(4, 2) | role(8, 8)
+    enough = F.col("x.need") + F.col("y.need") <= 2 * (100 + percent) * F.least("x.rest", "y.rest")
+    sizes = 100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")
+    return pair.where(meets & enough & sizes).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs that sizes and profiles don't rule out."""
+    """The pairs that sizes and sketches don't rule out."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(*(b.column(c).to_pylist() for c in ("n_a", "n_b", "p_a", "p_b")))
+            rows = zip(*(b.column(c).to_pylist() for c in ("n_a", "n_b", "s_a", "s_b")))
             yield b.select(["a", "b"]).filter(pa.array([may_link(*r, percent) for r in rows], pa.bool_()))
 
-    side = lambda c: classes.select(F.col("set").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("profile").alias(f"p_{c}"))
+    side = lambda c: classes.select(F.col("set").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     return joined.mapInArrow(bounded, "a long, b long")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough: 100 * intersection >= percent * union, on whole texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(classes, "set").select("set", F.col("first").alias("doc_id"))
-    texts = rows.where("text is not null").join(wanted, "doc_id").select("set", "text")
-    # an id that several rows share may bring other texts than the set's own
-    texts = materialize(_own_texts(texts, k), "jaccard-texts")
+def _verified(pairs: DataFrame, elements: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets are similar enough: 100 * intersection >= percent * union."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_id, last = None, None
         for b in batches:
             keep = []
-            for a, ta, tb in zip(b.column("a").to_pylist(), b.column("text_a"), b.column("text_b")):
-                if a != last_id:
-                    last_id, last = a, shingle_set(ta.as_py(), k)
-                other = shingle_set(tb.as_py(), k)
-                common = len(np.intersect1d(last, other, assume_unique=True))
-                keep.append(100 * common >= percent * (len(last) + len(other) - common))
+            for x, y in zip(_lists(b.column("e_a")), _lists(b.column("e_b"))):
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda name: texts.select(F.col("set").alias(name), F.col("text").alias(f"text_{name}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(similar, "a long, b long")
+    side = lambda name: elements.select(F.col("set").alias(name), F.col("e").alias(f"e_{name}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "e_a", "e_b").mapInArrow(similar, "a long, b long")
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
