@@ -38,7 +38,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -52,8 +52,10 @@ N2, K2 = 2, 1
 SPARE_PARTS = 1.5
 #: A group of sets that share a signature gives all its pairs up to this size.
 SMALL_GROUP = 6
-#: Large groups are split so often; what is then still large and in several components is paired.
-MAX_SPLITS = 6
+#: A group that a split makes is paired up to this size, and to twice that after each further split.
+SPLIT_GROUP = 48
+#: Large groups are split so often; what is then still large and in several components is paired, under the same bounds.
+MAX_SPLITS = 4
 #: Similarity in percent from which a member counts as close to its hub.
 CLOSE = 50
 #: Text bytes for each bucket of signatures, and words of the cache of one worker.
@@ -290,7 +292,7 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, percent: int, levels: li
     ranked = materialize(_ranked(groups.select("set").distinct().join(elements, "set")), "jaccard-ranked")
     placed = lambda df: df.join(component, "set", "left").withColumn("c", F.coalesce("c", "set"))
     component = _components(links)
-    for _ in range(MAX_SPLITS):
+    for nth in range(MAX_SPLITS):
         # groups of several components, and their hubs: the member of most groups
         weighed = placed(groups).withColumn("w", F.count(F.lit(1)).over(Window.partitionBy("set")))
         hubs = weighed.groupBy("g").agg(F.max_by("set", F.struct("w", "set")).alias("hub"), F.min("c").alias("low"), F.max("c").alias("high"))
@@ -302,15 +304,21 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, percent: int, levels: li
         links = materialize(links.unionByName(near), "jaccard-links")
         component = _components(links)
         rest = materialize(placed(compared.where("role > 0")), "jaccard-rest")
-        sizes = rest.groupBy("g").agg(F.count(F.lit(1)).alias("many"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("g", "many")
-        rest = materialize(rest.join(sizes, "g"), "jaccard-rest")
-        likely = materialize(_possible(_small_pairs(rest.where(F.col("many") <= SMALL_GROUP), percent), classes, percent), "jaccard-likely")
+        mixed = lambda df, *more: df.groupBy("g").agg(F.count(F.lit(1)).alias("many"), F.min("c").alias("low"), F.max("c").alias("high"), *more).where("low <> high").drop("low", "high")
+        # a member that overlaps too little even with the nearest possible partner goes
+        reach = mixed(rest, F.min("need").alias("least"), F.max("rest").alias("most")).drop("many")
+        able = F.col("need") + F.col("least") <= 2 * (100 + percent) * F.least("rest", "most")
+        rest = materialize(rest.join(reach, "g").where(able).drop("least", "most"), "jaccard-able")
+        rest = materialize(rest.join(mixed(rest), "g"), "jaccard-rest")
+        likely = materialize(_possible(_small_pairs(rest.where(F.col("many") <= SPLIT_GROUP << nth), percent), classes, percent), "jaccard-likely")
         links = materialize(links.unionByName(_verified(likely, elements, percent)), "jaccard-links")
-        groups = rest.where(F.col("many") > SMALL_GROUP).select("g", "set")
-    component = _components(links)
-    left = materialize(placed(groups).distinct(), "jaccard-left")
-    pairs = left.alias("x").join(left.alias("y"), "g").where("x.set < y.set and x.c <> y.c").select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
-    return links.unionByName(_verified(_possible(pairs.distinct(), classes, percent), elements, percent))
+        rest = rest.where(F.col("many") > SPLIT_GROUP << nth)
+        groups = rest.select("g", "set")
+    left = materialize(placed(rest.drop("c", "many")), "jaccard-left")
+    side = lambda name: left.select("g", F.struct("set", "role", "need", "rest", "size", "c").alias(name))
+    pairs = side("x").join(side("y"), "g").where(_may_meet(F.col("x"), F.col("y"), percent)).select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
+    pairs = materialize(pairs.distinct(), "jaccard-pairs")
+    return links.unionByName(_verified(_possible(pairs, classes, percent), elements, percent))
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -427,13 +435,17 @@ def _compared(pairs: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
 
 def _small_pairs(rest: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of small groups that lie in different components and may be similar."""
-    members = rest.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("set", "role", "need", "rest", "size", "c"))).alias("m"))
-    pair = members.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: (y.set > F.col("x.set")) & (y.c != F.col("x.c")))).alias("y"))
-    role = lambda i, j: (F.col("x.role").bitwiseAND(i) > 0) & (F.col("y.role").bitwiseAND(j) > 0)
+    members = rest.groupBy("g").agg(F.collect_list(F.struct("set", "role", "need", "rest", "size", "c")).alias("m"))
+    pair = members.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: _may_meet(F.col("x"), y, percent))).alias("y"))
+    return pair.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
+
+
+def _may_meet(x: Column, y: Column, percent: int) -> Column:
+    """Whether two members (structs) of a group of ``_compared`` may be similar: once, for the smaller set id."""
+    role = lambda i, j: (x.role.bitwiseAND(i) > 0) & (y.role.bitwiseAND(j) > 0)
     meets = role(1, 1) | role(2, 4) | role(4, 2) | role(8, 8)
-    enough = F.col("x.need") + F.col("y.need") <= 2 * (100 + percent) * F.least("x.rest", "y.rest")
-    sizes = 100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")
-    return pair.where(meets & enough & sizes).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
+    enough = x.need + y.need <= 2 * (100 + percent) * F.least(x.rest, y.rest)
+    return (y.set > x.set) & (y.c != x.c) & meets & enough & (100 * F.least(x.size, y.size) >= percent * F.greatest(x.size, y.size))
 
 
 def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
