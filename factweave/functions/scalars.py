@@ -121,3 +121,42 @@ def language_of(file: Column) -> Column:
     """Language by lower-case extension; null for others."""
     pairs = F.create_map(*[F.lit(x) for kv in R.EXTENSIONS.items() for x in kv])
     return F.try_element_at(pairs, F.lower(F.regexp_extract(file, r"\.(\w+)\z", 1)))
+
+
+def server_language(file: Column) -> Column:
+    """Language of a file as an editor's server names it: other extensions stand for themselves."""
+    extension = F.regexp_extract(file, r"\.(\w+)\z", 1)
+    named = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python"}
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in named.items() for x in kv]), extension), extension)
+
+
+def symbol_column(line: Column, symbol: Column) -> Column:
+    """Bytes before the first whole-word occurrence of a symbol in a line; null without one."""
+    parts = F.split(line, F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), symbol, F.lit(r"\E(?![A-Za-z0-9_])")), 2)
+    return F.when(F.size(parts) == 2, F.octet_length(F.get(parts, F.lit(0))))
+
+
+def receiver_column(line: Column, medium: Column) -> Column:
+    """Bytes before the receiver of the first method call that shows a medium; null without one."""
+    found = None
+    for name, methods in R.RECEIVER_METHODS.items():
+        # of a method only its first occurrence counts, and only behind a dot
+        each = [F.when(F.regexp_extract(before, r"(\w+)\.\z", 1) != "", F.octet_length(F.regexp_replace(before, r"\w+\.\z", ""))) for m in methods for before in [F.when(line.contains(m), F.substring_index(line, m, 1))]]
+        column = F.coalesce(*each)
+        found = F.when(medium == name, column) if found is None else found.when(medium == name, column)
+    return found
+
+
+def path_to_uri(path: Column, root: str = "/") -> Column:
+    """file:// with the absolute path; relative paths lie below ``root``."""
+    return F.concat(F.lit("file://"), F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path)))
+
+
+def uri_to_path(uri: Column) -> Column:
+    """The path of a file:// URI; null for others."""
+    return F.when(uri.startswith("file://"), F.substring(uri, 8, 1 << 30))
+
+
+def edge_kind(kind: Column) -> Column:
+    """How the kind of an edge between spans is shown."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in R.EDGE_KINDS.items() for x in kv]), kind)

@@ -18,23 +18,16 @@ def newlines(text: Column) -> Column:
 
 
 def matches(src: Column, pattern: str, make) -> Column:
-    """Array of ``make(text, line)`` for the non-overlapping matches of a pattern.
+    """Array of ``make(text, line)`` for the non-overlapping matches of a pattern, in linear time.
 
-    A match's line is one more than the line feeds in the gaps and matches before it.
+    Every match is marked where it starts; the marks of each line say which lines they are on.
     """
-    found, gaps = F.regexp_extract_all(src, F.lit(pattern), 0), F.split(src, pattern, -1)
-    both = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), newlines(g).alias("g"), newlines(F.coalesce(m, F.lit(""))).alias("n")))
-    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<m:string,line:int>>").alias("out"))
-    placed = F.aggregate(
-        F.filter(both, lambda x: x["m"].isNotNull()),
-        start,
-        lambda a, x: F.struct(
-            (a["line"] + x["g"] + x["n"]).alias("line"),
-            F.concat(a["out"], F.array(F.struct(x["m"].alias("m"), (a["line"] + x["g"]).alias("line")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.transform(placed, lambda x: make(x["m"], x["line"].cast("long")))
+    mark = "\x01"
+    marked = F.split(F.regexp_replace(F.translate(src, mark, "\x02"), pattern, mark + "$0"), "\n")
+    marks = lambda text: F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+    lines = F.flatten(F.transform(marked, lambda text, i: F.array_repeat((i + 1).cast("long"), marks(text))))
+    found = F.zip_with(F.regexp_extract_all(src, F.lit(pattern), 0), lines, make)
+    return F.when(src.rlike(pattern), found).otherwise(F.array())
 
 
 def _guarded(languages, rows: Column) -> Column:
@@ -64,16 +57,19 @@ def direction_of(rule: R.Rule, text: Column, key: Column) -> Column:
 
 
 def boundary_events(files: DataFrame, rules=None, compat: bool = False) -> DataFrame:
-    """One row for each event: file, line, fn_name, direction, medium, key_raw, key_norm, prov_source, prov_confidence, rule, ord.
+    """One row for each event: file, line, fn_name, direction, medium, key_raw, key_norm, prov_source, prov_confidence, rule, ord, raw_context.
 
-    A query gives one event for each table in it. ``ord`` orders the events of a file:
-    call rules before patterns, then by rule and line.
+    A query gives one event for each table in it; with ``compat`` a call rule's query gives
+    its primary table alone. ``ord`` orders the events of a file: call rules before patterns,
+    then by rule and line. ``raw_context`` is the line's text.
     """
     rules = [r for r in (rules or (*R.CALL_RULES, *R.EVENT_RULES)) if r.enabled]
 
     def row(rule: R.Rule, number: int):
         def make(text: Column, line: Column) -> Column:
             key = _group(text, rule.pattern, rule.key)
+            key = S.strip_literal(key) if rule.strip else key
+            key = F.when(~key.isin(*rule.never), key) if rule.never else key
             return F.struct(
                 line.alias("line"),
                 direction_of(rule, text, key).alias("direction"),
@@ -89,10 +85,13 @@ def boundary_events(files: DataFrame, rules=None, compat: bool = False) -> DataF
         return make
 
     found = F.concat(*[_guarded(r.languages, matches(F.col("src"), r.pattern, row(r, i))) for i, r in enumerate(rules)])
-    rows = files.select("file", "language", F.explode(found).alias("e")).select("file", "language", "e.*").where("key_raw is not null")
-    tables = F.when(F.col("is_sql"), S.sql_tables(F.col("key_raw"))).otherwise(F.array("key_raw"))
+    rows = files.select("file", "language", "src", F.explode(found).alias("e")).select("file", "language", "e.*", F.split_part("src", F.lit("\n"), F.col("e.line").cast("int")).alias("raw_context")).where("key_raw is not null")
+    every = S.sql_tables(F.col("key_raw"))
+    if compat:
+        every = F.when(F.col("prov_source") == "lexical", F.array_compact(F.array(S.sql_primary_table(F.col("key_raw"))))).otherwise(every)
+    tables = F.when(F.col("is_sql"), every).otherwise(F.array("key_raw"))
     rows = rows.withColumn("key", F.explode(tables)).withColumn("key_norm", S.normalise_key(F.col("key")))
-    return rows.select("file", "language", "line", F.lit("<module>").alias("fn_name"), "direction", "medium", "key_raw", "key_norm", "prov_source", "prov_confidence", "rule", "ord")
+    return rows.select("file", "language", "line", F.lit("<module>").alias("fn_name"), "direction", "medium", "key_raw", "key_norm", "prov_source", "prov_confidence", "rule", "ord", F.trim("raw_context").alias("raw_context"))
 
 
 def _lines(files: DataFrame) -> DataFrame:
@@ -113,7 +112,7 @@ def symbols(files: DataFrame) -> DataFrame:
             "always": F.lit(True),
         }[export]
         made = F.struct(name.alias("name"), F.lit(kind).alias("kind"), exported.alias("is_exported"))
-        return F.when((F.col("language") == language) & name.isNotNull(), made)
+        return F.when((F.col("language") == language) & name.isNotNull() & ~name.isin(*R.NOT_DEFINED), made)
 
     found = _lines(files).withColumn("s", F.coalesce(*[row(r) for r in R.SYMBOL_RULES])).where("s is not null")
     return found.select("s.name", "s.kind", "file", "line", "s.is_exported", F.lit("lexical").alias("prov_source"), F.lit(R.SYMBOL).alias("prov_confidence"))
@@ -145,44 +144,107 @@ def middleware(files: DataFrame) -> DataFrame:
     return files.withColumn("middleware", F.array_distinct(found.cast("array<string>")))
 
 
-def entry_hints(files: DataFrame) -> DataFrame:
-    """fn_name, file, line, kind, framework, path, method, confidence, heuristic, middleware, ord."""
+_HINT = "array<struct<fn_name:string,line:bigint,kind:string,framework:string,path:string,method:string,confidence:double,heuristic:string,ord:int,guard:string>>"
+
+
+def _hint(fn: Column, line: Column, kind: str, framework: str | None, path: Column, method: Column, confidence: float, heuristic: str, number: int, guard: Column) -> Column:
+    return F.struct(
+        fn.alias("fn_name"), line.cast("long").alias("line"), F.lit(kind).alias("kind"), F.lit(framework).cast("string").alias("framework"), path.alias("path"), F.upper(method).alias("method"),
+        F.lit(confidence).alias("confidence"), F.lit(heuristic).alias("heuristic"), F.lit(number).alias("ord"), guard.alias("guard"),
+    )
+
+
+def pattern_hints(src: Column) -> Column:
+    """Array of the hints that the hint rules and main marks give for a file."""
+    none = F.lit(None).cast("string")
 
     def row(h: R.Hint, number: int):
         def make(text: Column, line: Column) -> Column:
-            group = lambda g: F.nullif(F.regexp_extract(text, h.pattern, g), F.lit("")) if g else F.lit(None).cast("string")
-            return F.struct(
-                F.coalesce(group(h.fn), F.lit("<route>")).alias("fn_name"), line.alias("line"), F.lit(h.kind).alias("kind"), F.lit(h.framework).alias("framework"),
-                group(h.path).alias("path"), F.upper(group(h.method)).alias("method"), F.lit(h.confidence).alias("confidence"), F.lit(h.heuristic).alias("heuristic"), F.lit(number).alias("ord"),
-            )
+            group = lambda g: F.nullif(F.regexp_extract(text, h.pattern, g), F.lit("")) if g else none
+            return _hint(F.coalesce(group(h.fn), F.lit(h.name)), line, h.kind, h.framework, group(h.path), group(h.method), h.confidence, h.heuristic, number, group(h.guard))
 
         return make
 
     def main(language: str, mark: str, confidence: float) -> Column:
-        none = F.lit(None).cast("string")
-        made = F.struct(
-            F.lit("main").alias("fn_name"), F.lit(None).cast("long").alias("line"), F.lit("main").alias("kind"), none.alias("framework"), none.alias("path"),
-            none.alias("method"), F.lit(confidence).alias("confidence"), F.lit("main_fn").alias("heuristic"), F.lit(len(R.HINT_RULES)).alias("ord"),
-        )
-        return F.when((F.col("language") == language) & F.contains("src", F.lit(mark)), F.array(made)).otherwise(F.array())
+        made = _hint(F.lit("main"), F.lit(None), "main", None, none, none, confidence, "main_fn", len(R.HINT_RULES), none)
+        return F.when((F.col("language") == language) & F.contains(src, F.lit(mark)), F.array(made)).otherwise(F.array())
+
+    found = [_guarded(h.languages, matches(src, h.pattern, row(h, i))) for i, h in enumerate(R.HINT_RULES)]
+    return F.concat(*[F.coalesce(x, F.array()).cast(_HINT) for x in (*found, *[main(*m) for m in R.MAIN_MARKS])])
+
+
+def injected(src: Column) -> Column:
+    """Array of (fn, names, line): Python functions with injected parameters, and what is injected."""
+    make = lambda text, line: F.struct(F.regexp_extract(text, R.DEPENDS_PATTERN, 1).alias("fn"), F.regexp_extract_all(text, F.lit(R.DEPENDS_NAME), 1).alias("names"), line.alias("line"))
+    return F.coalesce(_guarded(("python",), matches(src, R.DEPENDS_PATTERN, make)), F.array()).cast("array<struct<fn:string,names:array<string>,line:bigint>>")
 
-    found = F.concat(*[_guarded(h.languages, matches(F.col("src"), h.pattern, row(h, i))) for i, h in enumerate(R.HINT_RULES)], *[main(*m) for m in R.MAIN_MARKS])
-    rows = middleware(files).select("file", "middleware", F.explode(found).alias("h")).select("h.*", "file", "middleware")
-    return rows.unionByName(resource_hints(files))
+
+def controller_actions(file: Column, src: Column) -> Column:
+    """Array of (fn, line): the public actions of a Rails controller, as prefix#action."""
+    prefix = S.camel_to_snake(F.regexp_extract(src, R.CONTROLLER_CLASS, 1))
+    public = F.get(F.split(src, R.PRIVATE_MARK, 2), F.lit(0))
+    action = lambda text: F.regexp_extract(text, R.ACTION_PATTERN, 1)
+    # a match may begin with line feeds before its own line
+    make = lambda text, line: F.struct(action(text).alias("action"), (line + newlines(text)).alias("line"))
+    found = F.filter(matches(public, R.ACTION_PATTERN, make), lambda a: ~a["action"].startswith("_") & ~a["action"].isin(*R.NOT_ACTIONS))
+    named = F.transform(found, lambda a: F.struct(F.when(prefix == "", a["action"]).otherwise(F.concat_ws("#", prefix, a["action"])).alias("fn"), a["line"].alias("line")))
+    is_one = (file.contains("controllers") | src.contains("< ApplicationController")) & src.contains("Controller")
+    return F.when((F.col("language") == "ruby") & is_one, named).otherwise(F.array()).cast("array<struct<fn:string,line:bigint>>")
+
+
+def extractor_functions(src: Column) -> Column:
+    """Array of (fn, line): Rust functions whose parameters show that they handle requests."""
+    make = lambda text, line: F.struct(F.regexp_extract(text, R.EXTRACTOR_PATTERN, 1).alias("fn"), line.alias("line"))
+    return F.coalesce(_guarded(("rust",), matches(src, R.EXTRACTOR_PATTERN, make)), F.array()).cast("array<struct<fn:string,line:bigint>>")
+
+
+def entry_hints(files: DataFrame) -> DataFrame:
+    """fn_name, file, line, kind, framework, path, method, confidence, heuristic, middleware, ord.
+
+    Hints of weaker producers (Rails resources and controller actions, Rust functions with
+    request parameters, Python functions with injected ones) only come for functions that
+    have none yet in their file. Middleware is a route's own wrapper or injected functions,
+    else what its file installs.
+    """
+    none, n = F.lit(None).cast("string"), len(R.HINT_RULES)
+    src = F.col("src")
+    base = middleware(files).select("file", "language", "src", "middleware", pattern_hints(src).alias("found"), injected(src).alias("injected"), resources(src).alias("resources"))
+    names = F.transform("found", lambda h: h["fn_name"])
+    weak = lambda f, line, framework, confidence, heuristic, path=none, method=none: _hint(f, line, "route", framework, path, method, confidence, heuristic, n + 1, none)
+    fresh = lambda rows, name, *seen: F.filter(rows, lambda r: ~F.array_contains(F.concat(*seen), name(r)))
+    of_resources = F.transform(fresh(F.col("resources"), lambda r: r["fn_name"], names), lambda r: weak(r["fn_name"], r["line"], "rails", 0.85, "resources", r["path"], r["method"]))
+    seen = F.concat(names, F.transform("resources", lambda r: r["fn_name"]))
+    actions = F.filter(controller_actions(F.col("file"), src), lambda a: ~F.array_contains(seen, a["fn"]) & ~F.array_contains(seen, F.element_at(F.split(a["fn"], "#"), -1)))
+    extractors = F.filter(extractor_functions(src), lambda a: ~F.exists("found", lambda h: (h["kind"] == "route") & (h["fn_name"] == a["fn"])))
+    depending = F.filter("injected", lambda a: ~F.array_contains(names, a["fn"]))
+    more = [
+        of_resources,
+        F.transform(actions, lambda a: weak(a["fn"], a["line"], "rails", 0.80, "controller_action")),
+        F.transform(extractors, lambda a: weak(a["fn"], a["line"], "axum", 0.75, "extractor_fn")),
+        F.transform(depending, lambda a: weak(a["fn"], a["line"], "fastapi", 0.80, "depends_fn")),
+    ]
+    rows = base.select("file", "middleware", "injected", F.explode(F.concat("found", *[m.cast(_HINT) for m in more])).alias("h")).select("h.*", "file", "middleware", "injected")
+    own = F.flatten(F.transform(F.filter("injected", lambda a: a["fn"] == F.col("fn_name")), lambda a: a["names"]))
+    names_of = F.when(F.col("guard").isNotNull(), F.array("guard")).when(F.size(own) > 0, own).otherwise(F.col("middleware"))
+    return rows.withColumn("middleware", names_of).drop("guard", "injected")
+
+
+def resources(src: Column) -> Column:
+    """Array of (fn_name, path, method, line) of Rails ``resources :name``: seven each, six for ``resource``."""
+    pattern = r"(?:^|[\s;])(resources?)\s+:(\w+)"
+
+    def make(text: Column, line: Column) -> Column:
+        name, plural = F.regexp_extract(text, pattern, 2), F.regexp_extract(text, pattern, 1) == "resources"
+        line = line + F.when(text.startswith("\n"), F.lit(1)).otherwise(F.lit(0))  # a match may begin with the line feed before
+        rows = [F.struct(F.concat_ws("#", name, F.lit(action)).alias("fn_name"), F.concat(F.lit("/"), name, F.lit(tail)).alias("path"), F.lit(verb).alias("method"), line.alias("line")) for action, verb, tail in R.RESOURCE_ACTIONS]
+        return F.when(plural, F.array(*rows)).otherwise(F.array(*[r for r, a in zip(rows, R.RESOURCE_ACTIONS) if a[0] != "index"]))
+
+    return F.coalesce(_guarded(("ruby",), F.flatten(matches(src, pattern, make))), F.array()).cast("array<struct<fn_name:string,path:string,method:string,line:bigint>>")
 
 
 def resource_hints(files: DataFrame) -> DataFrame:
     """Hints of Rails ``resources :name``: seven rows, six for ``resource``."""
-    pattern = r"(?m)(?:^|[ \t;])(resources?)\s+:(\w+)"
-    actions = F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in zip(("action", "verb", "tail"), a)]) for a in R.RESOURCE_ACTIONS])
-    make = lambda text, line: F.struct(F.regexp_extract(text, pattern, 1).alias("word"), F.regexp_extract(text, pattern, 2).alias("name"), line.alias("line"))
-    rows = middleware(files).select("file", "middleware", F.explode(_guarded(("ruby",), matches(F.col("src"), pattern, make))).alias("r"))
-    rows = rows.select("file", "middleware", "r.*", F.explode(actions).alias("a")).where("word = 'resources' or a.action <> 'index'")
-    return rows.select(
-        F.concat_ws("#", "name", "a.action").alias("fn_name"), "line", F.lit("route").alias("kind"), F.lit("rails").alias("framework"),
-        F.concat(F.lit("/"), "name", "a.tail").alias("path"), F.col("a.verb").alias("method"), F.lit(0.85).alias("confidence"),
-        F.lit("resources").alias("heuristic"), F.lit(len(R.HINT_RULES) + 1).alias("ord"), "file", "middleware",
-    )
+    return files.select("file", F.explode(resources(F.col("src"))).alias("r")).select("r.*", "file")
 
 
 def file_meta_counts(files: DataFrame) -> DataFrame:

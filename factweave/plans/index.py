@@ -27,7 +27,7 @@ def index(files: DataFrame, config: Config = Config(), verdicts: DataFrame | Non
     files = files.select("file", "language", "src")
     symbols = materialize(extract.symbols(files), "symbols")
     edges = materialize(attribute.attribute_edges(extract.edges(files), symbols), "edges")
-    events = attribute.merge_first_wins(extract.boundary_events(files), compat=config.compat)
+    events = attribute.merge_first_wins(extract.boundary_events(files, compat=config.compat), compat=config.compat)
     events = attribute.attribute_events(events, symbols).where("medium <> 'http_body'")
     if verdicts is not None:
         events = attribute.overlay_verdicts(events, verdicts)

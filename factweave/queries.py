@@ -93,10 +93,14 @@ def file_meta_counts(spark, sf_dir):
 # --- extraction --------------------------------------------------------------------------
 
 
+def _named(p: str) -> str:
+    return f"regexp_extract(text, {text(p)}, 1) not in {words(('', *R.NOT_DEFINED))}"
+
+
 def _symbol_sql() -> str:
     """First rule of a line that matches; RE2 has no look-around, and these patterns need none."""
-    name = "coalesce(" + ", ".join(f"case when language = '{lang}' then nullif(regexp_extract(text, {text(p)}, 1), '') end" for lang, _, p, _ in R.SYMBOL_RULES) + ")"
-    kind = "case " + " ".join(f"when language = '{lang}' and regexp_extract(text, {text(p)}, 1) <> '' then '{k}'" for lang, k, p, _ in R.SYMBOL_RULES) + " end"
+    name = "coalesce(" + ", ".join(f"case when language = '{lang}' and {_named(p)} then regexp_extract(text, {text(p)}, 1) end" for lang, _, p, _ in R.SYMBOL_RULES) + ")"
+    kind = "case " + " ".join(f"when language = '{lang}' and {_named(p)} then '{k}'" for lang, k, p, _ in R.SYMBOL_RULES) + " end"
     return f"""with {V.SRC_SQL}, s as (select {name} as name, {kind} as kind, file, cast(line as bigint) as line, language, text from lines)
 select name, kind, file, line, case language when 'javascript' then regexp_matches(text, '^\\s*export\\b') when 'typescript' then regexp_matches(text, '^\\s*export\\b')
   when 'python' then not starts_with(name, '_') when 'ruby' then not starts_with(name, '_') when 'rust' then regexp_matches(text, '^\\s*pub\\b') when 'go' then regexp_matches(name, '^[A-Z]') else true end as is_exported
@@ -153,9 +157,17 @@ def _header(e: str) -> str:
     return f"case when lower({e}) in {words(R.HEADER_NAMES)} or starts_with(lower({e}), 'x-') then 'http_header' else 'redis' end"
 
 
+def _literal(e: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace(trim({e}), '^&', ''), '^r#*\"', ''), '^\"|\"#*$', '', 'g')"
+
+
 def _rule_sql(r: R.Rule) -> str:
     p = text(r.pattern)
     key = "coalesce(" + ", ".join(f"nullif(regexp_extract(text, {p}, {g}), '')" for g in r.key) + ")"
+    if r.strip:
+        key = _literal(key)
+    if r.never:
+        key = f"case when {key} not in {words(r.never)} then {key} end"
     group = lambda g: f"regexp_extract(text, {p}, {g})"
     direction = {
         "read": "'read'", "write": "'write'", "header": "'read'", "verb": _verb(key),
@@ -184,7 +196,7 @@ def _boundary(medium: str):
     return run
 
 
-for _medium in ("env", "redis", "kafka", "sql", "http_header", "http_out", "rabbitmq", "sqs", "filesystem", "grpc", "queue", "websocket"):
+for _medium in ("env", "redis", "kafka", "sql", "http_header", "http_out", "rabbitmq", "sqs", "filesystem", "grpc", "queue", "websocket", "cookie"):
     query(_events_sql(_medium), f"boundary_{_medium}")(_boundary(_medium))
 
 # --- scalars -----------------------------------------------------------------------------
@@ -211,7 +223,7 @@ SCALARS = {
     "sql_primary_table": (STATEMENTS, S.sql_primary_table, f"lower(regexp_replace(coalesce({', '.join(map(_after, ('FROM', 'INTO', 'UPDATE', 'JOIN')))}), '^\\W+|\\W+$', '', 'g'))"),
     "header_reclassify": (KEYS, S.header_medium, _header("t")),
     "normalise_key": (KEYS, S.normalise_key, _norm("t")),
-    "strip_literal": (('&"lit@"', 'r#"raw@"#', '"plain@"', "bare@"), S.strip_literal, "regexp_replace(regexp_replace(regexp_replace(trim(t), '^&', ''), '^r#*\"', ''), '^\"|\"#*$', '', 'g')"),
+    "strip_literal": (('&"lit@"', 'r#"raw@"#', '"plain@"', "bare@"), S.strip_literal, _literal("t")),
     "strip_base_url": (("https://api.example.com/foo/@", "https://api.example.com", "/x/@", "rel@/path"), S.strip_base_url, _base("t")),
     "template_interp": (("/users/${id}/comments/${c@}", "/plain/@"), S.template_path, "regexp_replace(t, '\\$\\{[^}]*\\}', ':param', 'g')"),
     "camel_to_snake": (("UserProfilesController", "Api@Controller", "plain"), S.camel_to_snake, "lower(regexp_replace(regexp_replace(t, 'Controller$', ''), '([a-z0-9])([A-Z])', '\\1_\\2', 'g'))"),
@@ -318,16 +330,43 @@ def confidence_overlay(spark, sf_dir):
 # --- entry points ------------------------------------------------------------------------
 
 
-@query(f"with {V.SRC_SQL} " + " union all ".join(
-    f"select file, unnest(regexp_extract_all(src, {text(h.pattern)}, {h.fn})) as fn_name, {f'upper(unnest(regexp_extract_all(src, {text(h.pattern)}, {h.method})))' if h.method else 'null'} as method, {f'unnest(regexp_extract_all(src, {text(h.pattern)}, {h.path}))' if h.path else 'null'} as path, '{h.framework}' as framework from src_files where language in {words(h.languages)}"
-    for h in R.HINT_RULES if h.framework != "laravel"
-))
+def _hint_sql(h: R.Hint) -> str:
+    each = lambda g: f"unnest(regexp_extract_all(src, {text(h.pattern)}, {g}))"
+    name = each(h.fn) if h.fn else f"case when {each(0)} is not null then '{h.name}' end"
+    return f"select file, {name} as fn_name, {f'upper({each(h.method)})' if h.method else 'null'} as method, {each(h.path) if h.path else 'null'} as path, '{h.framework}' as framework, '{h.heuristic}' as heuristic, {h.confidence}::double as confidence, {each(h.guard) if h.guard else 'null'} as guard from src_files where language in {words(h.languages)} and regexp_matches(src, {text(h.pattern)})"
+
+
+HINT_MADE = ("resources", "controller_action", "extractor_fn", "depends_fn")
+
+
+@query(f"with {V.SRC_SQL}, h as ({' union all '.join(map(_hint_sql, R.HINT_RULES))}) select file, fn_name, method, path, framework, heuristic, confidence from h")
 def hints_routes(spark, sf_dir):
-    rows = extract.entry_hints(V.src_files(spark, sf_dir)).where("kind in ('route', 'cron') and heuristic <> 'resources' and framework <> 'laravel'")
-    return rows.select("file", "fn_name", "method", "path", "framework")
+    rows = extract.entry_hints(V.src_files(spark, sf_dir)).where(F.col("kind").isin("route", "cron") & ~F.col("heuristic").isin(*HINT_MADE))
+    return rows.select("file", "fn_name", "method", "path", "framework", "heuristic", "confidence")
+
+
+@query(f"with {V.SRC_SQL}, h as ({' union all '.join(_hint_sql(h) for h in R.HINT_RULES if h.guard)}) select file, fn_name, path, guard from h")
+def hints_wrapped_routes(spark, sf_dir):
+    rows = extract.entry_hints(V.src_files(spark, sf_dir)).where("framework = 'axum' and heuristic = 'route_decorator' and size(middleware) = 1")
+    return rows.select("file", "fn_name", "path", F.get("middleware", F.lit(0)).alias("guard"))
+
+
+# a template's own expected rows, as text: what is found in the source doesn't come from the rules here
+@query("""select 'svc' || c_nationkey || '/src/python/file' || c_custkey || '.py' as file, unnest(['dep_' || c_custkey, 'show_' || c_custkey]) as fn_name, unnest(['depends_fn', 'route_decorator']) as heuristic, unnest(['user' || c_nationkey || ',db', 'session']) as names
+from customer where c_custkey % 8 = 2""")
+def hints_injected(spark, sf_dir):
+    rows = extract.entry_hints(V.src_files(spark, sf_dir)).where("file like '%.py' and kind = 'route' and size(middleware) > 0")
+    return rows.select("file", "fn_name", "heuristic", F.array_join("middleware", ",").alias("names"))
+
+
+@query("""select 'svc' || c_nationkey || '/src/rust/file' || c_custkey || '.rs' as file, 'get_' || c_custkey as fn_name, 0.75::double as confidence from customer where c_custkey % 8 = 4
+union all select 'svc' || c_nationkey || '/src/ruby/file' || c_custkey || '.rb', unnest(['order' || c_custkey || '#show_' || c_custkey, 'order' || c_custkey || '#list']), 0.80 from customer where c_custkey % 8 = 3""")
+def hints_functions(spark, sf_dir):
+    rows = extract.entry_hints(V.src_files(spark, sf_dir)).where("heuristic in ('extractor_fn', 'controller_action')")
+    return rows.select("file", "fn_name", "confidence")
 
 
-@query(f"with {V.SRC_SQL}, r as (select file, regexp_extract(text, '(?:^|[ \t;])(resources?)\\s+:(\\w+)', 2) as name, cast(line as bigint) as line from lines where language = 'ruby' and regexp_matches(text, '(?:^|[ \t;])(resources?)\\s+:(\\w+)')) select file, line, name || '#' || a.action as fn_name, a.verb as method, '/' || name || a.tail as path from r cross join (values {', '.join(str(a) for a in R.RESOURCE_ACTIONS)}) as a(action, verb, tail)")
+@query(f"with {V.SRC_SQL}, r as (select file, regexp_extract(text, '(?:^|[ \t;])(resources?)\\s+:(\\w+)', 2) as name, regexp_extract(text, '(?:^|[ \t;])(resources?)\\s+:', 1) = 'resources' as plural, cast(line as bigint) as line from lines where language = 'ruby' and regexp_matches(text, '(?:^|[ \t;])(resources?)\\s+:(\\w+)')) select file, line, name || '#' || a.action as fn_name, a.verb as method, '/' || name || a.tail as path from r cross join (values {', '.join(str(a) for a in R.RESOURCE_ACTIONS)}) as a(action, verb, tail) where plural or a.action <> 'index'")
 def hints_resources_expand(spark, sf_dir):
     return extract.resource_hints(V.src_files(spark, sf_dir)).select("file", "line", "fn_name", "method", "path")
 

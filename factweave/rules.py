@@ -28,7 +28,8 @@ LEXICAL, PATTERN, SYMBOL = 0.90, 0.65, 0.95  # confidences
 class Rule:
     """One pattern: for which languages, the groups that may hold the key, and how to label it.
 
-    direction: read, write, or how the match decides (see functions.scalars.direction_of).
+    direction: read, write, or how the match decides (see operators.extract.direction_of).
+    never: keys that don't count. strip: the key is an expression, of which a literal loses its marks.
     """
 
     name: str
@@ -39,6 +40,8 @@ class Rule:
     direction: str
     confidence: float = PATTERN
     enabled: bool = True
+    never: tuple[str, ...] = ()
+    strip: bool = False
 
 
 #: Pattern layer: in any file unless the rule names languages.
@@ -59,17 +62,18 @@ EVENT_RULES = (
     Rule("sqlalchemy", ALL, r"(?:session|db\.session)\.(query|add|delete|merge|flush|commit)\s*\(\s*([A-Z][a-zA-Z0-9_]*)", (2,), "sql", "session"),
     Rule("set_header", ALL, rf"res\.(setHeader|set)\s*\(\s*{Q}({N}+){Q}", (2,), "http_header", "write"),
     Rule("req_header", ALL, rf"req\.headers\[{Q}({N}+){Q}\]|req\.headers\.get\s*\(\s*{Q}({N}+){Q}", (1, 2), "http_header", "read"),
-    Rule("fetch", JS, r"fetch\s*\(\s*['\"]((?:https?://|/)[^'\"]+)['\"]", (1,), "http_out", "write"),
+    Rule("fetch", JS, rf"fetch\s*\(\s*{Q}(https?://[^'\"`\s]+|/[A-Za-z0-9_/\-.:]+){Q}", (1,), "http_out", "write"),
     Rule("fetch_template", JS, r"fetch\s*\(\s*`(/[^`]+)`", (1,), "http_out", "write"),
     Rule("proto_client", JS, rf"proto(?:Post|Get|Request)\s*(?:<[^>]*>)?\s*\(\s*{Q}(/[^'\"`\s]+){Q}", (1,), "http_out", "write"),
-    Rule("http_client", JS, rf"\b(?:axios|api|apiClient|client|http|httpClient|request)\.(get|post|put|delete|patch)\s*\(\s*{Q}((?:https?://|/){N}+){Q}", (2,), "http_out", "write"),
+    Rule("http_client", JS, rf"\b(?:axios|api|apiClient|client|http|httpClient|request)\.(get|post|put|delete|patch)\s*\(\s*{Q}({N}+){Q}", (2,), "http_out", "write"),
+    Rule("url_const", JS, rf"(?:const|let|var)\s+\w*(?:URL|ENDPOINT|API|HOST|BASE)\w*\s*=\s*{Q}(https?://[^'\"`\s]+|/[A-Za-z0-9_/\-.:]+){Q}", (1,), "http_out", "write"),
     Rule("rabbit_publish", ALL, rf"channel\.(?:publish|sendToQueue)\s*\(\s*{Q}({N}*){Q}\s*,\s*{Q}({N}+){Q}", (2,), "rabbitmq", "write"),
     Rule("rabbit_consume", ALL, rf"channel\.consume\s*\(\s*{Q}({N}+){Q}", (1,), "rabbitmq", "read"),
     Rule("sqs_send", ALL, rf"sqs\.sendMessage\s*\(\s*\{{[^}}]*QueueUrl:\s*{Q}({N}+){Q}", (1,), "sqs", "write"),
     Rule("sqs_receive", ALL, rf"sqs\.receiveMessage\s*\(\s*\{{[^}}]*QueueUrl:\s*{Q}({N}+){Q}", (1,), "sqs", "read"),
     Rule("fs_js", ALL, rf"(?:fs|promises)\.(readFile|writeFile|appendFile|readFileSync|writeFileSync)\s*\(\s*{Q}({N}+){Q}", (2,), "filesystem", "file"),
     Rule("prost_encode", ("rust",), r"([A-Z]\w+)\s*\{[^}]*\}\s*\.encode_to_vec\s*\(\s*\)", (1,), "grpc", "write"),
-    Rule("prost_decode", ("rust",), r"([A-Z]\w+)::decode\s*\(", (1,), "grpc", "read"),
+    Rule("prost_decode", ("rust",), r"([A-Z]\w+)::decode\s*\(", (1,), "grpc", "read", never=("base64", "hex", "utf8", "str", "String", "Vec", "u8", "i64", "f64")),
     Rule("tonic_request", ("rust",), r"(?:tonic::)?Request::new\s*\(\s*(\w+)\s*[{\(]", (1,), "grpc", "write"),
     Rule("proto_encode", JS, r"(\w+)\.encode\s*\([^)]+\)\.finish\s*\(\s*\)", (1,), "grpc", "write"),
     Rule("proto_decode", JS, r"(\w+)\.decode\s*\(\s*\w+", (1,), "grpc", "read"),
@@ -86,48 +90,81 @@ EVENT_RULES = (
 )
 
 
-def _call(name: str, language, receivers: str, methods: str, medium: str, direction: str) -> Rule:
-    """A call ``receiver.method("key"``: the key is its first string argument."""
+def _call(name: str, language, receivers: str, methods: str, medium: str, direction: str, dot: str = r"\.", last: bool = True) -> Rule:
+    """A call ``receiver.method(..., "key")``: the key is the last argument, or (last=False) the first one."""
     names = methods.replace(" ", "|")
     quote = "['\"]" if language == JS else Q  # a template isn't a plain string
-    return Rule(name, language if isinstance(language, tuple) else (language,), rf"(?:{receivers})\.(?:{names})\s*\([^'\"`)]*{quote}({N}+){quote}", (1,), medium, direction, LEXICAL)
+    key = rf"(?:[^()]*,\s*)?{quote}({N}+){quote}\s*,?\s*\)" if last else rf"{quote}({N}+){quote}"
+    return Rule(name, language if isinstance(language, tuple) else (language,), rf"(?:{receivers}){dot}(?:{names})\s*\(\s*{key}", (1,), medium, direction, LEXICAL)
 
 
-#: Call layer: what a syntax tree's call patterns state, matched lexically.
+#: Receivers by language and medium: fixed values.
+GO_REDIS = r"\b(?:rdb|client|redis|cache|redisClient)"
+JAVA_REDIS = r"\b(?:jedis|redis|redisClient|valueOps|hashOps|listOps)"
+PY_REDIS = r"\b(?:r|redis|cache|conn|client|redis_client|redis_conn|pipe|pipeline)"
+RB_REDIS = r"\b(?:redis|cache|r|store|client|redis_client)"
+PHP_REDIS = r"\$(?:redis|cache|predis|client)"
+ANY = r"\b\w+"
+
+#: Call layer: what a syntax tree's call patterns state, matched lexically. Fixed values.
 CALL_RULES = (
-    _call("go_env", "go", r"\bos", "Getenv", "env", "read"),
-    _call("go_sql", "go", r"\b\w+", "QueryContext QueryRowContext QueryRow Query ExecContext Exec PrepareContext Prepare", "sql", "verb"),
-    _call("go_redis_get", "go", r"\b(?:rdb|client|redis|cache|redisClient)", "Get HGet LRange ZRange Exists TTL", "redis", "read"),
-    _call("go_redis_set", "go", r"\b(?:rdb|client|redis|cache|redisClient)", "SetEX Set HSet LPush RPush ZAdd Expire", "redis", "write"),
-    _call("java_env", "java", r"\bSystem", "getenv", "env", "read"),
-    _call("java_sql", "java", r"\b(?:jdbcTemplate|jdbc|db|conn|connection|namedJdbc|entityManager|em|session)", "queryForObject queryForList queryForMap query update execute batchUpdate createQuery createNativeQuery createNamedQuery", "sql", "verb"),
-    _call("java_redis_get", "java", r"\b(?:jedis|redis|redisClient|valueOps|hashOps|listOps)", "get hget lrange exists ttl", "redis", "read"),
-    _call("java_redis_set", "java", r"\b(?:jedis|redis|redisClient|valueOps|hashOps|listOps)", "setex set hset lpush rpush zadd expire", "redis", "write"),
+    _call("go_env", "go", r"\bos", "Getenv", "env", "read", last=False),
+    _call("go_sql", "go", ANY, "Query QueryContext Exec ExecContext QueryRow QueryRowContext Prepare PrepareContext", "sql", "verb"),
+    Rule("go_redis_get", ("go",), rf"{GO_REDIS}\.(?:Get|HGet|LRange|ZRange|Exists|TTL)\s*\([^()]*,\s*{Q}({N}+){Q}\s*,?\s*\)", (1,), "redis", "read", LEXICAL),
+    Rule("go_redis_set", ("go",), rf"{GO_REDIS}\.(?:Set|HSet|SetEX|LPush|RPush|ZAdd|Expire)\s*\([^()]*,\s*{Q}({N}+){Q}\s*,?\s*\)", (1,), "redis", "write", LEXICAL),
+    Rule("go_grpc_decode", ("go",), r"\b(?:proto|protojson|encoding)\.(?:Unmarshal|UnmarshalText|UnmarshalJSON)\s*\([^)]*?&?(?:\w+\.)?([A-Z]\w*)\{", (1,), "grpc", "read", LEXICAL),
+    _call("java_env", "java", r"\bSystem", "getenv", "env", "read", last=False),
+    _call("java_sql", "java", r"\b(?:jdbcTemplate|jdbc|db|conn|connection|namedJdbc)", "query queryForObject queryForList queryForMap update execute batchUpdate", "sql", "verb"),
+    _call("java_jpa", "java", r"\b(?:entityManager|em|session)", "createQuery createNativeQuery createNamedQuery", "sql", "verb"),
+    _call("java_redis_get", "java", JAVA_REDIS, "get hget lrange exists ttl", "redis", "read"),
+    _call("java_redis_set", "java", JAVA_REDIS, "set hset setex lpush rpush zadd expire", "redis", "write"),
     _call("java_kafka", "java", r"\b(?:kafkaTemplate|producer|kafka)", "send", "kafka", "write"),
     _call("java_http", "java", r"\b(?:restTemplate|client|httpClient|webClient)", "getForObject getForEntity postForObject postForEntity exchange execute", "http_out", "write"),
-    _call("js_redis_get", JS, r"\b\w*(?:[rR]edis|[cC]ache|[sS]tore)\w*", "get hget del rpop lrange zrange exists ttl", "redis", "read"),
-    _call("js_redis_set", JS, r"\b\w*(?:[rR]edis|[cC]ache|[sS]tore)\w*", "setex set hset lpush rpush zadd lset expire persist", "redis", "write"),
-    _call("js_socket", JS, r"\b(?:socket|io|ws)", "emit on send", "websocket", "write"),
-    Rule("php_sql", ("php",), rf"\$(?:pdo|db|conn|connection)->(?:query|prepare|exec)\s*\(\s*{Q}({N}+){Q}", (1,), "sql", "verb", LEXICAL),
-    _call("py_redis_get", "python", r"\b(?:r|redis|cache|conn|client|redis_client|redis_conn|pipe|pipeline)", "get hget rpop lrange zrange exists ttl", "redis", "read"),
-    _call("py_redis_set", "python", r"\b(?:r|redis|cache|conn|client|redis_client|redis_conn|pipe|pipeline)", "setex set hset lpush rpush zadd lset expire persist", "redis", "write"),
-    _call("py_kafka", "python", r"\b\w+", "produce", "kafka", "write"),
-    _call("py_cookie", "python", r"\b(?:response|resp)", "set_cookie", "cookie", "write"),
-    _call("rb_redis_get", "ruby", r"\b(?:redis|cache|r|store|client|redis_client)", "get hget lrange zrange exists ttl rpop", "redis", "read"),
-    _call("rb_redis_set", "ruby", r"\b(?:redis|cache|r|store|client|redis_client)", "setex set hset lpush rpush zadd lset expire persist delete del incr decr setnx psetex sadd", "redis", "write"),
-    _call("rb_http", "ruby", r"\b(?:Faraday|HTTParty|RestClient|HTTP|Typhoeus|Excon|conn|connection|faraday|http_client|http)", "get post put delete patch head request", "http_out", "write"),
-    Rule("rb_record_read", ("ruby",), r"\b([A-Z]\w+)\.(?:find_by|find|where|all|first|last|count|pluck|exists|order|joins|includes|limit)\b", (1,), "sql", "read", LEXICAL),
-    Rule("rb_record_write", ("ruby",), r"\b([A-Z]\w+)\.(?:create|insert_all|insert|upsert_all|upsert|update_all|delete_all|destroy_all|destroy_by|delete_by)\b", (1,), "sql", "write", LEXICAL),
-    Rule("rb_job", ("ruby",), r"\b([A-Z]\w+)\.perform_async\b", (1,), "queue", "write", LEXICAL),
-    Rule("php_facade_get", ("php",), rf"\b(?:Redis|Cache)::(?:get|hget|lrange|exists|ttl)\s*\(\s*{Q}({N}+){Q}", (1,), "redis", "read", LEXICAL),
-    Rule("php_facade_set", ("php",), rf"\b(?:Redis|Cache)::(?:setex|set|hset|lpush|rpush|zadd|put|forever)\s*\(\s*{Q}({N}+){Q}", (1,), "redis", "write", LEXICAL),
+    Rule("java_kafka_listen", ("java",), r"@KafkaListener\s*\([^)]*topics\s*=\s*\{?\s*\"([^\"]+)\"", (1,), "kafka", "read", LEXICAL),
+    _call("js_header_set", JS, r"\b\w*(?:res|response)\w*", "setHeader set header", "http_header", "write"),
+    Rule("js_header_get", JS, r"\b\w*(?:req|request)\w*\.headers\[\s*['\"]([^'\"]+)['\"]\s*\]", (1,), "http_header", "read", LEXICAL),
+    _call("js_redis_get", JS, ANY, "get hget del rpop lrange zrange exists ttl", "redis", "read"),
+    _call("js_redis_set", JS, ANY, "set hset setex lpush rpush zadd lset expire persist", "redis", "write"),
+    Rule("js_process_env", JS, r"\bprocess\.env\.(\w+)", (1,), "env", "read", LEXICAL),
+    _call("js_socket", JS, ANY, "emit on send", "websocket", "write"),
+    Rule("js_fs", ("javascript",), r"\b(?:fs|promises)\.(readFile|writeFile|readFileSync|writeFileSync)\s*\(\s*['\"]([^'\"]+)['\"]", (2,), "filesystem", "file", LEXICAL),
+    Rule("php_env", ("php",), rf"\b(?:getenv|env)\s*\(\s*{Q}({N}+){Q}", (1,), "env", "read", LEXICAL),
     Rule("php_db", ("php",), rf"\bDB::(?:select|insert|update|delete|statement|unprepared)\s*\(\s*{Q}({N}+){Q}", (1,), "sql", "verb", LEXICAL),
     Rule("php_table", ("php",), rf"\bDB::table\s*\(\s*{Q}({N}+){Q}", (1,), "sql", "read", LEXICAL),
+    Rule("php_sql", ("php",), rf"\$(?:pdo|db|conn|connection)->(?:query|prepare|exec)\s*\(\s*{Q}({N}+){Q}", (1,), "sql", "verb", LEXICAL),
+    Rule("php_facade_get", ("php",), rf"\b(?:Redis|Cache)::(?:get|hget|lrange|exists|ttl)\s*\(\s*{Q}({N}+){Q}", (1,), "redis", "read", LEXICAL),
+    Rule("php_facade_set", ("php",), rf"\b(?:Redis|Cache)::(?:set|hset|setex|lpush|rpush|zadd|put|forever)\s*\(\s*{Q}({N}+){Q}", (1,), "redis", "write", LEXICAL),
+    _call("php_redis_get", "php", PHP_REDIS, "get hget lrange", "redis", "read", "->", last=False),
+    _call("php_redis_set", "php", PHP_REDIS, "set hset setex lpush rpush put", "redis", "write", "->", last=False),
     Rule("php_http", ("php",), rf"\bHttp::(?:get|post|put|delete|patch)\s*\(\s*{Q}({N}+){Q}", (1,), "http_out", "write", LEXICAL),
-    Rule("php_env", ("php",), rf"\b(?:getenv|env)\s*\(\s*{Q}({N}+){Q}", (1,), "env", "read", LEXICAL),
-    Rule("rs_sql", ("rust",), r"\b(?:query|query_as|query_scalar)!?\s*(?:::<[^>]*>)?\s*\(\s*(?:\w+\s*,\s*)?r?#?\"([^\"]{5,})\"", (1,), "sql", "verb", LEXICAL),
-    Rule("rs_redis_get", ("rust",), r"\b\w*(?:conn|redis|headers)\w*\.(?:get|hget|rpop|lrange|zrange|exists|ttl)\s*\(\s*\"([^\"]+)\"", (1,), "redis", "header", LEXICAL),
-    Rule("rs_redis_set", ("rust",), r"\b\w*(?:conn|redis)\w*\.(?:set_ex|set|hset|lpush|rpush|zadd|lset|expire|persist|del)\s*\(\s*\"([^\"]+)\"", (1,), "redis", "write", LEXICAL),
+    Rule("php_client", ("php",), rf"\$(?:client|http|httpClient|guzzle)->(?:get|post|put|delete|request|send)\s*\(\s*(?:{Q}[A-Z]+{Q}\s*,\s*)?{Q}({N}+){Q}", (1,), "http_out", "write", LEXICAL),
+    _call("php_kafka", "php", r"\$(?:producer|kafka|kafkaProducer)", "produce send publish", "kafka", "write", "->", last=False),
+    _call("py_environ", "python", r"\bos\.environ", "get", "env", "read"),
+    _call("py_getenv", "python", r"\bos", "getenv", "env", "read"),
+    _call("py_redis_get", "python", PY_REDIS, "get", "redis", "read"),
+    _call("py_redis_read", "python", ANY, "hget rpop lrange zrange exists ttl", "redis", "read"),
+    _call("py_redis_set", "python", ANY, "set hset setex lpush rpush zadd lset expire persist", "redis", "write"),
+    _call("py_kafka", "python", ANY, "produce", "kafka", "write"),
+    _call("py_cookie", "python", r"\b(?:response|resp)", "set_cookie", "cookie", "write"),
+    _call("rb_env_call", "ruby", r"\bENV", "fetch dig", "env", "read"),
+    _call("rb_redis_get", "ruby", RB_REDIS, "get hget lrange zrange exists ttl rpop", "redis", "read"),
+    _call("rb_redis_read", "ruby", ANY, "hget lrange zrange llen scard zcard smembers sismember zscore zrank rpop", "redis", "read"),
+    _call("rb_redis_set", "ruby", RB_REDIS, "set hset setex lpush rpush zadd lset expire persist del delete incr decr setnx psetex sadd", "redis", "write"),
+    _call("rb_redis_write", "ruby", ANY, "hset lpush rpush zadd sadd srem zrem hincrby incrby decrby", "redis", "write"),
+    Rule("rb_record_read", ("ruby",), r"\b([A-Z]\w*)\.(?:find|find_by|find_by_sql|find_or_create_by|find_or_initialize_by|first|last|all|take|where|joins|includes|eager_load|preload|order|group|having|select|count|sum|average|minimum|maximum|exists|pluck|ids|none|limit|offset|distinct|from|reorder|unscope|lock|readonly)\b", (1,), "sql", "read", LEXICAL),
+    Rule("rb_record_write", ("ruby",), r"\b([A-Z]\w*)\.(?:create|insert|insert_all|upsert|upsert_all|update_all|delete_all|destroy_all|destroy_by|delete_by)\b", (1,), "sql", "write", LEXICAL),
+    _call("rb_sql", "ruby", r"\b(?:connection|conn)", "execute exec_query exec_update exec_insert exec_delete select_all select_rows select_values select_value", "sql", "verb"),
+    _call("rb_http", "ruby", r"\b(?:Faraday|HTTParty|RestClient|HTTP|Typhoeus|Excon)", "get post put delete patch head request", "http_out", "write"),
+    _call("rb_http_client", "ruby", r"\b(?:conn|connection|client|faraday|http_client|http)", "get post put delete patch", "http_out", "write"),
+    Rule("rb_job", ("ruby",), r"\b([A-Z]\w*)\.perform_async\b", (1,), "queue", "write", LEXICAL),
+    Rule("rb_queue_as", ("ruby",), r"\bqueue_as\s*\(?\s*:(\w+)", (1,), "queue", "write", LEXICAL),
+    _call("rb_kafka", "ruby", r"\b(?:producer|kafka|kafka_producer)", "produce", "kafka", "write"),
+    Rule("rb_header_set", ("ruby",), r"\b(?:response|headers)\[\s*['\"]([^'\"]+)['\"]\s*\]\s*=", (1,), "http_header", "write", LEXICAL),
+    Rule("rs_env_var", ("rust",), r"\b(?:std::)?env::var\s*\(\s*\"([^\"]+)\"", (1,), "env", "read", LEXICAL),
+    Rule("rs_sql", ("rust",), r"\b(?:query|query_as|query_scalar|query_file|query_file_as)!?\s*(?:::<[^>]*>)?\s*\(\s*(?:\w+\s*,\s*)?r?#?\"([^\"]{5,})\"", (1,), "sql", "verb", LEXICAL),
+    Rule("rs_redis_read", ("rust",), r"\b\w+\.(?:hget|rpop|lrange|zrange|exists|ttl)\s*\(\s*(?:[^()]*,\s*)?([^(),]+)\)", (1,), "redis", "read", LEXICAL, strip=True),
+    Rule("rs_redis_get", ("rust",), r"\b\w*(?:conn|redis|headers)\w*\.get\s*\(\s*(?:[^()]*,\s*)?([^(),]+)\)", (1,), "redis", "header", LEXICAL, strip=True),
+    Rule("rs_redis_set", ("rust",), r"\b\w+\.(?:set|set_ex|hset|lpush|rpush|zadd|lset|expire|persist|del)\s*\(\s*(?:[^()]*,\s*)?([^(),]+)\)", (1,), "redis", "write", LEXICAL, strip=True),
 )
 
 #: (language, kind, pattern of a line, what counts as exported)
@@ -135,9 +172,11 @@ SYMBOL_RULES = (
     ("javascript", "function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s+(\w+)", "export"),
     ("javascript", "function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:function\b|\([^)]*\)\s*=>|\w+\s*=>)", "export"),
     ("javascript", "class", r"^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)", "export"),
+    ("javascript", "function", r"^\s+(?:(?:static|async|get|set)\s+)*\*?\s*(\w+)\s*\([^)]*\)\s*\{", "export"),
     ("typescript", "function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s+(\w+)", "export"),
     ("typescript", "function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:function\b|\([^)]*\)\s*(?::\s*[\w<>\[\]]+\s*)?=>|\w+\s*=>)", "export"),
     ("typescript", "class", r"^\s*(?:export\s+)?(?:abstract\s+)?(?:class|interface|type|enum)\s+(\w+)", "export"),
+    ("typescript", "function", r"^\s+(?:(?:public|private|protected|static|readonly|abstract|override|async|get|set)\s+)*\*?\s*(\w+)\s*(?:<[^>]*>)?\([^)]*\)\s*(?::\s*[\w<>\[\], |]+\s*)?[{;]", "export"),
     ("python", "function", r"^\s*(?:async\s+)?def\s+(\w+)", "public"),
     ("python", "class", r"^\s*class\s+(\w+)", "public"),
     ("ruby", "function", r"^\s*def\s+(?:self\.)?(\w+)", "public"),
@@ -146,13 +185,15 @@ SYMBOL_RULES = (
     ("rust", "class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+(\w+)", "pub"),
     ("go", "function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)", "upper"),
     ("go", "class", r"^type\s+(\w+)\s+(?:struct|interface)", "upper"),
-    ("java", "function", r"^\s*(?:public|private|protected)\s+(?:static\s+)?[\w<>\[\], ]+\s+(\w+)\s*\(", "always"),
+    ("java", "function", r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:public|private|protected)\s+(?:static\s+)?[\w<>\[\], ]+\s+(\w+)\s*\(", "always"),
+    ("java", "function", r"^\s+(?:(?:static|final|abstract|synchronized|default)\s+)*[A-Za-z][\w<>\[\],.]*\s+(\w+)\s*\([^)]*\)\s*(?:throws\s+[\w, .]+)?\{", "always"),
     ("java", "class", r"^\s*(?:public\s+)?(?:abstract\s+|final\s+)?(?:class|interface|enum)\s+(\w+)", "always"),
     ("php", "function", r"^\s*(?:public\s+|private\s+|protected\s+)?(?:static\s+)?function\s+(\w+)", "always"),
     ("php", "class", r"^\s*(?:abstract\s+|final\s+)?(?:class|interface|trait)\s+(\w+)", "always"),
 )
 #: (languages, pattern of a line, group): calls that aren't definitions; words below aren't callees.
 CALL_PATTERN = r"(?:^|[^\w])(\w+)\s*\("
+NOT_DEFINED = ("if", "for", "while", "switch", "return", "catch", "function", "new", "else", "do", "try", "with", "super", "await", "typeof", "throw")
 NOT_CALLED = ("if", "for", "while", "switch", "return", "catch", "def", "function", "func", "fn", "class", "super", "elif", "and", "or", "not", "in", "await", "new", "print", "match")
 DEFINES = r"^\s*(?:export\s+|default\s+|pub\s+|public\s+|private\s+|protected\s+|static\s+|async\s+)*(?:def|function|func|fn|class)\b"
 IMPORT_RULES = (
@@ -177,7 +218,10 @@ VERBS = "get|post|put|delete|patch"
 
 @dataclass(frozen=True)
 class Hint:
-    """An entry point: groups of method, path and function in the pattern, 0 where there is none."""
+    """An entry point: groups of method, path, function and guarding wrapper in the pattern, 0 where there is none.
+
+    name: the function's name where the pattern has none.
+    """
 
     languages: tuple[str, ...]
     framework: str
@@ -188,24 +232,34 @@ class Hint:
     confidence: float
     heuristic: str = "route_decorator"
     kind: str = "route"
+    name: str = "<route>"
+    guard: int = 0
 
 
 HINT_RULES = (
     Hint(JS, "express", rf"(?:app|router)\.({VERBS}|use)\s*\(\s*{Q}({N}+){Q}\s*,\s*(\w+)", 1, 2, 3, 0.90),
-    Hint(JS, "fastify", rf"(?:fastify|server)\.({VERBS})\s*\(\s*{Q}({N}+){Q}\s*,\s*(?:async\s+)?(?:function\s+)?(\w+)", 1, 2, 3, 0.90),
-    Hint(("python",), "fastapi/flask", rf"@(?:app|router|blueprint)\.({VERBS}|route)\s*\(\s*['\"]([^'\"]+)['\"]\s*\)\s*(?:async\s+)?def\s+(\w+)", 1, 2, 3, 0.90),
-    Hint(("python",), "django", r"(?:re_path|\bpath)\s*\(\s*r?['\"]([^'\"]+)['\"]\s*,\s*(\w+)", 0, 1, 2, 0.88),
+    Hint(JS, "fastify", rf"(?:fastify|server|app)\.({VERBS})\s*\(\s*{Q}({N}+){Q}\s*,\s*(?:async\s+)?(?:function\s+)?(\w+)", 1, 2, 3, 0.90),
+    Hint(("python",), "fastapi/flask", rf"@(?:app|router|blueprint)\.({VERBS}|route)\s*\(\s*['\"]([^'\"]+)['\"]\s*\)[\s\S]{{0,100}}?(?:async\s+)?def\s+(\w+)", 1, 2, 3, 0.90),
+    Hint(("python",), "django", r"(?:path|re_path)\s*\(\s*r?['\"]([^'\"]+)['\"]\s*,\s*(\w+)", 0, 1, 2, 0.88),
     Hint(("python",), "celery", r"@(?:app\.task|celery\.task|shared_task)[^\n]*\n(?:async\s+)?def\s+(\w+)", 0, 0, 1, 0.85, "cron", "cron"),
     Hint(("ruby",), "rails", rf"\b({VERBS})\s+[\"']([^\"']+)[\"']\s*(?:,\s*to:|=>)\s*[\"']([^\"'#]+#\w+)[\"']", 1, 2, 3, 0.90),
     Hint(("rust",), "actix/rocket", rf"#\[({VERBS})\s*\(\s*\"([^\"]+)\"\s*\)\s*\]\s*(?:pub\s+)?(?:async\s+)?fn\s+(\w+)", 1, 2, 3, 0.90),
     Hint(("rust",), "axum", rf"\.route\s*\(\s*\"([^\"]+)\"\s*,\s*({VERBS}|head|options)\s*\(\s*(?:\w+::)*(\w+)\s*\)", 2, 1, 3, 0.90),
+    Hint(("rust",), "axum", rf"\.route\s*\(\s*\"([^\"]+)\"\s*,\s*(\w+)\s*\(\s*({VERBS}|head|options)\s*\(\s*(?:\w+::)*(\w+)\s*\)", 3, 1, 4, 0.90, guard=2),
     Hint(("go",), "net/http", r"http\.HandleFunc\s*\(\s*\"([^\"]+)\"\s*,\s*(\w+)\s*\)", 0, 1, 2, 0.90),
     Hint(("go",), "gin/chi/echo/fiber", r"\.(GET|POST|PUT|DELETE|PATCH)\s*\(\s*\"([^\"]+)\"\s*,\s*(?:\w+\.)*(\w+)\s*\)", 1, 2, 3, 0.90),
-    Hint(("java",), "spring-mvc", r"@(Get|Post|Put|Delete|Patch|Request)Mapping\s*\(\s*(?:value\s*=\s*)?\"([^\"]+)\"\s*\)\s*public\s+[\w<>]+\s+(\w+)", 1, 2, 3, 0.90),
-    Hint(("java",), "spring-kafka", r"@KafkaListener\s*\(\s*topics\s*=\s*\"([^\"]+)\"[^)]*\)\s*public\s+\w+\s+(\w+)", 0, 1, 2, 0.90, "kafka_listener", "cron"),
-    Hint(("php",), "laravel", rf"Route::({VERBS}|any|match|resource)\s*\(\s*['\"]([^'\"]+)['\"]\s*,\s*\[?\s*\w+(?:::class)?\s*,?\s*['\"]?(\w*)", 1, 2, 3, 0.90, "route_facade"),
-    Hint(("php",), "artisan", r"\$signature\s*=\s*['\"]([^'\"\s]+)", 0, 0, 1, 0.85, "artisan_signature", "cron"),
+    Hint(("java",), "spring-mvc", r"@(Get|Post|Put|Delete|Patch|Request)Mapping\s*\(\s*(?:value\s*=\s*)?\"([^\"]*)\"\s*\)[^{]*?(?:public|protected)\s+\S+\s+(\w+)\s*\(", 1, 2, 3, 0.90),
+    Hint(("java",), "spring-kafka", r"@KafkaListener\s*\([^)]*topics\s*=\s*\"([^\"]*)\"[^)]*\)[^{]*?(?:public|protected)\s+\S+\s+(\w+)\s*\(", 0, 1, 2, 0.90, "kafka_listener", "cron"),
+    Hint(("php",), "laravel", rf"Route::({VERBS}|any|match)\s*\(\s*['\"]([^'\"]+)['\"]", 1, 2, 0, 0.90, "route_facade"),
+    Hint(("php",), "artisan", r"protected\s+\$signature\s*=", 0, 0, 0, 0.85, "artisan_signature", "cron", "<artisan_command>"),
 )
+#: A Rust function with one of these parameter types handles requests.
+EXTRACTOR_PATTERN = r"fn\s+(\w+)\s*\([^)]*\b(?:State|Extension|Json|Path|Query|Form|Multipart)\b[^)]*\)"
+#: A Python function whose parameters are injected, and each such injection.
+DEPENDS_PATTERN, DEPENDS_NAME = r"def\s+(\w+)\s*\([^)]*Depends\s*\(\s*(\w+)\s*\)[^)]*\)", r"Depends\s*\(\s*(\w+)\s*\)"
+#: A Rails controller, its class and its actions; what follows the first private mark isn't an action.
+CONTROLLER_CLASS, ACTION_PATTERN, PRIVATE_MARK = r"class\s+(?:\w+::)*(\w+)\s*<\s*[\w:]+", r"(?m)^\s*def\s+(\w+)", r"\n(?:  )?private"
+NOT_ACTIONS = ("initialize", "new", "helper_method")
 #: Text that marks a program's start: (language, text, confidence).
 MAIN_MARKS = (("python", "if __name__", 0.80), ("rust", "fn main(", 0.95), ("go", "func main(", 0.95), ("java", "public static void main", 0.95))
 #: Names of middleware that a file installs: (languages, pattern).
@@ -213,7 +267,6 @@ MIDDLEWARE_RULES = (
     (JS, rf"(?:router|app)\.use\s*\(\s*{Q}[^'\"`]*{Q}\s*,\s*(\w+)\s*,"),
     (("typescript",), r"@UseGuards\s*\(\s*(\w+)"),
     (("ruby",), r"before_action\s+:(\w+)"),
-    (("python",), r"Depends\s*\(\s*(\w+)\s*\)"),
 )
 #: resources :name gives these: (action, verb, path after the name); `resource` has no index.
 RESOURCE_ACTIONS = (("index", "GET", ""), ("show", "GET", "/:id"), ("new", "GET", "/new"), ("create", "POST", ""), ("edit", "GET", "/:id/edit"), ("update", "PATCH", "/:id"), ("destroy", "DELETE", "/:id"))
@@ -244,12 +297,23 @@ LAYOUT_DIRS = (
 TRANSPORT_MARKS = ("tonic::transport::Server", "tonic::transport::Channel", "tonic::Request::new", ".serve_with_incoming")
 #: Type names that confirm or reject an event of a medium when an editor's hover text shows them.
 HOVER = {
-    "redis": (("redis", "ioredis", "redisclient", "connectionpool", "strictredis"), ("map<", "dict[", "hashmap<", "object", "any", "row", "value", "string", "number", "boolean", "undefined", "null", "import", "function", "array", "promise")),
+    "redis": (
+        ("redis", "ioredis", "redisclient", "connectionpool", "strictredis"),
+        ("map<", "dict[", "hashmap<", "btreemap<", "object", "any", "pgrow", "sqliterow", "mysqlrow", "row", "pgpool", "headermap", "value", "jsonvalue", "serde_json", "urlsearchparams", "string", "number", "boolean", "undefined", "null", "import", "function", "array", "promise"),
+    ),
     "kafka": (("kafka", "producer", "consumer", "kafkaclient"), ()),
     "sql": (("prisma", "pool", "connection", "querybuilder", "sequelize", "typeorm", "db", "database"), ()),
     "http_header": (("request", "response", "incomingmessage", "serverresponse", "headers", "headermap", "http"), ("redis", "map<", "dict[", "pgrow", "sqliterow", "value")),
     "grpc": (("grpc", "tonic", "protobuf", "prost", "request", "response", "stub"), ()),
-}
+}
 TYPED_HOVER = ("```rust", "```typescript", "```python")
 VERIFIABLE = ("redis", "kafka", "sql", "http_header")
 AUTH_WORDS = ("auth", "lp_auth", "admin")
+#: Files that mark a workspace's folder, by language; and methods whose receiver is looked up, by medium: fixed values.
+MANIFESTS = {"rust": ("Cargo.toml",), "typescript": ("tsconfig.json", "package.json"), "javascript": ("tsconfig.json", "package.json"), "python": ("pyproject.toml", "setup.cfg", "setup.py", "requirements.txt")}
+RECEIVER_METHODS = {
+    "redis": ("get(", "set(", "hget(", "hset(", "del(", "setex(", "lpush("), "kafka": ("send(", "produce(", "subscribe(", "publish("),
+    "sql": ("query(", "execute(", "findMany(", "findFirst(", "create("), "http_header": ("setHeader(", "header(", "set(", "get("),
+}
+#: Kinds of edges between spans of a trace, as shown.
+EDGE_KINDS = {"Root": "root", "Call": "call", "DataFlow": "data_flow", "BoundaryFlow": "boundary_flow"}
