@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factweave import rules as R
 from factweave import views as V
 from factweave.functions import scalars as S
-from factweave.operators import attribute, entrypoints, extract, graph, report, topology
+from factweave.operators import attribute, entrypoints, explore, extract, graph, report, topology
 from factweave.plans.index import Config, index
 from factweave.sources.files import snapshot_status
 
@@ -67,8 +67,7 @@ def snapshot_diff_status(spark, sf_dir):
 
 @query(f"with {V.SRC_SQL} select count(*) as files, count(distinct language) as languages, cast(sum(length(src) - length(replace(src, chr(10), '')) + 1) as bigint) as lines from src_files")
 def run_summary(spark, sf_dir):
-    files = V.src_files(spark, sf_dir)
-    return files.agg(F.count(F.lit(1)).alias("files"), F.countDistinct("language").alias("languages"), F.sum(extract.newlines(F.col("src")) + 1).cast("long").alias("lines"))
+    return explore.run_summary(V.src_files(spark, sf_dir))
 
 
 @query(f"with {V.SRC_SQL} select bool_or({' or '.join(f'contains(src, {text(m)})' for m in R.TRANSPORT_MARKS)}) as has_transport from src_files where language = 'rust'")
@@ -460,12 +459,12 @@ def adjacency_direct(spark, sf_dir):
 
 @query(f"with {V.CALLS_SQL} select dst_fn as fn, count(*) as callers from calls group by 1")
 def callers(spark, sf_dir):
-    return V.calls(spark, sf_dir).groupBy(F.col("dst_fn").alias("fn")).agg(F.count(F.lit(1)).alias("callers"))
+    return explore.callers(V.calls(spark, sf_dir))
 
 
 @query(f"with {V.CALLS_SQL} select src_fn as fn, string_agg(dst_fn, ',' order by dst_fn) as callees from calls group by 1")
 def callees(spark, sf_dir):
-    return V.calls(spark, sf_dir).groupBy(F.col("src_fn").alias("fn")).agg(F.array_join(F.array_sort(F.collect_list("dst_fn")), ",").alias("callees"))
+    return explore.callees(V.calls(spark, sf_dir))
 
 
 def _reached(spark, sf_dir, depth: int) -> DataFrame:
@@ -622,23 +621,159 @@ def fact_stats(spark, sf_dir):
 
 @query(f"with {V.FACTS_SQL} select fn_name, line, medium from facts where prov_confidence < 0.7")
 def lowconf(spark, sf_dir):
-    return V.facts(spark, sf_dir).where("prov_confidence < 0.7").select("fn_name", "line", "medium")
+    return explore.lowconf(V.facts(spark, sf_dir)).select("fn_name", "line", "medium")
 
 
 @query(f"with {V.FACTS_SQL} select key_norm, count(distinct fn_name) as functions from facts group by 1 having count(distinct fn_name) > 1")
 def cross_key(spark, sf_dir):
-    return V.facts(spark, sf_dir).groupBy("key_norm").agg(F.countDistinct("fn_name").alias("functions")).where("functions > 1")
+    return explore.cross(V.facts(spark, sf_dir))
+
+
+def _touches(spark, sf_dir) -> DataFrame:
+    """Events of orders: a customer's orders write its row, suppliers' lines read their order."""
+    o = V.table(spark, sf_dir, "orders")
+    none = lambda medium, direction, fn, file, key, c: [F.concat(F.lit(fn[0]), fn[1]).alias("fn_name"), F.lit(file).alias("file"), F.lit(medium).alias("medium"), F.lit(direction).alias("direction"), key.alias("key_norm"), c.alias("prov_confidence")]
+    c = F.when(F.col("o_orderstatus") == "P", F.lit(0.4)).otherwise(F.lit(0.9))
+    writes = o.select(*none("sql", "write", ("o", "o_orderkey"), "orders", F.concat(F.lit("c"), "o_custkey"), c))
+    reads = V.table(spark, sf_dir, "customer").select(*none("sql", "read", ("n", "c_nationkey"), "nations", F.concat(F.lit("c"), "c_custkey"), F.lit(0.65)))
+    return writes.unionByName(reads)
+
+
+_TOUCHES_SQL = """touches as (select 'o' || o_orderkey as fn_name, 'orders' as file, 'sql' as medium, 'write' as direction, 'c' || o_custkey as key_norm, case when o_orderstatus = 'P' then 0.4 else 0.9 end::double as prov_confidence from orders
+  union all select 'n' || c_nationkey, 'nations', 'sql', 'read', 'c' || c_custkey, 0.65 from customer)"""
+_FLOWS_SQL = "w.fn_name as writer, w.file as writer_file, r.fn_name as reader, r.file as reader_file, w.medium, w.key_norm, least(w.prov_confidence, r.prov_confidence) as confidence from touches w join touches r using (medium, key_norm) where w.direction = 'write' and r.direction = 'read' and w.prov_confidence >= 0.5 and r.prov_confidence >= 0.5"
 
 
-@query(f"""with {V.FACTS_SQL}, s as (select fn_name, medium, direction, key_norm || fn_name as k, max(prov_confidence) as c from facts where prov_confidence >= 0.5 group by all)
-select w.fn_name as writer, r.fn_name as reader, w.medium, w.k as key, least(w.c, r.c) as confidence from (select *, 'm' as m from s where direction = 'write') w join (select fn_name, 'sql' as medium, replace(k, 'click', 'purchase') as k, c from s where direction = 'read' and starts_with(k, 'click')) r on w.medium = r.medium and w.k = r.k""")
+@query(f"with {_TOUCHES_SQL} select distinct {_FLOWS_SQL}")
 def stitch_boundary_flows(spark, sf_dir):
-    """Writers and readers of a key: each user's purchases are read by its clicks."""
-    f = attribute.confidence_filter(V.facts(spark, sf_dir)).withColumn("k", F.concat("key_norm", "fn_name"))
-    sides = f.groupBy("fn_name", "medium", "direction", "k").agg(F.max("prov_confidence").alias("c"))
-    w = sides.where("direction = 'write'").select(F.col("fn_name").alias("writer"), "medium", F.col("k").alias("key"), F.col("c").alias("cw"))
-    r = sides.where("direction = 'read' and startswith(k, 'click')").select(F.col("fn_name").alias("reader"), F.lit("sql").alias("medium"), F.replace("k", F.lit("click"), F.lit("purchase")).alias("key"), F.col("c").alias("cr"))
-    return w.join(r, ["medium", "key"]).select("writer", "reader", "medium", "key", F.least("cw", "cr").alias("confidence"))
+    """Orders write what nations read."""
+    return explore.boundary_flows(_touches(spark, sf_dir))
+
+
+@query(f"""with {_TOUCHES_SQL}, f as (select distinct {_FLOWS_SQL})
+select distinct 'sql:' || key_norm as src_fn, null as src_file, fn_name as dst_fn, file as dst_file, 'reads' as rel from touches where direction = 'read'
+union all select distinct fn_name, file, 'sql:' || key_norm, null, 'writes' from touches where direction = 'write'
+union all select distinct writer, writer_file, reader, reader_file, 'data_flow' from f""")
+def data_flow(spark, sf_dir):
+    return explore.data_flow(_touches(spark, sf_dir))
+
+
+@query(f"with {_TOUCHES_SQL} select medium, key_norm, string_agg(distinct fn_name, ',' order by fn_name) as functions from touches group by all")
+def carriers(spark, sf_dir):
+    return explore.carriers(_touches(spark, sf_dir))
+
+
+@query(f"with {V.SRC_SQL}, e as (" + " union all ".join(f"select file, unnest(regexp_extract_all(text, {text(p)}, 1)) as module from lines where language in {words(langs)}" for langs, p in R.IMPORT_RULES) + ") select module, count(distinct file) as files from e group by 1")
+def rdeps(spark, sf_dir):
+    return explore.rdeps(extract.edges(V.src_files(spark, sf_dir)))
+
+
+@query(f"with {V.SRC_SQL}, e as (" + " union all ".join(f"select file, unnest(regexp_extract_all(text, {text(p)}, 1)) as module from lines where language in {words(langs)}" for langs, p in R.IMPORT_RULES) + ") select distinct file, module from e")
+def deps(spark, sf_dir):
+    return explore.deps(extract.edges(V.src_files(spark, sf_dir)))
+
+
+@query("select 'o' || o_orderkey as start_fn, 'r' || n_regionkey as fn, array_to_string(['o' || o_orderkey, 'c' || o_custkey, 'n' || c_nationkey, 'r' || n_regionkey], ' ') as path from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey")
+def call_path(spark, sf_dir):
+    starts = V.table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("fn"), F.lit("orders").alias("file"))
+    goals = V.table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("fn"), F.lit("regions").alias("file"))
+    found = explore.call_path(starts, goals, V.calls(spark, sf_dir), 3)
+    return found.select("start_fn", "fn", F.array_join("path", " ").alias("path"))
+
+
+@query("select 'c' || c_custkey as name, c_mktsegment as file from customer where regexp_matches('c' || c_custkey, '^c[0-9]*7$')")
+def search(spark, sf_dir):
+    symbols = V.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("name"), F.col("c_mktsegment").alias("file"))
+    return explore.search(symbols, "^c[0-9]*7$")
+
+
+@query("select 'c' || c_custkey as name, c_mktsegment as file from customer where exists (select 1 from orders where o_custkey = c_custkey)")
+def lookup(spark, sf_dir):
+    symbols = V.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("name"), F.col("c_mktsegment").alias("file"))
+    return explore.lookup(symbols, V.table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("name")))
+
+
+@query(f"with {V.FACTS_SQL} select fn_name, file, medium, count(*) as events from facts group by all")
+def boundaries(spark, sf_dir):
+    return explore.boundaries(V.facts(spark, sf_dir))
+
+
+@query(_reach_sql(6) + ", t as (select 'c' || c_custkey as fn, 'sql' as medium from customer union all select 'n' || n_nationkey, 'env' from nation) select start_fn, count(distinct fn) as span_count, coalesce(string_agg(distinct medium, ',' order by medium), '') as media from r left join t using (fn) group by 1")
+def trace_stats(spark, sf_dir):
+    made = lambda t, fn, file, medium: V.table(spark, sf_dir, t).select(fn.alias("fn_name"), F.lit(file).alias("file"), F.lit(medium).alias("medium"), F.lit(0.9).alias("prov_confidence"))
+    events = made("customer", F.concat(F.lit("c"), "c_custkey"), "customers", "sql").unionByName(made("nation", F.concat(F.lit("n"), "n_nationkey"), "nations", "env"))
+    return explore.trace_stats(_reached(spark, sf_dir, 6), events).select("start_fn", "span_count", "media")
+
+
+@query("select 'c' || c_custkey as start_fn, unnest(['c' || c_custkey, 'c' || c_custkey || ' → n' || c_nationkey, 'n' || c_nationkey || ' → r' || n_regionkey]) as text from customer join nation on n_nationkey = c_nationkey")
+def serialize_compact(spark, sf_dir):
+    starts = V.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("fn"), F.lit("customers").alias("file"))
+    return explore.serialize(graph.paths(starts, V.calls(spark, sf_dir), 2), "compact").select("start_fn", "text")
+
+
+@query("select 'c' || c_custkey as start_fn, '    r' || n_regionkey as text, 1::bigint as truncated from customer join nation on n_nationkey = c_nationkey where n_nationkey <> (select min(x.n_nationkey) from nation x where x.n_regionkey = nation.n_regionkey)")
+def trace_budget(spark, sf_dir):
+    """The third and last span within a budget of three; starts whose path comes round have no more than three."""
+    starts = V.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("fn"), F.lit("customers").alias("file"))
+    kept = explore.budgeted(graph.paths(starts, V.calls(spark, sf_dir), 3), 3).where("truncated > 0 and depth = 2")
+    return explore.serialize(kept).join(kept.select("start_fn", "truncated"), "start_fn").select("start_fn", "text", "truncated")
+
+
+@query(f"with {V.SRC_SQL} select file, regexp_extract(file, '^(svc[0-9]+)/', 1) || case when language = 'python' then '/src' else '' end as root from src_files where language in ('javascript', 'python')")
+def workspace_root(spark, sf_dir):
+    files = V.src_files(spark, sf_dir)
+    top, src = F.split_part("file", F.lit("/"), F.lit(1)), F.concat(F.split_part("file", F.lit("/"), F.lit(1)), F.lit("/src"))
+    made = [files.select(top.alias("folder"), F.lit("package.json").alias("name")), files.select(top.alias("folder"), F.lit("setup.py").alias("name")), files.select(src.alias("folder"), F.lit("pyproject.toml").alias("name"))]
+    return explore.workspace_roots(files.where("language not in ('typescript')"), made[0].unionByName(made[1]).unionByName(made[2]))
+
+
+@query("select distinct 's' || l_suppkey as src_symbol, 'f' || (l_suppkey % 7) as src_file, 'p' || (l_partkey % 100) as dst_symbol, case when l_partkey % 2 = 0 then 'at' || (l_partkey % 100) end as dst_file from lineitem")
+def resolve_edges(spark, sf_dir):
+    edges, _ = _edges(spark, sf_dir)
+    edges = edges.withColumn("line", F.lit(1).cast("long"))
+    told = edges.where("substring(dst_symbol, 2) % 2 = 0").select("src_file", "line", "dst_symbol", F.concat(F.lit("at"), F.substring("dst_symbol", 2, 9)).alias("dst_file"))
+    return explore.resolve_edges(edges, told).select("src_symbol", "src_file", "dst_symbol", "dst_file")
+
+
+@query(f"with {V.SRC_SQL} select file as src_file, cast(line as bigint) as line, regexp_extract(text, '(helper[0-9]+)[(]', 1) as dst_symbol, case language when 'javascript' then 'javascript' when 'python' then 'python' when 'rust' then 'rust' else regexp_extract(file, '[.]([a-z]+)$', 1) end as language, strlen(regexp_extract(text, '^(.*?)helper', 1)) as \"column\" from lines where regexp_matches(text, 'helper[0-9]+[(]')")
+def resolution_requests(spark, sf_dir):
+    files = V.src_files(spark, sf_dir)
+    return explore.resolution_requests(extract.edges(files).where("dst_symbol like 'helper%'"), files).withColumn("column", F.col("column").cast("long"))
+
+
+@query("select c_custkey, case when c_custkey % 4 < 2 then 6 + 2 * (c_custkey % 4) else -1 end::bigint as at from customer")
+def receiver_column(spark, sf_dir):
+    lines = F.array(F.lit("  x = cache.get('a')"), F.lit("éé  y = db.query(q)"), F.lit("query(q)"), F.lit("no call"))
+    c = V.table(spark, sf_dir, "customer").select("c_custkey", F.get(lines, (F.col("c_custkey") % 4).cast("int")).alias("line"))
+    medium = F.when(F.col("c_custkey") % 4 == 0, F.lit("redis")).otherwise(F.lit("sql"))
+    at = S.receiver_column(F.col("line"), medium)
+    return c.select("c_custkey", F.coalesce(F.when(F.col("c_custkey") % 4 == 1, at - 2).otherwise(at), F.lit(-1)).cast("long").alias("at"))
+
+
+@query("select c_custkey, 'file:///' || case when c_custkey % 2 = 0 then 'abs/' else 'root/rel/' end || c_name as uri, case when c_custkey % 2 = 0 then '/abs/' else '/root/rel/' end || c_name as path, ['root', 'call', 'data_flow', 'boundary_flow'][c_custkey % 4 + 1] as kind from customer")
+def uri_and_kind(spark, sf_dir):
+    path = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("/abs/"), "c_name")).otherwise(F.concat(F.lit("rel/"), "c_name"))
+    kind = F.get(F.array(*map(F.lit, R.EDGE_KINDS)), (F.col("c_custkey") % 4).cast("int"))
+    rows = V.table(spark, sf_dir, "customer").select("c_custkey", S.path_to_uri(path, "/root").alias("uri"), S.edge_kind(kind).alias("kind"))
+    return rows.select("c_custkey", "uri", S.uri_to_path(F.col("uri")).alias("path"), "kind")
+
+
+@query("select doc_id as fn_name, lang is distinct from 'es' and lang is distinct from 'de' as ok, case when lang = 'es' then 'unparseable JSON' when lang = 'de' then 'missing field: purpose' end as problem, case when lang is distinct from 'es' and lang is distinct from 'de' then 'does ' || doc_id end as purpose from documents")
+def annotation_validator(spark, sf_dir):
+    """Annotations by language: German ones have no purpose, Spanish ones aren't JSON."""
+    good = F.concat(F.lit('{"purpose": "does '), F.col("doc_id").cast("string"), F.lit('", "value_names": ["◆ok", "bad"]}'))
+    raw = F.when(F.col("lang") == "es", F.lit("{oops")).when(F.col("lang") == "de", F.lit('{"value_names": []}')).otherwise(good)
+    return explore.validated(V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("fn_name"), raw.alias("raw"))).select("fn_name", "ok", "problem", "purpose")
+
+
+@query("select doc_id as fn_name from documents where lang = 'en' and source <> 'src3'")
+def functions_to_annotate(spark, sf_dir):
+    """English texts are new; those of one source are done, other languages have annotations."""
+    docs = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("fn_name"), F.col("source").alias("file"), F.concat("text", F.col("doc_id").cast("string")).alias("source"), "lang")
+    had = docs.where("lang is distinct from 'en'").select(F.sha2("source", 256).alias("source_hash"))
+    done = docs.where("file = 'src3'").select(F.lit("annotate").alias("step"), F.sha2("source", 256).alias("key"), F.lit("failed").alias("status"))
+    checks = explore.checkpoint_statuses(done, done.withColumn("status", F.lit("done")))
+    return explore.to_annotate(docs, had, checks).select("fn_name")
 
 
 @query(_reach_sql(6) + " select fn, count(*) as traces, min(depth) as nearest from r group by 1")
@@ -649,11 +784,8 @@ def traces_touching(spark, sf_dir):
 @query("""with f as (select user_id, event_type, min(event_id) as first from events group by all)
 select user_id, event_type, '$v' || dense_rank() over (partition by user_id order by first) as name from f""")
 def baggage_names(spark, sf_dir):
-    from pyspark.sql import Window
-
     f = V.table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first"))
-    rank = F.dense_rank().over(Window.partitionBy("user_id").orderBy("first"))
-    return f.select("user_id", "event_type", F.concat(F.lit("$v"), rank).alias("name"))
+    return explore.baggage_names(f, "user_id", "first").select("user_id", "event_type", "name")
 
 
 @query("""with q as (select embedding::double[] as q from embeddings where vec_id = 0), s as (select vec_id, list_dot_product(embedding::double[], q) / sqrt(list_dot_product(q, q)) / sqrt(list_dot_product(embedding::double[], embedding::double[])) as score from embeddings, q)
@@ -661,13 +793,10 @@ select vec_id, round(score, 9) as score from s order by score desc, vec_id limit
 def vector_topk(spark, sf_dir):
     """The ten vectors nearest to vector 0 by cosine (a top-k report)."""
     e = V.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    asked = e.where("vec_id = 0").first()["v"]
-    q = F.array(*[F.lit(float(x)) for x in asked])
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    score = dot(F.col("v"), q) / F.sqrt(dot(q, q)) / F.sqrt(dot(F.col("v"), F.col("v")))
-    return e.select("vec_id", score.alias("s")).orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", F.round("s", 9).alias("score"))
+    return explore.nearest_vectors(e, e.where("vec_id = 0").first()["v"])
 
 
 @query("select doc_id, array_to_string(string_split(text, chr(10))[2:4], '|') as lines from documents")
 def source_window(spark, sf_dir):
-    return V.table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(F.split("text", "\n"), 2, 3), "|").alias("lines"))
+    docs = V.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", explore.source_window(docs, 2, 3, "text").alias("lines"))
\ No newline at end of file
