@@ -37,21 +37,46 @@ def io_columns(io: DataFrame) -> DataFrame:
     return io.groupBy("start_fn", "start_file").agg(*aggregates)
 
 
-def report_lines(entries: DataFrame, io: DataFrame, topology: DataFrame, title: str = "project", date: str = "") -> DataFrame:
-    """section, part, position, line: the whole report, sorted by the first three."""
-    head = entries.sparkSession.createDataFrame([("", 0, "", f"# {title} {date}".strip())], "section string, part int, position string, line string")
+def relative(file: Column, root: str) -> Column:
+    """A path without the root before it and without leading slashes."""
+    root = root.rstrip("/")
+    return F.ltrim(F.when(file.startswith(root), F.substring(file, len(root) + 1, 1 << 30)).otherwise(file), F.lit("/"))
+
+
+def header_lines(files: DataFrame, title: str, date: str) -> DataFrame:
+    """Two lines: the title, and how many files of which languages there are."""
+    count = files.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("language")), ", ").alias("languages"))
+    told = F.concat(F.lit(f"Generated: {date} | Files: "), F.col("n").cast("string"), F.lit(" | Languages: "), F.col("languages"))
+    lines = F.array(F.struct(F.lit("0").alias("position"), F.lit(f"# {title}").alias("line")), F.struct(F.lit("1").alias("position"), told.alias("line")))
+    return count.select(F.explode(lines).alias("l")).select(F.lit("").alias("section"), F.lit(0).alias("part"), "l.position", "l.line")
+
+
+def report_lines(entries: DataFrame, io: DataFrame, topology: DataFrame, title: str = "project", date: str = "", files: DataFrame | None = None, root: str = "") -> DataFrame:
+    """section, part, position, line: the whole report, sorted by the first three.
+
+    A section is a service: its heading with its most frequent language (the first of equal
+    ones), headings of its buckets, and the entries by path and name. ``files`` (file,
+    language) adds a line of counts; paths are shown below ``root``.
+    """
+    if files is None:
+        head = entries.sparkSession.createDataFrame([("", 0, "", f"# {title} {date}".strip())], "section string, part int, position string, line string")
+    else:
+        head = header_lines(files, title, date)
     links = topology_lines(topology).select(F.lit("").alias("section"), F.lit(1).alias("part"), F.concat_ws("\x01", "src", "dst").alias("position"), "line")
     name = F.when(F.col("path").isNotNull() & F.col("method").isNotNull(), F.concat_ws(" ", "method", "path")).otherwise(F.col("fn_name"))
     bucket = S.auth_bucket(F.col("path"), F.col("middleware"))
     rank = F.when(bucket == "Public", F.lit(0)).when(bucket == "Background", F.lit(2)).otherwise(F.lit(1)).cast("string")
-    rows = entries.join(
-        io_columns(io).select(F.col("start_fn").alias("fn_name"), F.col("start_file").alias("file"), "*"), ["fn_name", "file"], "left"
-    )
+    start = [F.col("start_fn").alias("fn_name"), F.col("start_file").alias("file")]
+    rows = entries.join(io_columns(io).select(*start, "*"), ["fn_name", "file"], "left").join(file_refs(io).select(*start, "refs"), ["fn_name", "file"], "left")
     shown = [F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"  {label}"), F.col(c))) for c, label in (
         ("body", "in: body "), ("headers", "in: headers "), ("sql_read", "sql reads: "), ("sql_write", "sql writes: "), ("redis_read", "redis reads: "),
-        ("redis_write", "redis writes: "), ("kafka_read", "kafka reads: "), ("kafka_write", "kafka writes: "))]
-    text = F.array_compact(F.array(F.concat(name, F.lit("  "), bucket), F.concat(F.lit("  file: "), F.concat_ws(":", "file", "line")), *shown))
+        ("redis_write", "redis writes: "), ("kafka_read", "kafka reads: "), ("kafka_write", "kafka writes: "), ("refs", "at: "))]
+    text = F.array_compact(F.array(F.concat(name, F.lit("  "), bucket), F.concat(F.lit("  file: "), F.concat_ws(":", relative(F.col("file"), root), "line")), *shown))
     position = F.concat_ws("\x01", rank, bucket, F.coalesce("path", F.lit("")), "fn_name", "file")
     body = rows.select(F.col("service").alias("section"), position.alias("at"), F.posexplode(text).alias("n", "line"))
     body = body.select("section", F.lit(2).alias("part"), F.concat_ws("\x01", "at", F.lpad(F.col("n").cast("string"), 3, "0")).alias("position"), "line")
-    return head.unionByName(links).unionByName(body)
+    buckets = entries.select(F.col("service").alias("section"), F.lit(2).alias("part"), F.concat_ws("\x01", rank, bucket).alias("position"), F.concat(F.lit("### "), bucket).alias("line")).distinct()
+    counted = entries.groupBy("service", S.language_of(F.col("file")).alias("language")).agg(F.count(F.lit(1)).alias("n"))
+    main = counted.groupBy("service").agg(F.min_by("language", F.struct(-F.col("n"), "language")).alias("language"))
+    services = main.select(F.col("service").alias("section"), F.lit(2).alias("part"), F.lit("").alias("position"), F.concat(F.lit("## "), "service", F.lit(" ["), F.coalesce("language", F.lit("?")), F.lit("]")).alias("line"))
+    return head.unionByName(links).unionByName(services).unionByName(buckets).unionByName(body)

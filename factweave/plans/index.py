@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import datetime
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.operators import attribute, entrypoints, extract, graph, report, topology
-from factweave.sources.files import read_tree, write_report
+from factweave.operators import attribute, entrypoints, explore, extract, graph, report, topology
+from factweave.sources.files import read_tree, save_snapshot, snapshot_status, write_report
 from factweave.storage import materialize
 
 
@@ -22,11 +24,16 @@ class Config:
     compat: bool = False
 
 
-def index(files: DataFrame, config: Config = Config(), verdicts: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All tables of ``files`` (file, language, src): facts, entry points, what they reach, topology, report."""
+def index(files: DataFrame, config: Config = Config(), verdicts: DataFrame | None = None, resolutions: DataFrame | None = None, title: str = "project", date: str = "", root: str = "") -> dict[str, DataFrame]:
+    """All tables of ``files`` (file, language, src): facts, entry points, what they reach, topology, report.
+
+    ``verdicts`` change the confidence of events, ``resolutions`` (src_file, line,
+    dst_symbol, dst_file) give open calls their target.
+    """
     files = files.select("file", "language", "src")
     symbols = materialize(extract.symbols(files), "symbols")
-    edges = materialize(attribute.attribute_edges(extract.edges(files), symbols), "edges")
+    edges = attribute.attribute_edges(extract.edges(files), symbols)
+    edges = materialize(edges if resolutions is None else explore.resolve_edges(edges, resolutions), "edges")
     events = attribute.merge_first_wins(extract.boundary_events(files, compat=config.compat), compat=config.compat)
     events = attribute.attribute_events(events, symbols).where("medium <> 'http_body'")
     if verdicts is not None:
@@ -46,7 +53,7 @@ def index(files: DataFrame, config: Config = Config(), verdicts: DataFrame | Non
     return {
         "symbols": symbols, "edges": edges, "events": events, "entry_points": points, "adjacency": near, "reached": reached, "io": io,
         "services": homes, "entries": entries, "topology": links.distinct(), "meta": extract.file_meta_counts(files),
-        "report": report.report_lines(entries, io, links.distinct()),
+        "report": report.report_lines(entries, io, links.distinct(), title, date, files, root), "summary": explore.run_summary(files),
     }
 
 
@@ -56,11 +63,22 @@ def main(argv: list[str] | None = None) -> None:
     args.add_argument("--out", default="codemap.md")
     args.add_argument("--depth", type=int, default=6)
     args.add_argument("--min-confidence", type=float, default=0.5)
+    args.add_argument("--title", default="")
+    args.add_argument("--date", default=datetime.date.today().isoformat())
+    args.add_argument("--snapshot", default="", help="folder of the snapshot that files are held against; a new one replaces it")
+    args.add_argument("--verdicts", default="", help="Parquet of verdicts on events")
+    args.add_argument("--resolutions", default="", help="Parquet of resolved definitions")
     a = args.parse_args(argv)
     spark = SparkSession.builder.appName("factweave").getOrCreate()
-    tables = index(read_tree(spark, a.root), Config(a.depth, a.min_confidence))
+    tree = materialize(read_tree(spark, a.root), "tree")
+    if a.snapshot:
+        old = spark.read.parquet(a.snapshot) if Path(a.snapshot).exists() else tree.select("file", "sha256").limit(0)
+        print({r["status"]: r["n"] for r in snapshot_status(tree, materialize(old, "snapshot")).groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()})
+        save_snapshot(tree, a.snapshot)
+    given = lambda path: spark.read.parquet(path) if path else None
+    tables = index(tree, Config(a.depth, a.min_confidence), given(a.verdicts), given(a.resolutions), a.title or Path(a.root).resolve().name, a.date, a.root)
     write_report(tables["report"], a.out)
-    print({k: tables[k].count() for k in ("symbols", "edges", "events", "entry_points", "topology")})
+    print(tables["summary"].first().asDict() | {k: tables[k].count() for k in ("symbols", "edges", "events", "entry_points", "topology")} | {"services": tables["entries"].select("service").distinct().count()})
 
 
 if __name__ == "__main__":

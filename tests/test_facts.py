@@ -148,3 +148,28 @@ def test_stream_of_changed_files(spark, tmp_path):
         rows(*names).write.mode("append").parquet(table)
         run_available(changed_files(spark, table), str(tmp_path / "c"), lambda batch, _: seen.append(sorted(r.file for r in batch.collect())))
     assert seen == [["a", "b"], ["c"]]
+
+
+def test_the_command_writes_a_report_and_a_snapshot(spark, tmp_path, capsys):
+    from factweave.plans.index import main
+
+    root = tmp_path / "proj"
+    for name, src in TREE.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(src)
+    args = [str(root), "--out", str(tmp_path / "out.md"), "--date", "2020-01-02", "--snapshot", str(tmp_path / "snap")]
+    main(args)
+    assert "{'New': 3}" in capsys.readouterr().out
+    lines = (tmp_path / "out.md").read_text().splitlines()
+    assert lines[:2] == ["# proj", "Generated: 2020-01-02 | Files: 3 | Languages: go, javascript, python"]
+    assert "## service_a [javascript]" in lines and lines.index("### Public") < lines.index("POST /orders  Public") and "  file: service_a/index.js:11" in lines
+    (root / "service_c/consumer.py").write_text("x = 1\n")
+    main(args)
+    assert "'Changed': 1" in (out := capsys.readouterr().out) and "'Unchanged': 2" in out
+
+
+def test_references_outside_the_own_file_are_shown(spark):
+    files = [("a/h.js", "javascript", "export function h(req) {\n  save(1);\n}\napp.get('/h', h);\n"), ("a/store.js", "javascript", "function save(x) {\n  redis.set(`k:${x}`, 1);\n}\n")]
+    tables = index(spark.createDataFrame(files, "file string, language string, src string"))
+    lines = {r.line for r in tables["report"].collect()}
+    assert "  at: a/store.js:2" in lines and "  redis writes: k:{}" in lines
