@@ -22,8 +22,10 @@ what their D differ in, so D of a pair that isn't linked through the hub must ov
 shares one of its rarest elements (prefixes in one order, lengths from the overlap needed).
 Members far from the hub share one of the rarest elements of the sets themselves. Both
 zones overlap by the Jaccard distance that a link may span, so by the triangle inequality
-each link lies whole in one. Groups that share such an element are paired if small and
-split anew, with a hub of their own, if large. Groups within one component are done.
+each link lies whole in one. Sets that share no rare element with any other go first. Groups
+that share such an element are split anew, with a hub of their own, until what is left can
+be paired at a bounded cost for each set; a pair needs two components, fitting sizes and
+enough elements left to overlap. Groups within one component are done.
 """
 
 from __future__ import annotations
@@ -52,10 +54,9 @@ N2, K2 = 2, 1
 SPARE_PARTS = 1.5
 #: A group of sets that share a signature gives all its pairs up to this size.
 SMALL_GROUP = 6
-#: A group that a split makes is paired up to this size, and to twice that after each further split.
-SPLIT_GROUP = 48
-#: Large groups are split so often; what is then still large and in several components is paired, under the same bounds.
-MAX_SPLITS = 4
+#: Large groups are split until pairing their members takes so many comparisons (of bounds, not of sets) for
+#: each distinct set of the corpus at most, or so often; then members are paired under the same bounds.
+PAIR_WORK, MAX_SPLITS = 500, 6
 #: Similarity in percent from which a member counts as close to its hub.
 CLOSE = 50
 #: Text bytes for each bucket of signatures, and words of the cache of one worker.
@@ -290,9 +291,14 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, percent: int, levels: li
     if groups.isEmpty():
         return links
     ranked = materialize(_ranked(groups.select("set").distinct().join(elements, "set")), "jaccard-ranked")
+    # a set that shares none of its rarest elements with another one of a large group links with none of them
+    size = F.size("e")
+    shares = F.element_at("n", (size - F.ceil(F.lit(percent) * size / 100) + 1).cast("int")) > 1
+    groups = materialize(groups.join(ranked.where(shares).select("set"), "set"), "jaccard-groups")
     placed = lambda df: df.join(component, "set", "left").withColumn("c", F.coalesce("c", "set"))
     component = _components(links)
-    for nth in range(MAX_SPLITS):
+    enough = PAIR_WORK * classes.count()
+    for _ in range(MAX_SPLITS):
         # groups of several components, and their hubs: the member of most groups
         weighed = placed(groups).withColumn("w", F.count(F.lit(1)).over(Window.partitionBy("set")))
         hubs = weighed.groupBy("g").agg(F.max_by("set", F.struct("w", "set")).alias("hub"), F.min("c").alias("low"), F.max("c").alias("high"))
@@ -303,21 +309,22 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, percent: int, levels: li
         near = compared.where("role = 0").select(F.col("set").alias("a"), F.col("g").alias("b"))
         links = materialize(links.unionByName(near), "jaccard-links")
         component = _components(links)
-        rest = materialize(placed(compared.where("role > 0")), "jaccard-rest")
+        rest = placed(compared.where(F.col("role").between(1, 7)).unionByName(_rare_elements(compared.where("role = 8").select("set").distinct().join(ranked, "set"), percent)))
         mixed = lambda df, *more: df.groupBy("g").agg(F.count(F.lit(1)).alias("many"), F.min("c").alias("low"), F.max("c").alias("high"), *more).where("low <> high").drop("low", "high")
         # a member that overlaps too little even with the nearest possible partner goes
         reach = mixed(rest, F.min("need").alias("least"), F.max("rest").alias("most")).drop("many")
         able = F.col("need") + F.col("least") <= 2 * (100 + percent) * F.least("rest", "most")
         rest = materialize(rest.join(reach, "g").where(able).drop("least", "most"), "jaccard-able")
-        rest = materialize(rest.join(mixed(rest), "g"), "jaccard-rest")
-        likely = materialize(_possible(_small_pairs(rest.where(F.col("many") <= SPLIT_GROUP << nth), percent), classes, percent), "jaccard-likely")
-        links = materialize(links.unionByName(_verified(likely, elements, percent)), "jaccard-links")
-        rest = rest.where(F.col("many") > SPLIT_GROUP << nth)
+        sizes = materialize(mixed(rest), "jaccard-sizes")
+        rest = rest.join(sizes, "g")
+        if (sizes.agg(F.sum(F.col("many") * F.col("many") / 2).alias("work")).first()["work"] or 0) <= enough:
+            break
         groups = rest.select("g", "set")
-    left = materialize(placed(rest.drop("c", "many")), "jaccard-left")
-    side = lambda name: left.select("g", F.struct("set", "role", "need", "rest", "size", "c").alias(name))
+    side = lambda name: rest.select("g", F.struct("set", "role", "need", "rest", "size", "c").alias(name))
     pairs = side("x").join(side("y"), "g").where(_may_meet(F.col("x"), F.col("y"), percent)).select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
     pairs = materialize(pairs.distinct(), "jaccard-pairs")
+    if pairs.isEmpty():
+        return links
     return links.unionByName(_verified(_possible(pairs, classes, percent), elements, percent))
 
 
@@ -370,20 +377,20 @@ def _ranked(elements: DataFrame) -> DataFrame:
     return joined.mapInArrow(ordered, "set long, e array<long>, n array<long>")
 
 
-def prefixes(x: np.ndarray, n_x: np.ndarray, h: np.ndarray, n_h: np.ndarray, percent: int) -> tuple[bool, list[tuple]]:
-    """Whether x links with its hub h, and by which elements it may meet other members.
+def prefixes(x: np.ndarray, n_x: np.ndarray, h: np.ndarray, n_h: np.ndarray, percent: int) -> tuple[bool, bool, tuple | None]:
+    """Whether x links with its hub h, whether it is far, and if close by which differences it may meet other members.
 
-    Those are arrays (element, zone, role, need, rest): in zone 0 (differences from a close
-    hub) roles 1 and 2 are those of a set not linked with the hub, towards others of that
-    kind and towards linked ones; 4 is a linked set's; in zone 1 all have role 8. Two members can be similar
-    only if need + need <= 2 * (100 + percent) * min(rest, rest) at their first common element.
+    Those are arrays (element, role, need, rest): roles 1 and 2 are those of a set not linked
+    with the hub, towards others of that kind and towards linked ones; 4 is a linked set's.
+    Two members can be similar only if need + need <= 2 * (100 + percent) * min(rest, rest) at
+    their first common element.
     """
     q, r = 100 + percent, 100 - percent
     in_h, in_x = np.isin(x, h, assume_unique=True), np.isin(h, x, assume_unique=True)
     common = int(in_h.sum())
     union = len(x) + len(h) - common
     linked = 100 * common >= percent * union
-    out = []
+    out = None
     if 100 * common >= CLOSE * union:
         # inserted elements come first, rare ones before; then the hub's own, those that few lack before
         d = np.concatenate([x[~in_h], h[~in_x]])
@@ -398,15 +405,22 @@ def prefixes(x: np.ndarray, n_x: np.ndarray, h: np.ndarray, n_h: np.ndarray, per
         else:
             roles = (np.arange(len(d)) < len(d) - max(1, -(-(need + r * len(h) + 1) // (2 * q))) + 1) * 4
         at = np.flatnonzero((roles > 0) & useful)
-        out.append((d[at], 0, roles[at], need, len(d) - at))
-    if 100 * common < (CLOSE + r) * union:
-        at = np.flatnonzero(n_x[: len(x) - -(-percent * len(x) // 100) + 1] > 1)
-        out.append((x[at], 1, np.full(len(at), 8), 2 * percent * len(x), len(x) - at))
-    return linked, out
+        out = d[at], roles[at], need, len(d) - at
+    return linked, 100 * common < (CLOSE + r) * union, out
+
+
+def _rare_elements(ranked: DataFrame, percent: int) -> DataFrame:
+    """Rows (g, role 8) of each set's rarest elements: one of them is in every set similar to it that others hold too."""
+    size = F.size("e")
+    first = (size - F.ceil(F.lit(percent) * size / 100) + 1).cast("int")
+    at = F.transform(F.arrays_zip(F.slice("e", F.lit(1), first).alias("e"), F.slice("n", F.lit(1), first).alias("n")), lambda p, i: F.struct(p["e"].alias("e"), p["n"].alias("n"), i.alias("i")))
+    rows = ranked.select("set", size.cast("long").alias("size"), F.explode(F.filter(at, lambda p: p["n"] > 1)).alias("p"))
+    need = (2 * percent * F.col("size")).alias("need")
+    return rows.select(F.xxhash64("p.e").alias("g"), "set", F.lit(8).cast("long").alias("role"), need, (F.col("size") - F.col("p.i")).alias("rest"), "size")
 
 
 def _compared(pairs: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
-    """Members compared with their hubs: (g = hub, role 0) for links, and rows of the groups g in which they may meet others."""
+    """Members compared with their hubs: (g = hub, role 0) for links, (role 8) for far ones, and rows of the groups g in which close ones may meet others."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -418,12 +432,13 @@ def _compared(pairs: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
 
             lists = [_lists(b.column(c)) for c in ("e", "n", "e_hub", "n_hub")]
             for own, hub, x, n_x, h, n_h in zip(b.column("set").to_pylist(), b.column("hub").to_pylist(), *lists):
-                linked, meets = prefixes(x, n_x.view(np.int64), h, n_h.view(np.int64), percent)
-                if linked:
-                    add(np.array([hub]), own, 0, 0, 0, len(x))
-                for e, zone, roles, need, rest in meets:
+                linked, far, meets = prefixes(x, n_x.view(np.int64), h, n_h.view(np.int64), percent)
+                for role in [0] * linked + [8] * far:
+                    add(np.array([hub]), own, role, 0, 0, len(x))
+                if meets is not None:
+                    e, roles, need, rest = meets
                     with np.errstate(over="ignore"):
-                        place = mix(np.array([hub], np.int64).view(np.uint64) * _M1 + np.uint64(zone))
+                        place = mix(np.array([hub], np.int64).view(np.uint64) * _M1)
                         add(mix(e ^ place).view(np.int64), own, roles, need, rest, len(x))
             cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in found]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["g", "set", "role", "need", "rest", "size"])
@@ -433,13 +448,6 @@ def _compared(pairs: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(compared, "g long, set long, role long, need long, rest long, size long")
 
 
-def _small_pairs(rest: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of small groups that lie in different components and may be similar."""
-    members = rest.groupBy("g").agg(F.collect_list(F.struct("set", "role", "need", "rest", "size", "c")).alias("m"))
-    pair = members.select(F.explode("m").alias("x"), "m").select("x", F.explode(F.filter("m", lambda y: _may_meet(F.col("x"), y, percent))).alias("y"))
-    return pair.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
-
-
 def _may_meet(x: Column, y: Column, percent: int) -> Column:
     """Whether two members (structs) of a group of ``_compared`` may be similar: once, for the smaller set id."""
     role = lambda i, j: (x.role.bitwiseAND(i) > 0) & (y.role.bitwiseAND(j) > 0)
