@@ -1,15 +1,17 @@
-"""Mixing sources to target token weights by entropy balancing.
-
-Every source gets a token target. Among all ways to reweight documents, entropy
-balancing takes the one closest (in Kullback-Leibler divergence, with a document's
-words as its base measure) to the corpus as it is, under one token constraint for
-each source. Its convex dual has one multiplier for each source, and the primal
-solution is the exponential tilt ``rate = exp(multiplier)``. Newton's method finds
-the multipliers: gradient and Hessian are sums over documents, which are
-aggregated once for each source (with map-side combine) and then iterated as
-columns of that small table. Rates are rounded into whole copies by systematic
-sampling along the document sizes, within groups of bounded size, and the rest is
-mended with the smallest documents, so that taken words stay near the target.
+"""Mixing sources to target weights by entropy balancing.
+
+Every source gets a token target. Of all rates between 0 and a maximum that meet it,
+entropy balancing takes those closest (in Kullback-Leibler divergence, every document
+having base measure one) to the corpus as it is: minimise the sum of
+``r * log(r) - r`` over documents so that the sum of ``r * size`` is the target. The
+convex dual has one multiplier for each source, and its primal solution is the
+exponential tilt ``r = min(max_rate, exp(multiplier * size / mean size))``, so rates
+differ by document. Newton's method finds the multipliers: in every step gradient and
+Hessian are sums over the documents, pre-aggregated by source and size, which differ
+in nothing that counts here; a bracket that each step narrows keeps it convergent.
+Rates are rounded into whole copies by systematic sampling along the document sizes,
+within groups of bounded size, and the rest is mended with the smallest documents, so
+that taken words stay near the target.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from .words import n_words_of, trimmed
 #: Documents of one rounding group; hot sources are dealt over many groups.
 GROUP_DOCS = 4096
 #: Newton stops when every constraint holds to this relative error.
-TOLERANCE = 1e-12
+TOLERANCE = 1e-9
 
 
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), budget: float = 1.5, max_rate: float = 2.0) -> DataFrame:
@@ -74,24 +76,44 @@ def _ranked(sources: DataFrame) -> DataFrame:
     return dealt.withColumn("local", local).join(before, "part").withColumn("rank", F.col("local") + F.col("before")).drop("part", "local", "before")
 
 
-def balance(targets: DataFrame, tolerance: float = TOLERANCE, max_steps: int = 60) -> DataFrame:
-    """Adds rate: the exponential tilt that meets each source's token constraint.
+def balance(sizes: DataFrame, targets: DataFrame, max_rate: float = 2.0, tolerance: float = TOLERANCE, max_steps: int = 100) -> DataFrame:
+    """``targets`` with multiplier: the dual solution of each source's token constraint.
 
-    Newton on the dual f(m) = size * exp(m) - target * m: the gradient is
-    size * exp(m) - target, the Hessian size * exp(m). A source without words or
-    with target 0 gets rate 0.
+    The rate of a document is ``tilt(multiplier, size, mean, max_rate)``. A source without
+    words or with target 0 has a null multiplier, and rate 0. A source whose target is
+    ``max_rate`` times its size has the multiplier from which all its rates are ``max_rate``.
     """
     live = (F.col("source_size") > 0) & (F.col("target") > 0)
-    state = materialize(targets.withColumn("multiplier", F.when(live, F.lit(0.0))), "mix-newton")
+    ratio = F.log(F.col("target") / F.col("source_size"))
+    # where the smallest size possible, one word, is tilted far enough, all are
+    state = targets.withColumn("mean", F.col("source_size") / F.col("n_docs")).withColumn("least", F.least(F.lit(0.0), ratio * F.col("mean")))
+    state = state.withColumn("most", F.when(ratio > 0, F.log(F.lit(float(max_rate))) * F.col("mean")).otherwise(0.0))
+    full = F.col("target") >= F.col("source_size") * F.lit(float(max_rate)) * (1 - tolerance)
+    state = state.withColumn("multiplier", F.when(live, F.when(full, F.col("most")).otherwise(ratio))).withColumn("done", F.coalesce(~live | full, F.lit(True)))
+    state = materialize(state, "mix-newton")
+    alike = materialize(sizes.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-alike")
     for _ in range(max_steps):
-        tokens = F.col("source_size") * F.exp("multiplier")
-        worst = state.agg(F.max(F.abs(tokens - F.col("target")) / F.col("target")).alias("e")).first()["e"]
-        if worst is None or worst <= tolerance:
+        open_ = state.where("not done")
+        if open_.isEmpty():
             break
-        # a full step from a tilt far below its root overshoots; a step is at most 1
-        step = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("target") - tokens) / tokens))
-        state = materialize(state.withColumn("multiplier", F.col("multiplier") + step), "mix-newton")
-    return state.withColumn("rate", F.coalesce(F.exp("multiplier"), F.lit(0.0))).drop("multiplier")
+        each = alike.alias("a").join(open_.alias("o"), F.col("a.source").eqNullSafe(F.col("o.source"))).select("o.source", "size", "n", "mean", "multiplier")
+        rate = tilt(F.col("multiplier"), F.col("size"), F.col("mean"), max_rate)
+        words = F.col("n") * F.col("size") * rate
+        sums = each.groupBy("source").agg(F.sum(words).alias("words"), F.sum(F.when(rate < max_rate, words * F.col("size") / F.col("mean")).otherwise(0.0)).alias("hessian"))
+        now = state.alias("s").join(sums.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")), "left").select("s.*", "words", "hessian")
+        gradient = F.col("words") - F.col("target")
+        now = now.withColumn("least", F.when(gradient < 0, F.col("multiplier")).otherwise(F.col("least"))).withColumn("most", F.when(gradient > 0, F.col("multiplier")).otherwise(F.col("most")))
+        newton = F.col("multiplier") - gradient / F.col("hessian")
+        inside = (F.col("hessian") > 0) & (newton > F.col("least")) & (newton < F.col("most"))
+        met = F.col("done") | (F.abs(gradient) <= tolerance * F.col("target")) | (F.col("most") - F.col("least") <= 1e-15 * F.col("mean"))
+        moved = F.when(met, F.col("multiplier")).when(inside, newton).otherwise((F.col("least") + F.col("most")) / 2)
+        state = materialize(now.withColumn("multiplier", moved).withColumn("done", met).drop("words", "hessian"), "mix-newton")
+    return state.drop("least", "most", "done")
+
+
+def tilt(multiplier: Column, size: Column, mean: Column, max_rate: float) -> Column:
+    """The rate of a document; 0 where the multiplier is null."""
+    return F.coalesce(F.least(F.lit(float(max_rate)), F.exp(multiplier * size / mean)), F.lit(0.0))
 
 
 def mix_sources(
@@ -106,7 +128,7 @@ def mix_sources(
 ) -> DataFrame:
     """Plan a mix: doc_id, size, source_size, target, rate, copies, taken for each input row.
 
-    A null or blank text has size 0 and is taken 0 times. A null source is a source
+    A null or blank text has size 0 and is taken 0 times; texts of any length count whole. A null source is a source
     of its own, the last. Repeated rows are rounded as separate documents; ties in
     size go by id, and rows equal in both are interchangeable. An empty table gives
     an empty plan. Other columns of ``docs`` are ignored, whatever their names.
@@ -114,19 +136,22 @@ def mix_sources(
     sizes = materialize(
         docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words_of(trimmed(F.col(text))).alias("size")), "mix-sizes"
     )
-    rates = materialize(balance(source_targets(sizes, weights, budget, max_rate)), "mix-rates")
+    rates = materialize(balance(sizes, source_targets(sizes, weights, budget, max_rate), max_rate), "mix-rates")
+    rate = tilt(F.col("multiplier"), F.col("size"), F.col("mean"), max_rate)
     groups = F.ceil(F.col("n_docs") / F.lit(group_docs))
     dealt = (
         sizes.alias("d")
         .join(rates.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")))
-        .select("d.doc_id", "d.source", "size", "source_size", "target", "rate", F.pmod(F.xxhash64("d.doc_id", "size"), groups).alias("group"))
+        .select("d.doc_id", "d.source", "size", "source_size", "target", rate.alias("rate"), F.pmod(F.xxhash64("d.doc_id", "size"), groups).alias("group"))
     )
     whole = F.floor(F.col("rate") + F.lit(1e-9))
     part = F.greatest(F.lit(0.0), F.col("rate") - whole)
     along = Window.partitionBy("source", "group").orderBy(F.desc("size"), F.asc("doc_id"))
-    n = F.row_number().over(along)
+    upto = F.sum(part).over(along.rowsBetween(Window.unboundedPreceding, 0))
+    # a rate near 1 or 0 adds next to nothing, and rounding to 9 digits takes equal sums for equal
+    dealt = dealt.withColumn("n", F.row_number().over(along)).withColumn("upto", F.round(upto, 9)).withColumn("before", F.coalesce(F.lag("upto").over(along), F.lit(0.0)))
     picked = materialize(
-        dealt.withColumn("n", n).withColumn("extra", (F.floor(F.col("n") * part + 0.5) - F.floor((F.col("n") - 1) * part + 0.5)).cast("int")).withColumn(
+        dealt.withColumn("extra", (F.floor(F.col("upto") + 0.5) - F.floor(F.col("before") + 0.5)).cast("int")).drop("upto", "before").withColumn(
             "copies", F.when(F.col("size") == 0, F.lit(0)).otherwise(whole.cast("int") + F.col("extra"))
         ),
         "mix-picked",
