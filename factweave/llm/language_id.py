@@ -16,16 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LENGTH = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Windows that training sees at most, in all; each sampled row gives up to three.
+#: Windows that training sees at most (but a text of each language); each sampled text gives up to three.
 TRAIN_WINDOWS = 12_000
-#: Languages that can be learned: the most frequent ones.
-MAX_LANGUAGES = 200
 #: Windows scored at once.
 BLOCK = 512
 
@@ -132,24 +130,47 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(labelled: DataFrame, max_windows: int = TRAIN_WINDOWS, max_languages: int = MAX_LANGUAGES) -> Network | None:
-    """A network from rows (doc_id, text, lang); None if there is nothing to learn from.
+def sample_of(labelled: DataFrame, max_windows: int = TRAIN_WINDOWS) -> list[tuple[str, str]]:
+    """(lang, part of a text) of a bounded sample of rows (text, lang), up to three parts of each text.
 
-    The sample is bounded: about ``max_windows`` windows, spread evenly over the
-    languages, of rows picked by a hash of their id.
+    Every language counts; all together give ``max_windows`` parts at most, but each
+    language at least one text. Texts are picked by the smallest hashes of the texts
+    themselves, equal ones once, so repeated rows and repeated or null ids change nothing.
     """
-    usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not counts:
+    usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("first"))
+    counts = counts.persist()
+    n = counts.count()
+    if not n:
+        return []
+    each = max(1, max_windows // 3 // n)
+    # about twice as many as wanted pass by their hash, then exactly the smallest ones are taken
+    share = F.pmod(F.xxhash64("h"), F.lit(1_000_003)) < F.lit(2.0 * each * 1_000_003) / F.col("n")
+    likely = usable.join(counts, "lang").where(share | (F.col("h") == F.col("first"))).select("lang", "h", "text")
+    likely = likely.groupBy("lang", "h").agg(F.min(F.struct(F.length("text").alias("size"), F.array(*[_part("text", "h", j) for j in range(3)]).alias("parts"))).alias("t"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h"), "h"))
+    taken = likely.withColumn("nth", nth).where(F.col("nth") <= each)
+    rows = sorted((r["lang"], r["part"]) for r in taken.select("lang", F.explode(F.array_distinct("t.parts")).alias("part")).collect())
+    counts.unpersist()
+    return rows
+
+
+def _part(text: str, h: str, j: int) -> Column:
+    at = F.pmod(F.xxhash64(h, F.lit(j)), F.greatest(F.length(text) - LENGTH + 1, F.lit(1))).cast("int") + 1
+    return F.substring(text, at, F.lit(LENGTH + 3))
+
+
+def learn(labelled: DataFrame, max_windows: int = TRAIN_WINDOWS) -> Network | None:
+    """A network from rows (text, lang) and any other columns; None if there is nothing to learn from.
+
+    It is trained on the bounded sample of ``sample_of``. A window may start within a
+    character, as in scoring.
+    """
+    rows = sample_of(labelled, max_windows)
+    if not rows:
         return None
-    languages = sorted(r["lang"] for r in counts)
-    each = max_windows / 3 / len(languages)
-    odds = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, each / r["count"])))])
-    picked = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < odds[F.col("lang")] * 1_000_003)
-    at = lambda j: F.pmod(F.xxhash64("doc_id", F.lit(j)), F.greatest(F.length("text") - LENGTH + 1, F.lit(1))).cast("int") + 1
-    cut = F.array_distinct(F.array(*[F.substring("text", at(j), F.lit(LENGTH)) for j in range(3)]))
-    rows = sorted((r["lang"], r["part"]) for r in picked.select("lang", F.explode(cut).alias("part")).collect())
-    x = np.concatenate([windows_of(part.encode("utf-8", "surrogatepass")[:LENGTH]) for _, part in rows])
+    languages = sorted({lang for lang, _ in rows})
+    x = np.concatenate([windows_of(part.encode("utf-8", "surrogatepass")[k % 3 :][:LENGTH]) for k, (_, part) in enumerate(rows)])
     index = {lang: k for k, lang in enumerate(languages)}
     return train(x, np.array([index[lang] for lang, _ in rows]), languages)
 
@@ -158,8 +179,9 @@ def predict(docs: DataFrame, network: Network | None, doc_id: str = "doc_id", te
     """doc_id, lang_pred, score for each input row.
 
     ``und`` with score 0 for null texts, texts without a letter and without a
-    network. Texts of any length count whole. Repeated rows give a row each; an empty
-    table gives no rows; other columns are ignored.
+    network. Texts of any length count whole. Of equally probable languages the first
+    in code point order is taken. Repeated rows give a row each; an empty table gives no
+    rows; other columns are ignored.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(network)  # its size is fixed by the module's constants

@@ -169,6 +169,47 @@ def test_language(spark):
     assert language_id.learn(docs.limit(0).select("doc_id", "text", "lang")) is None and {r.lang_pred for r in language_id.predict(docs, None).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded_and_stands_repeated_ids(spark):
+    rnd = random.Random(9)
+    word = lambda alphabet, n: "".join(rnd.choice(alphabet) for _ in range(n))
+    rows = [(7, word("abcde ", 300), "aa") for _ in range(3000)] + [(None, word("vwxyz ", 300), "bb") for _ in range(3000)] + [(1, "one text", "cc")] * 2000
+    rows += [(i, word("éèçàê ", 40), f"l{i}") for i in range(250)]  # more languages than any fixed number
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language_id.sample_of(docs, 3000)
+    count = Counter(lang for lang, _ in sample)
+    assert set(count) == {"aa", "bb", "cc", *[f"l{i}" for i in range(250)]} and len(sample) <= 3000 and max(count.values()) <= 3 * (3000 // 3 // 253)
+    assert sample == language_id.sample_of(docs.repartition(7), 3000)
+
+
+def test_network_is_a_plain_convolution(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(97, 123, (6, language_id.LENGTH)).astype(np.uint8)
+    net = language_id.train(x, np.array([0, 1, 0, 1, 0, 1]), ["a", "b"], epochs=1)
+    for row, got in zip(x, net.probabilities(x)):
+        best = []
+        for w, t in net.tables.items():
+            spans = [sum(t[k][row[i + k]].astype(float) for k in range(w)) for i in range(len(row) - w + 1)]
+            best += np.max(spans, 0).tolist()
+        z = np.maximum(np.array(best) + net.bias, 0) @ net.weights + net.offset
+        assert np.allclose(np.exp(z - z.max()) / np.exp(z - z.max()).sum(), got, atol=1e-4)
+
+
+def test_rates_solve_the_dual(spark):
+    rnd = random.Random(12)
+    rows = [(i, " ".join(["w"] * rnd.choice([1, 4, 20, 90, 400])), f"s{i % 5}") for i in range(800)] + [(900 + i, "w " * 50, "s5") for i in range(3)] + [(950, "", "s6"), (951, "w w", "s6")]
+    plan = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s in {r.source for r in plan}:
+        of = [r for r in plan if r.source == s]
+        target, mean = of[0].target, of[0].source_size / len(of)
+        assert math.isclose(sum(r.size * r.rate for r in of), target, rel_tol=1e-6)
+        low, high = -50.0 * mean, 50.0 * mean
+        for _ in range(300):  # the dual's root by halving: the sum grows with the multiplier
+            m = (low + high) / 2
+            low, high = (m, high) if sum(r.size * min(2.0, math.exp(min(50, m * r.size / mean))) for r in of) < target else (low, m)
+        assert all(math.isclose(r.rate, min(2.0, math.exp(min(50, m * r.size / mean))), rel_tol=1e-4, abs_tol=1e-6) for r in of)
+    assert len({round(r.rate, 6) for r in plan if r.source == "s0"}) > 1 or all(r.rate == 2 for r in plan if r.source == "s0")
+
+
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_pipeline(spark, sf):
     import corpus_pipeline
