@@ -1,49 +1,43 @@
-"""BPE encoding and decoding of texts of any length.
-
-A text beyond the piece limit is cut in halves, those again, until each leaf is
-within the limit, wherever the cuts fall (inside a word, a combining sequence or a
-special token). Leaves are rows of their own and are encoded in parallel. Then the
-tree is joined upwards: around each join a window of the text is encoded again and
-grown until it agrees with both sides, which means that it holds a token of the
-left side and one of the right side unchanged (same id, same characters). A BPE
-encoding is right exactly if all its neighbouring tokens may stand side by side, so
-left tokens up to the one, window tokens between the two and right tokens from the
-other on are the encoding of the whole.
-
-Texts within the limit are encoded by parts that are independent of each other
-(pre-tokens, or words, since white space ends a pre-token) with a bounded cache.
+"""BPE encoding and decoding of texts of any length, by tree concatenation.
+
+A text is cut in halves, those again, until each leaf is within ``LEAF`` characters,
+wherever the cuts fall (inside a word, a combining sequence or a special token). Leaves
+are encoded each on its own. Then the tree is joined upwards: around each join a window
+of the text is encoded again and grown until it agrees with both sides, which means that
+it holds a token of the left side and one of the right side unchanged (same id, same
+characters). A BPE encoding is right exactly if all its neighbouring tokens may stand
+side by side, so left tokens up to the one, window tokens between the two and right
+tokens from the other on are the encoding of the whole.
+
+The trees of ordinary texts are joined where they are read. A long text is cut into
+rows, which are encoded in parallel and joined level by level, so many to a task as a
+bound allows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_counts import tokenizer_path
-from .pieces import keyed, sliced
+from .pieces import keyed, pieces_of, sliced
 
 TOKENIZER = "word_bpe_49k.json"
-#: Characters of the longest leaf.
-LEAF = 65_000
+#: Characters of the longest leaf, and leaves of a row (longer texts take several rows).
+LEAF, ROW_LEAVES = 1024, 60
 #: Characters on either side of a join in the first window; it grows four times each time.
 WINDOW = 64
-#: Entries of the cache of one worker, and characters of the longest one.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 32
-#: The tokenizer's own pre-token pattern and, for texts of these characters only, no
-#: normalisation but lower case (no character composes with another): fixed values.
-PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-BEYOND_LATIN = re.compile("[^\x00-\u024f]")
+#: Rows of a long text that one task joins.
+FAN = 16
 
 
 class Codec:
-    """A tokenizer file with a cache of words; one for each worker process."""
+    """A tokenizer file; one for each worker process."""
 
     def __init__(self, path: str):
         import os
@@ -55,10 +49,8 @@ class Codec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.names = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
-        self.cache: dict[str, tuple[int, str, str]] = {}
         self.plain = self.tokenizer.decoder is None
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.latin = self.tokenizer.pre_tokenizer is not None and path.endswith(TOKENIZER)
 
     def encode(self, text: str):
         return self.tokenizer.encode(text, add_special_tokens=False)
@@ -66,50 +58,37 @@ class Codec:
     def decode(self, ids: list[int]) -> str:
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
-    def units(self, text: str) -> list[str]:
-        """Parts of a text that are encoded independently: pre-tokens of a plain Latin text, else words."""
-        if self.latin and not BEYOND_LATIN.search(text) and not any(s in text for s in self.specials):
-            return PRETOKEN.findall(text.lower())
-        return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
-
-    def learn(self, units: set[str]) -> dict[str, tuple[int, str, str]]:
-        """Encodes units that aren't in the cache: (number of tokens, decimal ids, token strings) of each."""
-        new = list(units)
-        found = {
-            u: (len(e.ids), " ".join(map(str, e.ids)), " ".join([self.names[i] for i in e.ids]))
-            for u, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))
-        }
-        if len(self.cache) + len(found) > CACHE_ENTRIES:
-            self.cache.clear()
-        self.cache.update((u, f) for u, f in found.items() if len(u) <= CACHE_CHARS)
-        return found
-
-    def encode_texts(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
+    def encode_texts(self, texts: list[str], leaf: int = LEAF) -> list[tuple[int, bytes, bytes]]:
         """(number of tokens, decimal ids, decoded text) of each whole text."""
-        units = [self.units(t) for t in texts]
-        cache = self.cache
-        learnt = self.learn({u for u in set().union(*units) if u not in cache})
-        return [self._joined(u, learnt) for u in units]
-
-    def _joined(self, units: list[str], learnt: dict[str, tuple[int, str, str]]) -> tuple[int, bytes, bytes]:
-        found = list(map(self.cache.get, units))
-        if None in found:  # too long for the cache, or dropped when it was full
-            found = [learnt.get(u) or self.learn({u})[u] if f is None else f for u, f in zip(units, found)]
-        sizes, ids, tokens = zip(*found) if found else ((), (), ())
-        if 0 in sizes:
-            sizes, ids, tokens = zip(*[f for f in found if f[0]]) if any(sizes) else ((), (), ())
-        ids = " ".join(ids)
-        if self.plain:  # without a decoder, decoding joins the token strings by spaces
-            return sum(sizes), ids.encode(), " ".join(tokens).encode()
-        return sum(sizes), ids.encode(), self.decode([int(x) for x in ids.split()]).encode()
+        return [self.told(spans) for spans in self.trees(texts, leaf)]
+
+    def told(self, spans: np.ndarray) -> tuple[int, bytes, bytes]:
+        """(number of tokens, decimal ids, decoded text) of spans."""
+        ids = spans[:, 0].tolist()
+        # without a decoder, decoding joins the token strings by spaces
+        decoded = " ".join([self.names[i] for i in ids]) if self.plain else self.decode(ids)
+        return len(ids), " ".join(map(str, ids)).encode(), decoded.encode()
+
+    def trees(self, texts: list[str], leaf: int = LEAF) -> list[np.ndarray]:
+        """The spans of each whole text, joined from its leaves; the leaves of all texts are encoded together."""
+        cuts = [cuts_of(len(t), leaf) for t in texts]
+        parts = [t[a:b] for t, c in zip(texts, cuts) for a, b in zip(c, c[1:])]
+        found = iter(self.tokenizer.encode_batch(parts, add_special_tokens=False))
+        out = []
+        for text, c in zip(texts, cuts):
+            out.append(join_tree(self, text, c, [_spans(next(found), at) for at in c[:-1]]))
+        return out
 
     def spans(self, text: str, at: int = 0) -> np.ndarray:
         """Rows (id, start, end) of a text that begins at character ``at``."""
-        e = self.encode(text)
-        out = np.empty((len(e.ids), 3), dtype=np.int64)
-        if len(e.ids):
-            out[:, 0], out[:, 1:] = e.ids, np.asarray(e.offsets, dtype=np.int64) + at
-        return out
+        return _spans(self.encode(text), at)
+
+
+def _spans(e, at: int) -> np.ndarray:
+    out = np.empty((len(e.ids), 3), dtype=np.int64)
+    if len(e.ids):
+        out[:, 0], out[:, 1:] = e.ids, np.asarray(e.offsets, dtype=np.int64) + at
+    return out
 
 
 def _clean(spans: np.ndarray) -> np.ndarray:
@@ -157,10 +136,11 @@ def cuts_of(length: int, leaf: int) -> list[int]:
 
 
 def join_tree(codec: Codec, text: str, cuts: list[int], leaves: list[np.ndarray]) -> np.ndarray:
-    """Joins neighbouring encodings, level by level."""
+    """Joins neighbouring encodings, level by level; an odd last one waits for the next level."""
     while len(leaves) > 1:
-        leaves = [join_encodings(codec, text, cuts[k], cuts[k + 1], cuts[k + 2], leaves[k], leaves[k + 1]) for k in range(0, len(leaves), 2)]
-        cuts = cuts[::2]
+        odd = leaves[-1:] if len(leaves) % 2 else []
+        leaves = [join_encodings(codec, text, cuts[k], cuts[k + 1], cuts[k + 2], leaves[k], leaves[k + 1]) for k in range(0, len(leaves) - 1, 2)] + odd
+        cuts = cuts[::2] if not odd else [*cuts[::2], cuts[-1]]
     return leaves[0]
 
 
@@ -182,64 +162,60 @@ def _columns(found: list[tuple[int, bytes, bytes]], contents: tuple[str, ...]) -
     return [pa.array([f[0] for f in found], pa.int64()), text(1), text(2), digest(1), digest(2)]
 
 
-def encode_decode(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", leaf: int = LEAF, contents: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", leaf: int = LEAF, contents: tuple[str, ...] = ("ids", "decoded"), row: int | None = None) -> DataFrame:
     """doc_id, n_tokens, ids (decimal, joined by spaces), decoded, and both digests for each input row.
 
     ids and decoded are null if ``contents`` leaves them out. A null text counts as empty: no
-    tokens, empty strings. Repeated rows give a row each; an empty table gives no
+    tokens, empty strings. A text beyond ``row`` characters (60 leaves) is dealt over several
+    rows; its result is one row. Repeated rows give a row each; an empty table gives no
     rows; other columns are ignored.
     """
-    path = tokenizer or tokenizer_path(TOKENIZER)
-    rows = keyed(docs, doc_id, text, leaf)
+    path, row = tokenizer or tokenizer_path(TOKENIZER), row or ROW_LEAVES * leaf
+    rows = keyed(docs, doc_id, text, row)
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path)
-        for b in sliced(batches):
-            found = codec.encode_texts(b.column("text").to_pylist())
+        for b in sliced(batches, 64):
+            found = codec.encode_texts(b.column("text").to_pylist(), leaf)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *_columns(found, contents)], ["doc_id", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     few = rows.where("__key is null").select("doc_id", "text").mapInArrow(short, f"doc_id {id_type}, {_OUT}")
-    many = rows.where("__key is not null").select("doc_id", "__key").join(_long(rows, path, leaf, contents), "__key")
+    many = rows.where("__key is not null").select("doc_id", "__key").join(_long(rows, path, leaf, row, contents), "__key")
     return few.unionByName(many.drop("__key"))
 
 
-def _long(rows: DataFrame, path: str, leaf: int, contents: tuple[str, ...]) -> DataFrame:
-    """__key and the results of each distinct long text: leaves in parallel, then one join of leaves for each text."""
-    n = F.pow(F.lit(2), F.ceil(F.log2(F.ceil(F.length("text") / F.lit(leaf)))))
-    cut = lambda k: F.floor(F.length("text").cast("double") * k / F.col("n")).cast("int")
-    leaves = (
-        rows.where("__key is not null")
-        .select("__key", "text", n.cast("int").alias("n"))
-        .select("__key", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(cut(k).alias("at"), F.substring("text", cut(k) + 1, cut(k + 1) - cut(k)).alias("part")))).alias("no", "leaf"))
-        .select("__key", "no", "leaf.*")
-        .dropDuplicates(["__key", "no"])
-    )
-
-    small = leaf < 1 << 16 and codec_of(path).tokenizer.get_vocab_size() <= 1 << 16
-    kind = np.uint16 if small else np.int64  # ids and positions in a leaf
+def _long(rows: DataFrame, path: str, leaf: int, row: int, contents: tuple[str, ...]) -> DataFrame:
+    """__key and the results of each distinct long text: rows encoded in parallel, then joined level by level."""
+    encoded_rows = "__key string, no int, part string, spans binary"
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path)
-        for whole in batches:
-            for i in range(0, whole.num_rows, 8):  # spans take more room than text: few leaves at once
-                b = whole.slice(i, 8)
-                spans = [codec.spans(x).astype(kind).tobytes() for x in b.column("part").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("__key", "no", "at", "part")), pa.array(spans, pa.binary())], ["__key", "no", "at", "part", "spans"])
+        for b in sliced(batches, 8):  # spans take more room than text: few rows at once
+            spans = [x.astype(np.uint32).tobytes() for x in codec.trees(b.column("part").to_pylist(), leaf)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("__key", "no", "part")), pa.array(spans, pa.binary())], ["__key", "no", "part", "spans"])
 
     def joined(pdf):
         codec = codec_of(path)
         pdf = pdf.sort_values("no")
-        text = "".join(pdf["part"])
-        cuts = [*map(int, pdf["at"]), len(text)]
-        leaves = [np.frombuffer(x, dtype=kind).reshape(-1, 3).astype(np.int64) + (0, at, at) for x, at in zip(pdf["spans"], cuts)]
-        spans = join_tree(codec, text, cuts, leaves)
-        ids = spans[:, 0].tolist()
-        found = len(ids), " ".join(map(str, ids)).encode(), codec.decode(ids).encode()
-        names = ["n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"]
-        return pdf.iloc[:1][["__key"]].assign(**{k: c.to_pylist() for k, c in zip(names, _columns([found], contents))})
+        text, cuts = "".join(pdf["part"]), [0, *np.cumsum([len(p) for p in pdf["part"]]).tolist()]
+        parts = [np.frombuffer(x, dtype=np.uint32).reshape(-1, 3).astype(np.int64) + (0, at, at) for x, at in zip(pdf["spans"], cuts)]
+        spans = join_tree(codec, text, cuts, parts).astype(np.uint32).tobytes()
+        return pdf.iloc[:1][["__key"]].assign(no=int(pdf["no"].iloc[0]) // FAN, part=text, spans=spans)
 
-    return leaves.mapInArrow(encoded, "__key string, no int, at int, part string, spans binary").groupBy("__key").applyInPandas(joined, f"__key string, {_OUT}")
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(path)
+        for b in sliced(batches, 1):
+            found = [codec.told(np.frombuffer(x.as_py(), dtype=np.uint32).reshape(-1, 3)) for x in b.column("spans")]
+            yield pa.RecordBatch.from_arrays([b.column("__key"), *_columns(found, contents)], ["__key", "n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"])
+
+    most = rows.where("__key is not null").agg(F.max(F.length("text")).alias("n")).first()["n"] or 0
+    level = pieces_of(rows, row).mapInArrow(encoded, encoded_rows)
+    left = -(-most // row)
+    while left > 1:
+        level = level.groupBy("__key", F.floor(F.col("no") / FAN)).applyInPandas(joined, encoded_rows)
+        left = -(-left // FAN)
+    return level.select("__key", "spans").mapInArrow(told, f"__key string, {_OUT}")
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:

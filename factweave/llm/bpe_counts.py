@@ -8,37 +8,41 @@ holds what the pattern has open (a run of letters, digits, marks or white space,
 an apostrophe) and, of the open pre-token, the last token of each prefix that a
 longer token could still reach back to.
 
-A piece of a long text has no known start state. Its map from start state to (count,
-end state) is kept in three parts: a head up to the first place where any start
-state leads to the same one (white space after something else closes every
-pre-token), a count, and the tail after the last such place. These maps compose
-associatively, and a parallel prefix scan over the pieces of a text gives the
-tokens before each of them and in all.
+A piece of a long text has a state map: from start state to (count, end state). It is
+known in part: for the start state that the characters before the piece lead to from
+anywhere (a transducer of this kind soon forgets how it began). Neighbouring maps
+compose where the end state of one is the start state of the next. A scan over the
+pieces of a text finds the places where it isn't, the maps of those pieces get that
+start state too, and so on until all compose; then the counts add up. So a text
+without white space, or of one endless run of letters, is counted in parallel as well.
 """
 
 from __future__ import annotations
 
+import ast
 import json
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pieces import keyed, pieces_of, sliced
+from .store import materialize
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Characters of a piece, and of the longest text that is counted in one go.
 PIECE = 1 << 15
+#: Characters before a piece that lead to its likely start state.
+BEFORE = 256
 #: A worker's transducer starts anew when it has this many states.
 MAX_STATES = 300_000
 #: The pattern's contractions; fixed values of this kind of tokenizer.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
 _SPACE, _LETTER, _DIGIT = regex.compile(r"\s"), regex.compile(r"\p{L}"), regex.compile(r"\p{N}")
-_SYNC = regex.compile(r"(?<=\S)\s")
 
 
 def tokenizer_path(name: str) -> str:
@@ -207,7 +211,7 @@ class Transducer:
 
     def count(self, text: str) -> int:
         """Tokens of a whole text; special tokens in it count one each."""
-        if self.special is not None and "<" in text and self.special.search(text):
+        if self.special is not None and self.special.search(text):
             parts = self.special.split(text)
             return len(parts) - 1 + sum(map(self.count_plain, parts))
         return self.count_plain(text)
@@ -215,44 +219,20 @@ class Transducer:
     def count_plain(self, text: str) -> int:
         if len(self.states) > self.max_states:
             self.states.clear()
-        state, n = self.state(()), 0
+        return self.run((), text)[0]
+
+    def run(self, opened: tuple, text: str) -> tuple[int, tuple]:
+        """The tokens that a text adds from a start state, and the end state."""
+        state, n = self.state(opened), 0
         for char in text:
             change, state = state[char]
             n += change
-        return n
-
-
-# A piece's map: (head, count, tail), or (text, None, "") without a place that any start state leads to.
-
-
-def piece_map(t: Transducer, text: str) -> tuple[str, int | None, str]:
-    first = _SYNC.search(text)
-    if first is None:
-        return text, None, ""
-    last = first
-    for last in _SYNC.finditer(text, max(first.start(), len(text) - 4096)):
-        pass
-    return text[: first.start()], t.count_plain(text[first.start() : last.start()]), text[last.start() :]
-
+        return n, state.open
 
-def compose(t: Transducer, a: tuple, b: tuple) -> tuple:
-    if a[1] is None:
-        return a[0] + b[0], b[1], b[2]
-    if b[1] is None:
-        return a[0], a[1], a[2] + b[0]
-    return a[0], a[1] + t.count_plain(a[2] + b[0]) + b[1], b[2]
 
-
-def scan(t: Transducer, maps: list[tuple]) -> list[tuple]:
-    """Inclusive prefix scan: the map of the first 1, 2, ... pieces (work-efficient: pairs, then the odd ones)."""
-    if len(maps) < 2:
-        return maps
-    pairs = scan(t, [compose(t, maps[k], maps[k + 1]) for k in range(0, len(maps) - 1, 2)])
-    return [maps[0] if k == 0 else pairs[k // 2] if k % 2 else compose(t, pairs[k // 2 - 1], maps[k]) for k in range(len(maps))]
-
-
-def total(t: Transducer, m: tuple) -> int:
-    return t.count_plain(m[0]) + (m[1] or 0) + t.count_plain(m[2])
+def likely_start(t: Transducer, before: str) -> tuple:
+    """The state after the characters before a piece, read from the beginning of a pre-token."""
+    return t.run((), before)[1]
 
 
 _made: dict[str, Transducer] = {}
@@ -265,7 +245,7 @@ def transducer(path: str) -> Transducer:
     return _made[path]
 
 
-def count_tokens(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", piece: int = PIECE) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text", piece: int = PIECE, before: int = BEFORE) -> DataFrame:
     """doc_id, n_bytes, n_tokens for each input row.
 
     A null text counts as empty: 0 bytes, 0 tokens. Texts of any length are read
@@ -284,11 +264,11 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "d
     id_type = rows.schema["doc_id"].dataType.simpleString()
     sized = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
     few = sized.where("__key is null").select("doc_id", "text", "n_bytes").mapInArrow(short, f"doc_id {id_type}, n_bytes long, n_tokens long")
-    many = sized.where("__key is not null").select("doc_id", "n_bytes", "__key").join(_long_counts(rows, path, piece), "__key")
+    many = sized.where("__key is not null").select("doc_id", "n_bytes", "__key").join(_long_counts(rows, path, piece, before), "__key")
     return few.unionByName(many.select("doc_id", "n_bytes", "n_tokens"))
 
 
-def _long_counts(rows: DataFrame, path: str, piece: int) -> DataFrame:
+def _long_counts(rows: DataFrame, path: str, piece: int, before: int) -> DataFrame:
     """__key, n_tokens of each distinct long text."""
     specials = Merges(path).specials
     # a special token splits a text before the tokenizer sees it; pieces are cut inside these sections
@@ -299,24 +279,31 @@ def _long_counts(rows: DataFrame, path: str, piece: int) -> DataFrame:
         .select(F.col("__key").alias("__text"), F.posexplode(F.split("text", mark)).alias("section", "text"))
         .withColumn("__key", F.concat_ws(":", "__text", "section"))
     )
+    schema = "__key string, no int, begin string, n long, end string"
 
-    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = transducer(path)
-        for b in batches:
-            found = [piece_map(t, x) for x in b.column("part").to_pylist()]
-            cols = [pa.array([m[k] for m in found], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column("__key"), b.column("no"), *cols], ["__key", "no", "head", "n", "tail"])
-
-    def whole(pdf):
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(path)
-        pdf = pdf.sort_values("no")
-        found = [(h, None if n != n else int(n), r) for h, n, r in zip(pdf["head"], pdf["n"].astype("float64"), pdf["tail"])]
-        n = total(t, scan(t, found)[-1])
-        return pdf.iloc[:1][["__key"]].assign(n=n)
-
-    mapped = pieces_of(sections.where("text <> ''"), piece).mapInArrow(maps, "__key string, no int, head string, n long, tail string")
-    counted = mapped.groupBy("__key").applyInPandas(whole, "__key string, n long")
-    plain = counted.groupBy(F.substring_index("__key", ":", 1).alias("__key")).agg(F.sum("n").alias("n"))
+        for b in sliced(batches, 64):
+            found = []
+            for part, head, given in zip(*(b.column(c).to_pylist() for c in ("part", "head", "begin"))):
+                if len(t.states) > t.max_states:
+                    t.states.clear()
+                begin = ast.literal_eval(given) if given is not None else likely_start(t, head)
+                n, end = t.run(begin, part)
+                found.append((repr(begin), n, repr(end)))
+            cols = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column("__key"), b.column("no"), *cols], ["__key", "no", "begin", "n", "end"])
+
+    parts = pieces_of(sections.where("text <> ''"), piece, before)
+    maps = materialize(parts.withColumn("begin", F.lit(None).cast("string")).mapInArrow(mapped, schema), "tokens-maps")
+    while True:
+        reached = F.lag("end").over(Window.partitionBy("__key").orderBy("no"))
+        apart = materialize(maps.withColumn("reached", reached).where("reached <> begin").select("__key", "no", F.col("reached").alias("begin")), "tokens-apart")
+        if apart.isEmpty():
+            break
+        again = parts.join(apart, ["__key", "no"]).mapInArrow(mapped, schema)
+        maps = materialize(maps.join(apart, ["__key", "no"], "left_anti").unionByName(again), "tokens-maps")
+    plain = maps.groupBy(F.substring_index("__key", ":", 1).alias("__key")).agg(F.sum("n").alias("n"))
     extra = sections.groupBy(F.col("__text").alias("__key")).agg((F.count(F.lit(1)) - 1).alias("extra"))
     return extra.join(plain, "__key", "left").select("__key", (F.coalesce("n", F.lit(0)) + F.col("extra")).cast("long").alias("n_tokens"))
 

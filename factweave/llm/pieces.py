@@ -23,11 +23,12 @@ def keyed(docs: DataFrame, doc_id: str, text: str, limit: int) -> DataFrame:
     return rows.withColumn("__key", F.when(F.length("text") > limit, F.sha2("text", 256)))
 
 
-def pieces_of(rows: DataFrame, piece: int) -> DataFrame:
-    """__key, no (from 0), part: the pieces of each distinct long text, dealt over all tasks."""
+def pieces_of(rows: DataFrame, piece: int, before: int = 0) -> DataFrame:
+    """__key, no (from 0), part, head: the pieces of each distinct long text, dealt over all tasks, and characters before each."""
     last = F.ceil(F.length("text") / F.lit(piece)).cast("int") - 1
-    texts = rows.where("__key is not null").select("__key", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring("text", i * piece + 1, F.lit(piece)))).alias("no", "part"))
-    return texts.dropDuplicates(["__key", "no"])
+    cut = lambda i: F.struct(F.substring("text", i * piece + 1, F.lit(piece)).alias("part"), F.substring("text", F.greatest(i * piece - before, F.lit(0)) + 1, F.least(i * piece, F.lit(before))).alias("head"))
+    texts = rows.where("__key is not null").select("__key", F.posexplode(F.transform(F.sequence(F.lit(0), last), cut)).alias("no", "cut"))
+    return texts.dropDuplicates(["__key", "no"]).select("__key", "no", "cut.*")
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 from factweave.llm.bpe_codec import TOKENIZER as WORDS
 from factweave.llm.bpe_codec import Codec, cuts_of, encode_decode, join_encodings
 from factweave.llm.bpe_counts import TOKENIZER as BYTES
-from factweave.llm.bpe_counts import Merges, Transducer, count_tokens, piece_map, scan, tokenizer_path, total
+from factweave.llm.bpe_counts import Merges, Transducer, count_tokens, likely_start, tokenizer_path
 
 ALPHABET = ["a", "b", "'", "s", "t", "re", "ll", " ", "  ", "\n", "\t", "1", "23", "é", "ß", "日", "本", "🙂", "...", "!", "<|endoftext|>", "the", " and", "ing", " ", "́", "'ve", "x'", "''", "\x1c", "\x85", "İ", "Σ", "가", "ᄀ", "ᅡ"]
 
@@ -53,13 +53,38 @@ def test_counts_are_the_library_s(transducer):
         assert transducer.count(text) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
 
 
-def test_maps_of_pieces_compose(transducer):
+@pytest.mark.parametrize("alphabet", [[a for a in ALPHABET if a != "<|endoftext|>"], ["a", "b", "th", "e", "ing", "'"], ["日", "本", "語"]])
+def test_maps_of_pieces_compose(transducer, alphabet):
     library = Tokenizer.from_file(tokenizer_path(BYTES))
-    for i, text in enumerate(texts(500, 80, 7, [a for a in ALPHABET if a != "<|endoftext|>"])):
-        size = 1 + i % 9
-        maps = [piece_map(transducer, text[k : k + size]) for k in range(0, len(text), size)]
-        if maps:
-            assert total(transducer, scan(transducer, maps)[-1]) == len(library.encode(text, add_special_tokens=False).ids)
+    for i, text in enumerate(texts(300, 80, 7, alphabet)):
+        size, n, reached = 1 + i % 9, 0, ()
+        for k in range(0, len(text), size):
+            likely = likely_start(transducer, text[max(0, k - 5 * size) : k])
+            more, end = transducer.run(reached, text[k : k + size])
+            if likely == reached:  # the map for the likely start is the one that is needed
+                assert transducer.run(likely, text[k : k + size]) == (more, end)
+            n, reached = n + more, end
+        assert n == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_long_texts_without_white_space_are_counted_in_pieces(spark):
+    library = Tokenizer.from_file(tokenizer_path(BYTES))
+    rnd = random.Random(11)
+    long = ["".join(rnd.choice(a) for _ in range(4000)) for a in (["th", "e", "ing", "a"], ["日", "本", "é"], ["'s", "'", "l"], ["1"], ["!", "?"], [" "])]
+    docs = spark.createDataFrame(list(enumerate([*long, long[0]])), "doc_id long, text string")
+    want = {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in enumerate([*long, long[0]])}
+    for piece, before in ((500, 64), (300, 0)):  # without characters before, likely starts are wrong, and mended
+        assert {r.doc_id: r.n_tokens for r in count_tokens(docs, piece=piece, before=before).collect()} == want
+
+
+def test_long_texts_take_rows_that_are_joined_level_by_level(spark):
+    library = Tokenizer.from_file(tokenizer_path(WORDS))
+    long = [*texts(3, 9000, 13), "abcdefgh" * 3000, "가" * 5000, "", "x"]
+    docs = spark.createDataFrame(list(enumerate([*long, long[0]])), "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, r.ids) for r in encode_decode(docs, leaf=50, row=400).collect()}
+    for i, t in enumerate([*long, long[0]]):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert got[i] == (len(ids), " ".join(map(str, ids)))
 
 
 def test_tables_with_long_empty_null_and_repeated_texts(spark):
