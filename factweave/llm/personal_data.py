@@ -1,6 +1,7 @@
 """Personal data: identifiers by pattern, and terms that disclose them.
 
-Identifiers (e-mail, IP address, payment card, phone) are found by pattern. Words that
+Secrets (access keys, values assigned to a password or key) are found by pattern, too, and
+protected like identifiers. Identifiers (e-mail, IP address, payment card, phone) are found by pattern. Words that
 keep appearing beside one of them can give it away after it is masked. How strongly
 a term t reveals an identifier e is estimated from the corpus by pointwise mutual
 information, PMI(e;t) = log2(N * n(e,t) / (n(e) * n(t))), over the information of the
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from .quality_rules import let
 from .store import materialize
 
-KINDS = ("email", "ip", "card", "phone", "term")
+KINDS = ("email", "ip", "card", "phone", "term", "secret")
+TERM_KIND, SECRET_KIND = 4, 5
 #: Context from which is estimated: so many terms on each side, within so many characters.
 CONTEXT_TERMS, CONTEXT_CHARS = 6, 96
 #: Disclosure: least share of the identifier's information, and different texts that show it.
@@ -42,6 +44,12 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Public formats of access keys, private keys, and a value with a digit that is assigned to a secret's name: fixed values.
+SECRET = (
+    r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}"
+    r"|-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"|(?<![A-Za-z0-9])(?i:password|passwd|secret|api_?key|access_?token)[\x20]?[=:][\x20]?(?=[^\x20\x09-\x0D]*[0-9])[^\x20\x09-\x0D]{8,}"
+)
 _SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
@@ -110,9 +118,14 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
+def protected_spans(text: Column, base: Column) -> Column:
+    """Identifiers, and secrets that overlap none of them, by start."""
+    return F.when(text.rlike(SECRET), F.array_sort(F.concat(base, outside(spans_of(text, SECRET, SECRET_KIND), base)))).otherwise(base)
+
+
 def entity_of(span: Column) -> Column:
     """What counts as the same identifier: kind and value without case or punctuation."""
-    value = F.when(span["kind"] == 0, F.lower(span["value"])).when(span["kind"] == 1, span["value"]).otherwise(_digits(span["value"]))
+    value = F.when(span["kind"] == 0, F.lower(span["value"])).when(span["kind"].isin(1, SECRET_KIND), span["value"]).otherwise(_digits(span["value"]))
     return F.concat_ws(":", span["kind"].cast("string"), value)
 
 
@@ -143,18 +156,19 @@ def terms_of(text: Column) -> Column:
 
 
 def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """doc_id, text_hash, base (spans), spans (base and disclosing terms) for each input row.
+    """doc_id, text_hash, base (spans), spans (base, secrets and disclosing terms) for each input row.
 
     A span is (start, kind, end, value), code points, end exclusive; kind indexes KINDS.
-    A null text counts as empty and has no spans. Rows equal in id and text get equal
+    A null text counts as empty and has no spans; texts of any length count whole. Of spans
+    that overlap, identifiers win over secrets and both over terms; a share equal to the threshold discloses. Rows equal in id and text get equal
     results; repeated texts count once as evidence. An empty table gives no rows; other
     columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = rows.withColumn("base", base_spans(F.col("t")))
-    near = F.transform("base", lambda s: F.struct(entity_of(s).alias("entity"), context_of(F.col("t"), s, F.col("base")).alias("terms")))
-    has = F.size("base") > 0
-    found = rows.select("doc_id", F.xxhash64("t").alias("text_hash"), "base", F.when(has, near).alias("near"), F.when(has, terms_of(F.col("t"))).alias("terms"))
+    rows = rows.withColumn("base", base_spans(F.col("t"))).withColumn("held", protected_spans(F.col("t"), F.col("base")))
+    near = F.transform("held", lambda s: F.struct(entity_of(s).alias("entity"), context_of(F.col("t"), s, F.col("held")).alias("terms")))
+    has = F.size("held") > 0
+    found = rows.select("doc_id", F.xxhash64("t").alias("text_hash"), "base", "held", F.when(has, near).alias("near"), F.when(has, terms_of(F.col("t"))).alias("terms"))
     found = materialize(found, "pii-base")
 
     seen = found.where("near is not null").select("text_hash", F.explode("near").alias("x")).select("text_hash", "x.entity", "x.terms")
@@ -163,7 +177,7 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     pairs = beside.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
     pairs = materialize(pairs.join(of_entity, "entity"), "pii-pairs")
     if pairs.isEmpty():
-        return found.select("doc_id", "text_hash", "base", F.col("base").alias("spans"))
+        return found.select("doc_id", "text_hash", "base", F.col("held").alias("spans"))
 
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("text_hash", F.xxhash64("t"))
     different = texts.select("text_hash", terms_of(F.col("t")).alias("terms")).dropDuplicates(["text_hash"])
@@ -181,7 +195,7 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     added = texts.join(held, "text_hash").select("text_hash", places).dropDuplicates(["text_hash"])
     marked = found.alias("f").join(added.alias("a"), "text_hash", "left")
     none = F.array().cast(f"array<{_SPAN}>")
-    spans = F.array_sort(F.concat("f.base", outside(F.coalesce("a.added", none), F.col("f.base"))))
+    spans = F.array_sort(F.concat("f.held", outside(F.coalesce("a.added", none), F.col("f.held"))))
     return marked.select("f.doc_id", "text_hash", "f.base", spans.alias("spans"))
 
 
@@ -222,4 +236,4 @@ def op3_personal_data(spark, sf_dir: str) -> DataFrame:
     """Query: personal data of every document."""
     found = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     number = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
-    return found.select("doc_id", *[number(i) for i in range(4)], F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *[number(i) for i in range(4)], F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
