@@ -46,9 +46,12 @@ def propagate_routes(points: DataFrame, symbols: DataFrame) -> DataFrame:
     """
     routes = points.where("kind = 'route' and path is not null")
     homes = symbols.select(F.col("name").alias("fn_name"), F.col("file").alias("home")).distinct()
-    best = routes.join(homes, "fn_name").where("home <> file").groupBy("fn_name", F.col("home").alias("file")).agg(
-        F.min_by(F.struct("path", "method", "middleware"), F.struct("file", "path", F.coalesce("method", F.lit("")))).alias("r")
-    )
+    # of a name the smallest route, and the smallest of another file, are all that a home can get
+    packed = F.struct("file", "path", F.coalesce("method", F.lit("")).alias("m"), "method", "middleware")
+    first = routes.groupBy("fn_name").agg(F.min(packed).alias("a"))
+    second = routes.join(first, "fn_name").where("file <> a.file").groupBy("fn_name").agg(F.min(packed).alias("b"))
+    own = F.when(F.col("a.file") != F.col("home"), F.col("a")).otherwise(F.col("b"))
+    best = homes.join(first, "fn_name").join(second, "fn_name", "left").select("fn_name", F.col("home").alias("file"), own.alias("r")).where("r is not null")
     joined = points.join(best, ["fn_name", "file"], "left")
     take = F.col("path").isNull() & F.col("r").isNotNull()
     mark = F.array_union("heuristics", F.array(F.lit("route_propagated")))

@@ -37,10 +37,14 @@ def route_index(entries: DataFrame) -> DataFrame:
 def longest_prefix(paths: DataFrame, routes: DataFrame) -> DataFrame:
     """path, service of the longest route that the path begins with (routes of more than one character).
 
-    Every prefix of a path is a row, so this is an equi-join on text, not a comparison of all pairs.
+    A path gives a row for each length that routes have, so this is an equi-join on text, not a
+    comparison of all pairs. The lengths are few: no more than characters in the longest route.
     """
-    prefixes = paths.select("path").distinct().select("path", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("path"), F.lit(1))), lambda n: F.substring("path", F.lit(1), n))).alias("prefix"))
-    found = prefixes.join(routes.where(F.length("path") > 1).select(F.col("path").alias("prefix"), "service"), "prefix")
+    routes = routes.where(F.length("path") > 1)
+    lengths = F.array(*[F.lit(r["n"]) for r in routes.select(F.length("path").alias("n")).distinct().collect()]).cast("array<int>")
+    fitting = F.filter(lengths, lambda n: n <= F.length("path"))
+    prefixes = paths.select("path").distinct().select("path", F.explode(F.transform(fitting, lambda n: F.substring("path", F.lit(1), n))).alias("prefix"))
+    found = prefixes.join(routes.select(F.col("path").alias("prefix"), "service"), "prefix")
     return found.groupBy("path").agg(F.max_by("service", F.length("prefix")).alias("service"))
 
 

@@ -417,6 +417,29 @@ def route_propagation(spark, sf_dir):
     return entrypoints.propagate_routes(points, symbols).select("fn_name", "file", "kind", "path", "method")
 
 
+@query("""with p as (select o_custkey as k, o_orderpriority as file, arg_max(case when o_orderstatus = 'P' then 'cron' else 'route' end, o_orderkey) as kind, bool_or(o_orderstatus <> 'P') as has from orders group by all),
+r as (select k, file from p where kind = 'route' and has), h as (select c_custkey as k, unnest(['1-URGENT', '5-LOW']) as home from customer)
+select 'h' || p.k as fn_name, p.file, p.kind, case when p.has or exists (select 1 from r join h on h.k = r.k where r.k = p.k and h.home = p.file and r.file <> p.file) then '/c/' || p.k end as path from p""")
+def route_propagation_homes(spark, sf_dir):
+    """Routes of customers' handlers, carried to the two files that define each."""
+    hints = _points(spark, sf_dir)
+    points = entrypoints.merge_entry_points(hints.select("fn_name", "file", "line").limit(0), hints)
+    homes = F.explode(F.array(F.lit("1-URGENT"), F.lit("5-LOW")))
+    symbols = V.table(spark, sf_dir, "customer").select(F.concat(F.lit("h"), "c_custkey").alias("name"), homes.alias("file"))
+    return entrypoints.propagate_routes(points, symbols).select("fn_name", "file", "kind", "path")
+
+
+@query("""with f as (select 'o' || o_orderkey as fn_name, 'p' || o_orderpriority[1] || '/src/x.py' as file, case when o_orderstatus = 'O' then '/o' end as path, o_custkey % 3 = 0 as io from orders)
+select fn_name, file, path, 'p' || substr(file, 2, 1) as service from f where io or path is not null""")
+def service_entries_kept(spark, sf_dir):
+    """Orders as entry points: those with a route or with events stay, with the service of their folder."""
+    o = V.table(spark, sf_dir, "orders")
+    file = F.concat(F.lit("p"), F.substring("o_orderpriority", 1, 1), F.lit("/src/x.py")).alias("file")
+    points = o.select(F.concat(F.lit("o"), "o_orderkey").alias("fn_name"), file, F.when(F.col("o_orderstatus") == "O", F.lit("/o")).alias("path"))
+    io = o.where("o_custkey % 3 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("start_fn"), file.alias("start_file"))
+    return topology.service_entries(points, io, topology.services(points)).select("fn_name", "file", "path", "service")
+
+
 @query("""with p as (select distinct 'h' || o_custkey as fn_name, o_orderpriority as file from orders), s as (select 'h' || c_custkey as name, '1-URGENT' as file from customer where c_acctbal > 0)
 select fn_name, file from p where not exists (select 1 from s where name = fn_name) or exists (select 1 from s where name = fn_name and s.file = p.file)""")
 def route_placeholder_removal(spark, sf_dir):
