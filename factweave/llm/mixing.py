@@ -84,7 +84,7 @@ def balance(sizes: DataFrame, targets: DataFrame, max_rate: float = 2.0, toleran
     ``max_rate`` times its size has the multiplier from which all its rates are ``max_rate``.
     """
     live = (F.col("source_size") > 0) & (F.col("target") > 0)
-    ratio = F.log(F.col("target") / F.col("source_size"))
+    ratio = F.log(F.try_divide("target", "source_size"))  # null for a source without words
     # where the smallest size possible, one word, is tilted far enough, all are
     state = targets.withColumn("mean", F.col("source_size") / F.col("n_docs")).withColumn("least", F.least(F.lit(0.0), ratio * F.col("mean")))
     state = state.withColumn("most", F.when(ratio > 0, F.log(F.lit(float(max_rate))) * F.col("mean")).otherwise(0.0))
@@ -103,7 +103,7 @@ def balance(sizes: DataFrame, targets: DataFrame, max_rate: float = 2.0, toleran
         now = state.alias("s").join(sums.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")), "left").select("s.*", "words", "hessian")
         gradient = F.col("words") - F.col("target")
         now = now.withColumn("least", F.when(gradient < 0, F.col("multiplier")).otherwise(F.col("least"))).withColumn("most", F.when(gradient > 0, F.col("multiplier")).otherwise(F.col("most")))
-        newton = F.col("multiplier") - gradient / F.col("hessian")
+        newton = F.col("multiplier") - F.try_divide(gradient, F.col("hessian"))
         inside = (F.col("hessian") > 0) & (newton > F.col("least")) & (newton < F.col("most"))
         met = F.col("done") | (F.abs(gradient) <= tolerance * F.col("target")) | (F.col("most") - F.col("least") <= 1e-15 * F.col("mean"))
         moved = F.when(met, F.col("multiplier")).when(inside, newton).otherwise((F.col("least") + F.col("most")) / 2)
@@ -113,7 +113,7 @@ def balance(sizes: DataFrame, targets: DataFrame, max_rate: float = 2.0, toleran
 
 def tilt(multiplier: Column, size: Column, mean: Column, max_rate: float) -> Column:
     """The rate of a document; 0 where the multiplier is null."""
-    return F.coalesce(F.least(F.lit(float(max_rate)), F.exp(multiplier * size / mean)), F.lit(0.0))
+    return F.coalesce(F.least(F.lit(float(max_rate)), F.exp(F.try_divide(multiplier * size, mean))), F.lit(0.0))
 
 
 def mix_sources(
