@@ -17,10 +17,13 @@ bound allows.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +32,18 @@ from .pieces import keyed, pieces_of, sliced
 
 TOKENIZER = "word_bpe_49k.json"
 #: Characters of the longest leaf, and leaves of a row (longer texts take several rows).
-LEAF, ROW_LEAVES = 1024, 60
+LEAF, ROW_LEAVES = 2048, 30
 #: Characters on either side of a join in the first window; it grows four times each time.
 WINDOW = 64
 #: Rows of a long text that one task joins.
 FAN = 16
+#: Entries of one worker's cache of pre-tokens, and characters of the longest one.
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 32
+#: The tokenizer's own pre-token pattern and, for texts of these characters only, no
+#: normalisation but lower case (no character composes with another): fixed values.
+PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+BEYOND_LATIN = re.compile("[^\x00-\u024f]")
+WHITE = np.array([bool(regex.match(r"\s", chr(c))) for c in range(0x250)])
 
 
 class Codec:
@@ -50,6 +60,8 @@ class Codec:
         self.tokenizer.no_padding()
         self.names = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
         self.plain = self.tokenizer.decoder is None
+        self.latin = self.tokenizer.pre_tokenizer is not None and path.endswith(TOKENIZER)
+        self.cache: dict[str, tuple] = {}
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str):
@@ -73,12 +85,44 @@ class Codec:
         """The spans of each whole text, joined from its leaves; the leaves of all texts are encoded together."""
         cuts = [cuts_of(len(t), leaf) for t in texts]
         parts = [t[a:b] for t, c in zip(texts, cuts) for a, b in zip(c, c[1:])]
-        found = iter(self.tokenizer.encode_batch(parts, add_special_tokens=False))
+        found = iter(self.leaves(parts))
+        return [join_tree(self, text, c, [next(found) + (0, at, at) for at in c[:-1]]) for text, c in zip(texts, cuts)]
+
+    def leaves(self, parts: list[str]) -> list[np.ndarray]:
+        """The spans of each leaf: plain Latin ones from their pre-tokens, which are encoded once, the others as they are."""
+        lower = [p.lower() if self.latin and not BEYOND_LATIN.search(p) and not any(s in p for s in self.specials) else None for p in parts]
+        # a lower case of another length would move the characters
+        units = [PRETOKEN.findall(low) if low is not None and len(low) == len(p) else None for p, low in zip(parts, lower)]
+        whole = iter(self.tokenizer.encode_batch([p for p, u in zip(parts, units) if u is None], add_special_tokens=False))
+        long = self.learn(set().union(*[u for u in units if u]))
         out = []
-        for text, c in zip(texts, cuts):
-            out.append(join_tree(self, text, c, [_spans(next(found), at) for at in c[:-1]]))
+        for low, of in zip(lower, units):
+            if of is None:
+                out.append(_spans(next(whole), 0))
+                continue
+            found = list(map(self.cache.__getitem__, of))
+            rows = np.fromiter(chain.from_iterable(found), np.int64).reshape(-1, 3)
+            # pre-tokens cover all but white space, so their lengths lead from one to the next
+            lengths = np.fromiter(map(len, of), np.int64, len(of))
+            places = np.flatnonzero(~WHITE[np.frombuffer(low.encode("utf-32-le"), np.uint32)])
+            at = np.repeat(places[np.cumsum(lengths) - lengths], np.fromiter(map(len, found), np.int64, len(found)) // 3)
+            rows[:, 1] += at
+            rows[:, 2] += at
+            out.append(rows)
+        for u in long:
+            del self.cache[u]
         return out
 
+    def learn(self, units: set[str]) -> list[str]:
+        """Encodes units that aren't in the cache, as (id, start, end, id, ...); the long ones, which won't stay, are returned."""
+        new = list(units - self.cache.keys())
+        if len(self.cache) + len(new) > CACHE_ENTRIES:
+            self.cache.clear()
+            new = list(units)
+        for u, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
+            self.cache[u] = tuple(chain.from_iterable((i, a, b) for i, (a, b) in zip(e.ids, e.offsets)))
+        return [u for u in new if len(u) > CACHE_CHARS]
+
     def spans(self, text: str, at: int = 0) -> np.ndarray:
         """Rows (id, start, end) of a text that begins at character ``at``."""
         return _spans(self.encode(text), at)
