@@ -6,6 +6,8 @@ import functools
 
 from .bpe_codec import op1_bpe
 from .bpe_counts import op7_tokens
+from .filter_audit import ORACLE as AUDIT_SQL
+from .filter_audit import op11_filter_audit
 from .jaccard_join import op10_jaccard
 from .kneser_ney import op4_quality
 from .language_id import op9_language
@@ -40,8 +42,9 @@ _ALL = {
     "op8_vectors": op8_vectors,
     "op9_language": op9_language,
     "op10_jaccard": op10_jaccard,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 QUERIES = {name: _with_package(query) for name, query in _ALL.items()}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_filter_audit": AUDIT_SQL}
