@@ -6,6 +6,8 @@ import functools
 
 from .bpe_codec import op1_bpe
 from .bpe_counts import op7_tokens
+from .collocations import ORACLE as PHRASES_SQL
+from .collocations import op12_phrases
 from .filter_audit import ORACLE as AUDIT_SQL
 from .filter_audit import op11_filter_audit
 from .jaccard_join import op10_jaccard
@@ -43,8 +45,9 @@ _ALL = {
     "op9_language": op9_language,
     "op10_jaccard": op10_jaccard,
     "op11_filter_audit": op11_filter_audit,
+    "op12_phrases": op12_phrases,
 }
 
 QUERIES = {name: _with_package(query) for name, query in _ALL.items()}
 
-ORACLES: dict[str, str] = {"op11_filter_audit": AUDIT_SQL}
+ORACLES: dict[str, str] = {"op11_filter_audit": AUDIT_SQL, "op12_phrases": PHRASES_SQL}
