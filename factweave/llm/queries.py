@@ -17,8 +17,8 @@ from .mixing import op5_mix
 from .personal_data import op3_personal_data
 from .quality_rules import op2_rules
 from .range_join import op8_vectors
+from .secret_scan import op13_secrets
 from .store import ship_package
-
 from .substring_dedup import op6_repeats
 
 
@@ -46,6 +46,7 @@ _ALL = {
     "op10_jaccard": op10_jaccard,
     "op11_filter_audit": op11_filter_audit,
     "op12_phrases": op12_phrases,
+    "op13_secrets": op13_secrets,
 }
 
 QUERIES = {name: _with_package(query) for name, query in _ALL.items()}
