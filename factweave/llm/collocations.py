@@ -29,9 +29,11 @@ SUPPORT, MOST_WORDS, TOP = 100, 5, 2000
 #: What is broadcast at most.
 BROADCAST, BROADCAST_CHARS = 500_000, 16_000_000
 #: Words in a row of ids; texts are read in slices of so many bytes.
-CHUNK, SLICE = 4096, 1 << 20
+CHUNK, SLICE = 1024, 1 << 20
 #: Partial counts and ids that a task holds before it passes them on.
-HELD = 500_000
+HELD = 100_000
+#: Ids of a batch that are paired at once.
+AT_ONCE = 1 << 18
 #: Partitions of a language that are ranked before they meet.
 SALTS = 64
 
@@ -131,6 +133,18 @@ def _coder(table, chunk: int):
     return run
 
 
+def _parts(batches) -> Iterator[pa.RecordBatch]:
+    """The batches, in slices of rows with a bounded number of ids."""
+    for batch in batches:
+        rows = max(1, AT_ONCE // (CHUNK + MOST_WORDS))
+        ends = np.asarray(batch.column(0).offsets, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + rows, int(np.searchsorted(ends, ends[at] + AT_ONCE, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _pairs(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, position and the two ids of all neighbouring ids of a batch of rows."""
     ids, core = batch.column(0), np.asarray(batch.column(1))
@@ -152,7 +166,7 @@ def _added_up(a: np.ndarray, b: np.ndarray, n: np.ndarray):
 
 def _count_pairs(batches):
     held, size = [], 0
-    for batch in batches:
+    for batch in _parts(batches):
         row, at, a, b = _pairs(batch)
         starts = at < np.asarray(batch.column(1))[row]
         held.append(_added_up(a[starts], b[starts], np.ones(starts.sum())))
@@ -181,7 +195,7 @@ def _recoder(table):
             at = np.minimum(np.searchsorted(among, values), len(among) - 1)
             return at, among[at] == values
 
-        for batch in batches:
+        for batch in _parts(batches):
             row, at, x, y = _pairs(batch)
             ix, in_a = place(x, ua)
             iy, in_b = place(y, ub)
