@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave import rules as R
+from factweave.functions import lexer as L
 from factweave.functions import scalars as S
 
 
@@ -56,36 +57,95 @@ def direction_of(rule: R.Rule, text: Column, key: Column) -> Column:
     return F.when(reads, F.lit("read")).otherwise(F.lit("write"))
 
 
-def boundary_events(files: DataFrame, rules=None, compat: bool = False) -> DataFrame:
-    """One row for each event: file, line, fn_name, direction, medium, key_raw, key_norm, prov_source, prov_confidence, rule, ord, raw_context.
+def arguments(body: Column) -> Column:
+    """Array of the trimmed arguments of a call, from the text after its opening bracket; brackets and strings nest.
 
-    A query gives one event for each table in it; with ``compat`` a call rule's query gives
-    its primary table alone. ``ord`` orders the events of a file: call rules before patterns,
-    then by rule and line. ``raw_context`` is the line's text.
+    Null if the call's end isn't in the text. A comma before the end adds no argument.
     """
-    rules = [r for r in (rules or (*R.CALL_RULES, *R.EVENT_RULES)) if r.enabled]
+    state = F.struct(F.lit(1).alias("depth"), F.lit("").alias("own"), F.array().cast("array<string>").alias("done"))
 
-    def row(rule: R.Rule, number: int):
-        def make(text: Column, line: Column) -> Column:
-            key = _group(text, rule.pattern, rule.key)
-            key = S.strip_literal(key) if rule.strip else key
-            key = F.when(~key.isin(*rule.never), key) if rule.never else key
-            return F.struct(
-                line.alias("line"),
-                direction_of(rule, text, key).alias("direction"),
-                (S.header_medium(key) if rule.direction == "header" else F.lit(rule.medium)).alias("medium"),
-                (S.outgoing_path(key) if rule.medium == "http_out" else key).alias("key_raw"),
-                F.lit("lexical" if rule.confidence > R.PATTERN else "regex").alias("prov_source"),
-                F.lit(rule.confidence).alias("prov_confidence"),
-                F.lit(rule.name).alias("rule"),
-                F.lit(number).alias("ord"),
-                F.lit(rule.medium == "sql" and rule.direction in ("select", "verb")).alias("is_sql"),
-            )
+    def step(s: Column, piece: Column) -> Column:
+        depth = s["depth"] + F.when(piece.isin("(", "[", "{"), F.lit(1)).when(piece.isin(")", "]", "}"), F.lit(-1)).otherwise(F.lit(0))
+        cut = (depth == 0) | ((depth == 1) & (piece == ","))
+        made = F.struct(depth.alias("depth"), F.when(cut, F.lit("")).otherwise(F.concat(s["own"], piece)).alias("own"), F.when(cut, F.array_append(s["done"], F.trim(s["own"]))).otherwise(s["done"]).alias("done"))
+        return F.when(s["depth"] == 0, s).otherwise(made)
+
+    pieces = F.regexp_extract_all(body, F.lit(R.ARGUMENT_PIECES), 0)
+    return F.aggregate(pieces, state, step, lambda s: F.when(s["depth"] == 0, F.filter(s["done"], lambda a: a != "")))
+
+
+def call_sites(code: Column, rules) -> Column:
+    """Array of (head, arguments, line) of the calls of any of the rules' methods; one scan for all rules."""
+    methods = dict.fromkeys(m for r in rules for m in r.methods)
+    head = R.CALL_SITE.replace("{}", "|".join(methods))
+    bodies = F.regexp_extract_all(code, F.lit(rf"{head}(?=([\s\S]{{0,{R.CALL_SPAN}}}))"), 1)
+    heads = matches(code, head, lambda text, line: F.struct(text.alias("head"), line.alias("line")))
+    return F.zip_with(heads, bodies, lambda h, b: F.struct(h["head"].alias("head"), arguments(b).alias("args"), h["line"].alias("line")))
 
-        return make
 
-    found = F.concat(*[_guarded(r.languages, matches(F.col("src"), r.pattern, row(r, i))) for i, r in enumerate(rules)])
-    rows = files.select("file", "language", "src", F.explode(found).alias("e")).select("file", "language", "e.*", F.split_part("src", F.lit("\n"), F.col("e.line").cast("int")).alias("raw_context")).where("key_raw is not null")
+def site_key(rule: R.Rule, site: Column) -> Column:
+    """The key that a rule finds in a call; null if it isn't the rule's."""
+    args = site["args"]
+    quote = "['\"]" if rule.languages == R.JS else R.Q  # a template isn't a plain string
+    if rule.strip:
+        key = F.element_at(args, -1)
+    elif rule.last:
+        key = F.nullif(F.regexp_extract(F.element_at(args, -1), rf"\A{quote}({R.N}+){quote}\z", 1), F.lit(""))
+    else:
+        key = F.nullif(F.regexp_extract(F.element_at(args, 1), rf"\A{quote}({R.N}+){quote}", 1), F.lit(""))
+    of = site["head"].rlike(rf"(?:{rule.receivers})(?:\.|->)(?:{'|'.join(rule.methods)})\s*\(\z")
+    return F.when(of & (F.size(args) >= rule.least), key)
+
+
+def boundary_events(files: DataFrame, rules=None, compat: bool = False) -> DataFrame:
+    """One row for each event: file, line, fn_name, direction, medium, key_raw, key_norm, prov_source, prov_confidence, rule, ord, raw_context.
+
+    Comments give none. A query gives one event for each table in it; with ``compat`` a call
+    rule's query gives its primary table alone. ``ord`` orders the events of a file: call rules before patterns,
+    then by rule and line. ``raw_context`` is the line's text.
+    """
+    rules = [(i, r) for i, r in enumerate(rules or (*R.CALL_RULES, *R.EVENT_RULES)) if r.enabled]
+    code = F.col("code")
+
+    def event(rule: R.Rule, number: int, text: Column, line: Column, key: Column) -> Column:
+        key = S.strip_literal(key) if rule.strip else key
+        key = F.when(~key.isin(*rule.never), key) if rule.never else key
+        return F.struct(
+            line.alias("line"),
+            direction_of(rule, text, key).alias("direction"),
+            (S.header_medium(key) if rule.direction == "header" else F.lit(rule.medium)).alias("medium"),
+            (S.outgoing_path(key) if rule.medium == "http_out" else key).alias("key_raw"),
+            F.lit("lexical" if rule.confidence > R.PATTERN else "regex").alias("prov_source"),
+            F.lit(rule.confidence).alias("prov_confidence"),
+            F.lit(rule.name).alias("rule"),
+            F.lit(number).alias("ord"),
+            F.lit(rule.medium == "sql" and rule.direction in ("select", "verb")).alias("is_sql"),
+        )
+
+    def of_sites(language: str) -> Column | None:
+        own = [(i, r) for i, r in rules if r.methods and language in r.languages]
+        if not own:
+            return None
+        found = lambda site: F.transform(
+            F.array(*[F.struct(F.lit(i).alias("i"), site_key(r, site).alias("key")) for i, r in own]), lambda x: F.struct(x["i"].alias("i"), x["key"].alias("key"), site["head"].alias("head"), site["line"].alias("line"))
+        )
+        hits = F.filter(F.flatten(F.transform(call_sites(code, [r for _, r in own]), found)), lambda x: x["key"].isNotNull())
+
+        def made(x: Column) -> Column:
+            out = None
+            for i, r in own:
+                out = (F if out is None else out).when(x["i"] == i, event(r, i, x["head"], x["line"], x["key"]))
+            return out
+
+        return F.transform(hits, made)
+
+    def of_pattern(rule: R.Rule, number: int) -> Column:
+        return matches(code, rule.pattern, lambda text, line: event(rule, number, text, line, _group(text, rule.pattern, rule.key)))
+
+    parts = [_guarded(r.languages, of_pattern(r, i)) for i, r in rules if not r.methods]
+    parts += [_guarded((language,), sites) for language in R.ALL if (sites := of_sites(language)) is not None]
+    coded = files.select("file", "language", "src", L.code_of(F.col("language"), F.col("src")).alias("code"))
+    rows = coded.select("file", "language", "src", F.explode(F.concat(*parts)).alias("e")).select("file", "language", "e.*", F.split_part("src", F.lit("\n"), F.col("e.line").cast("int")).alias("raw_context")).where("key_raw is not null")
     every = S.sql_tables(F.col("key_raw"))
     if compat:
         every = F.when(F.col("prov_source") == "lexical", F.array_compact(F.array(S.sql_primary_table(F.col("key_raw"))))).otherwise(every)
@@ -94,48 +154,96 @@ def boundary_events(files: DataFrame, rules=None, compat: bool = False) -> DataF
     return rows.select("file", "language", "line", F.lit("<module>").alias("fn_name"), "direction", "medium", "key_raw", "key_norm", "prov_source", "prov_confidence", "rule", "ord", F.trim("raw_context").alias("raw_context"))
 
 
-def _lines(files: DataFrame) -> DataFrame:
-    return files.select("file", "language", F.posexplode(F.split("src", "\n")).alias("at", "text")).withColumn("line", (F.col("at") + 1).cast("long"))
+def _lines(files: DataFrame, text: Column) -> DataFrame:
+    return files.select("file", "language", F.posexplode(F.split(text, "\n")).alias("at", "text")).select("file", "language", (F.col("at") + 1).cast("long").alias("line"), "text")
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """name, kind, file, line, is_exported, prov_source, prov_confidence; the first rule of a line wins."""
+def code_lines(files: DataFrame) -> DataFrame:
+    """file, language, line, text of every line, comments blanked."""
+    return _lines(files, L.code_of(F.col("language"), F.col("src")))
+
+
+def bare_lines(files: DataFrame) -> DataFrame:
+    """file, language, line, text of every line, comments and strings blanked."""
+    coded = files.select("file", "language", L.code_of(F.col("language"), F.col("src")).alias("code"))
+    return _lines(coded, L.bare_of(F.col("language"), F.col("code")))
+
+
+def _defined() -> Column:
+    """Struct of name, kind and is_exported that the first matching rule gives for a line; null where none does."""
 
     def row(rule) -> Column:
-        language, kind, pattern, export = rule
+        _, kind, pattern, export = rule
         name = F.nullif(F.regexp_extract("text", pattern, 1), F.lit(""))
         exported = {
-            "export": F.col("text").rlike(r"^\s*export\b"),
-            "public": ~name.startswith("_"),
-            "pub": F.col("text").rlike(r"^\s*pub\b"),
-            "upper": name.rlike("^[A-Z]"),
-            "always": F.lit(True),
+            "export": lambda n: F.col("text").rlike(r"^\s*export\b"),
+            "public": lambda n: ~n.startswith("_"),
+            "pub": lambda n: F.col("text").rlike(r"^\s*(?:#\[[^\]]*\]\s*)*pub\b"),
+            "upper": lambda n: n.rlike("^[A-Z]"),
+            "always": lambda n: F.lit(True),
         }[export]
-        made = F.struct(name.alias("name"), F.lit(kind).alias("kind"), exported.alias("is_exported"))
-        return F.when((F.col("language") == language) & name.isNotNull() & ~name.isin(*R.NOT_DEFINED), made)
+        made = lambda n: F.when(n.isNotNull() & ~n.isin(*R.NOT_DEFINED), F.named_struct(F.lit("name"), n, F.lit("kind"), F.lit(kind), F.lit("is_exported"), exported(n)))
+        return F.get(F.transform(F.array(name), made), F.lit(0))  # a name is found once
+
+    found = None
+    for language in R.ALL:
+        first = F.coalesce(*[row(r) for r in R.SYMBOL_RULES if r[0] == language])
+        found = (F if found is None else found).when(F.col("language") == language, first)
+    return found
+
+
+def symbols_of(lines: DataFrame) -> DataFrame:
+    """Symbols of ``bare_lines``: name, kind, file, language, line, is_exported, at (marks of its line before it), one_line (it has no block)."""
+    ruby = F.col("language") == "ruby"
+    found = lines.withColumn("s", _defined()).where("s is not null")
+    before = F.substring("text", F.lit(1), F.instr("text", F.col("s.name")) - 1)
+    opened = F.greatest(F.size(F.regexp_extract_all(before, F.lit(R.RUBY_BLOCKS), 0)) - 1, F.lit(0))
+    at = F.when(ruby, opened).otherwise(F.length(before) - F.length(F.regexp_replace(before, R.BRACKETS, "")))
+    return found.select("s.name", "s.kind", "file", "language", "line", "s.is_exported", at.alias("at"), (ruby & F.col("text").rlike(R.RUBY_ENDLESS)).alias("one_line"))
 
-    found = _lines(files).withColumn("s", F.coalesce(*[row(r) for r in R.SYMBOL_RULES])).where("s is not null")
-    return found.select("s.name", "s.kind", "file", "line", "s.is_exported", F.lit("lexical").alias("prov_source"), F.lit(R.SYMBOL).alias("prov_confidence"))
+
+def symbols(files: DataFrame) -> DataFrame:
+    """name, kind, file, line, is_exported, prov_source, prov_confidence; the first rule of a line wins."""
+    return symbols_of(bare_lines(files)).select("name", "kind", "file", "line", "is_exported", F.lit("lexical").alias("prov_source"), F.lit(R.SYMBOL).alias("prov_confidence"))
+
+
+def calls(files: DataFrame) -> DataFrame:
+    """src_file, line, dst_symbol: each name once for each line, but what the line defines."""
+    text = F.col("text")
+    for language, pattern in R.NOT_CALLS.items():
+        text = F.when(F.col("language") == language, F.regexp_replace(text, pattern, " (")).otherwise(text)
+    called = F.array_distinct(F.regexp_extract_all(text, F.lit(R.CALL_PATTERN), 1))
+    rows = bare_lines(files).where(F.contains("text", F.lit("("))).select("file", "line", _defined()["name"].alias("own"), F.explode(called).alias("dst_symbol"))
+    return rows.where(~F.col("dst_symbol").isin(*R.NOT_CALLED) & ~F.col("dst_symbol").eqNullSafe(F.col("own"))).select(F.col("file").alias("src_file"), "line", "dst_symbol")
 
 
 def edges(files: DataFrame) -> DataFrame:
     """src_file, src_symbol (null until attributed), rel, dst_file, dst_symbol, line for calls, imports and inheritance."""
-    text = F.col("text")
-    called = F.filter(F.regexp_extract_all(text, F.lit(R.CALL_PATTERN), 1), lambda c: ~c.isin(*R.NOT_CALLED))
-    called = F.when(text.rlike(R.DEFINES), F.array().cast("array<string>")).otherwise(called)
-    none = F.lit(None).cast("string")
+    text, none = F.col("text"), F.lit(None).cast("string")
 
     def edge(rel: str, src: Column, dst_file: Column, dst: Column) -> Column:
         return F.struct(F.lit(rel).alias("rel"), src.alias("src_symbol"), dst_file.alias("dst_file"), dst.alias("dst_symbol"))
 
-    parts = [F.transform(F.array_distinct(called), lambda c: edge("calls", none, none, c))]
+    parts = []
     for languages, pattern in R.IMPORT_RULES:
         parts.append(_guarded(languages, F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda m: edge("imports", none, m, none))))
     for languages, pattern in R.EXTENDS_RULES:
         one = F.array(edge("extends", F.regexp_extract(text, pattern, 1), none, F.regexp_extract(text, pattern, 2)))
         parts.append(_guarded(languages, F.when(text.rlike(pattern), one).otherwise(F.array())))
-    rows = _lines(files).select(F.col("file").alias("src_file"), "language", "line", F.explode(F.concat(*parts)).alias("e"))
-    return rows.select("src_file", "e.src_symbol", "e.rel", "e.dst_file", "e.dst_symbol", "line")
+    rows = code_lines(files).select(F.col("file").alias("src_file"), "language", "line", F.explode(F.concat(*parts)).alias("e"))
+    found = rows.select("src_file", "e.src_symbol", "e.rel", "e.dst_file", "e.dst_symbol", "line")
+    called = calls(files).select("src_file", none.alias("src_symbol"), F.lit("calls").alias("rel"), none.alias("dst_file"), "dst_symbol", "line")
+    return found.unionByName(called).unionByName(grouped_imports(files))
+
+
+def grouped_imports(files: DataFrame) -> DataFrame:
+    """Edges of Go's imports in brackets, one for each path."""
+    code = L.code_of(F.lit("go"), F.col("src"))
+    blocks = files.where("language = 'go'").select("file", code.alias("code")).select("file", F.explode(matches(F.col("code"), R.GO_IMPORTS, lambda text, line: F.struct(text.alias("text"), line.alias("line")))).alias("b"))
+    rows = blocks.select("file", "b.line", F.posexplode(F.split("b.text", "\n")).alias("i", "text"))
+    path, none = F.nullif(F.regexp_extract("text", R.GO_IMPORT, 1), F.lit("")), F.lit(None).cast("string")
+    found = rows.select(F.col("file").alias("src_file"), none.alias("src_symbol"), F.lit("imports").alias("rel"), path.alias("dst_file"), none.alias("dst_symbol"), (F.col("line") + F.col("i")).alias("line"))
+    return found.where("dst_file is not null")
 
 
 def middleware(files: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factweave import rules as R
 from factweave import views as V
 from factweave.functions import scalars as S
-from factweave.operators import attribute, entrypoints, explore, extract, graph, report, topology
+from factweave.operators import attribute, entrypoints, explore, extract, graph, report, scopes, topology
 from factweave.plans.index import Config, index
 from factweave.sources.files import snapshot_status
 
@@ -92,29 +92,82 @@ def file_meta_counts(spark, sf_dir):
 # --- extraction --------------------------------------------------------------------------
 
 
-def _named(p: str) -> str:
-    return f"regexp_extract(text, {text(p)}, 1) not in {words(('', *R.NOT_DEFINED))}"
-
-
-def _symbol_sql() -> str:
-    """First rule of a line that matches; RE2 has no look-around, and these patterns need none."""
-    name = "coalesce(" + ", ".join(f"case when language = '{lang}' and {_named(p)} then regexp_extract(text, {text(p)}, 1) end" for lang, _, p, _ in R.SYMBOL_RULES) + ")"
-    kind = "case " + " ".join(f"when language = '{lang}' and {_named(p)} then '{k}'" for lang, k, p, _ in R.SYMBOL_RULES) + " end"
-    return f"""with {V.SRC_SQL}, s as (select {name} as name, {kind} as kind, file, cast(line as bigint) as line, language, text from lines)
-select name, kind, file, line, case language when 'javascript' then regexp_matches(text, '^\\s*export\\b') when 'typescript' then regexp_matches(text, '^\\s*export\\b')
-  when 'python' then not starts_with(name, '_') when 'ruby' then not starts_with(name, '_') when 'rust' then regexp_matches(text, '^\\s*pub\\b') when 'go' then regexp_matches(name, '^[A-Z]') else true end as is_exported
-from s where name is not null"""
+def _stated(columns: str, rows) -> str:
+    """SQL for rows that are stated for each language: (language, line, ...), @K@ the customer, @N@ its nation."""
+    cell = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else text(v) if isinstance(v, str) else str(v)
+    told = ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows)
+    return f"stated as (select file, t.*, cast(c_custkey as varchar) as k, cast(c_nationkey as varchar) as n from src_files join (values {told}) as t(language, {columns}) using (language))"
+
+
+def _filled(c: str) -> str:
+    return f"replace(replace({c}, '@K@', k), '@N@', n)"
+
+
+#: What the sources define and call: language, line, name, kind, whether it is exported; language, names by line.
+DEFINED = (
+    ("javascript", 2, "Shop@K@", "class", False), ("javascript", 3, "Cart@K@", "class", False), ("javascript", 4, "save@K@", "function", False), ("javascript", 8, "load@K@", "function", True),
+    ("typescript", 2, "Row@K@", "class", True), ("typescript", 3, "Desk@K@", "class", True), ("typescript", 4, "seat@K@", "function", False), ("typescript", 8, "make@K@", "function", True),
+    ("python", 3, "Account@K@", "class", True), ("python", 4, "load_@K@", "function", True), ("python", 21, "show_@K@", "function", True), ("python", 24, "dep_@K@", "function", True), ("python", 28, "task_@K@", "function", True),
+    ("ruby", 2, "Order@K@", "class", True), ("ruby", 5, "show_@K@", "function", True), ("ruby", 23, "list", "function", True), ("ruby", 26, "hidden_@K@", "function", True), ("ruby", 29, "Extra@K@", "class", True),
+    ("rust", 2, "Store@K@", "class", True), ("rust", 4, "get_@K@", "function", True), ("rust", 17, "r_@K@", "function", False), ("rust", 20, "main", "function", False),
+    ("go", 2, "Server@K@", "class", True), ("go", 3, "Handle@K@", "function", True), ("go", 11, "main", "function", False),
+    ("java", 2, "Shop@K@", "class", True), ("java", 3, "show@K@", "function", True), ("java", 14, "on@K@", "function", True), ("java", 16, "calc@K@", "function", True), ("java", 18, "main", "function", True),
+    ("php", 2, "Order@K@", "class", True), ("php", 4, "show@K@", "function", True),
+)
+CALLED = {
+    "javascript": "1 require, 5 get, 10 setHeader, 11 set, 14 get, 15 hset, 16 send, 17 subscribe, 18 query, 19 fetch, 20 protoPost, 21 helper@N@, 24 use, 25 post, 26 readFile, 27 publish, 28 receiveMessage",
+    "typescript": "5 encode, 5 finish, 9 get, 10 findMany, 11 sendMessage, 12 GetItem, 13 emit, 14 decode, 15 load@N@, 17 UseGuards, 18 get, 19 post, 20 consume, 21 fetch",
+    "python": "5 getenv, 6 get, 7 execute, 8 set, 9 hget, 10 lpush, 11 get, 12 subscribe, 13 produce, 14 produce, 15 set_cookie, 16 GetUser, 17 insecure_channel, 18 helper@N@, 19 get, 21 Depends, 22 filter, 23 query, 24 Depends, 26 path, 31 load_@N@",
+    "ruby": "7 fetch, 8 get, 9 set, 10 smembers, 11 sadd, 12 find_by, 13 sum, 15 execute, 16 perform_async, 17 produce, 19 get_user, 20 get, 21 get",
+    "rust": "5 var, 6 query, 7 query_file, 8 get, 9 set, 10 hget, 11 decode, 12 decode, 13 encode_to_vec, 15 helper@N@, 18 route, 18 get, 19 route, 19 with_auth, 19 post",
+    "go": "4 Getenv, 5 Query, 6 Get, 7 Set, 8 Unmarshal, 9 helper@N@, 12 HandleFunc, 13 GET",
+    "java": "4 getenv, 5 update, 6 createQuery, 7 send, 8 hset, 9 get, 10 getForObject, 11 helper@N@",
+    "php": "5 getenv, 6 select, 7 table, 8 query, 9 put, 10 get, 11 get, 12 set, 13 post, 14 request, 15 produce, 16 helper@N@, 19 get, 20 any",
+}
+_CALLED_ROWS = [(language, int(c.split()[0]), c.split()[1]) for language, told in CALLED.items() for c in told.split(", ")]
 
 
-@query(_symbol_sql())
+@query(f"with {V.SRC_SQL}, {_stated('line, name, kind, is_exported', DEFINED)} select {_filled('name')} as name, kind, file, cast(line as bigint) as line, is_exported from stated")
 def extract_symbols(spark, sf_dir):
     return extract.symbols(V.src_files(spark, sf_dir)).drop("prov_source", "prov_confidence")
 
 
-@query(f"""with {V.SRC_SQL}, c as (select distinct file as src_file, cast(line as bigint) as line, unnest(regexp_extract_all(text, {text(R.CALL_PATTERN)}, 1)) as dst_symbol from lines where not regexp_matches(text, {text(R.DEFINES)}))
-select src_file, line, dst_symbol from c where dst_symbol not in {words(R.NOT_CALLED)}""")
+@query(f"with {V.SRC_SQL}, {_stated('line, name', _CALLED_ROWS)} select file as src_file, cast(line as bigint) as line, {_filled('name')} as dst_symbol from stated")
 def extract_call_edges(spark, sf_dir):
-    return extract.edges(V.src_files(spark, sf_dir)).where("rel = 'calls'").select("src_file", "line", "dst_symbol")
+    return extract.calls(V.src_files(spark, sf_dir))
+
+
+#: Of the sources with nested functions (views.SCOPED): language, first line, name, kind, last line; language, lines of its events with their function.
+SCOPES = (
+    ("typescript", 1, "handle@K@", "function", 8), ("typescript", 4, "inner@N@", "function", 6), ("typescript", 11, "Box@K@", "class", 15), ("typescript", 12, "open@K@", "function", 14),
+    ("java", 1, "Shop@K@", "class", 14), ("java", 2, "run@K@", "function", 11), ("java", 5, "call@N@", "function", 7), ("java", 12, "plain@K@", "function", 13),
+    ("rust", 1, "outer@K@", "function", 7), ("rust", 2, "deep@N@", "function", 4), ("rust", 8, "tail@K@", "function", 8),
+    ("go", 3, "Serve@K@", "function", 6), ("go", 8, "main", "function", 10),
+    ("python", 2, "outer_@K@", "function", 9), ("python", 4, "inner_@N@", "function", 6), ("python", 11, "last_@K@", "function", 12),
+    ("ruby", 1, "Task@K@", "class", 11), ("ruby", 2, "run_@K@", "function", 7), ("ruby", 8, "one_@N@", "function", 8), ("ruby", 9, "two_@K@", "function", 10),
+    ("php", 1, "A@K@", "class", 7), ("php", 2, "f@K@", "function", 6), ("php", 8, "g@K@", "function", 9),
+    ("javascript", 1, "load@K@", "function", 6), ("javascript", 8, "one@N@", "function", 8),
+)
+WITHIN = {
+    "typescript": "2 handle@K@, 5 inner@N@, 7 handle@K@, 9 <module>, 13 open@K@, 16 <module>", "java": "3 run@K@, 6 call@N@, 10 run@K@, 13 plain@K@",
+    "rust": "3 deep@N@, 6 outer@K@, 8 tail@K@, 9 <module>", "go": "4 Serve@K@, 5 Serve@K@, 9 main", "python": "3 outer_@K@, 6 inner_@N@, 9 outer_@K@, 10 <module>, 12 last_@K@, 13 <module>",
+    "ruby": "4 run_@K@, 6 run_@K@, 8 one_@N@, 10 two_@K@, 12 <module>", "php": "4 f@K@, 5 f@K@, 9 g@K@, 10 <module>", "javascript": "3 load@K@, 5 load@K@, 7 <module>, 8 one@N@, 9 <module>",
+}
+_WITHIN_ROWS = [(language, int(c.split()[0]), c.split()[1]) for language, told in WITHIN.items() for c in told.split(", ")]
+
+
+@query(f"with {V.SCOPED_SQL}, {_stated('line, name, kind, last', SCOPES)} select {_filled('name')} as name, kind, file, cast(line as bigint) as line, cast(last as bigint) as end_line from stated")
+def function_scopes(spark, sf_dir):
+    """Where the functions and classes of nested sources begin and end."""
+    return scopes.scopes(V.scoped_files(spark, sf_dir)).select("name", "kind", "file", "line", "end_line")
+
+
+@query(f"with {V.SCOPED_SQL}, {_stated('line, name', _WITHIN_ROWS)} select file, cast(line as bigint) as line, {_filled('name')} as fn_name from stated")
+def scope_attribution(spark, sf_dir):
+    """Environment reads of nested sources, each in its innermost function; commented ones aren't read."""
+    files = V.scoped_files(spark, sf_dir)
+    events = extract.boundary_events(files, [r for r in (*R.CALL_RULES, *R.EVENT_RULES) if r.medium == "env"]).select("file", "line", "fn_name").distinct()
+    return scopes.enclosing(events, scopes.scopes(files))
 
 
 @query(f"with {V.SRC_SQL} " + " union all ".join(f"select file as src_file, cast(line as bigint) as line, unnest(regexp_extract_all(text, {text(p)}, 1)) as dst_file from lines where language in {words(langs)}" for langs, p in R.IMPORT_RULES))

@@ -30,6 +30,9 @@ class Rule:
 
     direction: read, write, or how the match decides (see operators.extract.direction_of).
     never: keys that don't count. strip: the key is an expression, of which a literal loses its marks.
+    A call of one of ``methods`` on what ends with ``receivers`` is looked at by its arguments, which may hold
+    brackets: the key is the ``last`` one or the first; ``least`` says how many there must be. For these,
+    ``pattern`` states the same for arguments without brackets.
     """
 
     name: str
@@ -42,6 +45,10 @@ class Rule:
     enabled: bool = True
     never: tuple[str, ...] = ()
     strip: bool = False
+    receivers: str = ""
+    methods: tuple[str, ...] = ()
+    last: bool = True
+    least: int = 1
 
 
 #: Pattern layer: in any file unless the rule names languages.
@@ -95,7 +102,8 @@ def _call(name: str, language, receivers: str, methods: str, medium: str, direct
     names = methods.replace(" ", "|")
     quote = "['\"]" if language == JS else Q  # a template isn't a plain string
     key = rf"(?:[^()]*,\s*)?{quote}({N}+){quote}\s*,?\s*\)" if last else rf"{quote}({N}+){quote}"
-    return Rule(name, language if isinstance(language, tuple) else (language,), rf"(?:{receivers}){dot}(?:{names})\s*\(\s*{key}", (1,), medium, direction, LEXICAL)
+    languages = language if isinstance(language, tuple) else (language,)
+    return Rule(name, languages, rf"(?:{receivers}){dot}(?:{names})\s*\(\s*{key}", (1,), medium, direction, LEXICAL, receivers=receivers, methods=tuple(methods.split()), last=last)
 
 
 #: Receivers by language and medium: fixed values.
@@ -110,8 +118,8 @@ ANY = r"\b\w+"
 CALL_RULES = (
     _call("go_env", "go", r"\bos", "Getenv", "env", "read", last=False),
     _call("go_sql", "go", ANY, "Query QueryContext Exec ExecContext QueryRow QueryRowContext Prepare PrepareContext", "sql", "verb"),
-    Rule("go_redis_get", ("go",), rf"{GO_REDIS}\.(?:Get|HGet|LRange|ZRange|Exists|TTL)\s*\([^()]*,\s*{Q}({N}+){Q}\s*,?\s*\)", (1,), "redis", "read", LEXICAL),
-    Rule("go_redis_set", ("go",), rf"{GO_REDIS}\.(?:Set|HSet|SetEX|LPush|RPush|ZAdd|Expire)\s*\([^()]*,\s*{Q}({N}+){Q}\s*,?\s*\)", (1,), "redis", "write", LEXICAL),
+    Rule("go_redis_get", ("go",), rf"{GO_REDIS}\.(?:Get|HGet|LRange|ZRange|Exists|TTL)\s*\([^()]*,\s*{Q}({N}+){Q}\s*,?\s*\)", (1,), "redis", "read", LEXICAL, receivers=GO_REDIS, methods=("Get", "HGet", "LRange", "ZRange", "Exists", "TTL"), least=2),
+    Rule("go_redis_set", ("go",), rf"{GO_REDIS}\.(?:Set|HSet|SetEX|LPush|RPush|ZAdd|Expire)\s*\([^()]*,\s*{Q}({N}+){Q}\s*,?\s*\)", (1,), "redis", "write", LEXICAL, receivers=GO_REDIS, methods=("Set", "HSet", "SetEX", "LPush", "RPush", "ZAdd", "Expire"), least=2),
     Rule("go_grpc_decode", ("go",), r"\b(?:proto|protojson|encoding)\.(?:Unmarshal|UnmarshalText|UnmarshalJSON)\s*\([^)]*?&?(?:\w+\.)?([A-Z]\w*)\{", (1,), "grpc", "read", LEXICAL),
     _call("java_env", "java", r"\bSystem", "getenv", "env", "read", last=False),
     _call("java_sql", "java", r"\b(?:jdbcTemplate|jdbc|db|conn|connection|namedJdbc)", "query queryForObject queryForList queryForMap update execute batchUpdate", "sql", "verb"),
@@ -162,40 +170,71 @@ CALL_RULES = (
     Rule("rb_header_set", ("ruby",), r"\b(?:response|headers)\[\s*['\"]([^'\"]+)['\"]\s*\]\s*=", (1,), "http_header", "write", LEXICAL),
     Rule("rs_env_var", ("rust",), r"\b(?:std::)?env::var\s*\(\s*\"([^\"]+)\"", (1,), "env", "read", LEXICAL),
     Rule("rs_sql", ("rust",), r"\b(?:query|query_as|query_scalar|query_file|query_file_as)!?\s*(?:::<[^>]*>)?\s*\(\s*(?:\w+\s*,\s*)?r?#?\"([^\"]{5,})\"", (1,), "sql", "verb", LEXICAL),
-    Rule("rs_redis_read", ("rust",), r"\b\w+\.(?:hget|rpop|lrange|zrange|exists|ttl)\s*\(\s*(?:[^()]*,\s*)?([^(),]+)\)", (1,), "redis", "read", LEXICAL, strip=True),
-    Rule("rs_redis_get", ("rust",), r"\b\w*(?:conn|redis|headers)\w*\.get\s*\(\s*(?:[^()]*,\s*)?([^(),]+)\)", (1,), "redis", "header", LEXICAL, strip=True),
-    Rule("rs_redis_set", ("rust",), r"\b\w+\.(?:set|set_ex|hset|lpush|rpush|zadd|lset|expire|persist|del)\s*\(\s*(?:[^()]*,\s*)?([^(),]+)\)", (1,), "redis", "write", LEXICAL, strip=True),
+    Rule("rs_redis_read", ("rust",), r"\b\w+\.(?:hget|rpop|lrange|zrange|exists|ttl)\s*\(\s*(?:[^()]*,\s*)?([^(),]+)\)", (1,), "redis", "read", LEXICAL, strip=True, receivers=r"\b\w+", methods=("hget", "rpop", "lrange", "zrange", "exists", "ttl")),
+    Rule("rs_redis_get", ("rust",), r"\b\w*(?:conn|redis|headers)\w*\.get\s*\(\s*(?:[^()]*,\s*)?([^(),]+)\)", (1,), "redis", "header", LEXICAL, strip=True, receivers=r"\b\w*(?:conn|redis|headers)\w*", methods=("get",)),
+    Rule("rs_redis_set", ("rust",), r"\b\w+\.(?:set|set_ex|hset|lpush|rpush|zadd|lset|expire|persist|del)\s*\(\s*(?:[^()]*,\s*)?([^(),]+)\)", (1,), "redis", "write", LEXICAL, strip=True, receivers=r"\b\w+", methods=("set", "set_ex", "hset", "lpush", "rpush", "zadd", "lset", "expire", "persist", "del")),
 )
 
-#: (language, kind, pattern of a line, what counts as exported)
+#: Lexers: (comments, strings and other literals) of the languages. Possessive, so that no text is scanned twice.
+_DOUBLE, _SINGLE, _TICK = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"?', r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'?", r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`?"
+_C_COMMENT = r"//[^\n]*+|/\*[\s\S]*?(?:\*/|\z)"
+_JS_REGEX = r"(?<=[=(,:\[!&|?;{}]\x20{0,3})/(?![/*])[^/\\\n]++(?:\\.[^/\\\n]*+)*+/"
+_TRIPLE = r'"{3}[\s\S]*?(?:"{3}|\z)'
+_LONG = _TRIPLE + "|" + _TRIPLE.replace('"', "'")
+LEXERS = {
+    "javascript": (_C_COMMENT, f"{_DOUBLE}|{_SINGLE}|{_TICK}|{_JS_REGEX}"),
+    "typescript": (_C_COMMENT, f"{_DOUBLE}|{_SINGLE}|{_TICK}|{_JS_REGEX}"),
+    "python": (rf"#[^\n]*+|(?m:^[ \t]*+)(?:{_LONG})", f"{_LONG}|{_DOUBLE}|{_SINGLE}"),  # a string that is a statement documents
+    "ruby": (r"#[^\n]*+|(?m:^=begin\b[\s\S]*?(?:^=end\b|\z))", f"{_DOUBLE}|{_SINGLE}"),
+    "rust": (_C_COMMENT, r'\br(?<hash>#*+)"[\s\S]*?(?:"\k<hash>|\z)|' + _DOUBLE + r"|'(?:[^'\\\n]|\\[^\n]{1,9}?)'"),
+    "go": (_C_COMMENT, _DOUBLE + "|`[^`]*+`?|" + r"'(?:[^'\\\n]|\\[^\n]{1,9}?)'"),
+    "java": (_C_COMMENT, f"{_TRIPLE}|{_DOUBLE}|{_SINGLE}"),
+    "php": (_C_COMMENT + r"|#(?!\[)[^\n]*+", r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"?' + r"|'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+'?"),
+}
+#: Marks of blocks and statements; in Ruby words that open or close a block.
+BRACKETS = r"[(){}\[\];]"
+RUBY_BLOCKS = (
+    r"(?:^|[;=(]|\b(?:private|public|protected|private_class_method)\s)\s*(?:(?:while|until|for)\b[^;]*+|(?:if|unless|case|begin|class|module)\b|def\b(?!\s+[\w.?!]+(?:\([^)]*\))?\s*=\s))"
+    r"|(?<![.:\w])do\b|(?<![.:\w])end\b(?!:)"
+)
+#: A Ruby method that is one expression and has no end.
+RUBY_ENDLESS = r"^\s*def\s+[\w.?!]+(?:\([^)]*\))?\s*=\s"
+
+#: Parameters: brackets may hold one more level of brackets, but no function.
+_PARAMS = r"\((?![^{]*(?:\bfunction\b|=>))(?:[^()]|\([^()]*\))*\)"
+_TS_MODIFIERS = r"(?:(?:public|private|protected|static|readonly|override|async|get|set)\s+)*"
+#: (language, kind, pattern of a line without comments and strings, what counts as exported)
 SYMBOL_RULES = (
     ("javascript", "function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s+(\w+)", "export"),
     ("javascript", "function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:function\b|\([^)]*\)\s*=>|\w+\s*=>)", "export"),
     ("javascript", "class", r"^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)", "export"),
-    ("javascript", "function", r"^\s+(?:(?:static|async|get|set)\s+)*\*?\s*(\w+)\s*\([^)]*\)\s*\{", "export"),
+    ("javascript", "function", r"^\s+(?:(?:static|async|get|set)\s+)*\*?\s*(\w+)\s*" + _PARAMS + r"\s*\{", "export"),
     ("typescript", "function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s+(\w+)", "export"),
-    ("typescript", "function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:function\b|\([^)]*\)\s*(?::\s*[\w<>\[\]]+\s*)?=>|\w+\s*=>)", "export"),
-    ("typescript", "class", r"^\s*(?:export\s+)?(?:abstract\s+)?(?:class|interface|type|enum)\s+(\w+)", "export"),
-    ("typescript", "function", r"^\s+(?:(?:public|private|protected|static|readonly|abstract|override|async|get|set)\s+)*\*?\s*(\w+)\s*(?:<[^>]*>)?\([^)]*\)\s*(?::\s*[\w<>\[\], |]+\s*)?[{;]", "export"),
+    ("typescript", "function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s+)?(?:function\b|\([^)]*\)\s*(?::\s*[\w<>\[\]]+\s*)?=>|\w+\s*=>)", "export"),
+    ("typescript", "class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:class|interface|type|enum)\s+(\w+)", "export"),
+    ("typescript", "function", r"^\s+(?:(?:public|protected)\s+)?abstract\s+(?:async\s+)?(\w+)\s*(?:<[^>]*>)?" + _PARAMS + r"[^{}]*;", "export"),
+    ("typescript", "function", r"^\s+" + _TS_MODIFIERS + r"\*?\s*(\w+)\s*(?:<[^>]*>)?" + _PARAMS + r"\s*(?::\s*[\w<>\[\], |.]+\s*)?\{", "export"),
     ("python", "function", r"^\s*(?:async\s+)?def\s+(\w+)", "public"),
     ("python", "class", r"^\s*class\s+(\w+)", "public"),
-    ("ruby", "function", r"^\s*def\s+(?:self\.)?(\w+)", "public"),
+    ("ruby", "function", r"^\s*(?:(?:private|public|protected|private_class_method)\s+)?def\s+(?:self\.)?(\w+)", "public"),
     ("ruby", "class", r"^\s*(?:class|module)\s+(\w+)", "public"),
-    ("rust", "function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)", "pub"),
-    ("rust", "class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait)\s+(\w+)", "pub"),
+    ("rust", "function", r"^\s*(?:#\[[^\]]*\]\s*)*(?:pub(?:\([^)]*\))?\s+)?(?:(?:default|const|async|unsafe|extern)\s+)*fn\s+(\w+)", "pub"),
+    ("rust", "class", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?(?:struct|enum|trait)\s+(\w+)", "pub"),
     ("go", "function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)", "upper"),
-    ("go", "class", r"^type\s+(\w+)\s+(?:struct|interface)", "upper"),
-    ("java", "function", r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:public|private|protected)\s+(?:static\s+)?[\w<>\[\], ]+\s+(\w+)\s*\(", "always"),
-    ("java", "function", r"^\s+(?:(?:static|final|abstract|synchronized|default)\s+)*[A-Za-z][\w<>\[\],.]*\s+(\w+)\s*\([^)]*\)\s*(?:throws\s+[\w, .]+)?\{", "always"),
-    ("java", "class", r"^\s*(?:public\s+)?(?:abstract\s+|final\s+)?(?:class|interface|enum)\s+(\w+)", "always"),
-    ("php", "function", r"^\s*(?:public\s+|private\s+|protected\s+)?(?:static\s+)?function\s+(\w+)", "always"),
-    ("php", "class", r"^\s*(?:abstract\s+|final\s+)?(?:class|interface|trait)\s+(\w+)", "always"),
+    ("go", "class", r"^type\s+(\w+)(?:\[[^\]]*\])?\s+(?:struct|interface)", "upper"),
+    ("java", "function", r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|default|native)\s+)+(?:<[^>]*>\s*)?(?!new\b)[A-Za-z_][\w<>\[\], .?]*\s+(\w+)\s*\(", "always"),
+    ("java", "function", r"^\s+(?:@\w+(?:\([^)]*\))?\s+)*(?:<[^>]*>\s*)?(?!(?:public|private|protected|new|return|else|throw|assert|yield)\b)[A-Za-z_][\w<>\[\],.?]*\s+(\w+)\s*" + _PARAMS + r"\s*(?:throws\s+[\w, .]+)?\{", "always"),
+    ("java", "class", r"^\s*(?:(?:public|private|protected|static|abstract|final|sealed)\s+)*(?:class|interface|enum|record)\s+(\w+)", "always"),
+    ("php", "function", r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+&?\s*(\w+)", "always"),
+    ("php", "class", r"^\s*(?:(?:abstract|final|readonly)\s+)*(?:class|interface|trait|enum)\s+(\w+)", "always"),
 )
-#: (languages, pattern of a line, group): calls that aren't definitions; words below aren't callees.
-CALL_PATTERN = r"(?:^|[^\w])(\w+)\s*\("
-NOT_DEFINED = ("if", "for", "while", "switch", "return", "catch", "function", "new", "else", "do", "try", "with", "super", "await", "typeof", "throw")
-NOT_CALLED = ("if", "for", "while", "switch", "return", "catch", "def", "function", "func", "fn", "class", "super", "elif", "and", "or", "not", "in", "await", "new", "print", "match")
-DEFINES = r"^\s*(?:export\s+|default\s+|pub\s+|public\s+|private\s+|protected\s+|static\s+|async\s+)*(?:def|function|func|fn|class)\b"
+NOT_DEFINED = ("if", "for", "while", "switch", "return", "catch", "function", "new", "else", "do", "try", "with", "super", "await", "typeof", "throw", "synchronized")
+#: A name before a bracket, and words that aren't callees; what a Java annotation or constructor or a Rust attribute names isn't called either.
+CALL_PATTERN = r"\b(\w+)\s*\("
+NOT_CALLED = ("if", "for", "while", "switch", "return", "catch", "def", "function", "func", "fn", "class", "super", "elif", "and", "or", "not", "in", "await", "new", "print", "match", "pub", "import", "async")
+NOT_CALLS = {"java": r"@\w+\s*\(|^\s*(?:public|private|protected)\s+\w+\s*\(", "rust": r"#!?\[[^\]]*\]"}
+#: Go's imports in brackets, and each one in there.
+GO_IMPORTS, GO_IMPORT = r"(?m)^import\s*\([^)]*\)", r"^\s*(?:[\w.]+\s+)?\"([^\"]+)\""
 IMPORT_RULES = (
     (JS, rf"^\s*(?:import|export)\s[^'\"`]*{Q}({N}+){Q}"),
     (JS, rf"\brequire\s*\(\s*{Q}({N}+){Q}"),
@@ -213,6 +252,11 @@ EXTENDS_RULES = (
     (("rust",), r"^\s*impl\s+(\w+)\s+for\s+(\w+)"),
 )
 
+#: A call of one of some methods ({} stands for them), and so many characters after its bracket.
+CALL_SITE, CALL_SPAN = r"(?<![\w$])(?:\$?\w++(?:\.|->))?\$?\w++(?:\.|->)(?:{})\s*\(", 1000
+#: Pieces of arguments: strings, brackets, commas, anything else.
+ARGUMENT_PIECES = rf"{_DOUBLE}|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'|{_TICK}|[(){{}}\[\],]|[^'\"`(){{}}\[\],]++|[\s\S]"
+
 VERBS = "get|post|put|delete|patch"
 
 

@@ -52,6 +52,15 @@ LINES = [
     ("rust", "conn.get(&key)", {("redis", "read", "key")}),
     ("rust", 'sqlx::query_file_as!(T, "SELECT a FROM t")', {("sql", "read", "t")}),
     ("rust", 'env::var("A")', {("env", "read", "A")}),
+    ("rust", 'conn.get(format!("user:{}", id))', {("redis", "read", 'format!("user:{}", id)')}),
+    ("rust", "self.pool.set(key(&a), &values[f(1)])", {("redis", "write", "values[f(1)]")}),
+    ("java", 'kafkaTemplate.send(pick(a, b), "topic");', {("kafka", "write", "topic")}),
+    ("java", 'em.createQuery("SELECT e FROM t", new Mapper());', set()),
+    ("go", 'rdb.Get(context.Background(), "k)")', {("redis", "read", "k)")}),
+    ("javascript", "list.rpush(key(a, [1, 2]), 'v',)", {("redis", "write", "v")}),
+    ("python", "bus.set(name, json.dumps({'a': (1, 2)}), 'k, l')", {("redis", "write", "k, l")}),
+    ("ruby", "conn.execute(sql(a), 'DELETE FROM d')", {("sql", "write", "d")}),
+    ("php", "$redis->get('a' . f(1));", {("redis", "read", "a")}),
 ]
 
 
