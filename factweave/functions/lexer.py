@@ -8,6 +8,9 @@ every line and column keeps its place.
 
 from __future__ import annotations
 
+import functools
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,3 +44,18 @@ def bare_of(language: Column, code: Column) -> Column:
     """Source without comments, its strings blanked, too. Go's empty types aren't blocks."""
     bare = _by_language(language, code, lambda comment, other: _replaced(code, other, _blank))
     return F.when(language == "go", F.regexp_replace(F.regexp_replace(bare, r"\binterface\{\}", " " * 11), r"\bstruct\{\}", " " * 8)).otherwise(bare)
+
+
+@functools.lru_cache(maxsize=16)
+def _built(of, language: str, text: str, context) -> Column:
+    return of(F.col(language), F.col(text))
+
+
+def code(language: str = "language", text: str = "src") -> Column:
+    """``code_of`` two columns by name, built once for a session."""
+    return _built(code_of, language, text, SparkContext._active_spark_context)
+
+
+def bare(language: str = "language", text: str = "code") -> Column:
+    """``bare_of`` two columns by name, built once for a session."""
+    return _built(bare_of, language, text, SparkContext._active_spark_context)

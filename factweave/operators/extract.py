@@ -6,6 +6,9 @@ an explode: patterns run where the file is read, nothing is shuffled.
 
 from __future__ import annotations
 
+import functools
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,8 +95,8 @@ def site_key(rule: R.Rule, site: Column) -> Column:
     elif rule.last:
         key = F.nullif(F.regexp_extract(F.element_at(args, -1), rf"\A{quote}({R.N}+){quote}\z", 1), F.lit(""))
     else:
-        key = F.nullif(F.regexp_extract(F.element_at(args, 1), rf"\A{quote}({R.N}+){quote}", 1), F.lit(""))
-    of = site["head"].rlike(rf"(?:{rule.receivers})(?:\.|->)(?:{'|'.join(rule.methods)})\s*\(\z")
+        key = F.nullif(F.regexp_extract(F.element_at(args, 1), rf"\A{rule.prefix}{quote}({R.N}+){quote}", 1), F.lit(""))
+    of = site["head"].rlike(rf"(?:{rule.receivers}){rule.dot}(?:{'|'.join(rule.methods)})\s*\(\z")
     return F.when(of & (F.size(args) >= rule.least), key)
 
 
@@ -104,7 +107,21 @@ def boundary_events(files: DataFrame, rules=None, compat: bool = False) -> DataF
     rule's query gives its primary table alone. ``ord`` orders the events of a file: call rules before patterns,
     then by rule and line. ``raw_context`` is the line's text.
     """
-    rules = [(i, r) for i, r in enumerate(rules or (*R.CALL_RULES, *R.EVENT_RULES)) if r.enabled]
+    coded = files.select("file", "language", "src", L.code().alias("code"))
+    found = _events_of(tuple(rules or (*R.CALL_RULES, *R.EVENT_RULES)), SparkContext._active_spark_context)
+    rows = coded.select("file", "language", "src", F.explode(found).alias("e")).select("file", "language", "e.*", F.split_part("src", F.lit("\n"), F.col("e.line").cast("int")).alias("raw_context")).where("key_raw is not null")
+    every = S.sql_tables(F.col("key_raw"))
+    if compat:
+        every = F.when(F.col("prov_source") == "lexical", F.array_compact(F.array(S.sql_primary_table(F.col("key_raw"))))).otherwise(every)
+    tables = F.when(F.col("is_sql"), every).otherwise(F.array("key_raw"))
+    rows = rows.withColumn("key", F.explode(tables)).withColumn("key_norm", S.normalise_key(F.col("key")))
+    return rows.select("file", "language", "line", F.lit("<module>").alias("fn_name"), "direction", "medium", "key_raw", "key_norm", "prov_source", "prov_confidence", "rule", "ord", F.trim("raw_context").alias("raw_context"))
+
+
+@functools.lru_cache(maxsize=64)
+def _events_of(rules: tuple[R.Rule, ...], context) -> Column:
+    """Array of all events of a file (columns language, code); built once for a session, as it is a large expression."""
+    rules = [(i, r) for i, r in enumerate(rules) if r.enabled]
     code = F.col("code")
 
     def event(rule: R.Rule, number: int, text: Column, line: Column, key: Column) -> Column:
@@ -140,18 +157,12 @@ def boundary_events(files: DataFrame, rules=None, compat: bool = False) -> DataF
         return F.transform(hits, made)
 
     def of_pattern(rule: R.Rule, number: int) -> Column:
-        return matches(code, rule.pattern, lambda text, line: event(rule, number, text, line, _group(text, rule.pattern, rule.key)))
+        found = matches(code, rule.pattern, lambda text, line: event(rule, number, text, line, _group(text, rule.pattern, rule.key)))
+        return F.when(F.contains(code, F.lit(rule.needs)), found).otherwise(F.array()) if rule.needs else found
 
     parts = [_guarded(r.languages, of_pattern(r, i)) for i, r in rules if not r.methods]
     parts += [_guarded((language,), sites) for language in R.ALL if (sites := of_sites(language)) is not None]
-    coded = files.select("file", "language", "src", L.code_of(F.col("language"), F.col("src")).alias("code"))
-    rows = coded.select("file", "language", "src", F.explode(F.concat(*parts)).alias("e")).select("file", "language", "e.*", F.split_part("src", F.lit("\n"), F.col("e.line").cast("int")).alias("raw_context")).where("key_raw is not null")
-    every = S.sql_tables(F.col("key_raw"))
-    if compat:
-        every = F.when(F.col("prov_source") == "lexical", F.array_compact(F.array(S.sql_primary_table(F.col("key_raw"))))).otherwise(every)
-    tables = F.when(F.col("is_sql"), every).otherwise(F.array("key_raw"))
-    rows = rows.withColumn("key", F.explode(tables)).withColumn("key_norm", S.normalise_key(F.col("key")))
-    return rows.select("file", "language", "line", F.lit("<module>").alias("fn_name"), "direction", "medium", "key_raw", "key_norm", "prov_source", "prov_confidence", "rule", "ord", F.trim("raw_context").alias("raw_context"))
+    return F.concat(*parts)
 
 
 def _lines(files: DataFrame, text: Column) -> DataFrame:
@@ -160,16 +171,17 @@ def _lines(files: DataFrame, text: Column) -> DataFrame:
 
 def code_lines(files: DataFrame) -> DataFrame:
     """file, language, line, text of every line, comments blanked."""
-    return _lines(files, L.code_of(F.col("language"), F.col("src")))
+    return _lines(files, L.code())
 
 
 def bare_lines(files: DataFrame) -> DataFrame:
     """file, language, line, text of every line, comments and strings blanked."""
-    coded = files.select("file", "language", L.code_of(F.col("language"), F.col("src")).alias("code"))
-    return _lines(coded, L.bare_of(F.col("language"), F.col("code")))
+    coded = files.select("file", "language", L.code().alias("code"))
+    return _lines(coded, L.bare())
 
 
-def _defined() -> Column:
+@functools.lru_cache(maxsize=4)
+def _defined(context) -> Column:
     """Struct of name, kind and is_exported that the first matching rule gives for a line; null where none does."""
 
     def row(rule) -> Column:
@@ -195,7 +207,7 @@ def _defined() -> Column:
 def symbols_of(lines: DataFrame) -> DataFrame:
     """Symbols of ``bare_lines``: name, kind, file, language, line, is_exported, at (marks of its line before it), one_line (it has no block)."""
     ruby = F.col("language") == "ruby"
-    found = lines.withColumn("s", _defined()).where("s is not null")
+    found = lines.withColumn("s", _defined(SparkContext._active_spark_context)).where("s is not null")
     before = F.substring("text", F.lit(1), F.instr("text", F.col("s.name")) - 1)
     opened = F.greatest(F.size(F.regexp_extract_all(before, F.lit(R.RUBY_BLOCKS), 0)) - 1, F.lit(0))
     at = F.when(ruby, opened).otherwise(F.length(before) - F.length(F.regexp_replace(before, R.BRACKETS, "")))
@@ -213,7 +225,7 @@ def calls(files: DataFrame) -> DataFrame:
     for language, pattern in R.NOT_CALLS.items():
         text = F.when(F.col("language") == language, F.regexp_replace(text, pattern, " (")).otherwise(text)
     called = F.array_distinct(F.regexp_extract_all(text, F.lit(R.CALL_PATTERN), 1))
-    rows = bare_lines(files).where(F.contains("text", F.lit("("))).select("file", "line", _defined()["name"].alias("own"), F.explode(called).alias("dst_symbol"))
+    rows = bare_lines(files).where(F.contains("text", F.lit("("))).select("file", "line", _defined(SparkContext._active_spark_context)["name"].alias("own"), F.explode(called).alias("dst_symbol"))
     return rows.where(~F.col("dst_symbol").isin(*R.NOT_CALLED) & ~F.col("dst_symbol").eqNullSafe(F.col("own"))).select(F.col("file").alias("src_file"), "line", "dst_symbol")
 
 

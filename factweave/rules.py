@@ -31,8 +31,8 @@ class Rule:
     direction: read, write, or how the match decides (see operators.extract.direction_of).
     never: keys that don't count. strip: the key is an expression, of which a literal loses its marks.
     A call of one of ``methods`` on what ends with ``receivers`` is looked at by its arguments, which may hold
-    brackets: the key is the ``last`` one or the first; ``least`` says how many there must be. For these,
-    ``pattern`` states the same for arguments without brackets.
+    brackets: the key is the ``last`` one or the first; ``least`` says how many there must be, ``prefix`` what may stand before the first. For these,
+    ``pattern`` states the same for arguments without brackets. A file without the text ``needs`` isn't searched.
     """
 
     name: str
@@ -49,6 +49,9 @@ class Rule:
     methods: tuple[str, ...] = ()
     last: bool = True
     least: int = 1
+    prefix: str = ""
+    dot: str = r"\."
+    needs: str = ""
 
 
 #: Pattern layer: in any file unless the rule names languages.
@@ -57,20 +60,20 @@ EVENT_RULES = (
     Rule("py_env", ("python",), r"os\.environ(?:\.get)?\s*\(\s*['\"]([^'\"]+)['\"]\)|os\.getenv\s*\(\s*['\"]([^'\"]+)['\"]\)|os\.environ\[['\"]([^'\"]+)['\"]\]", (1, 2, 3), "env", "read"),
     Rule("rb_env", ("ruby",), r"ENV\[['\"]([^'\"]+)['\"]\]|ENV\.fetch\s*\(\s*['\"]([^'\"]+)['\"]\)", (1, 2), "env", "read"),
     Rule("rs_env", ("rust",), r"(?:std::env|env)::var\s*\(\s*\"([^\"]+)\"\s*\)", (1,), "env", "read"),
-    Rule("redis_get", ALL, rf"(?:client|redis|cache|\br\b)\.(get|hget|lrange|smembers|zscore|zrange|type|ttl|exists)\s*\(\s*[f`]?{Q}({N}+){Q}", (2,), "redis", "read"),
-    Rule("redis_set", ALL, rf"(?:client|redis|cache|\br\b)\.(set|hset|setex|psetex|lpush|rpush|sadd|zadd|incr|decr)\s*\(\s*[f`]?{Q}({N}+){Q}", (2,), "redis", "write"),
+    Rule("redis_get", ALL, rf"(?:client|redis|cache|\br\b)\.(get|hget|lrange|smembers|zscore|zrange|type|ttl|exists)\s*\(\s*[f`]?{Q}({N}+){Q}", (2,), "redis", "read", receivers=r"(?:client|redis|cache|\br)", methods=("get", "hget", "lrange", "smembers", "zscore", "zrange", "type", "ttl", "exists"), last=False, prefix="[f`]?"),
+    Rule("redis_set", ALL, rf"(?:client|redis|cache|\br\b)\.(set|hset|setex|psetex|lpush|rpush|sadd|zadd|incr|decr)\s*\(\s*[f`]?{Q}({N}+){Q}", (2,), "redis", "write", receivers=r"(?:client|redis|cache|\br)", methods=("set", "hset", "setex", "psetex", "lpush", "rpush", "sadd", "zadd", "incr", "decr"), last=False, prefix="[f`]?"),
     Rule("kafka_send", ALL, rf"producer\.send\s*\(\s*\{{[^}}]*topic:\s*{Q}({N}+){Q}", (1,), "kafka", "write"),
     Rule("kafka_subscribe", ALL, rf"consumer\.subscribe\s*\(\s*\{{[^}}]*topics?:\s*\[?{Q}({N}+){Q}", (1,), "kafka", "read"),
     Rule("kafka_produce", ALL, r"producer\.produce\s*\(\s*['\"]([^'\"]+)['\"]\s*,", (1,), "kafka", "write"),
     Rule("kafka_subscribe_list", ALL, r"consumer\.subscribe\s*\(\s*\[['\"]([^'\"]+)['\"]\]", (1,), "kafka", "read"),
     Rule("db_query", ALL, rf"(?:db|conn|pool|client)\.(query|execute|run|raw)\s*\(\s*{Q}({N}{{5,}})", (2,), "sql", "select"),
-    Rule("prisma", ALL, r"prisma\.([a-zA-Z_][a-zA-Z0-9_]*)\.(findMany|findFirst|findUnique|create|update|upsert|delete|deleteMany|updateMany|count)", (1,), "sql", "find"),
-    Rule("django", ALL, r"([A-Z][a-zA-Z0-9_]*)\.objects\.(filter|get|all|create|update|delete|bulk_create|first|last)", (1,), "sql", "manager"),
-    Rule("sqlalchemy", ALL, r"(?:session|db\.session)\.(query|add|delete|merge|flush|commit)\s*\(\s*([A-Z][a-zA-Z0-9_]*)", (2,), "sql", "session"),
+    Rule("prisma", ALL, r"prisma\.([a-zA-Z_][a-zA-Z0-9_]*)\.(findMany|findFirst|findUnique|create|update|upsert|delete|deleteMany|updateMany|count)", (1,), "sql", "find", needs="prisma."),
+    Rule("django", ALL, r"([A-Z][a-zA-Z0-9_]*)\.objects\.(filter|get|all|create|update|delete|bulk_create|first|last)", (1,), "sql", "manager", needs=".objects."),
+    Rule("sqlalchemy", ALL, r"(?:session|db\.session)\.(query|add|delete|merge|flush|commit)\s*\(\s*([A-Z][a-zA-Z0-9_]*)", (2,), "sql", "session", needs="session"),
     Rule("set_header", ALL, rf"res\.(setHeader|set)\s*\(\s*{Q}({N}+){Q}", (2,), "http_header", "write"),
     Rule("req_header", ALL, rf"req\.headers\[{Q}({N}+){Q}\]|req\.headers\.get\s*\(\s*{Q}({N}+){Q}", (1, 2), "http_header", "read"),
-    Rule("fetch", JS, rf"fetch\s*\(\s*{Q}(https?://[^'\"`\s]+|/[A-Za-z0-9_/\-.:]+){Q}", (1,), "http_out", "write"),
-    Rule("fetch_template", JS, r"fetch\s*\(\s*`(/[^`]+)`", (1,), "http_out", "write"),
+    Rule("fetch", JS, rf"fetch\s*\(\s*{Q}(https?://[^'\"`\s]+|/[A-Za-z0-9_/\-.:]+){Q}", (1,), "http_out", "write", needs="fetch"),
+    Rule("fetch_template", JS, r"fetch\s*\(\s*`(/[^`]+)`", (1,), "http_out", "write", needs="fetch"),
     Rule("proto_client", JS, rf"proto(?:Post|Get|Request)\s*(?:<[^>]*>)?\s*\(\s*{Q}(/[^'\"`\s]+){Q}", (1,), "http_out", "write"),
     Rule("http_client", JS, rf"\b(?:axios|api|apiClient|client|http|httpClient|request)\.(get|post|put|delete|patch)\s*\(\s*{Q}({N}+){Q}", (2,), "http_out", "write"),
     Rule("url_const", JS, rf"(?:const|let|var)\s+\w*(?:URL|ENDPOINT|API|HOST|BASE)\w*\s*=\s*{Q}(https?://[^'\"`\s]+|/[A-Za-z0-9_/\-.:]+){Q}", (1,), "http_out", "write"),
@@ -79,11 +82,11 @@ EVENT_RULES = (
     Rule("sqs_send", ALL, rf"sqs\.sendMessage\s*\(\s*\{{[^}}]*QueueUrl:\s*{Q}({N}+){Q}", (1,), "sqs", "write"),
     Rule("sqs_receive", ALL, rf"sqs\.receiveMessage\s*\(\s*\{{[^}}]*QueueUrl:\s*{Q}({N}+){Q}", (1,), "sqs", "read"),
     Rule("fs_js", ALL, rf"(?:fs|promises)\.(readFile|writeFile|appendFile|readFileSync|writeFileSync)\s*\(\s*{Q}({N}+){Q}", (2,), "filesystem", "file"),
-    Rule("prost_encode", ("rust",), r"([A-Z]\w+)\s*\{[^}]*\}\s*\.encode_to_vec\s*\(\s*\)", (1,), "grpc", "write"),
-    Rule("prost_decode", ("rust",), r"([A-Z]\w+)::decode\s*\(", (1,), "grpc", "read", never=("base64", "hex", "utf8", "str", "String", "Vec", "u8", "i64", "f64")),
-    Rule("tonic_request", ("rust",), r"(?:tonic::)?Request::new\s*\(\s*(\w+)\s*[{\(]", (1,), "grpc", "write"),
-    Rule("proto_encode", JS, r"(\w+)\.encode\s*\([^)]+\)\.finish\s*\(\s*\)", (1,), "grpc", "write"),
-    Rule("proto_decode", JS, r"(\w+)\.decode\s*\(\s*\w+", (1,), "grpc", "read"),
+    Rule("prost_encode", ("rust",), r"([A-Z]\w+)\s*\{[^}]*\}\s*\.encode_to_vec\s*\(\s*\)", (1,), "grpc", "write", needs="encode_to_vec"),
+    Rule("prost_decode", ("rust",), r"([A-Z]\w+)::decode\s*\(", (1,), "grpc", "read", never=("base64", "hex", "utf8", "str", "String", "Vec", "u8", "i64", "f64"), needs="::decode"),
+    Rule("tonic_request", ("rust",), r"(?:tonic::)?Request::new\s*\(\s*(\w+)\s*[{\(]", (1,), "grpc", "write", needs="Request::new"),
+    Rule("proto_encode", JS, r"(\w+)\.encode\s*\([^)]+\)\.finish\s*\(\s*\)", (1,), "grpc", "write", needs=".encode"),
+    Rule("proto_decode", JS, r"(\w+)\.decode\s*\(\s*\w+", (1,), "grpc", "read", needs=".decode"),
     Rule("js_stub", JS, r"(?:client|stub|grpcClient)\s*\.\s*([A-Z][a-zA-Z]+)\s*\(", (1,), "grpc", "write"),
     Rule("py_stub", ("python",), r"(?:stub|channel|client)\s*\.\s*([A-Z][a-zA-Z]+)\s*\(", (1,), "grpc", "write"),
     Rule("py_channel", ("python",), r"grpc\.(?:insecure_channel|secure_channel)\s*\(\s*['\"]([^'\"]+)['\"]", (1,), "grpc", "write"),
@@ -103,7 +106,7 @@ def _call(name: str, language, receivers: str, methods: str, medium: str, direct
     quote = "['\"]" if language == JS else Q  # a template isn't a plain string
     key = rf"(?:[^()]*,\s*)?{quote}({N}+){quote}\s*,?\s*\)" if last else rf"{quote}({N}+){quote}"
     languages = language if isinstance(language, tuple) else (language,)
-    return Rule(name, languages, rf"(?:{receivers}){dot}(?:{names})\s*\(\s*{key}", (1,), medium, direction, LEXICAL, receivers=receivers, methods=tuple(methods.split()), last=last)
+    return Rule(name, languages, rf"(?:{receivers}){dot}(?:{names})\s*\(\s*{key}", (1,), medium, direction, LEXICAL, receivers=receivers, methods=tuple(methods.split()), last=last, dot=dot)
 
 
 #: Receivers by language and medium: fixed values.
@@ -120,7 +123,7 @@ CALL_RULES = (
     _call("go_sql", "go", ANY, "Query QueryContext Exec ExecContext QueryRow QueryRowContext Prepare PrepareContext", "sql", "verb"),
     Rule("go_redis_get", ("go",), rf"{GO_REDIS}\.(?:Get|HGet|LRange|ZRange|Exists|TTL)\s*\([^()]*,\s*{Q}({N}+){Q}\s*,?\s*\)", (1,), "redis", "read", LEXICAL, receivers=GO_REDIS, methods=("Get", "HGet", "LRange", "ZRange", "Exists", "TTL"), least=2),
     Rule("go_redis_set", ("go",), rf"{GO_REDIS}\.(?:Set|HSet|SetEX|LPush|RPush|ZAdd|Expire)\s*\([^()]*,\s*{Q}({N}+){Q}\s*,?\s*\)", (1,), "redis", "write", LEXICAL, receivers=GO_REDIS, methods=("Set", "HSet", "SetEX", "LPush", "RPush", "ZAdd", "Expire"), least=2),
-    Rule("go_grpc_decode", ("go",), r"\b(?:proto|protojson|encoding)\.(?:Unmarshal|UnmarshalText|UnmarshalJSON)\s*\([^)]*?&?(?:\w+\.)?([A-Z]\w*)\{", (1,), "grpc", "read", LEXICAL),
+    Rule("go_grpc_decode", ("go",), r"\b(?:proto|protojson|encoding)\.(?:Unmarshal|UnmarshalText|UnmarshalJSON)\s*\([^)]*?&?(?:\w+\.)?([A-Z]\w*)\{", (1,), "grpc", "read", LEXICAL, needs="Unmarshal"),
     _call("java_env", "java", r"\bSystem", "getenv", "env", "read", last=False),
     _call("java_sql", "java", r"\b(?:jdbcTemplate|jdbc|db|conn|connection|namedJdbc)", "query queryForObject queryForList queryForMap update execute batchUpdate", "sql", "verb"),
     _call("java_jpa", "java", r"\b(?:entityManager|em|session)", "createQuery createNativeQuery createNamedQuery", "sql", "verb"),
@@ -164,7 +167,7 @@ CALL_RULES = (
     _call("rb_sql", "ruby", r"\b(?:connection|conn)", "execute exec_query exec_update exec_insert exec_delete select_all select_rows select_values select_value", "sql", "verb"),
     _call("rb_http", "ruby", r"\b(?:Faraday|HTTParty|RestClient|HTTP|Typhoeus|Excon)", "get post put delete patch head request", "http_out", "write"),
     _call("rb_http_client", "ruby", r"\b(?:conn|connection|client|faraday|http_client|http)", "get post put delete patch", "http_out", "write"),
-    Rule("rb_job", ("ruby",), r"\b([A-Z]\w*)\.perform_async\b", (1,), "queue", "write", LEXICAL),
+    Rule("rb_job", ("ruby",), r"\b([A-Z]\w*)\.perform_async\b", (1,), "queue", "write", LEXICAL, needs="perform_async"),
     Rule("rb_queue_as", ("ruby",), r"\bqueue_as\s*\(?\s*:(\w+)", (1,), "queue", "write", LEXICAL),
     _call("rb_kafka", "ruby", r"\b(?:producer|kafka|kafka_producer)", "produce", "kafka", "write"),
     Rule("rb_header_set", ("ruby",), r"\b(?:response|headers)\[\s*['\"]([^'\"]+)['\"]\s*\]\s*=", (1,), "http_header", "write", LEXICAL),
