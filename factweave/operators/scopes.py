@@ -108,3 +108,9 @@ def enclosing(facts: DataFrame, spans: DataFrame, file: str = "file", name: str
     before = Window.partitionBy("__file").orderBy("__line", "__n").rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("__found", F.last("__name", ignorenulls=True).over(before)).where("__row is not null")
     return found.select("__row.*", "__found").withColumn(name, F.coalesce("__found.inner", name)).drop("__found")
+
+
+def enclosing_edges(edges: DataFrame, spans: DataFrame) -> DataFrame:
+    """Edges without a source symbol get the innermost function or class around their line."""
+    own = edges.where("src_symbol is not null or line is null")
+    return own.unionByName(enclosing(edges.where("src_symbol is null and line is not null"), spans, "src_file", "src_symbol", ("function", "class")))

@@ -10,14 +10,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.operators import attribute, entrypoints, explore, extract, graph, report, topology
+from factweave.operators import attribute, entrypoints, explore, extract, graph, report, scopes, topology
+from factweave.rules import SYMBOL
 from factweave.sources.files import read_tree, save_snapshot, snapshot_status, write_report
 from factweave.storage import materialize
 
 
 @dataclass(frozen=True)
 class Config:
-    """max_depth: calls followed from an entry point. compat: first table of a query only, no calls within a file."""
+    """max_depth: calls followed from an entry point. compat: first table of a query only, no calls
+    within a file, and a fact belongs to the last function above it, not to the innermost one around it."""
 
     max_depth: int = 6
     min_confidence: float = 0.5
@@ -31,11 +33,12 @@ def index(files: DataFrame, config: Config = Config(), verdicts: DataFrame | Non
     dst_symbol, dst_file) give open calls their target.
     """
     files = files.select("file", "language", "src")
-    symbols = materialize(extract.symbols(files), "symbols")
-    edges = attribute.attribute_edges(extract.edges(files), symbols)
+    symbols = materialize(scopes.scopes(files).withColumns({"prov_source": F.lit("lexical"), "prov_confidence": F.lit(SYMBOL)}), "symbols")
+    found = extract.edges(files)
+    edges = attribute.attribute_edges(found, symbols) if config.compat else scopes.enclosing_edges(found, symbols)
     edges = materialize(edges if resolutions is None else explore.resolve_edges(edges, resolutions), "edges")
     events = attribute.merge_first_wins(extract.boundary_events(files, compat=config.compat), compat=config.compat)
-    events = attribute.attribute_events(events, symbols).where("medium <> 'http_body'")
+    events = (attribute.attribute_events if config.compat else scopes.enclosing)(events, symbols).where("medium <> 'http_body'")
     if verdicts is not None:
         events = attribute.overlay_verdicts(events, verdicts)
     events = materialize(events, "events")

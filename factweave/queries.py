@@ -795,6 +795,53 @@ def trace_budget(spark, sf_dir):
     return explore.serialize(kept).join(kept.select("start_fn", "truncated"), "start_fn").select("start_fn", "text", "truncated")
 
 
+def _steps(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Steps of a graph with hubs: regions call nations, nations their customers, customers write what their orders read, orders call their customer."""
+    o, c, n = (V.table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    name = lambda letter, k: F.concat(F.lit(letter), F.col(k).cast("string"))
+    part = lambda df, a, fa, b, fb: df.select(a.alias("src_fn"), F.lit(fa).alias("src_file"), b.alias("dst_fn"), F.lit(fb).alias("dst_file"))
+    near = part(n, name("r", "n_regionkey"), "regions", name("n", "n_nationkey"), "nations").unionByName(part(c, name("n", "c_nationkey"), "nations", name("c", "c_custkey"), "customers"))
+    near = near.unionByName(part(o, name("o", "o_orderkey"), "orders", name("c", "o_custkey"), "customers"))
+    file = F.when(F.col("o_orderstatus") == "O", F.lit("orders")).otherwise(F.lit("customers"))
+    flows = o.select(name("c", "o_custkey").alias("writer"), F.lit("customers").alias("writer_file"), name("o", "o_orderkey").alias("reader"), file.alias("reader_file"))
+    starts = near.select(F.col("src_fn").alias("fn"), F.col("src_file").alias("file")).where("file <> 'orders'").unionByName(flows.select(F.col("writer").alias("fn"), F.col("writer_file").alias("file")))
+    return starts.distinct(), graph.trace_steps(near, flows)
+
+
+_TRACE_BUDGET, _TRACE_DEPTH = 12, 3
+
+
+def _traces_sql(last: str) -> str:
+    hops = ""
+    for d in range(1, _TRACE_DEPTH + 1):
+        hops += f"""
+offer{d} as (select l.*, d.degree, sum(d.degree) over (partition by s) as total, sum(d.degree) over (partition by s order by position) - d.degree as earlier from hop{d - 1} l join degree d using (node) where not again),
+hop{d} as (select s, x.dst as node, {d} as depth, (earlier + n)::bigint as position, list_append(path, x.dst) as path, x.kind as kind, list_contains(path, x.dst) as again, greatest(o."left" - total, 0) as "left" from offer{d} o join ranked x using (node) where earlier + n <= o."left"),"""
+    return f"""with steps as (
+  select distinct * from (select 'r' || n_regionkey || '@regions' as node, 'n' || n_nationkey || '@nations' as dst, 'n' || n_nationkey as fn, 'call' as kind, 0 as rank from nation
+  union all select 'n' || c_nationkey || '@nations', 'c' || c_custkey || '@customers', 'c' || c_custkey, 'call', 0 from customer
+  union all select 'o' || o_orderkey || '@orders', 'c' || o_custkey || '@customers', 'c' || o_custkey, 'call', 0 from orders
+  union all select 'c' || o_custkey || '@customers', 'o' || o_orderkey || case when o_orderstatus = 'O' then '@orders' else '@customers' end, 'o' || o_orderkey, case when o_orderstatus = 'O' then 'boundary_flow' else 'data_flow' end, case when o_orderstatus = 'O' then 2 else 1 end from orders)),
+degree as (select node, count(*) as degree from steps group by node),
+ranked as (select *, row_number() over (partition by node order by rank, fn, dst) as n from steps),
+hop0 as (select distinct node as s, node, 0 as depth, 1::bigint as position, [node] as path, null::varchar as kind, false as again, {_TRACE_BUDGET}::bigint as "left" from steps where not ends_with(node, '@orders')),{hops}
+{last}"""
+
+
+@query(_traces_sql("spans as (" + " union all ".join(f"select * from hop{d}" for d in range(_TRACE_DEPTH + 1)) + ") select split_part(s, '@', 1) as start_fn, depth, position, array_to_string(path, '/') as path, kind, again from spans"))
+def trace_spans(spark, sf_dir):
+    """Calls and flows from every region, nation and customer within a budget of spans."""
+    spans, _ = graph.traces(*_steps(spark, sf_dir), _TRACE_BUDGET, _TRACE_DEPTH)
+    return spans.select("start_fn", "depth", "position", F.array_join("path", "/").alias("path"), "kind", "again")
+
+
+@query(_traces_sql("cuts as (" + " union all ".join(f'select s, greatest(max(total) - max("left"), 0) as cut from offer{d} group by s' for d in range(1, _TRACE_DEPTH + 1)) + ") select split_part(h.s, '@', 1) as start_fn, coalesce(sum(cut), 0)::bigint as truncated from hop0 h left join cuts using (s) group by h.s"))
+def trace_cuts(spark, sf_dir):
+    """How many steps the budget left out."""
+    _, cuts = graph.traces(*_steps(spark, sf_dir), _TRACE_BUDGET, _TRACE_DEPTH)
+    return cuts.select("start_fn", "truncated")
+
+
 @query(f"with {V.SRC_SQL} select file, regexp_extract(file, '^(svc[0-9]+)/', 1) || case when language = 'python' then '/src' else '' end as root from src_files where language in ('javascript', 'python')")
 def workspace_root(spark, sf_dir):
     files = V.src_files(spark, sf_dir)
