@@ -662,7 +662,7 @@ def topology_key_match(spark, sf_dir):
 
 
 @query(f"""with {_LINK_SQL}, k as (select src, dst, medium, string_agg(distinct key, ', ' order by key) as keys from links group by all)
-select src, dst, rpad(src, cast(greatest(20, length(src)) as int), ' ') || ' -> ' || rpad(dst, cast(greatest(20, length(dst)) as int), ' ') || ' ' || string_agg(medium || ': ' || keys, '  ' order by medium) as line from k group by src, dst""")
+select src, dst, '  ' || rpad(src, cast(greatest(20, length(src)) as int), ' ') || ' →  ' || rpad(dst, cast(greatest(20, length(dst)) as int), ' ') || ' ' || string_agg(medium || ': ' || keys, '  ' order by medium) as line from k group by src, dst""")
 def topology_report(spark, sf_dir):
     return report.topology_lines(_links(spark, sf_dir))
 
@@ -686,6 +686,34 @@ def report_lines(spark, sf_dir):
     return index(V.src_files(spark, sf_dir), Config())["report"]
 
 
+def _entry_line(where: str, label: str, keys: str, refs: str | None = None) -> str:
+    shown = f"string_agg(distinct {keys}, ', ' order by {keys}) filter (where {where})"
+    tail = f" || coalesce('  [' || string_agg(distinct {refs}, ', ' order by {refs}) filter (where {where} and not regexp_matches({refs}, '/test|/spec|_test\\.|_spec\\.') and not starts_with({refs}, 'customers')) || ']', '')" if refs else ""
+    return f"'{label}' || {shown}{tail}"
+
+
+_IO_SQL = f"""{V.FACTS_SQL}, io as (select fn_name, medium, direction, key_raw, key_norm, event_type, case when event_type = 'view' then 'customers' when event_type = 'click' then 'app/tests/click' else 'app/' || event_type end || ':' || line as ref
+  from facts join events on event_id = line), lines as (select fn_name, [{", ".join(_entry_line(f"medium = '{m}' and direction = '{d}'", f"  {m}:  {d}s ", "key_norm", "ref") for m, d in report.REPORTED)}] as lines from io group by fn_name),
+e as (select 'c' || c_custkey as fn_name, c_custkey as line, 'svc' || c_nationkey as service, case when c_acctbal >= 0 then '/c/' || c_custkey end as path, case when c_acctbal < 0 then 'Background' when c_mktsegment in ('AUTOMOBILE', 'BUILDING') then '[auth: Auth' || c_mktsegment || ']' else 'Public' end as bucket from customer)"""
+
+
+@query(f"""with {_IO_SQL}, shown as (select service, bucket, list_concat([coalesce('GET ' || path, fn_name), '  file: customers:' || line], coalesce(list_filter(lines, lambda x: x is not null), [])) as told from e left join lines using (fn_name))
+select service as section, unnest(told) as line from shown union all select distinct service, '### ' || bucket from e union all select service, '' from (select distinct service, bucket from e) union all select distinct service, unnest(['## ' || service || ' [?]', '']) from e
+union all select '', unnest(['# Codemap — shop', 'Generated: 2024-01-01 | Files: 1 | Languages: sql', ''])""")
+def report_entries(spark, sf_dir):
+    """Customers as entry points with their events, as lines of a report."""
+    c, none = V.table(spark, sf_dir, "customer"), F.lit(None).cast("string")
+    path = F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("/c/"), "c_custkey"))
+    middleware = F.array(F.when(F.col("c_mktsegment").isin("AUTOMOBILE", "BUILDING"), F.concat(F.lit("Auth"), "c_mktsegment")).otherwise(F.lit("log")))
+    entries = c.select(F.concat(F.lit("c"), "c_custkey").alias("fn_name"), F.lit("customers").alias("file"), F.col("c_custkey").cast("long").alias("line"), F.concat(F.lit("svc"), "c_nationkey").alias("service"), path.alias("path"), F.when(path.isNotNull(), F.lit("GET")).alias("method"), middleware.alias("middleware"))
+    facts = V.facts(spark, sf_dir)
+    file = F.when(F.col("key_raw") == "view", F.lit("/r/customers")).when(F.col("key_raw") == "click", F.lit("/r/app/tests/click")).otherwise(F.concat(F.lit("/r/app/"), "key_raw"))
+    io = facts.select(F.col("fn_name").alias("start_fn"), F.lit("customers").alias("start_file"), file.alias("file"), "line", "medium", "direction", "key_raw", "key_norm")
+    files = spark.range(1).select(F.lit("customers").alias("file"), F.lit("sql").alias("language"))
+    links = spark.createDataFrame([], "src string, dst string, medium string, key string")
+    return report.report_lines(entries, io, links, "shop", "2024-01-01", files, "/r/").select("section", "line")
+
+
 # --- more questions ----------------------------------------------------------------------
 
 
