@@ -503,17 +503,17 @@ def route_placeholder_removal(spark, sf_dir):
 
 # --- graph -------------------------------------------------------------------------------
 
-_EDGES_SQL = "edges as (select distinct 's' || l_suppkey as src_symbol, 'f' || (l_suppkey % 7) as src_file, 'p' || (l_partkey % 100) as dst_symbol from lineitem), syms as (select distinct 'p' || (p_partkey % 100) as name, 'f' || p_size % 5 as file from part where p_size <= 3)"
+_EDGES_SQL = "edges as (select distinct 's' || l_suppkey as src_symbol, 'f' || (l_suppkey % 7) as src_file, 'p' || (l_partkey // 2) as dst_symbol from lineitem), syms as (select distinct 'p' || (p_partkey // 2) as name, 'f' || p_size % 5 as file from part)"
 
 
 def _edges(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Calls of suppliers to groups of parts, and the files that define a group."""
+    """Calls of suppliers to pairs of parts, and the one or two files that define a pair."""
     none = F.lit(None).cast("string")
     edges = V.table(spark, sf_dir, "lineitem").select(
         F.lit("calls").alias("rel"), F.concat(F.lit("s"), "l_suppkey").alias("src_symbol"), F.concat(F.lit("f"), F.col("l_suppkey") % 7).alias("src_file"),
-        F.concat(F.lit("p"), F.col("l_partkey") % 100).alias("dst_symbol"), none.alias("dst_file"),
+        F.concat(F.lit("p"), F.floor(F.col("l_partkey") / 2)).alias("dst_symbol"), none.alias("dst_file"),
     ).distinct()
-    symbols = V.table(spark, sf_dir, "part").where("p_size <= 3").select(F.concat(F.lit("p"), F.col("p_partkey") % 100).alias("name"), F.concat(F.lit("f"), F.col("p_size") % 5).alias("file"), F.lit("function").alias("kind")).distinct()
+    symbols = V.table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.floor(F.col("p_partkey") / 2)).alias("name"), F.concat(F.lit("f"), F.col("p_size") % 5).alias("file"), F.lit("function").alias("kind")).distinct()
     return edges, symbols
 
 
@@ -932,6 +932,44 @@ def traces_touching(spark, sf_dir):
     return _reached(spark, sf_dir, 6).groupBy("fn").agg(F.count(F.lit(1)).alias("traces"), F.min("depth").alias("nearest"))
 
 
+@query(_reach_sql(3) + f", {V.FACTS_SQL} select medium, key_norm, count(distinct start_fn) as traces from r join (select distinct fn_name, medium, key_norm from facts) f on f.fn_name = r.fn and r.file = 'customers' group by all")
+def traces_by_key(spark, sf_dir):
+    """How many orders' traces reach each key of the customers' events."""
+    return explore.traces_touching(_reached(spark, sf_dir, 3), V.facts(spark, sf_dir))
+
+
+@query(_reach_sql(2) + " select distinct start_fn, 'orders' as start_file from r join (select 'customers' as file from customer where c_custkey % 2 = 0 limit 1) using (file)")
+def changed_roots(spark, sf_dir):
+    """The traces to build again when the customers' file has changed."""
+    changed = V.table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.lit("customers").alias("file"))
+    return explore.changed_roots(_reached(spark, sf_dir, 2), changed)
+
+
+@query(f"""with {V.CALLS_SQL}, {V.FACTS_SQL} select 'c' || c_custkey as fn, 'customers' as file, '0' as position, 'FN  c' || c_custkey || '  customers:' || c_custkey as text from customer
+union select fn_name, file, '1' || lpad(line::varchar, 9, '0'), rpad(upper(direction), 8, ' ') || medium || '["' || key_norm || '"]' || case when prov_confidence < 0.7 then ' ?' else '' end from facts
+union select src_fn, src_file, '2' || dst_fn, 'CALL    ' || dst_fn || '()' from calls""")
+def skeleton(spark, sf_dir):
+    """Customers as functions: their line, their events, their calls."""
+    symbols = V.table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("name"), F.lit("customers").alias("file"), F.col("c_custkey").cast("long").alias("line"), F.lit("function").alias("kind"))
+    return explore.skeleton(symbols, V.calls(spark, sf_dir), V.facts(spark, sf_dir))
+
+
+@query("""with p as (select 'c' || o_custkey as fn_name, 'customers' as file, case o_orderstatus when 'F' then 0.9 when 'O' then 0.7 else 0.5 end as confidence, 'order_' || lower(o_orderstatus) as h from orders
+  union all select 'c' || user_id, 'customers', 0.9, 'consumer' from events where event_type = 'error'
+  union all select case n_nationkey % 4 when 0 then 'main' when 1 then 'serve' else 'n' || n_nationkey end, 'nation' || n_nationkey, 0.8, 'main_name' from nation where n_nationkey % 4 < 2)
+select fn_name, file, max(confidence)::double as confidence, array_to_string(list_sort(list(distinct h)), ',') as heuristics from p group by all having max(confidence) >= 0.6""")
+def five_heuristics(spark, sf_dir):
+    """Customers with orders as detected entry points, those with errors as consumers, some nations as programs."""
+    o, n = V.table(spark, sf_dir, "orders"), V.table(spark, sf_dir, "nation")
+    confidence = F.when(F.col("o_orderstatus") == "F", F.lit(0.9)).when(F.col("o_orderstatus") == "O", F.lit(0.7)).otherwise(F.lit(0.5))
+    points = o.select(F.concat(F.lit("c"), "o_custkey").alias("fn_name"), F.lit("customers").alias("file"), confidence.alias("confidence"), F.array(F.concat(F.lit("order_"), F.lower("o_orderstatus"))).alias("heuristics"))
+    events = V.facts(spark, sf_dir).withColumn("direction", F.when(F.col("medium") == "kafka", F.lit("read")).otherwise(F.lit("write")))
+    of = F.col("n_nationkey") % 4
+    name = F.when(of == 0, F.lit("main")).when(of == 1, F.lit("serve")).otherwise(F.concat(F.lit("n"), "n_nationkey"))
+    symbols = n.select(name.alias("name"), F.concat(F.lit("nation"), "n_nationkey").alias("file"), F.lit("function").alias("kind"))
+    return explore.five_heuristics(points, events, symbols).withColumn("heuristics", F.array_join("heuristics", ","))
+
+
 @query("""with f as (select user_id, event_type, min(event_id) as first from events group by all)
 select user_id, event_type, '$v' || dense_rank() over (partition by user_id order by first) as name from f""")
 def baggage_names(spark, sf_dir):
