@@ -20,7 +20,7 @@ import random
 import re
 from bisect import bisect_left
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import accumulate, islice
 from zlib import crc32
 
 import numpy as np
@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import materialize
+
 KINDS = ("assign", "access", "hex", "secret")
 #: Shortest match that counts; of assign it is the value's length.
 LEAST = {"assign": 6, "access": 20, "hex": 24, "secret": 6}
@@ -37,8 +39,8 @@ PATTERNS = {
     "access": re.compile(r"AKIA[A-Z0-9]+"),
     "hex": re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}"),
 }
-#: The training sample: windows with a secret, and without, at most; one text in so many without a secret; places of a text.
-TRAIN_WINDOWS, CLEAN_WINDOWS, CLEAN_SHARE, PLACES = 1500, 4500, 4, 4
+#: The training sample: windows with a secret, and without, at most; how many of the latter for one of the former, texts for them, places of a text.
+TRAIN_WINDOWS, CLEAN_WINDOWS, CLEAN_RATIO, CLEAN_TEXTS, PLACES = 1500, 4500, 4, 600, 4
 #: Steps of training, and windows in each.
 STEPS, BATCH = 300, 200
 #: Windows that a feature must occur in to get a weight, and what damps the steps of rare ones.
@@ -50,14 +52,29 @@ ROWS = 1 << 18
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 NEVER = -1e4
 #: Characters read and tokens scored at once.
-SLICE, BLOCK = 1 << 20, 1 << 17
+SLICE, BLOCK = 1 << 20, 1 << 15
+#: Characters of short texts that are read together, and of a batch that is tagged at once.
+TOGETHER, AT_ONCE = 1 << 17, 1 << 20
+
+
+_HEX_BYTES = bytes(ord("a") if c in b"0123456789abcdef" else ord(" ") for c in range(256))
+
+
+def _may_match(kind: str, text: str) -> bool:
+    """Plain searches, much faster than the patterns, for what every match holds."""
+    if kind == "assign":
+        low = text.encode("utf-8", "replace").lower()
+        return any(w in low for w in (b"passw", b"secret", b"token", b"api_key", b"apikey"))
+    if kind == "access":
+        return "AKIA" in text
+    return b"a" * LEAST["hex"] in text.encode("utf-8", "replace").translate(_HEX_BYTES)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, start of the value) of all pattern matches, by start, then kind."""
     found = []
     for kind, (name, pattern) in enumerate(PATTERNS.items()):
-        for m in pattern.finditer(text):
+        for m in pattern.finditer(text) if _may_match(name, text) else ():
             at = m.start(2) if name == "assign" else m.start()
             if m.end() - at >= LEAST[name]:
                 found.append((m.start(), kind, m.end(), at))
@@ -343,12 +360,12 @@ def window(snippet: str, start: int, end: int, others: list[tuple[int, int]], fi
     return rows[lo : lo + WINDOW], tags
 
 
-def windows_of(text: str) -> list[tuple[bool, np.ndarray, np.ndarray]]:
-    """(whether it has a secret, rows, tags) of the labelled windows of a text; the same on each run."""
+def places_of(text: str, clean: bool) -> list[tuple[bool, str, int, int, list[tuple[int, int]], int]]:
+    """The labelled places of a text: (whether it is a secret, snippet, start, end, other secrets in it, file feature); the same on each run."""
     base = base_spans(text)
-    rnd = random.Random(crc32(text.encode("utf-8", "replace")))
-    if not base and rnd.randrange(CLEAN_SHARE):
+    if not base and not clean:
         return []
+    rnd = random.Random(crc32(text.encode("utf-8", "replace")))
     file, out = file_feature(text), []
     secrets = [(value, end) for _, _, end, value in base]
 
@@ -357,65 +374,120 @@ def windows_of(text: str) -> list[tuple[bool, np.ndarray, np.ndarray]]:
         lo = text.find(" ", lo) + 1 if lo and 0 <= text.find(" ", lo) < at else lo
         return lo, min(len(text), to + MARGIN)
 
-    def add(has: bool, made):
-        if made is not None:
-            out.append((has, *made))
-
-    for start, kind, end, value in rnd.sample(base, min(len(base), PLACES)):
+    for start, _, end, value in rnd.sample(base, min(len(base), PLACES)):
         lo, hi = cut(start, end)
         near = [(s - lo, e - lo) for s, e in secrets if s >= lo and e <= hi and (s, e) != (value, end)]
-        add(True, window(text[lo:hi], value - lo, end - lo, near, file))
+        out.append((True, text[lo:hi], value - lo, end - lo, near, file))
         for _ in range(VARIANTS):
             made = "".join(rnd.choices(rnd.choice(ALPHABETS), k=rnd.choice((8, 12, 16, 20, 24, 32, 40, 48, 64))))
             quote = rnd.choice(("", '"', "'"))
-            told = rnd.choice(NAMES) + rnd.choice((" = ", "=", ": ", " : ", " ")) + quote
-            head = text[lo:start] + told
-            add(True, window(head + made + quote + text[end:hi], len(head), len(head) + len(made), [], file))
+            head = text[lo:start] + rnd.choice(NAMES) + rnd.choice((" = ", "=", ": ", " : ", " ")) + quote
+            out.append((True, head + made + quote + text[end:hi], len(head), len(head) + len(made), [], file))
     # places without a secret: some with digits or signs, and any
-    digits = [m.start() for m in re.finditer(r"[^\s]*[0-9][^\s]*|[^\s]*[=:][^\s]*", text[: 1 << 16])]
-    for at in [*rnd.sample(digits, min(len(digits), PLACES)), *(rnd.randrange(max(1, len(text))) for _ in range(PLACES))]:
-        lo, hi = cut(at, at)
-        if not any(s < hi and e > lo for s, e in secrets):
-            add(False, window(text[lo:hi], at - lo, at - lo, [], file))
+    if clean:
+        signs = [m.start() for m in islice(re.finditer(r"\S*+(?<=[0-9=:])\S*", text), 1000)]
+        for at in [*rnd.sample(signs, min(len(signs), PLACES)), *(rnd.randrange(max(1, len(text))) for _ in range(PLACES))]:
+            lo, hi = cut(at, at)
+            if not any(s < hi and e > lo for s, e in secrets):
+                out.append((False, text[lo:hi], at - lo, at - lo, [], file))
     return out
 
 
+_PLACE = "has boolean, ord bigint, snippet string, start int, end int, others array<int>, file int"
+
+
 def _sampled(batches):
     for batch in batches:
         rows = []
-        for text in batch.column(0):
-            text = text.as_py() or ""
-            for i, (has, r, tags) in enumerate(windows_of(text)):
-                rows.append((has, crc32(r.tobytes(), i), r.astype(np.int32).tobytes(), tags.tobytes()))
-        cols = list(zip(*rows)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.bool_()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], ["has", "ord", "rows", "tags"])
+        for text, clean in zip(batch.column(0), batch.column(1).to_pylist()):
+            for i, (has, snippet, start, end, others, file) in enumerate(places_of(text.as_py() or "", clean)):
+                rows.append((has, crc32(snippet.encode("utf-8", "replace"), i), snippet, start, end, [x for o in others for x in o], file))
+        kinds = [pa.bool_(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int32()]
+        cols = list(zip(*rows)) or [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["has", "ord", "snippet", "start", "end", "others", "file"])
 
 
-def fit(docs: DataFrame, text: str = "text", most: tuple[int, int] = (TRAIN_WINDOWS, CLEAN_WINDOWS)) -> Field | None:
+def fit(docs: DataFrame, text: str = "text", most: tuple[int, int] = (TRAIN_WINDOWS, CLEAN_WINDOWS), clean_texts: int = CLEAN_TEXTS) -> Field | None:
     """A field from at most so many windows with a secret, and without; None if no text has one.
 
-    The windows are the first by a hash of their contents, whatever the partitions.
+    Every text with a base span is a candidate, and about ``clean_texts`` texts by their hash for places
+    without one. The windows are the first by a hash of their contents, whatever the partitions; only
+    about as many as are wanted reach the driver.
     """
-    found = docs.select(F.col(text).alias("text")).mapInArrow(_sampled, "has boolean, ord bigint, rows binary, tags binary")
-    first = [r for has, n in zip((True, False), most) for r in found.where(F.col("has") == has).orderBy("ord", "rows", "tags").limit(n).collect()]
-    if not any(r["has"] for r in first):
+    n = max(docs.count(), 1)
+    own = docs.select(F.col(text).alias("text"), (F.pmod(F.xxhash64(text), F.lit(n)) < clean_texts).alias("clean"))
+    found = materialize(own.mapInArrow(_sampled, _PLACE), "secret-places")
+    first = []
+    for has, wanted in zip((True, False), most):
+        wanted = wanted if has else min(wanted, CLEAN_RATIO * len(first))
+        own = found.where(F.col("has") == has)
+        share = min(1.0, 1.3 * wanted / max(own.count(), 1))
+        first += own.where(F.col("ord") <= int(share * (1 << 32))).orderBy("ord", "snippet", "start").limit(wanted).collect()
+    made = [window(r["snippet"], r["start"], r["end"], list(zip(r["others"][::2], r["others"][1::2])), r["file"]) for r in first]
+    made = [m for m in made if m is not None]
+    if not any((tags != OUTSIDE).any() for _, tags in made):
         return None
-    rows, tags, mask = np.zeros((len(first), WINDOW, N_FEATURES), np.int32), np.zeros((len(first), WINDOW), np.int8), np.zeros((len(first), WINDOW), bool)
-    for i, r in enumerate(first):
-        n = len(r["tags"])
-        rows[i, :n] = np.frombuffer(r["rows"], np.int32).reshape(n, N_FEATURES)
-        tags[i, :n], mask[i, :n] = np.frombuffer(r["tags"], np.int8), True
+    rows, tags, mask = np.zeros((len(made), WINDOW, N_FEATURES), np.int32), np.zeros((len(made), WINDOW), np.int8), np.zeros((len(made), WINDOW), bool)
+    for i, (r, t) in enumerate(made):
+        rows[i, : len(t)], tags[i, : len(t)], mask[i, : len(t)] = r, t, True
     return train(rows, tags, mask)
 
 
 # --- tagging -----------------------------------------------------------------------------
 
 
+def _tokens_of_all(texts: list[str]) -> tuple[Tokens, np.ndarray]:
+    """Tokens of all texts with their own places, and how many each text has; short texts are read together."""
+    parts, sizes, held, length = [], np.zeros(len(texts), np.int64), [], 0
+
+    def flush():
+        starts = np.cumsum([0, *(len(texts[i]) + 1 for i in held)])
+        t = _tokens("\n".join(texts[i] for i in held), 0)
+        which = np.searchsorted(starts, t.start, "right") - 1
+        sizes[held] = np.bincount(which, minlength=len(held))[: len(held)]
+        parts.append(Tokens(t.start - starts[which], t.end - starts[which], t.word, t.shape, t.change, t.hexes, t.mark))
+
+    for i, text in enumerate(texts):
+        if held and length + len(text) > TOGETHER:
+            flush()
+            held, length = [], 0
+        if len(text) > TOGETHER:
+            parts.append(tokens_of(text))
+            sizes[i] = len(parts[-1].start)
+        else:
+            held.append(i)
+            length += len(text)
+    if held:
+        flush()
+    return Tokens.joined(parts), sizes
+
+
+def _path(scores: np.ndarray, starts: np.ndarray, field: Field) -> np.ndarray:
+    """The best path. Tokens that are surely outside needn't be searched.
+
+    Making a token outside (and begin of an inside after it) changes at most three steps. A token whose lead is larger
+    than these can cost is outside in the best path, and what lies on both sides of it is independent.
+    """
+    finite = np.concatenate((field.steps.ravel(), field.begin))
+    finite = finite[finite > NEVER / 2]
+    after = np.append(np.maximum(scores[1:, INSIDE] - scores[1:, BEGIN], 0), 0)
+    sure = scores[:, OUTSIDE] - np.maximum(scores[:, BEGIN], scores[:, INSIDE]) > 3 * (finite.max() - finite.min()) + after + 1e-3
+    kept = ~sure
+    kept[:-1] |= ~sure[1:]
+    kept[1:] |= ~sure[:-1]
+    tags, at = np.zeros(len(scores), np.int8), np.flatnonzero(kept)
+    if len(at):
+        own = scores[at].astype(float)
+        own[sure[at], 1:] = 100 * NEVER
+        begins = starts[at] | (np.diff(at, prepend=at[0] - 2) > 1)
+        tags[at] = best_path(own, begins, field.steps, field.begin)
+    return tags
+
+
 def tagged(texts: list[str], field: Field) -> list[list[tuple[int, int]]]:
     """(start, end) of what the field's best path calls a secret in each text."""
-    parts = [tokens_of(t) for t in texts]
-    sizes = np.array([len(p.start) for p in parts])
-    t, ends = Tokens.joined(parts), np.cumsum(sizes)
+    t, sizes = _tokens_of_all(texts)
+    ends = np.cumsum(sizes)
     which = np.repeat(np.arange(len(texts)), sizes)
     first, last = (ends - sizes)[which], ends[which]
     file = np.array([file_feature(x) for x in texts])[which]
@@ -424,7 +496,7 @@ def tagged(texts: list[str], field: Field) -> list[list[tuple[int, int]]]:
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
     if not n:
         return out
-    tags = best_path(np.concatenate(scores), np.arange(n) == first, field.steps, field.begin)
+    tags = _path(np.concatenate(scores), np.arange(n) == first, field)
     begins = np.flatnonzero(tags == BEGIN)
     other = np.flatnonzero(tags != INSIDE)
     stops = np.concatenate((other, [n]))[np.searchsorted(other, begins, "right")]
@@ -439,8 +511,6 @@ def tagged(texts: list[str], field: Field) -> list[list[tuple[int, int]]]:
 
 
 _SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
-#: Characters that are tagged together.
-TOGETHER = 1 << 20
 
 
 def _scanner(field: Field | None):
@@ -464,7 +534,7 @@ def _scanner(field: Field | None):
                 ids.append(batch.column(0).slice(i, 1))
                 texts.append(batch.column(1)[i].as_py() or "")
                 size += len(texts[-1])
-                if size > TOGETHER:
+                if size > AT_ONCE:
                     yield rows(ids, texts)
                     ids, texts, size = [], [], 0
             if ids:

@@ -64,6 +64,17 @@ def test_best_path_equals_plain_viterbi():
         assert S.best_path(scores, starts, steps, begin).tolist() == want
 
 
+def test_sure_tokens_change_no_path():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 30, 500):
+        field = S.Field(np.zeros((1, 3)), rng.normal(size=(3, 3)) * 0.3, rng.normal(size=3) * 0.3)
+        field.steps[0, 2] = field.begin[2] = S.NEVER
+        scores, starts = rng.normal(size=(n, 3)) * 2, rng.random(n) < 0.1
+        scores[:, 0] += rng.choice([0, 6, 12], n)
+        starts[0] = True
+        assert (S._path(scores, starts, field) == S.best_path(scores, starts, field.steps, field.begin)).all()
+
+
 def test_likelihood_and_its_derivatives():
     rng = np.random.default_rng(4)
     scores, steps, begin = rng.normal(size=(2, 4, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
