@@ -29,7 +29,7 @@ from .store import materialize
 KINDS = ("email", "ip", "card", "phone", "term", "secret")
 TERM_KIND, SECRET_KIND = 4, 5
 #: Context from which is estimated: so many terms on each side, within so many characters.
-CONTEXT_TERMS, CONTEXT_CHARS = 6, 96
+CONTEXT_TERMS, CONTEXT_CHARS, NEAR = 6, 96, 64
 #: Disclosure: least share of the identifier's information, and different texts that show it.
 DISCLOSURE, SUPPORT = 0.9, 3
 
@@ -48,11 +48,42 @@ PATTERNS = {
 SECRET = (
     r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}"
     r"|-----BEGIN [A-Z ]*PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9])(?i:password|passwd|secret|api_?key|access_?token)[\x20]?[=:][\x20]?(?=[^\x20\x09-\x0D]*[0-9])[^\x20\x09-\x0D]{8,}"
+    r"|(?<![A-Za-z0-9])(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[=:]\x20*[\"']?(?=[^\x20\x09-\x0D\"']*[0-9])[^\x20\x09-\x0D\"']{8,}"
 )
 _SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 
+def running(values: Column, op: Callable[[Column, Column], Column], start: int) -> Column:
+    """Array of the folds of all values before each one; in blocks of sqrt(n), so n^1.5 steps."""
+    fold = lambda part: F.aggregate(part, F.lit(start).cast("bigint"), lambda s, x: op(s, x).cast("bigint"))
+
+    def in_blocks(v: Column) -> Column:
+        return let(F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1)), lambda b: let(F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / b).cast("int")), lambda k: fold(F.slice(v, k * b + 1, b))), lambda sums: of(v, b, sums)))
+
+    def of(v: Column, b: Column, sums: Column) -> Column:
+        # what is before a block, then what is before a value in its block
+        before = F.transform(sums, lambda _, k: fold(F.slice(sums, F.lit(1), k)))
+        return let(before, lambda base: F.transform(v, lambda _, i: op(F.get(base, F.floor(i / b).cast("int")), fold(F.slice(v, F.floor(i / b).cast("int") * b + 1, i % b))).cast("bigint")))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, in_blocks(v)).otherwise(F.array().cast("array<bigint>")))
+
+
+#: Characters of a block of a text.
+BLOCK = 4096
+
+
+def blocks_of(text: Column) -> Column:
+    """The text in blocks of BLOCK code points: parts of it are cut from these in time linear in their own length."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), 0)
+
+
+def part_of(blocks: Column, start: Column, size: Column) -> Column:
+    """``size`` code points from ``start`` (counted from 0) of a text in blocks."""
+    first = F.floor(start / BLOCK).cast("int")
+    last = F.floor((start + F.greatest(size, F.lit(1)) - 1) / BLOCK).cast("int")
+    return F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), (start - first * BLOCK + 1).cast("int"), size.cast("int"))
+
+
 def spans_of(text: Column, pattern: str, kind: int, offset: Column | None = None, wanted: Callable[[Column], Column] | None = None) -> Column:
     """Array of (start, kind, end, value) of all (wanted) matches; code points, end exclusive.
 
@@ -60,34 +91,18 @@ def spans_of(text: Column, pattern: str, kind: int, offset: Column | None = None
     """
     zero = F.lit(0) if offset is None else offset
 
-    def kept(out: Column, match: Column, more: Column) -> Column:
-        return F.concat(out, more) if wanted is None else F.when(wanted(match), F.concat(out, more)).otherwise(out)
-
     def placed(found: Column) -> Column:
-        pairs = F.zip_with(found, F.split(text, pattern, -1), lambda m, g: F.struct(m.alias("match"), F.length(g).alias("gap")))
-        return F.aggregate(
-            F.slice(pairs, 1, F.greatest(F.size(found), F.lit(1))),
-            F.struct(zero.cast("int").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out")),
-            lambda s, x: F.struct(
-                (s["at"] + x["gap"] + F.length(x["match"])).cast("int").alias("at"),
-                kept(
-                    s["out"],
-                    x["match"],
-                    F.array(
-                        F.struct(
-                            (s["at"] + x["gap"]).cast("int").alias("start"),
-                            F.lit(kind).alias("kind"),
-                            (s["at"] + x["gap"] + F.length(x["match"])).cast("int").alias("end"),
-                            x["match"].alias("value"),
-                        )
-                    ),
-                ).alias("out"),
-            ),
-            lambda s: s["out"],
+        pairs = F.zip_with(found, F.split(text, pattern, -1), lambda m, g: F.struct(m.alias("match"), F.length(g).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("size")))
+        pairs = F.slice(pairs, 1, F.size(found))
+        at = lambda p: running(F.transform(p, lambda x: x["gap"] + x["size"]), lambda a, b: a + b, 0)
+        span = lambda x, before: F.struct(
+            (zero + before + x["gap"]).cast("int").alias("start"), F.lit(kind).alias("kind"), (zero + before + x["gap"] + x["size"]).cast("int").alias("end"), x["match"].alias("value")
         )
+        return let(pairs, lambda p: F.zip_with(p, at(p), span))
 
     none = F.array().cast(f"array<{_SPAN}>")
-    return let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(none))
+    found = let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(none))
+    return found if wanted is None else F.filter(found, lambda x: wanted(x["value"]))
 
 
 def _digits(value: Column) -> Column:
@@ -120,7 +135,7 @@ def base_spans(text: Column) -> Column:
 
 def protected_spans(text: Column, base: Column) -> Column:
     """Identifiers, and secrets that overlap none of them, by start."""
-    return F.when(text.rlike(SECRET), F.array_sort(F.concat(base, outside(spans_of(text, SECRET, SECRET_KIND), base)))).otherwise(base)
+    return F.when(text.rlike(SECRET), beside_all(spans_of(text, SECRET, SECRET_KIND), base)).otherwise(base)
 
 
 def entity_of(span: Column) -> Column:
@@ -130,24 +145,37 @@ def entity_of(span: Column) -> Column:
 
 
 def outside(terms: Column, base: Column) -> Column:
-    """The spans that overlap no identifier."""
+    """The spans (few) that overlap no identifier (of few)."""
     return F.filter(terms, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
 
 
-def context_of(text: Column, span: Column, base: Column) -> Column:
-    """Term spans beside an identifier, outside of all identifiers."""
+def beside_all(more: Column, base: Column) -> Column:
+    """``base`` and those of ``more`` that overlap none of it, by start."""
+    marked = F.array_sort(F.concat(F.transform(base, lambda b: F.struct(b.alias("s"), F.lit(False).alias("new"))), F.transform(more, lambda m: F.struct(m.alias("s"), F.lit(True).alias("new")))))
+
+    def kept(rows: Column) -> Column:
+        ends = running(F.transform(rows, lambda r: F.when(r["new"], F.lit(0)).otherwise(r["s"]["end"])), F.greatest, 0)
+        starts = F.reverse(running(F.reverse(F.transform(rows, lambda r: F.when(r["new"], F.lit(1 << 30)).otherwise(r["s"]["start"]))), F.least, 1 << 30))
+        free = F.zip_with(F.zip_with(rows, ends, lambda r, e: F.struct(r.alias("r"), e.alias("e"))), starts, lambda x, s: F.struct(x["r"].alias("r"), (~x["r"]["new"] | ((x["e"] <= x["r"]["s"]["start"]) & (s >= x["r"]["s"]["end"]))).alias("ok")))
+        return F.transform(F.filter(free, lambda x: x["ok"]), lambda x: x["r"]["s"])
+
+    return F.when(F.size(more) > 0, let(marked, kept)).otherwise(base)
+
+
+def context_of(blocks: Column, size: Column, span: Column, base: Column) -> Column:
+    """Term spans beside an identifier, outside of the identifiers near it. blocks, size: of its text."""
     lo = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
     # Each window is read with the identifier's own first or last character, so a word needs a
     # character that is no letter on both sides. One that the window's other edge may have cut is
     # left out; the text's own edges cut nothing, there a space stands in.
     whole = rf"(?<=\P{{L}}){TERM}(?=\P{{L}})"
     edge = F.when(lo == 0, F.lit(" ")).otherwise(F.lit(""))
-    before = spans_of(F.concat(edge, F.substring(text, lo + 1, span["start"] - lo + 1)), whole, 4, lo - F.length(edge))
-    tail = F.substring(text, span["end"], F.lit(CONTEXT_CHARS + 1))
+    before = spans_of(F.concat(edge, part_of(blocks, lo, span["start"] - lo + 1)), whole, 4, lo - F.length(edge))
+    tail = part_of(blocks, span["end"] - 1, F.least(F.lit(CONTEXT_CHARS + 1), size - span["end"] + 1))
     after = spans_of(F.concat(tail, F.when(F.length(tail) <= CONTEXT_CHARS, F.lit(" ")).otherwise(F.lit(""))), whole, 4, span["end"] - 1)
     last = let(before, lambda b: F.slice(b, F.greatest(F.size(b) - CONTEXT_TERMS + 1, F.lit(1)), CONTEXT_TERMS))
     first = F.slice(after, 1, CONTEXT_TERMS)
-    return outside(F.concat(last, first), base)
+    return let(base, lambda near: outside(F.concat(last, first), near))
 
 
 def terms_of(text: Column) -> Column:
@@ -166,7 +194,9 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.withColumn("base", base_spans(F.col("t"))).withColumn("held", protected_spans(F.col("t"), F.col("base")))
-    near = F.transform("held", lambda s: F.struct(entity_of(s).alias("entity"), context_of(F.col("t"), s, F.col("held")).alias("terms")))
+    # by their shortest lengths, no more than NEAR spans of all kinds to either side can reach into a span's context
+    around = lambda s, i: F.filter(F.slice("held", F.greatest(i + 1 - NEAR, F.lit(1)), 2 * NEAR + 1), lambda b: (b["end"] > s["start"] - CONTEXT_CHARS) & (b["start"] < s["end"] + CONTEXT_CHARS))
+    near = let(blocks_of(F.col("t")), lambda b: F.transform("held", lambda s, i: F.struct(entity_of(s).alias("entity"), context_of(b, F.length("t"), s, around(s, i)).alias("terms"))))
     has = F.size("held") > 0
     found = rows.select("doc_id", F.xxhash64("t").alias("text_hash"), "base", "held", F.when(has, near).alias("near"), F.when(has, terms_of(F.col("t"))).alias("terms"))
     found = materialize(found, "pii-base")
@@ -180,8 +210,9 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         return found.select("doc_id", "text_hash", "base", F.col("held").alias("spans"))
 
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("text_hash", F.xxhash64("t"))
-    different = texts.select("text_hash", terms_of(F.col("t")).alias("terms")).dropDuplicates(["text_hash"])
-    of_term = different.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # n(t) is needed for the terms of the pairs alone: other terms go before anything is shuffled, if those are few
+    asked = materialize(pairs.select("term").distinct(), "pii-terms")
+    of_term = texts.select("text_hash", F.explode(terms_of(F.col("t"))).alias("term")).join(asked, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     n = found.select("text_hash").distinct().count()
     information = F.log2(F.lit(float(n)) / F.col("n_e"))
     mutual = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
@@ -195,7 +226,7 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     added = texts.join(held, "text_hash").select("text_hash", places).dropDuplicates(["text_hash"])
     marked = found.alias("f").join(added.alias("a"), "text_hash", "left")
     none = F.array().cast(f"array<{_SPAN}>")
-    spans = F.array_sort(F.concat("f.held", outside(F.coalesce("a.added", none), F.col("f.held"))))
+    spans = beside_all(F.coalesce("a.added", none), F.col("f.held"))
     return marked.select("f.doc_id", "text_hash", "f.base", spans.alias("spans"))
 
 
@@ -208,18 +239,14 @@ def told(spans: Column) -> Column:
 def masked(text: Column, spans: Column) -> Column:
     """The text with each span replaced: identifiers by their kind, terms removed to a placeholder."""
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    pieces = F.aggregate(
-        spans,
-        start,
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] < a["at"], a["out"])
-            .otherwise(F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.get(labels, s["kind"]))))
-            .alias("out"),
-        ),
-    )
-    return let(pieces, lambda p: F.concat(F.array_join(p["out"], ""), F.substring(text, p["at"] + 1, F.length(text))))
+
+    def joined(blocks: Column, before: Column) -> Column:
+        pieces = F.zip_with(spans, before, lambda s, at: F.when(s["start"] < at, F.lit("")).otherwise(F.concat(part_of(blocks, at, s["start"] - at), F.get(labels, s["kind"]))))
+        end = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(pieces, ""), part_of(blocks, end, F.length(text) - end))
+
+    # each span starts after the furthest end before it, or goes with that one
+    return F.when(F.size(spans) > 0, let(blocks_of(text), lambda b: let(running(F.transform(spans, lambda s: s["end"]), F.greatest, 0), lambda at: joined(b, at)))).otherwise(text)
 
 
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

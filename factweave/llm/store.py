@@ -8,6 +8,7 @@ only where it is unset (tests, a laptop) a temporary folder is used.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 import zipfile
@@ -16,6 +17,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_STAGE = "stage-"
+_prefix = [""]
 _shipped: set[str] = set()
 
 
@@ -37,11 +40,28 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     later. ``release`` removes all tables of an application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/factweave-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/factweave-{spark.sparkContext.applicationId}/{_prefix[-1]}{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def stage_tables(spark: SparkSession):
+    """Tables that are written within belong to one stage of a pipeline; those of earlier stages are deleted first.
+
+    A stage's input must be written before the next stage begins, as the pipeline does.
+    """
+    top = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/factweave-{spark.sparkContext.applicationId}/{_STAGE}*")
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in files.globStatus(top) or ():
+        files.delete(found.getPath(), True)
+    _prefix.append(_STAGE)
+    try:
+        yield
+    finally:
+        _prefix.pop()
+
+
 def release(spark: SparkSession) -> None:
     """Delete every table that this application has written with ``materialize``."""
     top = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/factweave-{spark.sparkContext.applicationId}")
