@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from factweave.operators import attribute, entrypoints, explore, extract, graph, report, scopes, topology
 from factweave.rules import SYMBOL
-from factweave.sources.files import read_tree, save_snapshot, snapshot_status, write_report
+from factweave.sources.files import read_tree, save_snapshot, snapshot_status, table_exists, write_report
 from factweave.storage import materialize
 
 
@@ -75,12 +75,13 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("factweave").getOrCreate()
     tree = materialize(read_tree(spark, a.root), "tree")
     if a.snapshot:
-        old = spark.read.parquet(a.snapshot) if Path(a.snapshot).exists() else tree.select("file", "sha256").limit(0)
+        old = spark.read.parquet(a.snapshot) if table_exists(spark, a.snapshot) else tree.select("file", "sha256").limit(0)
         print({r["status"]: r["n"] for r in snapshot_status(tree, materialize(old, "snapshot")).groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()})
-        save_snapshot(tree, a.snapshot)
     given = lambda path: spark.read.parquet(path) if path else None
     tables = index(tree, Config(a.depth, a.min_confidence), given(a.verdicts), given(a.resolutions), a.title or Path(a.root).resolve().name, a.date, a.root)
     write_report(tables["report"], a.out)
+    if a.snapshot:  # last: a run that fails leaves files as they were seen before
+        save_snapshot(tree, a.snapshot)
     print(tables["summary"].first().asDict() | {k: tables[k].count() for k in ("symbols", "edges", "events", "entry_points", "topology")} | {"services": tables["entries"].select("service").distinct().count()})
 
 

@@ -57,6 +57,12 @@ def snapshot_status(files: DataFrame, snapshot: DataFrame) -> DataFrame:
     return files.join(old, "file", "left").select("file", "sha256", status.alias("status"))
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path, of whatever file system Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def save_snapshot(files: DataFrame, path: str) -> None:
     files.select("file", "sha256").write.mode("overwrite").parquet(path)
 

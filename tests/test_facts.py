@@ -161,8 +161,8 @@ def test_the_command_writes_a_report_and_a_snapshot(spark, tmp_path, capsys):
     main(args)
     assert "{'New': 3}" in capsys.readouterr().out
     lines = (tmp_path / "out.md").read_text().splitlines()
-    assert lines[:2] == ["# proj", "Generated: 2020-01-02 | Files: 3 | Languages: go, javascript, python"]
-    assert "## service_a [javascript]" in lines and lines.index("### Public") < lines.index("POST /orders  Public") and "  file: service_a/index.js:11" in lines
+    assert lines[:2] == ["# Codemap — proj", "Generated: 2020-01-02 | Files: 3 | Languages: go, javascript, python"]
+    assert "## service_a [javascript]" in lines and lines.index("### Public") < lines.index("POST /orders") and "  file: service_a/index.js:11" in lines
     (root / "service_c/consumer.py").write_text("x = 1\n")
     main(args)
     assert "'Changed': 1" in (out := capsys.readouterr().out) and "'Unchanged': 2" in out
