@@ -210,13 +210,18 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         return found.select("doc_id", "text_hash", "base", F.col("held").alias("spans"))
 
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("text_hash", F.xxhash64("t"))
-    # n(t) is needed for the terms of the pairs alone: other terms go before anything is shuffled, if those are few
-    asked = materialize(pairs.select("term").distinct(), "pii-terms")
-    of_term = texts.select("text_hash", F.explode(terms_of(F.col("t"))).alias("term")).join(asked, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     n = found.select("text_hash").distinct().count()
     information = F.log2(F.lit(float(n)) / F.col("n_e"))
-    mutual = F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    revealing = pairs.join(of_term, "term").where((information > 0) & (mutual >= disclosure * information)).select("entity", "term")
+    mutual = lambda n_t: F.log2(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col(n_t)))
+    # A term is in no fewer texts than in those with an identifier. Pairs that fail by that number already go, so few
+    # terms are left to be counted in all texts.
+    near = found.where("near is not null").select("text_hash", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_least"))
+    pairs = materialize(pairs.join(near, "term").where((information > 0) & (mutual("n_least") >= disclosure * information)).select(*pairs.columns), "pii-possible")
+    if pairs.isEmpty():
+        return found.select("doc_id", "text_hash", "base", F.col("held").alias("spans"))
+    asked = materialize(pairs.select("term").distinct(), "pii-terms")
+    of_term = texts.select("text_hash", F.explode(terms_of(F.col("t"))).alias("term")).join(asked, "term", "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    revealing = pairs.join(of_term, "term").where(mutual("n_t") >= disclosure * information).select("entity", "term")
     revealing = materialize(revealing, "pii-revealing")
     # Every term of the texts with an identifier, held against the terms that reveal one of its own.
     held = found.where("near is not null").select("text_hash", F.explode("terms").alias("term")).distinct()
