@@ -880,8 +880,11 @@ def workspace_root(spark, sf_dir):
 
 @query("select distinct 's' || l_suppkey as src_symbol, 'f' || (l_suppkey % 7) as src_file, 'p' || (l_partkey % 100) as dst_symbol, case when l_partkey % 2 = 0 then 'at' || (l_partkey % 100) end as dst_file from lineitem")
 def resolve_edges(spark, sf_dir):
-    edges, _ = _edges(spark, sf_dir)
-    edges = edges.withColumn("line", F.lit(1).cast("long"))
+    """Calls of suppliers to hundreds of parts; of even ones the target is told."""
+    edges = V.table(spark, sf_dir, "lineitem").select(
+        F.lit("calls").alias("rel"), F.concat(F.lit("s"), "l_suppkey").alias("src_symbol"), F.concat(F.lit("f"), F.col("l_suppkey") % 7).alias("src_file"),
+        F.concat(F.lit("p"), F.col("l_partkey") % 100).alias("dst_symbol"), F.lit(None).cast("string").alias("dst_file"), F.lit(1).cast("long").alias("line"),
+    ).distinct()
     told = edges.where("substring(dst_symbol, 2) % 2 = 0").select("src_file", "line", "dst_symbol", F.concat(F.lit("at"), F.substring("dst_symbol", 2, 9)).alias("dst_file"))
     return explore.resolve_edges(edges, told).select("src_symbol", "src_file", "dst_symbol", "dst_file")
 

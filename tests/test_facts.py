@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from factweave.functions import scalars as S
 from factweave.operators import extract, graph
 from factweave.plans.index import Config, index
+from factweave.queries import QUERIES
 from factweave.sources.files import list_files, read_tree, snapshot_status
 
 TREE = {
@@ -173,3 +174,11 @@ def test_references_outside_the_own_file_are_shown(spark):
     tables = index(spark.createDataFrame(files, "file string, language string, src string"))
     lines = {r.line for r in tables["report"].collect()}
     assert "  redis:  writes k:{}  [a/store.js:2]" in lines
+
+
+def test_resolved_edges_of_lines(spark, tmp_path):
+    """Parts are told apart by hundreds; the even ones have a target, repeated lines are one edge."""
+    rows = [(9, 102), (9, 102), (9, 2), (9, 205), (14, 7), (14, 8)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(tuple(r) for r in QUERIES["resolve_edges"](spark, str(tmp_path)).collect())
+    assert got == [("s14", "f0", "p7", None), ("s14", "f0", "p8", "at8"), ("s9", "f2", "p2", "at2"), ("s9", "f2", "p5", None)]
