@@ -204,14 +204,20 @@ def _defined(context) -> Column:
     return found
 
 
-def symbols_of(lines: DataFrame) -> DataFrame:
-    """Symbols of ``bare_lines``: name, kind, file, language, line, is_exported, at (marks of its line before it), one_line (it has no block)."""
+def with_symbols(lines: DataFrame) -> DataFrame:
+    """``bare_lines`` with s (name, kind, is_exported; null without a symbol), at (marks of its line before it), one_line (it has no block)."""
     ruby = F.col("language") == "ruby"
-    found = lines.withColumn("s", _defined(SparkContext._active_spark_context)).where("s is not null")
+    found = lines.withColumn("s", _defined(SparkContext._active_spark_context))
     before = F.substring("text", F.lit(1), F.instr("text", F.col("s.name")) - 1)
     opened = F.greatest(F.size(F.regexp_extract_all(before, F.lit(R.RUBY_BLOCKS), 0)) - 1, F.lit(0))
     at = F.when(ruby, opened).otherwise(F.length(before) - F.length(F.regexp_replace(before, R.BRACKETS, "")))
-    return found.select("s.name", "s.kind", "file", "language", "line", "s.is_exported", at.alias("at"), (ruby & F.col("text").rlike(R.RUBY_ENDLESS)).alias("one_line"))
+    there = F.col("s").isNotNull()
+    return found.select("file", "language", "line", "text", "s", F.when(there, at).alias("at"), F.when(there, ruby & F.col("text").rlike(R.RUBY_ENDLESS)).alias("one_line"))
+
+
+def symbols_of(lines: DataFrame) -> DataFrame:
+    """Symbols of ``bare_lines``: name, kind, file, language, line, is_exported, at, one_line."""
+    return with_symbols(lines).where("s is not null").select("s.name", "s.kind", "file", "language", "line", "s.is_exported", "at", "one_line")
 
 
 def symbols(files: DataFrame) -> DataFrame:
