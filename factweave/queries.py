@@ -167,7 +167,8 @@ def scope_attribution(spark, sf_dir):
     """Environment reads of nested sources, each in its innermost function; commented ones aren't read."""
     files = V.scoped_files(spark, sf_dir)
     events = extract.boundary_events(files, [r for r in (*R.CALL_RULES, *R.EVENT_RULES) if r.medium == "env"]).select("file", "line", "fn_name").distinct()
-    return scopes.enclosing(events, scopes.scopes(files))
+    parts = scopes.parts_of(files)
+    return scopes.enclosing(events, scopes.scopes(files, parts), parts=parts)
 
 
 @query(f"with {V.SRC_SQL} " + " union all ".join(f"select file as src_file, cast(line as bigint) as line, unnest(regexp_extract_all(text, {text(p)}, 1)) as dst_file from lines where language in {words(langs)}" for langs, p in R.IMPORT_RULES))

@@ -21,3 +21,8 @@ def test_scopes_stay_with_their_file(spark, monkeypatch):
     monkeypatch.setattr(scopes, "TASK_TEXT", 2000)
     assert scopes.parts_of(files) > 4 * few
     assert sorted(map(str, scopes.scopes(files).collect())) == want
+
+
+def test_attribution_without_joins(spark):
+    """Facts meet the functions of their file in shares of bounded text; nothing is broadcast."""
+    assert "Join" not in plan(QUERIES["scope_attribution"](spark, DATA))
