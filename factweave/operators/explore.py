@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factweave.functions import scalars as S
+from factweave.operators.scopes import parts_of
 from factweave.storage import materialize
 
 #: Media that facts can have: fixed values.
@@ -255,8 +256,14 @@ def resolve_edges(edges: DataFrame, resolutions: DataFrame) -> DataFrame:
 
 
 def resolution_requests(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """src_file, line, dst_symbol, language, column: where a definition of each open call can be asked for."""
+    """src_file, line, dst_symbol, language, column: where a definition of each open call can be asked for.
+
+    Sources go where their calls are, dealt by file to tasks of bounded text: Spark takes a table of
+    texts for as small as its keys and would broadcast it.
+    """
+    parts = parts_of(files)
     open_ = edges.where("rel = 'calls' and dst_file is null and line is not null").select("src_file", "line", "dst_symbol").distinct()
-    lines = files.select(F.col("file").alias("src_file"), "src")
+    open_ = open_.repartition(parts, "src_file")
+    lines = files.select(F.col("file").alias("src_file"), "src").repartition(parts, "src_file").hint("merge")
     at = S.symbol_column(F.split_part("src", F.lit("\n"), F.col("line").cast("int")), F.col("dst_symbol"))
     return open_.join(lines, "src_file").select("src_file", "line", "dst_symbol", S.server_language(F.col("src_file")).alias("language"), at.alias("column")).where("column is not null")

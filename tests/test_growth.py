@@ -26,3 +26,8 @@ def test_scopes_stay_with_their_file(spark, monkeypatch):
 def test_attribution_without_joins(spark):
     """Facts meet the functions of their file in shares of bounded text; nothing is broadcast."""
     assert "Join" not in plan(QUERIES["scope_attribution"](spark, DATA))
+
+
+def test_sources_are_not_broadcast(spark):
+    """Requests read a line of each source: the table of texts never goes through the driver."""
+    assert "Broadcast" not in plan(QUERIES["resolution_requests"](spark, DATA))
