@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.storage import materialize
+
 LEAF_CONFIDENCE = 0.70
 
 
@@ -42,7 +44,7 @@ def merge_entry_points(leaves: DataFrame, hints: DataFrame) -> DataFrame:
 def propagate_routes(points: DataFrame, symbols: DataFrame) -> DataFrame:
     """A route that a router file states is copied to the handler's entry point in the file that defines it.
 
-    Of several routes the one with the smallest (file, path) counts.
+    Of several routes the one with the smallest (file, path) counts. ``points`` are read several times: pass a written table.
     """
     routes = points.where("kind = 'route' and path is not null")
     homes = symbols.select(F.col("name").alias("fn_name"), F.col("file").alias("home")).distinct()
@@ -76,8 +78,8 @@ def remove_placeholders(points: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def detect(symbols: DataFrame, edges: DataFrame, hints: DataFrame, least: float = 0.5) -> DataFrame:
     """All entry points; those below ``least`` stay if any heuristic names them, as all do."""
-    points = merge_entry_points(exported_leaves(symbols, edges), hints)
-    points = remove_placeholders(propagate_routes(points, symbols), symbols)
+    points = materialize(merge_entry_points(exported_leaves(symbols, edges), hints), "merged")  # read several times each
+    points = remove_placeholders(materialize(propagate_routes(points, symbols), "propagated"), symbols)
     return points.where((F.col("confidence") >= least) | (F.size("heuristics") > 0))
 
 

@@ -13,6 +13,7 @@ from factweave.functions import scalars as S
 from factweave.operators import attribute, entrypoints, explore, extract, graph, report, scopes, topology
 from factweave.plans.index import Config, index
 from factweave.sources.files import snapshot_status
+from factweave.storage import materialize
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -466,8 +467,9 @@ def entrypoint_merge(spark, sf_dir):
 def route_propagation(spark, sf_dir):
     """Entry points of the source files, routes carried to the files that define their handlers."""
     files = V.src_files(spark, sf_dir)
-    symbols = extract.symbols(files)
-    points = entrypoints.merge_entry_points(entrypoints.exported_leaves(symbols, extract.edges(files)), extract.entry_hints(files))
+    symbols = materialize(extract.symbols(files), "symbols")
+    calls = extract.calls(files).select(F.lit("calls").alias("rel"), "dst_symbol")
+    points = materialize(entrypoints.merge_entry_points(entrypoints.exported_leaves(symbols, calls), extract.entry_hints(files)), "merged")
     return entrypoints.propagate_routes(points, symbols).select("fn_name", "file", "kind", "path", "method")
 
 

@@ -31,3 +31,8 @@ def test_attribution_without_joins(spark):
 def test_sources_are_not_broadcast(spark):
     """Requests read a line of each source: the table of texts never goes through the driver."""
     assert "Broadcast" not in plan(QUERIES["resolution_requests"](spark, DATA))
+
+
+def test_hints_are_read_once(spark):
+    """Routes are carried from a written table: the sources aren't searched again for each use."""
+    assert "c_custkey" not in plan(QUERIES["route_propagation"](spark, DATA))
