@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from factweave.operators import attribute, entrypoints, explore, extract, graph, report, scopes, topology
 from factweave.rules import SYMBOL
 from factweave.sources.files import read_tree, save_snapshot, snapshot_status, table_exists, write_report
-from factweave.storage import materialize
+from factweave.storage import materialize, small_tasks
 
 
 @dataclass(frozen=True)
@@ -33,12 +33,18 @@ def index(files: DataFrame, config: Config = Config(), verdicts: DataFrame | Non
     dst_symbol, dst_file) give open calls their target.
     """
     files = files.select("file", "language", "src")
-    symbols = materialize(scopes.scopes(files).withColumns({"prov_source": F.lit("lexical"), "prov_confidence": F.lit(SYMBOL)}), "symbols")
+    parts = scopes.parts_of(files)
+    with small_tasks(files.sparkSession, parts):
+        return _index(files, parts, config, verdicts, resolutions, title, date, root)
+
+
+def _index(files: DataFrame, parts: int, config: Config, verdicts: DataFrame | None, resolutions: DataFrame | None, title: str, date: str, root: str) -> dict[str, DataFrame]:
+    symbols = materialize(scopes.scopes(files, parts).withColumns({"prov_source": F.lit("lexical"), "prov_confidence": F.lit(SYMBOL)}), "symbols")
     found = extract.edges(files)
-    edges = attribute.attribute_edges(found, symbols) if config.compat else scopes.enclosing_edges(found, symbols)
+    edges = attribute.attribute_edges(found, symbols) if config.compat else scopes.enclosing_edges(found, symbols, parts)
     edges = materialize(edges if resolutions is None else explore.resolve_edges(edges, resolutions), "edges")
-    events = attribute.merge_first_wins(extract.boundary_events(files, compat=config.compat), compat=config.compat)
-    events = (attribute.attribute_events if config.compat else scopes.enclosing)(events, symbols).where("medium <> 'http_body'")
+    events = attribute.merge_first_wins(extract.boundary_events(files, compat=config.compat).repartition(parts, "file"), compat=config.compat)
+    events = (attribute.attribute_events(events, symbols) if config.compat else scopes.enclosing(events, symbols, parts=parts)).where("medium <> 'http_body'")
     if verdicts is not None:
         events = attribute.overlay_verdicts(events, verdicts)
     events = materialize(events, "events")

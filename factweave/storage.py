@@ -8,12 +8,15 @@ temporary folder is used.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Shuffled bytes of a task. Facts compress well: in memory, sorted, they take some hundred times as much.
+_TASK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +36,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/factweave-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def small_tasks(spark: SparkSession, parts: int):
+    """Tables that are written within are made by tasks of bounded memory: shuffles have ``parts`` partitions at least.
+
+    Only tables whose size is known from a shuffle are broadcast; written ones are many times their files' size.
+    """
+    wide = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    wanted = {
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(wide),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(_TASK_BYTES),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(10 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -1,7 +1,8 @@
 """What tasks and the driver hold doesn't grow with the tables: plans and dealing."""
 
 from factweave import views as V
-from factweave.operators import scopes
+from factweave.operators import entrypoints, scopes
+from factweave.plans.index import index
 from factweave.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -36,3 +37,15 @@ def test_sources_are_not_broadcast(spark):
 def test_hints_are_read_once(spark):
     """Routes are carried from a written table: the sources aren't searched again for each use."""
     assert "c_custkey" not in plan(QUERIES["route_propagation"](spark, DATA))
+
+
+def test_index_deals_small_tasks(spark, monkeypatch):
+    """While tables are written, shuffles are as wide as the text asks for; afterwards the session is as it was."""
+    seen, keys = [], ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.autoBroadcastJoinThreshold")
+    now = lambda: [spark.conf.get(k, None) for k in keys]
+    detect = entrypoints.detect
+    monkeypatch.setattr(entrypoints, "detect", lambda *a: (seen.append(now()), detect(*a))[1])
+    monkeypatch.setattr(scopes, "TASK_TEXT", 2000)
+    before = now()
+    index(V.src_files(spark, DATA))
+    assert int(seen[0][0]) > 8 and seen[0][1] == "-1" and now() == before
