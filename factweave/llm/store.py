@@ -45,6 +45,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``materialize``, in buckets of ``key``: rows of large values meet others of their key without a shuffle of their own."""
+    spark = df.sparkSession
+    table = f"factweave_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/factweave-{spark.sparkContext.applicationId}/{_prefix[-1]}{name}-{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    written = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # its files, which the frame reads, stay
+    return written
+
+
 @contextlib.contextmanager
 def stage_tables(spark: SparkSession):
     """Tables that are written within belong to one stage of a pipeline; those of earlier stages are deleted first.
