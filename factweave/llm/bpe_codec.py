@@ -41,9 +41,24 @@ FAN = 16
 CACHE_ENTRIES, CACHE_CHARS = 300_000, 32
 #: The tokenizer's own pre-token pattern and, for texts of these characters only, no
 #: normalisation but lower case (no character composes with another): fixed values.
-PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
+
+
+def _class(pattern: str) -> str:
+    """The characters up to U+024F of a pattern, for a class of ``re``, which searches faster."""
+    return "".join(f"\\u{c:04x}" for c in range(0x250) if regex.match(pattern, chr(c)))
+
+
+PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[%s]+|[%s]|[%s]+" % tuple(map(_class, (r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]"))))
 WHITE = np.array([bool(regex.match(r"\s", chr(c))) for c in range(0x250)])
+#: Characters of pre-tokens that are encoded together.
+TOGETHER = 1 << 16
+
+
+#: Tokens that stand together: decimal ids, token strings, and (start, end) of each from the first one's start on.
+Entry = tuple[str, str, bytes | tuple[int, ...]]
+#: An encoding: entries in order, and where each begins in the text.
+Entries = tuple[list[Entry], np.ndarray | None]
 
 
 class Codec:
@@ -59,10 +74,12 @@ class Codec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.names = [self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size())]
+        self.digits = [str(i) for i in range(len(self.names))]
         self.plain = self.tokenizer.decoder is None
         self.latin = self.tokenizer.pre_tokenizer is not None and path.endswith(TOKENIZER)
-        self.cache: dict[str, tuple] = {}
+        self.cache: dict[str, Entry] = {}
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.window = max([WINDOW, *map(len, self.specials)])
 
     def encode(self, text: str):
         return self.tokenizer.encode(text, add_special_tokens=False)
@@ -72,7 +89,12 @@ class Codec:
 
     def encode_texts(self, texts: list[str], leaf: int = LEAF) -> list[tuple[int, bytes, bytes]]:
         """(number of tokens, decimal ids, decoded text) of each whole text."""
-        return [self.told(spans) for spans in self.trees(texts, leaf)]
+        out = []
+        for entries, _ in self.joined(texts, leaf):
+            ids = " ".join([e[0] for e in entries])
+            decoded = " ".join([e[1] for e in entries]) if self.plain else self.decode(list(map(int, ids.split())))
+            out.append((ids.count(" ") + 1 if ids else 0, ids.encode(), decoded.encode()))
+        return out
 
     def told(self, spans: np.ndarray) -> tuple[int, bytes, bytes]:
         """(number of tokens, decimal ids, decoded text) of spans."""
@@ -83,46 +105,84 @@ class Codec:
 
     def trees(self, texts: list[str], leaf: int = LEAF) -> list[np.ndarray]:
         """The spans of each whole text, joined from its leaves; the leaves of all texts are encoded together."""
-        cuts = [cuts_of(len(t), leaf) for t in texts]
-        parts = [t[a:b] for t, c in zip(texts, cuts) for a, b in zip(c, c[1:])]
-        found = iter(self.leaves(parts))
-        return [join_tree(self, text, c, [next(found) + (0, at, at) for at in c[:-1]]) for text, c in zip(texts, cuts)]
+        return [_spread(*entries) for entries in self.joined(texts, leaf, True)]
 
-    def leaves(self, parts: list[str]) -> list[np.ndarray]:
-        """The spans of each leaf: plain Latin ones from their pre-tokens, which are encoded once, the others as they are."""
+    def joined(self, texts: list[str], leaf: int, placed: bool = False) -> list[Entries]:
+        """The entries of each whole text; without ``placed``, texts of one leaf have no starts."""
+        cuts = [cuts_of(len(t), leaf) for t in texts]
+        parts = [(t[a:b], a if placed or len(c) > 2 else None) for t, c in zip(texts, cuts) for a, b in zip(c, c[1:])]
+        # the first windows of all joins are encoded with the leaves
+        w = self.window
+        windows = [(t[max(0, k - w) : k + w], max(0, k - w)) for t, c in zip(texts, cuts) for k in c[1:-1]]
+        found = self.leaves([p for p, _ in parts + windows], [at for _, at in parts + windows])
+        leaves, seams = iter(found[: len(parts)]), iter(found[len(parts) :])
+        return [join_entries(self, text, c, [next(leaves) for _ in c[:-1]], {k: _spread(*next(seams)) for k in c[1:-1]}) for text, c in zip(texts, cuts)]
+
+    def leaves(self, parts: list[str], places: list[int | None]) -> list[Entries]:
+        """The entries of each leaf: of plain Latin ones their pre-tokens, which are encoded once, of the others their tokens."""
         lower = [p.lower() if self.latin and not BEYOND_LATIN.search(p) and not any(s in p for s in self.specials) else None for p in parts]
         # a lower case of another length would move the characters
         units = [PRETOKEN.findall(low) if low is not None and len(low) == len(p) else None for p, low in zip(parts, lower)]
         whole = iter(self.tokenizer.encode_batch([p for p, u in zip(parts, units) if u is None], add_special_tokens=False))
         long = self.learn(set().union(*[u for u in units if u]))
         out = []
-        for low, of in zip(lower, units):
+        for low, of, at in zip(lower, units, places):
             if of is None:
-                out.append(_spans(next(whole), 0))
+                out.append(self.entries(_spans(next(whole), at or 0)))
                 continue
-            found = list(map(self.cache.__getitem__, of))
-            rows = np.fromiter(chain.from_iterable(found), np.int64).reshape(-1, 3)
-            # pre-tokens cover all but white space, so their lengths lead from one to the next
-            lengths = np.fromiter(map(len, of), np.int64, len(of))
-            places = np.flatnonzero(~WHITE[np.frombuffer(low.encode("utf-32-le"), np.uint32)])
-            at = np.repeat(places[np.cumsum(lengths) - lengths], np.fromiter(map(len, found), np.int64, len(found)) // 3)
-            rows[:, 1] += at
-            rows[:, 2] += at
-            out.append(rows)
+            starts = None
+            if at is not None:
+                # pre-tokens cover all but white space, so their lengths lead from one to the next
+                lengths = np.fromiter(map(len, of), np.int64, len(of))
+                covered = np.flatnonzero(~WHITE[np.frombuffer(low.encode("utf-32-le"), np.uint32)])
+                starts = covered[np.cumsum(lengths) - lengths] + at
+            out.append((list(map(self.cache.__getitem__, of)), starts))
         for u in long:
             del self.cache[u]
         return out
 
     def learn(self, units: set[str]) -> list[str]:
-        """Encodes units that aren't in the cache, as (id, start, end, id, ...); the long ones, which won't stay, are returned."""
-        new = list(units - self.cache.keys())
+        """Encodes units that aren't in the cache, as entries; the long ones, which won't stay, are returned."""
+        new = [u for u in units if u not in self.cache]  # a difference of sets would walk the whole cache
         if len(self.cache) + len(new) > CACHE_ENTRIES:
             self.cache.clear()
             new = list(units)
-        for u, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.cache[u] = tuple(chain.from_iterable((i, a, b) for i, (a, b) in zip(e.ids, e.offsets)))
+        ends = np.cumsum([len(u) + 1 for u in new])
+        k = 0
+        while k < len(new):
+            j = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + TOGETHER, "right")))
+            self._learn(new[k:j])
+            k = j
         return [u for u in new if len(u) > CACHE_CHARS]
 
+    def _learn(self, units: list[str]) -> None:
+        """Encodes units as one text with spaces between, which are the tokenizer's own borders of pre-tokens."""
+        e = self.tokenizer.encode(" ".join(units), add_special_tokens=False)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        offsets = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(e.ids)).reshape(-1, 2)
+        first = np.searchsorted(offsets[:, 0], starts)
+        last = np.append(first[1:], len(offsets)) - 1
+        whole = len(offsets) and (last >= first).all() and (offsets[first, 0] == starts).all() and (offsets[last, 1] == starts + sizes).all()
+        if not whole:  # a unit lost its borders: each on its own
+            for u, e in zip(units, self.tokenizer.encode_batch(units, add_special_tokens=False)):
+                self.cache[u] = self.entry(e.ids, list(chain.from_iterable(e.offsets)))
+            return
+        ids, places = e.ids, (offsets - np.repeat(starts, last + 1 - first)[:, None]).reshape(-1).tolist()
+        for u, a, b in zip(units, first.tolist(), (last + 1).tolist()):
+            self.cache[u] = self.entry(ids[a:b], places[2 * a : 2 * b])
+
+    def entry(self, ids: list[int], places: list[int]) -> Entry:
+        small = not places or max(places) < 256
+        return " ".join([self.digits[i] for i in ids]), " ".join([self.names[i] for i in ids]), bytes(places) if small else tuple(places)
+
+    def entries(self, spans: np.ndarray) -> Entries:
+        """The entries of spans: runs of tokens, each so short that a join need not take it apart for long."""
+        cut = list(range(0, len(spans), 16))
+        rows = spans.tolist()
+        of = [rows[i : i + 16] for i in cut]
+        return [self.entry([r[0] for r in g], [x - g[0][1] for r in g for x in r[1:]]) for g in of], spans[cut, 1]
+
     def spans(self, text: str, at: int = 0) -> np.ndarray:
         """Rows (id, start, end) of a text that begins at character ``at``."""
         return _spans(self.encode(text), at)
@@ -135,6 +195,16 @@ def _spans(e, at: int) -> np.ndarray:
     return out
 
 
+def _spread(entries: list[Entry], starts: np.ndarray) -> np.ndarray:
+    """The spans of entries."""
+    out = np.empty((sum(len(e[2]) for e in entries) // 2, 3), np.int64)
+    if len(out):
+        out[:, 0] = np.array(" ".join([e[0] for e in entries]).split(), np.int64)
+        out[:, 1:] = np.fromiter(chain.from_iterable(e[2] for e in entries), np.int64, 2 * len(out)).reshape(-1, 2)
+        out[:, 1:] += np.repeat(starts, [len(e[2]) // 2 for e in entries])[:, None]
+    return out
+
+
 def _clean(spans: np.ndarray) -> np.ndarray:
     """Which tokens share no character with a neighbour (a character may be split over tokens)."""
     ok = spans[:, 2] > spans[:, 1]
@@ -161,16 +231,26 @@ def join_encodings(codec: Codec, text: str, lo: int, cut: int, hi: int, left: np
     """
     w = max([window, *map(len, codec.specials)])
     while True:
-        a, b = max(lo, cut - w), min(hi, cut + w)
-        mid = codec.spans(text[a:b], a)
-        from_left = (0, 0) if a == lo else _shared(mid, left[np.searchsorted(left[:, 1], a) :], True)
-        from_right = (len(mid), len(right)) if b == hi else _shared(mid, right[: np.searchsorted(right[:, 1], b)], False)
-        if from_left is not None and from_right is not None and from_left[0] <= from_right[0]:
-            i = 0 if a == lo else from_left[1] + np.searchsorted(left[:, 1], a)
-            return np.concatenate([left[:i], mid[from_left[0] : from_right[0]], right[from_right[1] :]])
+        if (joined := _joined(codec, text, lo, cut, hi, left, right, w)) is not None:
+            return joined
         w *= 4
 
 
+def _joined(codec: Codec, text: str, lo: int, cut: int, hi: int, left: np.ndarray, right: np.ndarray, w: int, mid: np.ndarray | None = None) -> np.ndarray | None:
+    """The same by a window of ``w`` characters on either side, if that agrees with both sides.
+
+    Of ``left`` only tokens from ``cut - w`` on matter, of ``right`` those up to ``cut + w``.
+    """
+    a, b = max(lo, cut - w), min(hi, cut + w)
+    mid = codec.spans(text[a:b], a) if mid is None else mid
+    from_left = (0, 0) if a == lo else _shared(mid, left[np.searchsorted(left[:, 1], a) :], True)
+    from_right = (len(mid), len(right)) if b == hi else _shared(mid, right[: np.searchsorted(right[:, 1], b)], False)
+    if from_left is None or from_right is None or from_left[0] > from_right[0]:
+        return None
+    i = 0 if a == lo else from_left[1] + np.searchsorted(left[:, 1], a)
+    return np.concatenate([left[:i], mid[from_left[0] : from_right[0]], right[from_right[1] :]])
+
+
 def cuts_of(length: int, leaf: int) -> list[int]:
     """Boundaries of the leaves: halves of halves, all within ``leaf``."""
     n = 1
@@ -188,6 +268,29 @@ def join_tree(codec: Codec, text: str, cuts: list[int], leaves: list[np.ndarray]
     return leaves[0]
 
 
+def join_entries(codec: Codec, text: str, cuts: list[int], leaves: list[Entries], windows: dict[int, np.ndarray]) -> Entries:
+    """``join_tree`` on entries: only those in a join's window are taken apart. ``windows`` are the spans of each cut's first one."""
+    while len(leaves) > 1:
+        odd = leaves[-1:] if len(leaves) % 2 else []
+        leaves = [_join_entries(codec, text, cuts[k], cuts[k + 1], cuts[k + 2], leaves[k], leaves[k + 1], windows[cuts[k + 1]]) for k in range(0, len(leaves) - 1, 2)] + odd
+        cuts = cuts[::2] if not odd else [*cuts[::2], cuts[-1]]
+    return leaves[0]
+
+
+def _join_entries(codec: Codec, text: str, lo: int, cut: int, hi: int, left: Entries, right: Entries, window: np.ndarray) -> Entries:
+    w = codec.window
+    while True:
+        a, b = max(0, cut - w), min(len(text), cut + w)
+        # the entries with tokens that begin in the window, and at its left end the one before
+        i = max(0, int(np.searchsorted(left[1], cut - w)) - 1) if cut - w > lo else 0
+        j = int(np.searchsorted(right[1], cut + w)) if cut + w < hi else len(right[0])
+        seam = _joined(codec, text, lo, cut, hi, _spread(left[0][i:], left[1][i:]), _spread(right[0][:j], right[1][:j]), w, window if w == codec.window and a >= lo and b <= hi else None)
+        if seam is not None:
+            entries, starts = codec.entries(seam)
+            return left[0][:i] + entries + right[0][j:], np.concatenate([left[1][:i], starts, right[1][j:]])
+        w *= 4
+
+
 _made: dict[str, Codec] = {}
 
 

@@ -102,3 +102,22 @@ def test_tables_with_long_empty_null_and_repeated_texts(spark):
     got = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in count_tokens(docs, piece=700).collect())
     assert got == sorted((i or 0, len((t or "").encode()), len(counts.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in rows)
     assert encode_decode(docs.limit(0)).count() == 0 and count_tokens(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("alphabet", [ALPHABET, [a for a in ALPHABET if a.isascii() and "|" not in a], ["th", "e", " ", "é", "'s", "12", "\x85", "!"]])
+def test_texts_of_many_leaves_are_encoded_as_the_library_does(codec, alphabet):
+    cases = [t for longest in (400, 3000) for t in texts(40, longest, 17, alphabet)]
+    for leaf in (90, 300):
+        for text, (n, ids, decoded) in zip(cases, codec.encode_texts(cases, leaf)):
+            e = codec.encode(text)
+            assert (n, ids.decode(), decoded.decode()) == (len(e.ids), " ".join(map(str, e.ids)), codec.decode(e.ids))
+
+
+def test_joins_of_a_batch_do_not_encode_one_by_one(codec, monkeypatch):
+    """A window encoded at each join took a large share of the time."""
+    calls = []
+    monkeypatch.setattr(codec, "encode", lambda text: calls.append(text))
+    cases = ["the cat, 12 dogs' tails " * 900, "été à la plage " * 1500]
+    found = codec.encode_texts(cases)
+    monkeypatch.undo()
+    assert not calls and [f[1].decode() for f in found] == [" ".join(map(str, codec.encode(t).ids)) for t in cases]
