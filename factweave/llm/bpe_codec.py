@@ -44,12 +44,13 @@ CACHE_ENTRIES, CACHE_CHARS = 300_000, 32
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 
 
-def _class(pattern: str) -> str:
-    """The characters up to U+024F of a pattern, for a class of ``re``, which searches faster."""
-    return "".join(f"\\u{c:04x}" for c in range(0x250) if regex.match(pattern, chr(c)))
+def _pretoken(end: int) -> re.Pattern:
+    """The pattern with classes of the characters below ``end``, which ``re`` searches faster."""
+    of = lambda pattern: "".join(f"\\u{c:04x}" for c in range(end) if regex.match(pattern, chr(c)))
+    return re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[%s]+|[%s]|[%s]+" % tuple(map(of, (r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]"))))
 
 
-PRETOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[%s]+|[%s]|[%s]+" % tuple(map(_class, (r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]"))))
+PRETOKEN, ASCII_PRETOKEN = _pretoken(0x250), _pretoken(0x80)
 WHITE = np.array([bool(regex.match(r"\s", chr(c))) for c in range(0x250)])
 #: Characters of pre-tokens that are encoded together.
 TOGETHER = 1 << 16
@@ -116,13 +117,13 @@ class Codec:
         windows = [(t[max(0, k - w) : k + w], max(0, k - w)) for t, c in zip(texts, cuts) for k in c[1:-1]]
         found = self.leaves([p for p, _ in parts + windows], [at for _, at in parts + windows])
         leaves, seams = iter(found[: len(parts)]), iter(found[len(parts) :])
-        return [join_entries(self, text, c, [next(leaves) for _ in c[:-1]], {k: _spread(*next(seams)) for k in c[1:-1]}) for text, c in zip(texts, cuts)]
+        return [join_entries(self, text, c, [next(leaves) for _ in c[:-1]], {k: next(seams) for k in c[1:-1]}) for text, c in zip(texts, cuts)]
 
     def leaves(self, parts: list[str], places: list[int | None]) -> list[Entries]:
         """The entries of each leaf: of plain Latin ones their pre-tokens, which are encoded once, of the others their tokens."""
-        lower = [p.lower() if self.latin and not BEYOND_LATIN.search(p) and not any(s in p for s in self.specials) else None for p in parts]
+        lower = [p.lower() if self.latin and (p.isascii() or not BEYOND_LATIN.search(p)) and not any(s in p for s in self.specials) else None for p in parts]
         # a lower case of another length would move the characters
-        units = [PRETOKEN.findall(low) if low is not None and len(low) == len(p) else None for p, low in zip(parts, lower)]
+        units = [(ASCII_PRETOKEN if p.isascii() else PRETOKEN).findall(low) if low is not None and len(low) == len(p) else None for p, low in zip(parts, lower)]
         whole = iter(self.tokenizer.encode_batch([p for p, u in zip(parts, units) if u is None], add_special_tokens=False))
         long = self.learn(set().union(*[u for u in units if u]))
         out = []
@@ -134,7 +135,8 @@ class Codec:
             if at is not None:
                 # pre-tokens cover all but white space, so their lengths lead from one to the next
                 lengths = np.fromiter(map(len, of), np.int64, len(of))
-                covered = np.flatnonzero(~WHITE[np.frombuffer(low.encode("utf-32-le"), np.uint32)])
+                code_points = np.frombuffer(low.encode(), np.uint8) if low.isascii() else np.frombuffer(low.encode("utf-32-le"), np.uint32)
+                covered = np.flatnonzero(~WHITE[code_points])
                 starts = covered[np.cumsum(lengths) - lengths] + at
             out.append((list(map(self.cache.__getitem__, of)), starts))
         for u in long:
@@ -268,8 +270,8 @@ def join_tree(codec: Codec, text: str, cuts: list[int], leaves: list[np.ndarray]
     return leaves[0]
 
 
-def join_entries(codec: Codec, text: str, cuts: list[int], leaves: list[Entries], windows: dict[int, np.ndarray]) -> Entries:
-    """``join_tree`` on entries: only those in a join's window are taken apart. ``windows`` are the spans of each cut's first one."""
+def join_entries(codec: Codec, text: str, cuts: list[int], leaves: list[Entries], windows: dict[int, Entries]) -> Entries:
+    """``join_tree`` on entries; ``windows`` are those of each cut's first window."""
     while len(leaves) > 1:
         odd = leaves[-1:] if len(leaves) % 2 else []
         leaves = [_join_entries(codec, text, cuts[k], cuts[k + 1], cuts[k + 2], leaves[k], leaves[k + 1], windows[cuts[k + 1]]) for k in range(0, len(leaves) - 1, 2)] + odd
@@ -277,20 +279,37 @@ def join_entries(codec: Codec, text: str, cuts: list[int], leaves: list[Entries]
     return leaves[0]
 
 
-def _join_entries(codec: Codec, text: str, lo: int, cut: int, hi: int, left: Entries, right: Entries, window: np.ndarray) -> Entries:
+def _join_entries(codec: Codec, text: str, lo: int, cut: int, hi: int, left: Entries, right: Entries, window: Entries) -> Entries:
     w = codec.window
+    if lo < cut - w and cut + w < hi and (joined := _joined_whole(cut, w, left, right, window)) is not None:
+        return joined
     while True:
         a, b = max(0, cut - w), min(len(text), cut + w)
         # the entries with tokens that begin in the window, and at its left end the one before
         i = max(0, int(np.searchsorted(left[1], cut - w)) - 1) if cut - w > lo else 0
         j = int(np.searchsorted(right[1], cut + w)) if cut + w < hi else len(right[0])
-        seam = _joined(codec, text, lo, cut, hi, _spread(left[0][i:], left[1][i:]), _spread(right[0][:j], right[1][:j]), w, window if w == codec.window and a >= lo and b <= hi else None)
+        seam = _joined(codec, text, lo, cut, hi, _spread(left[0][i:], left[1][i:]), _spread(right[0][:j], right[1][:j]), w, _spread(*window) if w == codec.window and a >= lo and b <= hi else None)
         if seam is not None:
             entries, starts = codec.entries(seam)
             return left[0][:i] + entries + right[0][j:], np.concatenate([left[1][:i], starts, right[1][j:]])
         w *= 4
 
 
+def _joined_whole(cut: int, w: int, left: Entries, right: Entries, window: Entries) -> Entries | None:
+    """The join if the window holds whole entries of both sides unchanged: no token need be looked at."""
+    (mid, starts), of = window, window[1].tolist()
+    i, j = int(np.searchsorted(left[1], cut - w)), int(np.searchsorted(right[1], cut + w))
+    before = {at: k for k, at in enumerate(left[1][i:].tolist(), i)}
+    after = {at: k for k, at in enumerate(right[1][:j].tolist())}
+    same = lambda side, there, m: mid[m][2] and (k := there.get(of[m])) is not None and side[0][k] == mid[m]
+    first = next((m for m in range(len(mid)) if same(left, before, m)), None)
+    last = next((m for m in range(len(mid) - 1, -1, -1) if same(right, after, m)), None)
+    if first is None or last is None or first > last:
+        return None
+    i, j = before[of[first]], after[of[last]]
+    return left[0][:i] + mid[first:last] + right[0][j:], np.concatenate([left[1][:i], starts[first:last], right[1][j:]])
+
+
 _made: dict[str, Codec] = {}
 
 

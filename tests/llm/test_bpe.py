@@ -121,3 +121,15 @@ def test_joins_of_a_batch_do_not_encode_one_by_one(codec, monkeypatch):
     found = codec.encode_texts(cases)
     monkeypatch.undo()
     assert not calls and [f[1].decode() for f in found] == [" ".join(map(str, codec.encode(t).ids)) for t in cases]
+
+
+def test_plain_joins_take_no_entry_apart(codec, monkeypatch):
+    """Where a window holds whole pre-tokens of both sides, they are joined as they are."""
+    import factweave.llm.bpe_codec as module
+
+    words = ["the", "Running", "of", "it's", "naïve", "3.14", "(unbelievably)", "x_y"]
+    many = texts(20, 9000, seed=5, alphabet=[w + " " for w in words])
+    want = [codec.encode(t) for t in many]
+    monkeypatch.setattr(module, "_spread", None)  # not callable
+    for t, e, (n, ids, decoded) in zip(many, want, codec.encode_texts(many)):
+        assert ids.decode() == " ".join(map(str, e.ids)) and n == len(e.ids) and decoded.decode() == codec.decode(e.ids)
