@@ -59,8 +59,10 @@ SMALL_GROUP = 6
 PAIR_WORK, MAX_SPLITS = 500, 6
 #: Similarity in percent from which a member counts as close to its hub.
 CLOSE = 50
+#: A level is a band's number and, in so many bits, how many signatures may be left out (sets of 10^8 elements fit).
+LEVEL_BITS = 25
 #: Text bytes for each bucket of signatures, and words of the cache of one worker.
-BUCKET_BYTES, CACHE_WORDS = 4 << 20, 300_000
+BUCKET_BYTES, CACHE_WORDS = 16 << 20, 300_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -166,6 +168,36 @@ def set_id(x: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(x.tobytes())
 
 
+def packed_signatures(texts: pa.Array, k: int, percent: int, levels: list[Band], buckets: int) -> pa.RecordBatch | None:
+    """For each bucket the signatures of the texts' sets, with the set and level of each.
+
+    Every signature carries its own, so its bytes don't depend on how many buckets there are.
+    """
+    lows = [b.low for b in levels]
+    sigs, of, ids, marks, seen = [], [], [], [], set()
+    for t in texts:
+        x = shingle_set(t.as_py(), k)
+        if not (numbers := signing(len(x), lows, percent)) or (i := set_id(x)) in seen:
+            continue
+        seen.add(i)
+        for number in numbers:
+            s, more = signatures(x, levels[number], number)
+            sigs.append(s)
+            of.append(np.full(len(s), len(ids), np.int64))
+            ids.append(i)
+            marks.append(number << LEVEL_BITS | more)
+    if not sigs:
+        return None
+    sig, own, ids, marks = np.concatenate(sigs), np.concatenate(of), np.array(ids, np.uint64), np.array(marks, np.uint32)
+    bucket = (sig % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    sig, own, bucket = sig[order], own[order], bucket[order]
+    ends = np.flatnonzero(np.diff(bucket, append=-1)) + 1
+    starts = np.concatenate([[0], ends[:-1]])
+    columns = [pa.array([c[a:e].tobytes() for a, e in zip(starts, ends)], pa.binary()) for c in (sig, ids[own], marks[own])]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), *columns], ["bucket", "sigs", "sets", "levels"])
+
+
 def link_documents(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each input row.
 
@@ -211,53 +243,21 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, percent: int, levels: li
     """Edges (a, b) between set ids: enough of the similar pairs for the right components."""
     if not levels:
         return classes.select(F.col("set").alias("a"), F.col("set").alias("b")).limit(0)
-    lows = [b.low for b in levels]
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each bucket the signatures of the batch's sets: an index each into the sets and levels that follow."""
         for whole in batches:
             for start in range(0, whole.num_rows, 2500):
-                sigs, of, ids, marks, seen = [], [], [], [], set()
-                for t in whole.column("text").slice(start, 2500):
-                    x = shingle_set(t.as_py(), k)
-                    if not (numbers := signing(len(x), lows, percent)) or (i := set_id(x)) in seen:
-                        continue
-                    seen.add(i)
-                    for number in numbers:
-                        s, more = signatures(x, levels[number], number)
-                        sigs.append(s)
-                        of.append(np.full(len(s), len(ids), np.int64))
-                        ids.append(i)
-                        marks.append(number << 40 | more)
-                if not sigs:
-                    continue
-                sig, own, ids, marks = np.concatenate(sigs), np.concatenate(of), np.array(ids, np.uint64), np.array(marks, np.int64)
-                bucket = (sig % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                sig, own, bucket = sig[order], own[order], bucket[order]
-                ends = np.flatnonzero(np.diff(bucket, append=-1)) + 1
-                starts = np.concatenate([[0], ends[:-1]])
-                columns = [[], [], [], []]
-                for a, e in zip(starts, ends):
-                    u, inverse = np.unique(own[a:e], return_inverse=True)
-                    for column, values in zip(columns, (sig[a:e], ids[u], marks[u], inverse.astype(np.uint16 if len(u) <= 65536 else np.uint32))):
-                        column.append(values.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), *(pa.array(c, pa.binary()) for c in columns)], ["bucket", "sigs", "sets", "levels", "number"])
+                if (b := packed_signatures(whole.column("text").slice(start, 2500), k, percent, levels, buckets)) is not None:
+                    yield b
 
     def shared(pdf: pd.DataFrame) -> pd.DataFrame:
         """Candidate pairs of a bucket (sig null), and the members of its large groups (b null)."""
-        sig, own, level = [], [], []
-        for g, s, lv, n in zip(pdf["sigs"], pdf["sets"], pdf["levels"], pdf["number"]):
-            at = np.frombuffer(n, np.uint16 if len(n) * 4 == len(g) else np.uint32)
-            sig.append(np.frombuffer(g, np.uint64))
-            own.append(np.frombuffer(s, np.uint64)[at])
-            level.append(np.frombuffer(lv, np.int64)[at])
-        sig, own, level = np.concatenate(sig), np.concatenate(own), np.concatenate(level)
+        sig, own, level = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("sigs", np.uint64), ("sets", np.uint64), ("levels", np.uint32)))
         order = np.lexsort((own, sig))
         sig, own, level = sig[order], own[order], level[order]
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
-        sig, own, level = sig[new], own[new], level[new]
+        sig, own, level = sig[new], own[new], level[new].astype(np.int64)
         heads = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         sizes = np.diff(np.append(heads, len(sig)))
         a, b = [], []
@@ -276,13 +276,13 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, percent: int, levels: li
         p, m = none(len(pairs)), none(len(at))
         return pd.DataFrame({"sig": both(p, column(group)), "a": both(column(pairs[:, 0]), column(member)), "b": both(column(pairs[:, 1]), m), "size": both(p, column(many[at])), "level": both(p, column(level[at]))})
 
-    found = rows.select("text").where("text is not null").mapInArrow(packed, "bucket long, sigs binary, sets binary, levels binary, number binary")
+    found = rows.select("text").where("text is not null").mapInArrow(packed, "bucket long, sigs binary, sets binary, levels binary")
     found = materialize(found.groupBy("bucket").applyInPandas(shared, "sig long, a long, b long, size long, level long"), "jaccard-found")
     likely = materialize(_possible(found.where("sig is null").select("a", "b").distinct(), classes, percent), "jaccard-likely")
     # Of a similar pair more than W signatures agree in a band. Both may leave out their most
     # common ones, W less the weak ones: of the agreeing ones these are the same first few.
     common = Window.partitionBy("a", "level").orderBy(F.desc("size"), "sig")
-    groups = found.where("b is null").withColumn("nth", F.row_number().over(common)).where(F.col("nth") > F.col("level") % (1 << 40)).select(F.col("sig").alias("g"), F.col("a").alias("set"))
+    groups = found.where("b is null").withColumn("nth", F.row_number().over(common)).where(F.col("nth") > F.col("level") % (1 << LEVEL_BITS)).select(F.col("sig").alias("g"), F.col("a").alias("set"))
     groups = materialize(groups, "jaccard-groups")
 
     wanted = likely.select(F.explode(F.array("a", "b")).alias("set")).unionByName(groups.select("set")).distinct()

@@ -5,6 +5,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import factweave.llm.jaccard_join as jaccard
@@ -183,3 +184,12 @@ def test_link_vectors(spark):
     want = smallest_reachable([r[0] for r in rows], links)
     assert got == {i: (sum(i in e for e in links), want[i], want[i] == i) for i in want}
     assert link_vectors(table.limit(0)).count() == 0
+
+
+def test_signatures_take_as_many_bytes_in_many_buckets():
+    """What a signature is shuffled with doesn't depend on how many buckets the table has."""
+    rnd = random.Random(4)
+    rows = pa.array([" ".join(rnd.choice("abcdefgh") + str(rnd.randint(0, 99)) for _ in range(200)) for _ in range(30)])
+    levels = bands(80, 400)
+    sizes = [sum(len(x.as_py()) for c in ("sigs", "sets", "levels") for x in jaccard.packed_signatures(rows, 5, 80, levels, n).column(c)) for n in (16, 5000)]
+    assert sizes[0] == sizes[1] > 0

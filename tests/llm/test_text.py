@@ -234,3 +234,21 @@ def test_pipeline(spark, sf):
     codec = Codec(tokenizer_path(TOKENIZER))
     want = Counter((r.doc_id, hashlib.sha256(" ".join(map(str, codec.encode(r.text).ids)).encode()).hexdigest()) for r in last)
     assert Counter((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, sf_dir).collect()) == want
+
+
+def test_no_text_is_shuffled_to_its_label(spark, monkeypatch):
+    """Rules are learned from statistics joined with labels; with labels too many to broadcast, texts stay where they are."""
+    from factweave.llm import quality_rules
+
+    rows = [(i, f"word{i} " * 5 + " ".join(f"w{i * j}" for j in range(40)), i % 2) for i in range(60)]
+    docs, labels = (spark.createDataFrame([(r[0], r[at]) for r in rows], f"doc_id long, {name}") for at, name in ((1, "text string"), (2, "quality int")))
+    seen, write = {}, quality_rules.materialize
+    monkeypatch.setattr(quality_rules, "materialize", lambda df, name: (seen.update({name: df}), write(df, name))[1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keep_good(docs, labels)
+        plan = seen["rules-known"]._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffled = re.findall(r"\) Exchange\nInput \[\d+\]: (.*)", plan)
+    assert shuffled and not any(re.search(r"\btext#", x) for x in shuffled)
