@@ -27,7 +27,7 @@ def matches(src: Column, pattern: str, make) -> Column:
     Every match is marked where it starts; the marks of each line say which lines they are on.
     """
     mark = "\x01"
-    marked = F.split(F.regexp_replace(F.translate(src, mark, "\x02"), pattern, mark + "$0"), "\n")
+    marked = F.split(F.regexp_replace(F.replace(src, F.lit(mark), F.lit("\x02")), pattern, mark + "$0"), "\n")
     marks = lambda text: F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
     lines = F.flatten(F.transform(marked, lambda text, i: F.array_repeat((i + 1).cast("long"), marks(text))))
     found = F.zip_with(F.regexp_extract_all(src, F.lit(pattern), 0), lines, make)

@@ -49,3 +49,14 @@ def test_index_deals_small_tasks(spark, monkeypatch):
     before = now()
     index(V.src_files(spark, DATA))
     assert int(seen[0][0]) > 8 and seen[0][1] == "-1" and now() == before
+
+
+def test_marks_do_not_copy_each_source(spark):
+    """Sources without the mark, all but a few, aren't rewritten for every pattern that they match."""
+    from pyspark.sql import functions as F
+
+    from factweave.operators import extract
+
+    found = spark.createDataFrame([("a\x01b\nxax",)], "src string").select(extract.matches(F.col("src"), "a", lambda text, line: F.struct(text, line)).alias("m"))
+    assert "translate(" not in found._jdf.queryExecution().analyzed().toString()
+    assert [tuple(r) for r in found.first()["m"]] == [("a", 1), ("a", 2)]
