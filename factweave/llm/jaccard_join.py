@@ -44,7 +44,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import materialize
+from .id_filter import id_filter, may_be_in, may_hold
+from .store import materialize, materialize_by
 
 #: Sizes of a band: the largest is so many times the smallest.
 BAND = 1.3
@@ -286,11 +287,11 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, percent: int, levels: li
     groups = materialize(groups, "jaccard-groups")
 
     wanted = likely.select(F.explode(F.array("a", "b")).alias("set")).unionByName(groups.select("set")).distinct()
-    elements = materialize(_elements(wanted, rows, classes, k), "jaccard-elements")
+    elements = materialize_by(_elements(wanted, rows, classes, k), "jaccard-elements", "set")
     links = materialize(_verified(likely, elements, percent), "jaccard-links")
     if groups.isEmpty():
         return links
-    ranked = materialize(_ranked(groups.select("set").distinct().join(elements, "set")), "jaccard-ranked")
+    ranked = materialize_by(_ranked(groups.select("set").distinct().join(elements, "set")), "jaccard-ranked", "set")
     # a set that shares none of its rarest elements with another one of a large group links with none of them
     size = F.size("e")
     shares = F.element_at("n", (size - F.ceil(F.lit(percent) * size / 100) + 1).cast("int")) > 1
@@ -305,7 +306,7 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, percent: int, levels: li
         hubs = materialize(hubs.where("low <> high").select("g", "hub"), "jaccard-hubs")
         if hubs.isEmpty():
             return links
-        compared = materialize(_compared(groups.join(hubs, "g").where("set <> hub").select("hub", "set").distinct(), ranked, percent), "jaccard-compared")
+        compared = materialize(_compared(groups.join(hubs, "g").where("set <> hub").select("hub", "set").distinct(), hubs, ranked, percent), "jaccard-compared")
         near = compared.where("role = 0").select(F.col("set").alias("a"), F.col("g").alias("b"))
         links = materialize(links.unionByName(near), "jaccard-links")
         component = _components(links)
@@ -325,7 +326,10 @@ def _links(rows: DataFrame, classes: DataFrame, k: int, percent: int, levels: li
     pairs = materialize(pairs.distinct(), "jaccard-pairs")
     if pairs.isEmpty():
         return links
-    return links.unionByName(_verified(_possible(pairs, classes, percent), elements, percent))
+    pairs = materialize(_possible(pairs, classes, percent), "jaccard-pairs")
+    # only lists that are left are dealt by set, in a table of their own: joins may split what many pairs have in common
+    own = materialize(elements.join(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct(), "set"), "jaccard-own")
+    return links.unionByName(_verified(pairs, own, percent))
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -339,19 +343,24 @@ def _lists(column: pa.Array) -> list[np.ndarray]:
 
 
 def _elements(wanted: DataFrame, rows: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """set, e: the elements of each wanted set, once, from a text that has them."""
+    """set, e: the elements of each wanted set, once, from a text that has them.
+
+    No text is shuffled: where it is read, a filter of the wanted ids tells which ones can't have a wanted set.
+    """
+    wanted = materialize(wanted.join(classes, "set").select("set", "first"), "jaccard-wanted")
+    ids = id_filter(wanted, "first")
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t.as_py(), k) for t in b.column("text")]
-            # an id that several rows share may bring other texts than the set's own
-            right = np.array([set_id(x) for x in sets], np.uint64).view(np.int64) == b.column("set").to_numpy()
-            own = [x.view(np.int64) for x, r in zip(sets, right) if r]
-            yield pa.RecordBatch.from_arrays([b.column("set").filter(pa.array(right)), pa.array(own, pa.list_(pa.int64()))], ["set", "e"])
+        for whole in batches:
+            texts = whole.column("text").filter(pa.array(may_hold(ids.value, whole.column("h").to_numpy())))
+            for start in range(0, len(texts), 500):
+                sets = [shingle_set(t.as_py(), k) for t in texts.slice(start, 500)]
+                own = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([set_id(x) for x in sets], np.uint64).view(np.int64)), own], ["set", "e"])
 
-    ids = wanted.join(classes, "set").select("set", F.col("first").alias("doc_id"))
-    texts = rows.where("text is not null").join(ids, "doc_id").select("set", "text")
-    return texts.mapInArrow(told, "set long, e array<long>").groupBy("set").agg(F.first("e").alias("e"))
+    found = rows.where("text is not null and doc_id is not null").select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(told, "set long, e array<long>")
+    # an id that several rows share, or the filter, may bring other sets than the wanted ones
+    return found.join(wanted.select("set"), "set", "left_semi").groupBy("set").agg(F.first("e").alias("e"))
 
 
 def _ranked(elements: DataFrame) -> DataFrame:
@@ -419,7 +428,7 @@ def _rare_elements(ranked: DataFrame, percent: int) -> DataFrame:
     return rows.select(F.xxhash64("p.e").alias("g"), "set", F.lit(8).cast("long").alias("role"), need, (F.col("size") - F.col("p.i")).alias("rest"), "size")
 
 
-def _compared(pairs: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
+def _compared(pairs: DataFrame, hubs: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
     """Members compared with their hubs: (g = hub, role 0) for links, (role 8) for far ones, and rows of the groups g in which close ones may meet others."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,7 +452,9 @@ def _compared(pairs: DataFrame, ranked: DataFrame, percent: int) -> DataFrame:
             cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in found]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["g", "set", "role", "need", "rest", "size"])
 
+    # the hubs' lists are a table of their own: its join may split what many members have in common
     hub = ranked.select(F.col("set").alias("hub"), F.col("e").alias("e_hub"), F.col("n").alias("n_hub"))
+    hub = materialize(hub.join(hubs.select("hub").distinct(), "hub"), "jaccard-hub-lists")
     joined = pairs.join(ranked, "set").join(hub, "hub")
     return joined.mapInArrow(compared, "g long, set long, role long, need long, rest long, size long")
 
@@ -490,14 +501,15 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str
     Rows with a null id stay. Rows that share an id: of equal ones one stays.
     """
     linked = materialize(link_documents(docs, k, percent, doc_id, text), "jaccard-kept")
-    heads = linked.where("doc_id is not null and doc_id = component_id").groupBy(F.col("doc_id").alias("__head")).agg(F.count(F.lit(1)).alias("__n"))
-    heads = materialize(heads, "jaccard-heads")
-    kept = docs.join(heads.select("__head"), F.col(doc_id) == F.col("__head"), "left_semi")
-    shared = heads.where("__n > 1").select("__head")
-    if not shared.isEmpty():
-        same = F.col(doc_id) == F.col("__head")
-        kept = kept.join(shared, same, "left_anti").unionByName(docs.join(shared, same, "left_semi").dropDuplicates([doc_id, text]))
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+    heads = F.count_if(F.col("doc_id") == F.col("component_id")).alias("__n")
+    ids = materialize(linked.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(heads), "jaccard-heads")
+    changed = materialize(ids.where("__n <> 1"), "jaccard-changed")  # ids that go, and those that rows share
+    # rows that can't have such an id stay where they are; only the others' texts are shuffled
+    possible = may_be_in(doc_id, id_filter(changed, "__id"))
+    rest, same = docs.where(possible), F.col(doc_id) == F.col("__id")
+    kept = docs.where(~possible).unionByName(rest.join(changed.select("__id"), same, "left_anti"))
+    shared = changed.where("__n > 1").select("__id")
+    return kept if shared.isEmpty() else kept.unionByName(rest.join(shared, same, "left_semi").dropDuplicates([doc_id, text]))
 
 
 def op10_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 import factweave.llm.jaccard_join as jaccard
 from factweave.llm.components import connected_components
 from factweave.llm.fm_index import FMIndex
+from factweave.llm.id_filter import id_filter, may_be_in
 from factweave.llm.jaccard_join import bands, keep_one_of_each, link_documents, shingle_set, signatures
 from factweave.llm.range_join import link_vectors
 from factweave.llm.substring_dedup import cut_repeats
@@ -193,3 +194,46 @@ def test_signatures_take_as_many_bytes_in_many_buckets():
     levels = bands(80, 400)
     sizes = [sum(len(x.as_py()) for c in ("sigs", "sets", "levels") for x in jaccard.packed_signatures(rows, 5, 80, levels, n).column(c)) for n in (16, 5000)]
     assert sizes[0] == sizes[1] > 0
+
+
+def shuffled_bytes(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_texts_that_stay_are_not_shuffled(spark, monkeypatch):
+    """Only texts of ids that go, or that rows share, may be joined."""
+    rnd = random.Random(9)
+    docs = [(i, f"{rnd.getrandbits(16000):x}", "en") for i in range(600)] + [(7, "another", None), (8, "same", None), (8, "same", None), (None, "x", None)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3)
+    linked = [(i, 1, 10 * (i // 10) if i % 10 in (3, 8) else i) for i, *_ in docs if i is not None] + [(None, 1, None)]
+    monkeypatch.setattr(jaccard, "link_documents", lambda *_: spark.createDataFrame(linked, "doc_id long, n_shingles long, component_id long"))
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name: spark.createDataFrame(df.collect(), df.schema))  # only what keep_one_of_each itself shuffles
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = spark.createDataFrame(table.collect(), table.schema)
+        before = shuffled_bytes(spark)
+        got = keep_one_of_each(table).collect()
+        moved = shuffled_bytes(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    goes = {i for i, _, c in linked if i is not None and i != c}
+    assert sorted(map(str, got)) == sorted(str(spark_row) for spark_row in table.dropDuplicates().collect() if spark_row.doc_id not in goes)
+    assert moved < 0.5 * sum(len(t) for _, t, _ in docs)
+
+
+def test_id_filter_lets_all_of_its_ids_through(spark):
+    ids = spark.range(3000).selectExpr("concat('d', id * 7) as k")
+    some = spark.range(20000).selectExpr("concat('d', id) as k").unionByName(spark.createDataFrame([(None,)], "k string"))
+    got = [r.k for r in some.where(may_be_in("k", id_filter(ids, "k"))).collect()]
+    want = {f"d{i}" for i in range(0, 20000, 7)}
+    assert want <= set(got) and len(got) <= len(want) + 400
+    assert some.where(may_be_in("k", id_filter(ids.limit(0), "k"))).count() == 0
+
+
+def test_texts_without_candidates(spark):
+    rnd = random.Random(10)
+    table = spark.createDataFrame([(i, " ".join(str(rnd.random()) for _ in range(40))) for i in range(5)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in link_documents(table).collect()} == {i: i for i in range(5)}
+    assert keep_one_of_each(table).count() == 5
