@@ -258,12 +258,13 @@ def resolve_edges(edges: DataFrame, resolutions: DataFrame) -> DataFrame:
 def resolution_requests(edges: DataFrame, files: DataFrame) -> DataFrame:
     """src_file, line, dst_symbol, language, column: where a definition of each open call can be asked for.
 
-    Sources go where their calls are, dealt by file to tasks of bounded text: Spark takes a table of
-    texts for as small as its keys and would broadcast it.
+    Calls meet their own line, not the whole text, so this is linear in files of any length. Both are dealt by
+    line to tasks of bounded text: Spark takes a table of texts for as small as its keys and would broadcast it.
     """
     parts = parts_of(files)
-    open_ = edges.where("rel = 'calls' and dst_file is null and line is not null").select("src_file", "line", "dst_symbol").distinct()
-    open_ = open_.repartition(parts, "src_file")
-    lines = files.select(F.col("file").alias("src_file"), "src").repartition(parts, "src_file").hint("merge")
-    at = S.symbol_column(F.split_part("src", F.lit("\n"), F.col("line").cast("int")), F.col("dst_symbol"))
-    return open_.join(lines, "src_file").select("src_file", "line", "dst_symbol", S.server_language(F.col("src_file")).alias("language"), at.alias("column")).where("column is not null")
+    key = ["src_file", "line"]
+    open_ = edges.where("rel = 'calls' and dst_file is null and line is not null").select(*key, "dst_symbol").distinct()
+    lines = files.select(F.col("file").alias("src_file"), F.posexplode(F.split("src", "\n")).alias("at", "text")).select("src_file", (F.col("at") + 1).cast("long").alias("line"), "text")
+    found = open_.repartition(parts, *key).join(lines.repartition(parts, *key).hint("merge"), key)
+    at = S.symbol_column(F.col("text"), F.col("dst_symbol"))
+    return found.select(*key, "dst_symbol", S.server_language(F.col("src_file")).alias("language"), at.alias("column")).where("column is not null")

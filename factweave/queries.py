@@ -892,10 +892,14 @@ def resolve_edges(spark, sf_dir):
     return explore.resolve_edges(edges, told).select("src_symbol", "src_file", "dst_symbol", "dst_file")
 
 
-@query(f"with {V.SRC_SQL} select file as src_file, cast(line as bigint) as line, regexp_extract(text, '(helper[0-9]+)[(]', 1) as dst_symbol, case language when 'javascript' then 'javascript' when 'python' then 'python' when 'rust' then 'rust' else regexp_extract(file, '[.]([a-z]+)$', 1) end as language, strlen(regexp_extract(text, '^(.*?)helper', 1)) as \"column\" from lines where regexp_matches(text, 'helper[0-9]+[(]')")
+@query(f"""with {V.SRC_SQL}, {_stated('line, name', _CALLED_ROWS)}, asked as (select file, line, language, {_filled('name')} as name from stated)
+select file as src_file, cast(line as bigint) as line, name as dst_symbol, case when a.language in ('javascript', 'typescript', 'python', 'rust') then a.language else regexp_extract(file, '[.]([a-z]+)$', 1) end as language,
+  strlen(regexp_extract(text, '^(.*?)\\b' || name || '\\b', 1)) as \"column\" from asked a join lines using (file, line)""")
 def resolution_requests(spark, sf_dir):
-    files = V.src_files(spark, sf_dir)
-    return explore.resolution_requests(extract.edges(files).where("dst_symbol like 'helper%'"), files).withColumn("column", F.col("column").cast("long"))
+    """Every call of the sources: none has a known target yet."""
+    files, none = V.src_files(spark, sf_dir), F.lit(None).cast("string")
+    calls = extract.calls(files).select(F.lit("calls").alias("rel"), "src_file", "line", "dst_symbol", none.alias("dst_file"))
+    return explore.resolution_requests(calls, files).withColumn("column", F.col("column").cast("long"))
 
 
 @query("select c_custkey, case when c_custkey % 4 < 2 then 6 + 2 * (c_custkey % 4) else -1 end::bigint as at from customer")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factweave.functions import scalars as S
-from factweave.operators import extract, graph
+from factweave.operators import explore, extract, graph
 from factweave.plans.index import Config, index
 from factweave.queries import QUERIES
 from factweave.sources.files import list_files, read_tree, snapshot_status
@@ -182,3 +182,18 @@ def test_resolved_edges_of_lines(spark, tmp_path):
     spark.createDataFrame(rows, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = sorted(tuple(r) for r in QUERIES["resolve_edges"](spark, str(tmp_path)).collect())
     assert got == [("s14", "f0", "p7", None), ("s14", "f0", "p8", "at8"), ("s9", "f2", "p2", "at2"), ("s9", "f2", "p5", None)]
+
+
+def test_every_call_is_asked_for(spark):
+    """Not only the calls of some names: each call of the sources without a known target has its request."""
+    of = lambda name: {(r.src_file, r.line, r.dst_symbol) for r in QUERIES[name](spark, "/root/testdata/sf0.001").collect()}
+    asked = of("resolution_requests")
+    assert asked == of("extract_call_edges") and {"getenv", "query"} < {symbol for *_, symbol in asked}
+
+
+def test_requests_meet_their_line(spark):
+    """Bytes before a call's first whole word in its own line; lines that a file doesn't have give no request."""
+    files = spark.createDataFrame([("a.py", "python", "x = 1\né = forget(get(1))\nget(2)")], "file string, language string, src string")
+    edges = spark.createDataFrame([("calls", "a.py", 2, "get", None), ("calls", "a.py", 3, "get", None), ("calls", "a.py", 9, "get", None), ("calls", "a.py", 3, "get", "b.py"), ("imports", "a.py", 1, "x", None)],
+        "rel string, src_file string, line long, dst_symbol string, dst_file string")
+    assert {tuple(r) for r in explore.resolution_requests(edges, files).collect()} == {("a.py", 2, "get", "python", 12), ("a.py", 3, "get", "python", 0)}
