@@ -7,6 +7,8 @@ an explode: patterns run where the file is read, nothing is shuffled.
 from __future__ import annotations
 
 import functools
+from functools import reduce
+from operator import or_
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
@@ -18,20 +20,49 @@ from factweave.functions import scalars as S
 
 
 def newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def matches(src: Column, pattern: str, make) -> Column:
-    """Array of ``make(text, line)`` for the non-overlapping matches of a pattern, in linear time.
+def let(value: Column, of) -> Column:
+    """``of(value)``, the value computed once."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
 
-    Every match is marked where it starts; the marks of each line say which lines they are on.
+
+#: Characters that are put before and after matches, and what stands for them where a source has them itself.
+_BEGIN, _END, _OTHER = "\x01", "\x02", "\x03"
+
+
+def has_marks(src: Column) -> Column:
+    return F.contains(src, F.lit(_BEGIN)) | F.contains(src, F.lit(_END))
+
+
+def matches(src: Column, pattern: str, make, odd: Column | None = None) -> Column:
+    """Array of ``make(text, line)`` for the non-overlapping matches of a pattern, in one scan and linear time.
+
+    Every match is marked where it begins and ends; the marks of each line say which lines they are on. Of a source
+    with one match, as most have, only what is before it counts. ``odd``: ``has_marks`` of the source, where it is known.
     """
-    mark = "\x01"
-    marked = F.split(F.regexp_replace(F.replace(src, F.lit(mark), F.lit("\x02")), pattern, mark + "$0"), "\n")
-    marks = lambda text: F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
-    lines = F.flatten(F.transform(marked, lambda text, i: F.array_repeat((i + 1).cast("long"), marks(text))))
-    found = F.zip_with(F.regexp_extract_all(src, F.lit(pattern), 0), lines, make)
-    return F.when(src.rlike(pattern), found).otherwise(F.array())
+    odd = has_marks(src) if odd is None else odd
+    plain = F.when(odd, F.replace(F.replace(src, F.lit(_BEGIN), F.lit(_OTHER)), F.lit(_END), F.lit(_OTHER))).otherwise(src)
+    begins = lambda text: F.octet_length(text) - F.octet_length(F.replace(text, F.lit(_BEGIN), F.lit("")))
+
+    def found(marked: Column, pieces: Column) -> Column:
+        shown = F.transform(F.slice(pieces, F.lit(2), F.size(pieces) - 1), lambda piece: F.substring_index(piece, _END, 1))
+        texts = F.when(odd, F.regexp_extract_all(src, F.lit(pattern), 0)).otherwise(shown)
+        every = F.flatten(F.transform(F.split(marked, "\n"), lambda text, i: F.array_repeat((i + 1).cast("long"), begins(text))))
+        lines = F.when(F.size(pieces) == 2, F.array((newlines(F.get(pieces, F.lit(0))) + 1).cast("long"))).otherwise(every)
+        return F.when(F.size(pieces) > 1, F.zip_with(texts, lines, make)).otherwise(F.array())
+
+    return let(F.regexp_replace(plain, pattern, f"{_BEGIN}$0{_END}"), lambda marked: let(F.split(marked, _BEGIN), lambda pieces: found(marked, pieces)))
+
+
+def lexed(files: DataFrame) -> DataFrame:
+    """``files`` with code (comments blanked) and bare (strings, too); extractors that are given them don't lex again."""
+    return files.withColumn("code", L.code()).withColumn("bare", L.bare())
+
+
+def _coded(files: DataFrame) -> DataFrame:
+    return files if "code" in files.columns else files.withColumn("code", L.code())
 
 
 def _guarded(languages, rows: Column) -> Column:
@@ -68,21 +99,24 @@ def arguments(body: Column) -> Column:
     state = F.struct(F.lit(1).alias("depth"), F.lit("").alias("own"), F.array().cast("array<string>").alias("done"))
 
     def step(s: Column, piece: Column) -> Column:
-        depth = s["depth"] + F.when(piece.isin("(", "[", "{"), F.lit(1)).when(piece.isin(")", "]", "}"), F.lit(-1)).otherwise(F.lit(0))
+        opens, closes = ((piece == a) | (piece == b) | (piece == c) for a, b, c in ("([{", ")]}"))
+        depth = s["depth"] + F.when(opens, F.lit(1)).when(closes, F.lit(-1)).otherwise(F.lit(0))
         cut = (depth == 0) | ((depth == 1) & (piece == ","))
         made = F.struct(depth.alias("depth"), F.when(cut, F.lit("")).otherwise(F.concat(s["own"], piece)).alias("own"), F.when(cut, F.array_append(s["done"], F.trim(s["own"]))).otherwise(s["done"]).alias("done"))
         return F.when(s["depth"] == 0, s).otherwise(made)
 
-    pieces = F.regexp_extract_all(body, F.lit(R.ARGUMENT_PIECES), 0)
+    # most calls end early: only what is before the end is taken apart
+    ended = F.coalesce(F.nullif(F.regexp_extract(body, R.CALL_END, 0), F.lit("")), body)
+    pieces = F.regexp_extract_all(ended, F.lit(R.ARGUMENT_PIECES), 0)
     return F.aggregate(pieces, state, step, lambda s: F.when(s["depth"] == 0, F.filter(s["done"], lambda a: a != "")))
 
 
-def call_sites(code: Column, rules) -> Column:
+def call_sites(code: Column, rules, odd: Column | None = None) -> Column:
     """Array of (head, arguments, line) of the calls of any of the rules' methods; one scan for all rules."""
     methods = dict.fromkeys(m for r in rules for m in r.methods)
     head = R.CALL_SITE.replace("{}", "|".join(methods))
-    bodies = F.regexp_extract_all(code, F.lit(rf"{head}(?=([\s\S]{{0,{R.CALL_SPAN}}}))"), 1)
-    heads = matches(code, head, lambda text, line: F.struct(text.alias("head"), line.alias("line")))
+    bodies = F.regexp_extract_all(code, F.lit(rf"{head}(?=((?s:.{{0,{R.CALL_SPAN}}}+)))"), 1)
+    heads = matches(code, head, lambda text, line: F.struct(text.alias("head"), line.alias("line")), odd)
     return F.zip_with(heads, bodies, lambda h, b: F.struct(h["head"].alias("head"), arguments(b).alias("args"), h["line"].alias("line")))
 
 
@@ -107,9 +141,11 @@ def boundary_events(files: DataFrame, rules=None, compat: bool = False) -> DataF
     rule's query gives its primary table alone. ``ord`` orders the events of a file: call rules before patterns,
     then by rule and line. ``raw_context`` is the line's text.
     """
-    coded = files.select("file", "language", "src", L.code().alias("code"))
+    coded = _coded(files.select("file", "language", "src", *[c for c in files.columns if c == "code"])).withColumn("odd", has_marks(F.col("code")))
     found = _events_of(tuple(rules or (*R.CALL_RULES, *R.EVENT_RULES)), SparkContext._active_spark_context)
-    rows = coded.select("file", "language", "src", F.explode(found).alias("e")).select("file", "language", "e.*", F.split_part("src", F.lit("\n"), F.col("e.line").cast("int")).alias("raw_context")).where("key_raw is not null")
+    # each event takes its line along; the text itself isn't copied to them
+    told = let(F.split("src", "\n"), lambda texts: F.transform(found, lambda e: F.struct(e.alias("e"), F.get(texts, e["line"].cast("int") - 1).alias("raw_context"))))
+    rows = coded.select("file", "language", F.explode(told).alias("x")).select("file", "language", "x.e.*", "x.raw_context").where("key_raw is not null")
     every = S.sql_tables(F.col("key_raw"))
     if compat:
         every = F.when(F.col("prov_source") == "lexical", F.array_compact(F.array(S.sql_primary_table(F.col("key_raw"))))).otherwise(every)
@@ -120,9 +156,9 @@ def boundary_events(files: DataFrame, rules=None, compat: bool = False) -> DataF
 
 @functools.lru_cache(maxsize=64)
 def _events_of(rules: tuple[R.Rule, ...], context) -> Column:
-    """Array of all events of a file (columns language, code); built once for a session, as it is a large expression."""
+    """Array of all events of a file (columns language, code, odd); built once for a session, as it is a large expression."""
     rules = [(i, r) for i, r in enumerate(rules) if r.enabled]
-    code = F.col("code")
+    code, odd = F.col("code"), F.col("odd")
 
     def event(rule: R.Rule, number: int, text: Column, line: Column, key: Column) -> Column:
         key = S.strip_literal(key) if rule.strip else key
@@ -146,7 +182,7 @@ def _events_of(rules: tuple[R.Rule, ...], context) -> Column:
         found = lambda site: F.transform(
             F.array(*[F.struct(F.lit(i).alias("i"), site_key(r, site).alias("key")) for i, r in own]), lambda x: F.struct(x["i"].alias("i"), x["key"].alias("key"), site["head"].alias("head"), site["line"].alias("line"))
         )
-        hits = F.filter(F.flatten(F.transform(call_sites(code, [r for _, r in own]), found)), lambda x: x["key"].isNotNull())
+        hits = F.filter(F.flatten(F.transform(call_sites(code, [r for _, r in own], odd), found)), lambda x: x["key"].isNotNull())
 
         def made(x: Column) -> Column:
             out = None
@@ -157,12 +193,18 @@ def _events_of(rules: tuple[R.Rule, ...], context) -> Column:
         return F.transform(hits, made)
 
     def of_pattern(rule: R.Rule, number: int) -> Column:
-        found = matches(code, rule.pattern, lambda text, line: event(rule, number, text, line, _group(text, rule.pattern, rule.key)))
-        return F.when(F.contains(code, F.lit(rule.needs)), found).otherwise(F.array()) if rule.needs else found
-
-    parts = [_guarded(r.languages, of_pattern(r, i)) for i, r in rules if not r.methods]
-    parts += [_guarded((language,), sites) for language in R.ALL if (sites := of_sites(language)) is not None]
-    return F.concat(*parts)
+        found = matches(code, rule.pattern, lambda text, line: event(rule, number, text, line, _group(text, rule.pattern, rule.key)), odd)
+        return F.when(reduce(or_, [F.contains(code, F.lit(n)) for n in rule.needs]), found).otherwise(F.array()) if rule.needs else found
+
+    # rules of the same languages have one guard: a list is searched slowly outside of generated code
+    parts: dict[tuple[str, ...], list[Column]] = {}
+    for i, r in rules:
+        if not r.methods:
+            parts.setdefault(r.languages, []).append(of_pattern(r, i))
+    for language in R.ALL:
+        if (sites := of_sites(language)) is not None:
+            parts.setdefault((language,), []).append(sites)
+    return F.concat(*[_guarded(languages, F.concat(*found)) for languages, found in parts.items()])
 
 
 def _lines(files: DataFrame, text: Column) -> DataFrame:
@@ -171,13 +213,14 @@ def _lines(files: DataFrame, text: Column) -> DataFrame:
 
 def code_lines(files: DataFrame) -> DataFrame:
     """file, language, line, text of every line, comments blanked."""
-    return _lines(files, L.code())
+    return _lines(files, F.col("code") if "code" in files.columns else L.code())
 
 
 def bare_lines(files: DataFrame) -> DataFrame:
     """file, language, line, text of every line, comments and strings blanked."""
-    coded = files.select("file", "language", L.code().alias("code"))
-    return _lines(coded, L.bare())
+    if "bare" in files.columns:
+        return _lines(files, F.col("bare"))
+    return _lines(_coded(files).select("file", "language", "code"), L.bare())
 
 
 @functools.lru_cache(maxsize=4)
@@ -195,7 +238,7 @@ def _defined(context) -> Column:
             "always": lambda n: F.lit(True),
         }[export]
         made = lambda n: F.when(n.isNotNull() & ~n.isin(*R.NOT_DEFINED), F.named_struct(F.lit("name"), n, F.lit("kind"), F.lit(kind), F.lit("is_exported"), exported(n)))
-        return F.get(F.transform(F.array(name), made), F.lit(0))  # a name is found once
+        return let(name, made)  # a name is found once
 
     found = None
     for language in R.ALL:
@@ -256,8 +299,8 @@ def edges(files: DataFrame) -> DataFrame:
 
 def grouped_imports(files: DataFrame) -> DataFrame:
     """Edges of Go's imports in brackets, one for each path."""
-    code = L.code_of(F.lit("go"), F.col("src"))
-    blocks = files.where("language = 'go'").select("file", code.alias("code")).select("file", F.explode(matches(F.col("code"), R.GO_IMPORTS, lambda text, line: F.struct(text.alias("text"), line.alias("line")))).alias("b"))
+    own = files.where("language = 'go'")
+    blocks = _coded(own).select("file", F.explode(matches(F.col("code"), R.GO_IMPORTS, lambda text, line: F.struct(text.alias("text"), line.alias("line")))).alias("b"))
     rows = blocks.select("file", "b.line", F.posexplode(F.split("b.text", "\n")).alias("i", "text"))
     path, none = F.nullif(F.regexp_extract("text", R.GO_IMPORT, 1), F.lit("")), F.lit(None).cast("string")
     found = rows.select(F.col("file").alias("src_file"), none.alias("src_symbol"), F.lit("imports").alias("rel"), path.alias("dst_file"), none.alias("dst_symbol"), (F.col("line") + F.col("i")).alias("line"))

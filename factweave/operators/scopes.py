@@ -83,7 +83,8 @@ def scopes(files: DataFrame, parts: int | None = None) -> DataFrame:
     A declaration without a body ends with its statement; where brackets don't match, with its file. Sources are dealt
     by file to ``parts`` tasks; lines, marks and symbols stay where their file is.
     """
-    lines = extract.with_symbols(extract.bare_lines(files.repartition(parts or parts_of(files), "file")))
+    texts = files.select("file", "language", "bare") if "bare" in files.columns else files
+    lines = extract.with_symbols(extract.bare_lines(texts.repartition(parts or parts_of(files), "file")))
     python = F.col("language") == "python"
     rows = _bracket_ends(lines.where(~python)).unionByName(_indent_ends(lines.where(python)))
     end = F.when(F.col("one_line"), F.col("line")).otherwise(F.greatest("end", "line"))

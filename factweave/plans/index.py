@@ -35,7 +35,8 @@ def index(files: DataFrame, config: Config = Config(), verdicts: DataFrame | Non
     files = files.select("file", "language", "src")
     parts = scopes.parts_of(files)
     with small_tasks(files.sparkSession, parts):
-        return _index(files, parts, config, verdicts, resolutions, title, date, root)
+        # comments and strings are told apart once for all extractors
+        return _index(materialize(extract.lexed(files), "lexed"), parts, config, verdicts, resolutions, title, date, root)
 
 
 def _index(files: DataFrame, parts: int, config: Config, verdicts: DataFrame | None, resolutions: DataFrame | None, title: str, date: str, root: str) -> dict[str, DataFrame]:

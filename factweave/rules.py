@@ -32,7 +32,7 @@ class Rule:
     never: keys that don't count. strip: the key is an expression, of which a literal loses its marks.
     A call of one of ``methods`` on what ends with ``receivers`` is looked at by its arguments, which may hold
     brackets: the key is the ``last`` one or the first; ``least`` says how many there must be, ``prefix`` what may stand before the first. For these,
-    ``pattern`` states the same for arguments without brackets. A file without the text ``needs`` isn't searched.
+    ``pattern`` states the same for arguments without brackets. A file with none of the texts ``needs``, of which every match holds one, isn't searched.
     """
 
     name: str
@@ -51,46 +51,46 @@ class Rule:
     least: int = 1
     prefix: str = ""
     dot: str = r"\."
-    needs: str = ""
+    needs: tuple[str, ...] = ()
 
 
 #: Pattern layer: in any file unless the rule names languages.
 EVENT_RULES = (
-    Rule("js_env", JS, r"process\.env\.([A-Z_][A-Z0-9_]+)", (1,), "env", "read"),
-    Rule("py_env", ("python",), r"os\.environ(?:\.get)?\s*\(\s*['\"]([^'\"]+)['\"]\)|os\.getenv\s*\(\s*['\"]([^'\"]+)['\"]\)|os\.environ\[['\"]([^'\"]+)['\"]\]", (1, 2, 3), "env", "read"),
-    Rule("rb_env", ("ruby",), r"ENV\[['\"]([^'\"]+)['\"]\]|ENV\.fetch\s*\(\s*['\"]([^'\"]+)['\"]\)", (1, 2), "env", "read"),
-    Rule("rs_env", ("rust",), r"(?:std::env|env)::var\s*\(\s*\"([^\"]+)\"\s*\)", (1,), "env", "read"),
+    Rule("js_env", JS, r"process\.env\.([A-Z_][A-Z0-9_]+)", (1,), "env", "read", needs=("process.env.",)),
+    Rule("py_env", ("python",), r"os\.environ(?:\.get)?\s*\(\s*['\"]([^'\"]+)['\"]\)|os\.getenv\s*\(\s*['\"]([^'\"]+)['\"]\)|os\.environ\[['\"]([^'\"]+)['\"]\]", (1, 2, 3), "env", "read", needs=("os.environ", "os.getenv")),
+    Rule("rb_env", ("ruby",), r"ENV\[['\"]([^'\"]+)['\"]\]|ENV\.fetch\s*\(\s*['\"]([^'\"]+)['\"]\)", (1, 2), "env", "read", needs=("ENV[", "ENV.fetch")),
+    Rule("rs_env", ("rust",), r"(?:std::env|env)::var\s*\(\s*\"([^\"]+)\"\s*\)", (1,), "env", "read", needs=("env::var",)),
     Rule("redis_get", ALL, rf"(?:client|redis|cache|\br\b)\.(get|hget|lrange|smembers|zscore|zrange|type|ttl|exists)\s*\(\s*[f`]?{Q}({N}+){Q}", (2,), "redis", "read", receivers=r"(?:client|redis|cache|\br)", methods=("get", "hget", "lrange", "smembers", "zscore", "zrange", "type", "ttl", "exists"), last=False, prefix="[f`]?"),
     Rule("redis_set", ALL, rf"(?:client|redis|cache|\br\b)\.(set|hset|setex|psetex|lpush|rpush|sadd|zadd|incr|decr)\s*\(\s*[f`]?{Q}({N}+){Q}", (2,), "redis", "write", receivers=r"(?:client|redis|cache|\br)", methods=("set", "hset", "setex", "psetex", "lpush", "rpush", "sadd", "zadd", "incr", "decr"), last=False, prefix="[f`]?"),
-    Rule("kafka_send", ALL, rf"producer\.send\s*\(\s*\{{[^}}]*topic:\s*{Q}({N}+){Q}", (1,), "kafka", "write"),
-    Rule("kafka_subscribe", ALL, rf"consumer\.subscribe\s*\(\s*\{{[^}}]*topics?:\s*\[?{Q}({N}+){Q}", (1,), "kafka", "read"),
-    Rule("kafka_produce", ALL, r"producer\.produce\s*\(\s*['\"]([^'\"]+)['\"]\s*,", (1,), "kafka", "write"),
-    Rule("kafka_subscribe_list", ALL, r"consumer\.subscribe\s*\(\s*\[['\"]([^'\"]+)['\"]\]", (1,), "kafka", "read"),
-    Rule("db_query", ALL, rf"(?:db|conn|pool|client)\.(query|execute|run|raw)\s*\(\s*{Q}({N}{{5,}})", (2,), "sql", "select"),
-    Rule("prisma", ALL, r"prisma\.([a-zA-Z_][a-zA-Z0-9_]*)\.(findMany|findFirst|findUnique|create|update|upsert|delete|deleteMany|updateMany|count)", (1,), "sql", "find", needs="prisma."),
-    Rule("django", ALL, r"([A-Z][a-zA-Z0-9_]*)\.objects\.(filter|get|all|create|update|delete|bulk_create|first|last)", (1,), "sql", "manager", needs=".objects."),
-    Rule("sqlalchemy", ALL, r"(?:session|db\.session)\.(query|add|delete|merge|flush|commit)\s*\(\s*([A-Z][a-zA-Z0-9_]*)", (2,), "sql", "session", needs="session"),
-    Rule("set_header", ALL, rf"res\.(setHeader|set)\s*\(\s*{Q}({N}+){Q}", (2,), "http_header", "write"),
-    Rule("req_header", ALL, rf"req\.headers\[{Q}({N}+){Q}\]|req\.headers\.get\s*\(\s*{Q}({N}+){Q}", (1, 2), "http_header", "read"),
-    Rule("fetch", JS, rf"fetch\s*\(\s*{Q}(https?://[^'\"`\s]+|/[A-Za-z0-9_/\-.:]+){Q}", (1,), "http_out", "write", needs="fetch"),
-    Rule("fetch_template", JS, r"fetch\s*\(\s*`(/[^`]+)`", (1,), "http_out", "write", needs="fetch"),
-    Rule("proto_client", JS, rf"proto(?:Post|Get|Request)\s*(?:<[^>]*>)?\s*\(\s*{Q}(/[^'\"`\s]+){Q}", (1,), "http_out", "write"),
-    Rule("http_client", JS, rf"\b(?:axios|api|apiClient|client|http|httpClient|request)\.(get|post|put|delete|patch)\s*\(\s*{Q}({N}+){Q}", (2,), "http_out", "write"),
-    Rule("url_const", JS, rf"(?:const|let|var)\s+\w*(?:URL|ENDPOINT|API|HOST|BASE)\w*\s*=\s*{Q}(https?://[^'\"`\s]+|/[A-Za-z0-9_/\-.:]+){Q}", (1,), "http_out", "write"),
-    Rule("rabbit_publish", ALL, rf"channel\.(?:publish|sendToQueue)\s*\(\s*{Q}({N}*){Q}\s*,\s*{Q}({N}+){Q}", (2,), "rabbitmq", "write"),
-    Rule("rabbit_consume", ALL, rf"channel\.consume\s*\(\s*{Q}({N}+){Q}", (1,), "rabbitmq", "read"),
-    Rule("sqs_send", ALL, rf"sqs\.sendMessage\s*\(\s*\{{[^}}]*QueueUrl:\s*{Q}({N}+){Q}", (1,), "sqs", "write"),
-    Rule("sqs_receive", ALL, rf"sqs\.receiveMessage\s*\(\s*\{{[^}}]*QueueUrl:\s*{Q}({N}+){Q}", (1,), "sqs", "read"),
-    Rule("fs_js", ALL, rf"(?:fs|promises)\.(readFile|writeFile|appendFile|readFileSync|writeFileSync)\s*\(\s*{Q}({N}+){Q}", (2,), "filesystem", "file"),
-    Rule("prost_encode", ("rust",), r"([A-Z]\w+)\s*\{[^}]*\}\s*\.encode_to_vec\s*\(\s*\)", (1,), "grpc", "write", needs="encode_to_vec"),
-    Rule("prost_decode", ("rust",), r"([A-Z]\w+)::decode\s*\(", (1,), "grpc", "read", never=("base64", "hex", "utf8", "str", "String", "Vec", "u8", "i64", "f64"), needs="::decode"),
-    Rule("tonic_request", ("rust",), r"(?:tonic::)?Request::new\s*\(\s*(\w+)\s*[{\(]", (1,), "grpc", "write", needs="Request::new"),
-    Rule("proto_encode", JS, r"(\w+)\.encode\s*\([^)]+\)\.finish\s*\(\s*\)", (1,), "grpc", "write", needs=".encode"),
-    Rule("proto_decode", JS, r"(\w+)\.decode\s*\(\s*\w+", (1,), "grpc", "read", needs=".decode"),
-    Rule("js_stub", JS, r"(?:client|stub|grpcClient)\s*\.\s*([A-Z][a-zA-Z]+)\s*\(", (1,), "grpc", "write"),
-    Rule("py_stub", ("python",), r"(?:stub|channel|client)\s*\.\s*([A-Z][a-zA-Z]+)\s*\(", (1,), "grpc", "write"),
-    Rule("py_channel", ("python",), r"grpc\.(?:insecure_channel|secure_channel)\s*\(\s*['\"]([^'\"]+)['\"]", (1,), "grpc", "write"),
-    Rule("rb_stub", ("ruby",), r"(?:stub|client)\s*\.\s*([a-z_]+(?:_call|_request)?)\s*\(", (1,), "grpc", "write"),
+    Rule("kafka_send", ALL, rf"producer\.send\s*\(\s*\{{[^}}]*topic:\s*{Q}({N}+){Q}", (1,), "kafka", "write", needs=("producer.send",)),
+    Rule("kafka_subscribe", ALL, rf"consumer\.subscribe\s*\(\s*\{{[^}}]*topics?:\s*\[?{Q}({N}+){Q}", (1,), "kafka", "read", needs=("consumer.subscribe",)),
+    Rule("kafka_produce", ALL, r"producer\.produce\s*\(\s*['\"]([^'\"]+)['\"]\s*,", (1,), "kafka", "write", needs=("producer.produce",)),
+    Rule("kafka_subscribe_list", ALL, r"consumer\.subscribe\s*\(\s*\[['\"]([^'\"]+)['\"]\]", (1,), "kafka", "read", needs=("consumer.subscribe",)),
+    Rule("db_query", ALL, rf"(?:db|conn|pool|client)\.(query|execute|run|raw)\s*\(\s*{Q}({N}{{5,}})", (2,), "sql", "select", needs=(".query", ".execute", ".run", ".raw")),
+    Rule("prisma", ALL, r"prisma\.([a-zA-Z_][a-zA-Z0-9_]*)\.(findMany|findFirst|findUnique|create|update|upsert|delete|deleteMany|updateMany|count)", (1,), "sql", "find", needs=("prisma.",)),
+    Rule("django", ALL, r"([A-Z][a-zA-Z0-9_]*)\.objects\.(filter|get|all|create|update|delete|bulk_create|first|last)", (1,), "sql", "manager", needs=(".objects.",)),
+    Rule("sqlalchemy", ALL, r"(?:session|db\.session)\.(query|add|delete|merge|flush|commit)\s*\(\s*([A-Z][a-zA-Z0-9_]*)", (2,), "sql", "session", needs=("session",)),
+    Rule("set_header", ALL, rf"res\.(setHeader|set)\s*\(\s*{Q}({N}+){Q}", (2,), "http_header", "write", needs=("res.set",)),
+    Rule("req_header", ALL, rf"req\.headers\[{Q}({N}+){Q}\]|req\.headers\.get\s*\(\s*{Q}({N}+){Q}", (1, 2), "http_header", "read", needs=("req.headers",)),
+    Rule("fetch", JS, rf"fetch\s*\(\s*{Q}(https?://[^'\"`\s]+|/[A-Za-z0-9_/\-.:]+){Q}", (1,), "http_out", "write", needs=("fetch",)),
+    Rule("fetch_template", JS, r"fetch\s*\(\s*`(/[^`]+)`", (1,), "http_out", "write", needs=("fetch",)),
+    Rule("proto_client", JS, rf"proto(?:Post|Get|Request)\s*(?:<[^>]*>)?\s*\(\s*{Q}(/[^'\"`\s]+){Q}", (1,), "http_out", "write", needs=("protoPost", "protoGet", "protoRequest")),
+    Rule("http_client", JS, rf"\b(?:axios|api|apiClient|client|http|httpClient|request)\.(get|post|put|delete|patch)\s*\(\s*{Q}({N}+){Q}", (2,), "http_out", "write", needs=(".get", ".post", ".put", ".delete", ".patch")),
+    Rule("url_const", JS, rf"(?:const|let|var)\s+\w*(?:URL|ENDPOINT|API|HOST|BASE)\w*\s*=\s*{Q}(https?://[^'\"`\s]+|/[A-Za-z0-9_/\-.:]+){Q}", (1,), "http_out", "write", needs=("URL", "ENDPOINT", "API", "HOST", "BASE")),
+    Rule("rabbit_publish", ALL, rf"channel\.(?:publish|sendToQueue)\s*\(\s*{Q}({N}*){Q}\s*,\s*{Q}({N}+){Q}", (2,), "rabbitmq", "write", needs=("channel.publish", "channel.sendToQueue")),
+    Rule("rabbit_consume", ALL, rf"channel\.consume\s*\(\s*{Q}({N}+){Q}", (1,), "rabbitmq", "read", needs=("channel.consume",)),
+    Rule("sqs_send", ALL, rf"sqs\.sendMessage\s*\(\s*\{{[^}}]*QueueUrl:\s*{Q}({N}+){Q}", (1,), "sqs", "write", needs=("sqs.sendMessage",)),
+    Rule("sqs_receive", ALL, rf"sqs\.receiveMessage\s*\(\s*\{{[^}}]*QueueUrl:\s*{Q}({N}+){Q}", (1,), "sqs", "read", needs=("sqs.receiveMessage",)),
+    Rule("fs_js", ALL, rf"(?:fs|promises)\.(readFile|writeFile|appendFile|readFileSync|writeFileSync)\s*\(\s*{Q}({N}+){Q}", (2,), "filesystem", "file", needs=("fs.", "promises.")),
+    Rule("prost_encode", ("rust",), r"([A-Z]\w+)\s*\{[^}]*\}\s*\.encode_to_vec\s*\(\s*\)", (1,), "grpc", "write", needs=("encode_to_vec",)),
+    Rule("prost_decode", ("rust",), r"([A-Z]\w+)::decode\s*\(", (1,), "grpc", "read", never=("base64", "hex", "utf8", "str", "String", "Vec", "u8", "i64", "f64"), needs=("::decode",)),
+    Rule("tonic_request", ("rust",), r"(?:tonic::)?Request::new\s*\(\s*(\w+)\s*[{\(]", (1,), "grpc", "write", needs=("Request::new",)),
+    Rule("proto_encode", JS, r"(\w+)\.encode\s*\([^)]+\)\.finish\s*\(\s*\)", (1,), "grpc", "write", needs=(".encode",)),
+    Rule("proto_decode", JS, r"(\w+)\.decode\s*\(\s*\w+", (1,), "grpc", "read", needs=(".decode",)),
+    Rule("js_stub", JS, r"(?:client|stub|grpcClient)\s*\.\s*([A-Z][a-zA-Z]+)\s*\(", (1,), "grpc", "write", needs=("client", "stub", "grpcClient")),
+    Rule("py_stub", ("python",), r"(?:stub|channel|client)\s*\.\s*([A-Z][a-zA-Z]+)\s*\(", (1,), "grpc", "write", needs=("stub", "channel", "client")),
+    Rule("py_channel", ("python",), r"grpc\.(?:insecure_channel|secure_channel)\s*\(\s*['\"]([^'\"]+)['\"]", (1,), "grpc", "write", needs=("grpc.",)),
+    Rule("rb_stub", ("ruby",), r"(?:stub|client)\s*\.\s*([a-z_]+(?:_call|_request)?)\s*\(", (1,), "grpc", "write", needs=("stub", "client")),
     # stated but not in use
     Rule("redis_delete", ALL, rf"(?:client|redis|cache|\br\b)\.(del|delete|unlink|expire)\s*\(\s*[f`]?{Q}({N}+){Q}", (2,), "redis", "write", enabled=False),
     Rule("gorm", ("go",), r"db\.(Create|Save|First|Find|Delete|Update|Table)\s*\(&?([A-Z][a-zA-Z0-9_]*)", (2,), "sql", "write", enabled=False),
@@ -123,7 +123,7 @@ CALL_RULES = (
     _call("go_sql", "go", ANY, "Query QueryContext Exec ExecContext QueryRow QueryRowContext Prepare PrepareContext", "sql", "verb"),
     Rule("go_redis_get", ("go",), rf"{GO_REDIS}\.(?:Get|HGet|LRange|ZRange|Exists|TTL)\s*\([^()]*,\s*{Q}({N}+){Q}\s*,?\s*\)", (1,), "redis", "read", LEXICAL, receivers=GO_REDIS, methods=("Get", "HGet", "LRange", "ZRange", "Exists", "TTL"), least=2),
     Rule("go_redis_set", ("go",), rf"{GO_REDIS}\.(?:Set|HSet|SetEX|LPush|RPush|ZAdd|Expire)\s*\([^()]*,\s*{Q}({N}+){Q}\s*,?\s*\)", (1,), "redis", "write", LEXICAL, receivers=GO_REDIS, methods=("Set", "HSet", "SetEX", "LPush", "RPush", "ZAdd", "Expire"), least=2),
-    Rule("go_grpc_decode", ("go",), r"\b(?:proto|protojson|encoding)\.(?:Unmarshal|UnmarshalText|UnmarshalJSON)\s*\([^)]*?&?(?:\w+\.)?([A-Z]\w*)\{", (1,), "grpc", "read", LEXICAL, needs="Unmarshal"),
+    Rule("go_grpc_decode", ("go",), r"\b(?:proto|protojson|encoding)\.(?:Unmarshal|UnmarshalText|UnmarshalJSON)\s*\([^)]*?&?(?:\w+\.)?([A-Z]\w*)\{", (1,), "grpc", "read", LEXICAL, needs=("Unmarshal",)),
     _call("java_env", "java", r"\bSystem", "getenv", "env", "read", last=False),
     _call("java_sql", "java", r"\b(?:jdbcTemplate|jdbc|db|conn|connection|namedJdbc)", "query queryForObject queryForList queryForMap update execute batchUpdate", "sql", "verb"),
     _call("java_jpa", "java", r"\b(?:entityManager|em|session)", "createQuery createNativeQuery createNamedQuery", "sql", "verb"),
@@ -131,24 +131,24 @@ CALL_RULES = (
     _call("java_redis_set", "java", JAVA_REDIS, "set hset setex lpush rpush zadd expire", "redis", "write"),
     _call("java_kafka", "java", r"\b(?:kafkaTemplate|producer|kafka)", "send", "kafka", "write"),
     _call("java_http", "java", r"\b(?:restTemplate|client|httpClient|webClient)", "getForObject getForEntity postForObject postForEntity exchange execute", "http_out", "write"),
-    Rule("java_kafka_listen", ("java",), r"@KafkaListener\s*\([^)]*topics\s*=\s*\{?\s*\"([^\"]+)\"", (1,), "kafka", "read", LEXICAL),
+    Rule("java_kafka_listen", ("java",), r"@KafkaListener\s*\([^)]*topics\s*=\s*\{?\s*\"([^\"]+)\"", (1,), "kafka", "read", LEXICAL, needs=("@KafkaListener",)),
     _call("js_header_set", JS, r"\b\w*(?:res|response)\w*", "setHeader set header", "http_header", "write"),
-    Rule("js_header_get", JS, r"\b\w*(?:req|request)\w*\.headers\[\s*['\"]([^'\"]+)['\"]\s*\]", (1,), "http_header", "read", LEXICAL),
+    Rule("js_header_get", JS, r"\b\w*(?:req|request)\w*\.headers\[\s*['\"]([^'\"]+)['\"]\s*\]", (1,), "http_header", "read", LEXICAL, needs=(".headers[",)),
     _call("js_redis_get", JS, ANY, "get hget del rpop lrange zrange exists ttl", "redis", "read"),
     _call("js_redis_set", JS, ANY, "set hset setex lpush rpush zadd lset expire persist", "redis", "write"),
-    Rule("js_process_env", JS, r"\bprocess\.env\.(\w+)", (1,), "env", "read", LEXICAL),
+    Rule("js_process_env", JS, r"\bprocess\.env\.(\w+)", (1,), "env", "read", LEXICAL, needs=("process.env.",)),
     _call("js_socket", JS, ANY, "emit on send", "websocket", "write"),
-    Rule("js_fs", ("javascript",), r"\b(?:fs|promises)\.(readFile|writeFile|readFileSync|writeFileSync)\s*\(\s*['\"]([^'\"]+)['\"]", (2,), "filesystem", "file", LEXICAL),
-    Rule("php_env", ("php",), rf"\b(?:getenv|env)\s*\(\s*{Q}({N}+){Q}", (1,), "env", "read", LEXICAL),
-    Rule("php_db", ("php",), rf"\bDB::(?:select|insert|update|delete|statement|unprepared)\s*\(\s*{Q}({N}+){Q}", (1,), "sql", "verb", LEXICAL),
-    Rule("php_table", ("php",), rf"\bDB::table\s*\(\s*{Q}({N}+){Q}", (1,), "sql", "read", LEXICAL),
-    Rule("php_sql", ("php",), rf"\$(?:pdo|db|conn|connection)->(?:query|prepare|exec)\s*\(\s*{Q}({N}+){Q}", (1,), "sql", "verb", LEXICAL),
-    Rule("php_facade_get", ("php",), rf"\b(?:Redis|Cache)::(?:get|hget|lrange|exists|ttl)\s*\(\s*{Q}({N}+){Q}", (1,), "redis", "read", LEXICAL),
-    Rule("php_facade_set", ("php",), rf"\b(?:Redis|Cache)::(?:set|hset|setex|lpush|rpush|zadd|put|forever)\s*\(\s*{Q}({N}+){Q}", (1,), "redis", "write", LEXICAL),
+    Rule("js_fs", ("javascript",), r"\b(?:fs|promises)\.(readFile|writeFile|readFileSync|writeFileSync)\s*\(\s*['\"]([^'\"]+)['\"]", (2,), "filesystem", "file", LEXICAL, needs=("fs.", "promises.")),
+    Rule("php_env", ("php",), rf"\b(?:getenv|env)\s*\(\s*{Q}({N}+){Q}", (1,), "env", "read", LEXICAL, needs=("env",)),
+    Rule("php_db", ("php",), rf"\bDB::(?:select|insert|update|delete|statement|unprepared)\s*\(\s*{Q}({N}+){Q}", (1,), "sql", "verb", LEXICAL, needs=("DB::",)),
+    Rule("php_table", ("php",), rf"\bDB::table\s*\(\s*{Q}({N}+){Q}", (1,), "sql", "read", LEXICAL, needs=("DB::table",)),
+    Rule("php_sql", ("php",), rf"\$(?:pdo|db|conn|connection)->(?:query|prepare|exec)\s*\(\s*{Q}({N}+){Q}", (1,), "sql", "verb", LEXICAL, needs=("->query", "->prepare", "->exec")),
+    Rule("php_facade_get", ("php",), rf"\b(?:Redis|Cache)::(?:get|hget|lrange|exists|ttl)\s*\(\s*{Q}({N}+){Q}", (1,), "redis", "read", LEXICAL, needs=("Redis::", "Cache::")),
+    Rule("php_facade_set", ("php",), rf"\b(?:Redis|Cache)::(?:set|hset|setex|lpush|rpush|zadd|put|forever)\s*\(\s*{Q}({N}+){Q}", (1,), "redis", "write", LEXICAL, needs=("Redis::", "Cache::")),
     _call("php_redis_get", "php", PHP_REDIS, "get hget lrange", "redis", "read", "->", last=False),
     _call("php_redis_set", "php", PHP_REDIS, "set hset setex lpush rpush put", "redis", "write", "->", last=False),
-    Rule("php_http", ("php",), rf"\bHttp::(?:get|post|put|delete|patch)\s*\(\s*{Q}({N}+){Q}", (1,), "http_out", "write", LEXICAL),
-    Rule("php_client", ("php",), rf"\$(?:client|http|httpClient|guzzle)->(?:get|post|put|delete|request|send)\s*\(\s*(?:{Q}[A-Z]+{Q}\s*,\s*)?{Q}({N}+){Q}", (1,), "http_out", "write", LEXICAL),
+    Rule("php_http", ("php",), rf"\bHttp::(?:get|post|put|delete|patch)\s*\(\s*{Q}({N}+){Q}", (1,), "http_out", "write", LEXICAL, needs=("Http::",)),
+    Rule("php_client", ("php",), rf"\$(?:client|http|httpClient|guzzle)->(?:get|post|put|delete|request|send)\s*\(\s*(?:{Q}[A-Z]+{Q}\s*,\s*)?{Q}({N}+){Q}", (1,), "http_out", "write", LEXICAL, needs=("$client", "$http", "$guzzle")),
     _call("php_kafka", "php", r"\$(?:producer|kafka|kafkaProducer)", "produce send publish", "kafka", "write", "->", last=False),
     _call("py_environ", "python", r"\bos\.environ", "get", "env", "read"),
     _call("py_getenv", "python", r"\bos", "getenv", "env", "read"),
@@ -167,12 +167,12 @@ CALL_RULES = (
     _call("rb_sql", "ruby", r"\b(?:connection|conn)", "execute exec_query exec_update exec_insert exec_delete select_all select_rows select_values select_value", "sql", "verb"),
     _call("rb_http", "ruby", r"\b(?:Faraday|HTTParty|RestClient|HTTP|Typhoeus|Excon)", "get post put delete patch head request", "http_out", "write"),
     _call("rb_http_client", "ruby", r"\b(?:conn|connection|client|faraday|http_client|http)", "get post put delete patch", "http_out", "write"),
-    Rule("rb_job", ("ruby",), r"\b([A-Z]\w*)\.perform_async\b", (1,), "queue", "write", LEXICAL, needs="perform_async"),
-    Rule("rb_queue_as", ("ruby",), r"\bqueue_as\s*\(?\s*:(\w+)", (1,), "queue", "write", LEXICAL),
+    Rule("rb_job", ("ruby",), r"\b([A-Z]\w*)\.perform_async\b", (1,), "queue", "write", LEXICAL, needs=("perform_async",)),
+    Rule("rb_queue_as", ("ruby",), r"\bqueue_as\s*\(?\s*:(\w+)", (1,), "queue", "write", LEXICAL, needs=("queue_as",)),
     _call("rb_kafka", "ruby", r"\b(?:producer|kafka|kafka_producer)", "produce", "kafka", "write"),
-    Rule("rb_header_set", ("ruby",), r"\b(?:response|headers)\[\s*['\"]([^'\"]+)['\"]\s*\]\s*=", (1,), "http_header", "write", LEXICAL),
-    Rule("rs_env_var", ("rust",), r"\b(?:std::)?env::var\s*\(\s*\"([^\"]+)\"", (1,), "env", "read", LEXICAL),
-    Rule("rs_sql", ("rust",), r"\b(?:query|query_as|query_scalar|query_file|query_file_as)!?\s*(?:::<[^>]*>)?\s*\(\s*(?:\w+\s*,\s*)?r?#?\"([^\"]{5,})\"", (1,), "sql", "verb", LEXICAL),
+    Rule("rb_header_set", ("ruby",), r"\b(?:response|headers)\[\s*['\"]([^'\"]+)['\"]\s*\]\s*=", (1,), "http_header", "write", LEXICAL, needs=("response[", "headers[")),
+    Rule("rs_env_var", ("rust",), r"\b(?:std::)?env::var\s*\(\s*\"([^\"]+)\"", (1,), "env", "read", LEXICAL, needs=("env::var",)),
+    Rule("rs_sql", ("rust",), r"\b(?:query|query_as|query_scalar|query_file|query_file_as)!?\s*(?:::<[^>]*>)?\s*\(\s*(?:\w+\s*,\s*)?r?#?\"([^\"]{5,})\"", (1,), "sql", "verb", LEXICAL, needs=("query",)),
     Rule("rs_redis_read", ("rust",), r"\b\w+\.(?:hget|rpop|lrange|zrange|exists|ttl)\s*\(\s*(?:[^()]*,\s*)?([^(),]+)\)", (1,), "redis", "read", LEXICAL, strip=True, receivers=r"\b\w+", methods=("hget", "rpop", "lrange", "zrange", "exists", "ttl")),
     Rule("rs_redis_get", ("rust",), r"\b\w*(?:conn|redis|headers)\w*\.get\s*\(\s*(?:[^()]*,\s*)?([^(),]+)\)", (1,), "redis", "header", LEXICAL, strip=True, receivers=r"\b\w*(?:conn|redis|headers)\w*", methods=("get",)),
     Rule("rs_redis_set", ("rust",), r"\b\w+\.(?:set|set_ex|hset|lpush|rpush|zadd|lset|expire|persist|del)\s*\(\s*(?:[^()]*,\s*)?([^(),]+)\)", (1,), "redis", "write", LEXICAL, strip=True, receivers=r"\b\w+", methods=("set", "set_ex", "hset", "lpush", "rpush", "zadd", "lset", "expire", "persist", "del")),
@@ -259,6 +259,10 @@ EXTENDS_RULES = (
 CALL_SITE, CALL_SPAN = r"(?<![\w$])(?:\$?\w++(?:\.|->))?\$?\w++(?:\.|->)(?:{})\s*\(", 1000
 #: Pieces of arguments: strings, brackets, commas, anything else.
 ARGUMENT_PIECES = rf"{_DOUBLE}|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'|{_TICK}|[(){{}}\[\],]|[^'\"`(){{}}\[\],]++|[\s\S]"
+#: From a call's opening bracket to its end, for calls whose arguments hold two levels of brackets at most; pieces as above.
+_FLAT = rf"{_DOUBLE}|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'|{_TICK}|[^'\"`(){{}}\[\]]++|'"
+_NESTED = rf"[(\[{{](?:{_FLAT})*+[)\]}}]"
+CALL_END = rf"\A(?:{_FLAT}|[(\[{{](?:{_FLAT}|{_NESTED})*+[)\]}}])*+[)\]}}]"
 
 VERBS = "get|post|put|delete|patch"
 

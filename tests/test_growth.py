@@ -60,3 +60,21 @@ def test_marks_do_not_copy_each_source(spark):
     found = spark.createDataFrame([("a\x01b\nxax",)], "src string").select(extract.matches(F.col("src"), "a", lambda text, line: F.struct(text, line)).alias("m"))
     assert "translate(" not in found._jdf.queryExecution().analyzed().toString()
     assert [tuple(r) for r in found.first()["m"]] == [("a", 1), ("a", 2)]
+
+
+def test_sources_are_lexed_once(spark, monkeypatch):
+    """All extractors of the index share one table of sources without comments and strings."""
+    from factweave.functions import lexer
+
+    lexed, code = [], lexer.code
+    monkeypatch.setattr(lexer, "code", lambda *a: (lexed.append(a), code(*a))[1])
+    tables = index(spark.createDataFrame([("a/x.py", "python", "def f():\n    db.query('SELECT a FROM t') # 'SELECT a FROM u'\n")], "file string, language string, src string"))
+    assert len(lexed) == 1 and [r.key_norm for r in tables["events"].collect()] == ["t"]
+
+
+def test_events_do_not_split_their_source(spark):
+    """A source is split into lines once, not for each of its events, and isn't copied to them."""
+    from factweave.operators import extract
+
+    events = extract.boundary_events(spark.createDataFrame([("a.js", "javascript", "x\n  process.env.A_B; process.env.C_D\n")], "file string, language string, src string"))
+    assert "split_part" not in plan(events) and {(r.line, r.raw_context) for r in events.collect()} == {(2, "process.env.A_B; process.env.C_D")}

@@ -1,5 +1,7 @@
 """What single lines and small files give: literal rows, written from the rules' descriptions."""
 
+import re
+
 import pytest
 
 from factweave import rules as R
@@ -129,3 +131,23 @@ def test_middleware_of_a_hint(spark):
     assert got == {("f", "route_decorator", ("user", "db")), ("g", "depends_fn", ("user",))}
     rust = extract.entry_hints(one_file(spark, "rust", '.route("/a", with_auth(post(f)))')).collect()
     assert [list(r.middleware) for r in rust] == [["with_auth"]]
+
+
+def test_needed_texts():
+    """Every match of a rule holds one of the texts without which a file isn't searched."""
+    seen = set()
+    for language, _, src in (*V.TEMPLATES, *V.SCOPED):
+        for r in (*R.CALL_RULES, *R.EVENT_RULES):
+            if r.needs and language in r.languages:
+                for m in re.finditer(r.pattern, src):
+                    assert any(n in m[0] for n in r.needs), (r.name, m[0])
+                    seen.add(r.name)
+    assert len(seen) > 30
+
+
+@pytest.mark.parametrize("depth", [0, 1, 2, 3, 4, 30])
+def test_arguments_of_nested_calls(spark, depth):
+    """Whether brackets nest few or many times, the last argument is the key; a call that doesn't end has none."""
+    nested = "(" * depth + "a, ']'" + ")" * depth
+    events = lambda src: [(r.line, r.key_raw) for r in extract.boundary_events(one_file(spark, "python", src), [r for r in R.CALL_RULES if r.name == "py_redis_set"]).collect()]
+    assert events(f"x.hset(f{nested}, 'k')\nx.hset('open', (1\n") == [(1, "k")]
