@@ -9,6 +9,8 @@ every line and column keeps its place.
 from __future__ import annotations
 
 import functools
+from functools import reduce
+from operator import or_
 
 from pyspark import SparkContext
 from pyspark.sql import Column
@@ -31,18 +33,23 @@ def _by_language(language: Column, src: Column, of) -> Column:
     found = None
     for lexer in dict.fromkeys(R.LEXERS.values()):
         languages = [x for x, y in R.LEXERS.items() if y == lexer]
-        found = (F if found is None else found).when(language.isin(*languages), of(*lexer))
+        found = (F if found is None else found).when(language.isin(*languages), of(languages[0], *lexer))
     return found.otherwise(src)
 
 
 def code_of(language: Column, src: Column) -> Column:
     """The source with its comments blanked; strings stay."""
-    return _by_language(language, src, lambda comment, other: _replaced(src, f"{comment}|{other}", lambda m: F.when(m.rlike(rf"\A(?:{comment})\z"), _blank(m)).otherwise(m)))
+
+    def blanked(of: str, comment: str, other: str) -> Column:
+        shown = reduce(or_, [F.contains(src, F.lit(mark)) for mark in R.COMMENT_MARKS[of]])
+        return F.when(shown, _replaced(src, f"{comment}|{other}", lambda m: F.when(m.rlike(rf"\A(?:{comment})\z"), _blank(m)).otherwise(m))).otherwise(src)
+
+    return _by_language(language, src, blanked)
 
 
 def bare_of(language: Column, code: Column) -> Column:
     """Source without comments, its strings blanked, too. Go's empty types aren't blocks."""
-    bare = _by_language(language, code, lambda comment, other: _replaced(code, other, _blank))
+    bare = _by_language(language, code, lambda _, comment, other: _replaced(code, other, _blank))
     return F.when(language == "go", F.regexp_replace(F.regexp_replace(bare, r"\binterface\{\}", " " * 11), r"\bstruct\{\}", " " * 8)).otherwise(bare)
 
 

@@ -323,7 +323,7 @@ def _hint(fn: Column, line: Column, kind: str, framework: str | None, path: Colu
     )
 
 
-def pattern_hints(src: Column) -> Column:
+def pattern_hints(src: Column, odd: Column | None = None) -> Column:
     """Array of the hints that the hint rules and main marks give for a file."""
     none = F.lit(None).cast("string")
 
@@ -338,7 +338,7 @@ def pattern_hints(src: Column) -> Column:
         made = _hint(F.lit("main"), F.lit(None), "main", None, none, none, confidence, "main_fn", len(R.HINT_RULES), none)
         return F.when((F.col("language") == language) & F.contains(src, F.lit(mark)), F.array(made)).otherwise(F.array())
 
-    found = [_guarded(h.languages, matches(src, h.pattern, row(h, i))) for i, h in enumerate(R.HINT_RULES)]
+    found = [_guarded(h.languages, matches(src, h.pattern, row(h, i), odd)) for i, h in enumerate(R.HINT_RULES)]
     return F.concat(*[F.coalesce(x, F.array()).cast(_HINT) for x in (*found, *[main(*m) for m in R.MAIN_MARKS])])
 
 
@@ -377,7 +377,7 @@ def entry_hints(files: DataFrame) -> DataFrame:
     """
     none, n = F.lit(None).cast("string"), len(R.HINT_RULES)
     src = F.col("src")
-    base = middleware(files).select("file", "language", "src", "middleware", pattern_hints(src).alias("found"), injected(src).alias("injected"), resources(src).alias("resources"))
+    base = middleware(files).withColumn("odd", has_marks(src)).select("file", "language", "src", "middleware", pattern_hints(src, F.col("odd")).alias("found"), injected(src).alias("injected"), resources(src).alias("resources"))
     names = F.transform("found", lambda h: h["fn_name"])
     weak = lambda f, line, framework, confidence, heuristic, path=none, method=none: _hint(f, line, "route", framework, path, method, confidence, heuristic, n + 1, none)
     fresh = lambda rows, name, *seen: F.filter(rows, lambda r: ~F.array_contains(F.concat(*seen), name(r)))

@@ -194,6 +194,10 @@ LEXERS = {
     "java": (_C_COMMENT, f"{_TRIPLE}|{_DOUBLE}|{_SINGLE}"),
     "php": (_C_COMMENT + r"|#(?!\[)[^\n]*+", r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"?' + r"|'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+'?"),
 }
+#: Texts of which every comment holds one: a source without them has none.
+COMMENT_MARKS = {
+    **dict.fromkeys(("javascript", "typescript", "rust", "go", "java"), ("//", "/*")), "python": ("#", '"' * 3, "'" * 3), "ruby": ("#", "=begin"), "php": ("//", "/*", "#"),
+}
 #: Marks of blocks and statements; in Ruby words that open or close a block.
 BRACKETS = r"[(){}\[\];]"
 RUBY_BLOCKS = (

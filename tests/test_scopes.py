@@ -2,6 +2,7 @@
 
 import pytest
 
+from factweave import rules as R
 from factweave.functions import lexer
 from factweave.operators import extract, scopes
 from pyspark.sql import functions as F
@@ -89,3 +90,12 @@ def test_lexers_keep_places_and_are_linear(spark):
         assert len(r.code) == len(r.bare) == len(src) and r.code.count("\n") == r.bare.count("\n") == src.count("\n")
     python = code.where("language = 'python'").first()
     assert python.code.split("\n")[0] == 'a = "x\\"#y"' + " " * 6 and python.bare.split("\n")[0].strip() == "a ="
+
+
+def test_comments_hold_a_mark(spark):
+    """Sources without the marks of their language aren't searched for comments; every kind of comment has one."""
+    rows = [("javascript", "a // b"), ("typescript", "a /* b */"), ("python", "a # b"), ("python", "'''b'''"), ("python", '"""b"""'), ("ruby", "a # b"), ("ruby", "=begin\nb\n=end"),
+        ("rust", "a // b"), ("go", "a /* b"), ("java", "a // b"), ("php", "a # b"), ("php", "a // b")]
+    assert all(any(mark in src for mark in R.COMMENT_MARKS[language]) for language, src in rows)
+    found = spark.createDataFrame(rows, "language string, src string").select("src", lexer.code().alias("code")).collect()
+    assert all("b" not in r.code and len(r.code) == len(r.src) for r in found)
